@@ -48,11 +48,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    """Cut the lineage by a Parquet table in the shared folder. Unlike an RDD checkpoint it keeps sizes for the
+    planner and is read by column."""
     spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))
-    return df.checkpoint()
+    path = shared_folder(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def few(df: DataFrame, most: int) -> DataFrame:
+    """Marked for broadcast if it has at most so many rows, else left to a shuffled join."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -37,10 +37,6 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.when(plain, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER)), F.lit(WORD), F.lit(0))
 
 
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def items(benchmark: DataFrame) -> DataFrame:
     """item_id, words of the items that have any."""
     own = benchmark.select(F.col("item_id"), tokens(F.col("text").cast("string")).alias("words"))
@@ -90,9 +86,9 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     """doc_id, n_words, hits: array of (item_id, start, length), the exact windows found in every document."""
     own = C.checkpointed(items(benchmark))
     words = docs.select("doc_id", tokens(F.col("text").cast("string")).alias("words"))
-    terms = _maybe_broadcast(C.checkpointed(item_terms(own).select("term").distinct()))
+    terms = C.few(C.checkpointed(item_terms(own).select("term").distinct()), BROADCAST_ROWS)
     places = C.checkpointed(anchors(own, term_frequencies(words, terms), window))
-    index = postings(words, _maybe_broadcast(places.select("term").distinct()))
+    index = postings(words, C.few(places.select("term").distinct(), BROADCAST_ROWS))
     near = candidates(index, places, own).join(own, "item_id")
     by_doc = C.checkpointed(near.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("near")))
     joined = words.join(_maybe_few(by_doc), "doc_id", "left")
@@ -114,9 +110,9 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 8, leas
 
     own = C.checkpointed(items(benchmark))
     words = docs.select("doc_id", tokens(F.col("text").cast("string")).alias("words"))
-    terms = _maybe_broadcast(C.checkpointed(item_terms(own).select("term").distinct()))
+    terms = C.few(C.checkpointed(item_terms(own).select("term").distinct()), BROADCAST_ROWS)
     places = C.checkpointed(anchors(own, term_frequencies(words, terms), window))
-    met = postings(words, _maybe_broadcast(places.select("term").distinct())).join(places, "term").withColumn("shift", F.col("position") - F.col("place"))
+    met = postings(words, C.few(places.select("term").distinct(), BROADCAST_ROWS)).join(places, "term").withColumn("shift", F.col("position") - F.col("place"))
     w = Window.partitionBy("doc_id", "item_id").orderBy("shift", "position")
     gap = F.coalesce(F.col("shift") - F.lag("shift").over(w) > slop, F.lit(True)).cast("int")
     runs = met.withColumn("new", gap).withColumn("run", F.sum("new").over(w))

@@ -131,22 +131,15 @@ class Linker:
     """Exact verification of pairs on the full sets of the documents that share a bucket."""
 
     def __init__(self, docs: DataFrame, members: DataFrame, k: int, percent: int):
-        ids = C.checkpointed(members.select(F.col("rep").alias("doc_id")).distinct())
-        if ids.count() <= BROADCAST_ROWS:
-            ids = F.broadcast(ids)
+        ids = C.few(C.checkpointed(members.select(F.col("rep").alias("doc_id")).distinct()), BROADCAST_ROWS)
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        texts = texts.join(ids, "doc_id", "left_semi")
-        self.sets = C.checkpointed(texts.mapInArrow(_sets(k), "id long, set binary").dropDuplicates(["id"]) if self._repeated(docs) else texts.mapInArrow(_sets(k), "id long, set binary"))
+        self.sets = C.checkpointed(texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets(k), "id long, set binary"))
         self.percent = percent
 
-    @staticmethod
-    def _repeated(docs: DataFrame) -> bool:
-        return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-
     def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose similarity reaches the threshold, checkpointed."""
+        """The pairs (a, b) whose similarity reaches the threshold, as a stored table."""
         x, y = (self.sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
-        return C.checkpointed(pairs.select("a", "b").distinct().join(y, "b").join(x, "a").select("a", "b", "set_a", "set_b").mapInArrow(_linked(self.percent), "a long, b long"))
+        return C.checkpointed(pairs.join(y, "b").join(x, "a").select("a", "b", "set_a", "set_b").mapInArrow(_linked(self.percent), "a long, b long"))
 
 
 def _could_link(x: str, y: str, percent: int):
@@ -163,45 +156,56 @@ def _star(members: DataFrame, seed: int, percent: int) -> DataFrame:
     return apart.select(F.col("p").alias("a"), F.col("rep").alias("b")).distinct()
 
 
-def _rest(members: DataFrame, percent: int) -> DataFrame:
+def _sizes(members: DataFrame) -> DataFrame:
+    """key, major (its largest component), minor (members of others) of the buckets with several components."""
+    by = members.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("m"), F.sum("count").alias("all"), F.count("*").alias("n"))
+    return by.where("n > 1").select("key", F.col("m.comp").alias("major"), (F.col("all") - F.col("m.count")).alias("minor"), "all")
+
+
+def _rest(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """In each bucket, pairs of the members outside its largest component with the members of other components."""
-    by = members.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("m"), F.count("*").alias("n")).where("n > 1")
-    minor = members.join(by.select("key", F.col("m.comp").alias("major")), "key").where("comp <> major")
+    minor = members.join(sizes.select("key", "major"), "key").where("comp <> major")
     minor = minor.select("key", "major", F.col("rep").alias("a"), F.col("size").alias("a_size"), F.col("comp").alias("a_comp"))
     near = _could_link("a_size", "size", percent) & (F.col("a_comp") != F.col("comp")) & ((F.col("comp") == F.col("major")) | (F.col("a") < F.col("rep")))
     return minor.join(members, "key").where(near).select("a", F.col("rep").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, stars: int = 6) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. Documents are linked if their shingle sets
     have a Jaccard similarity of percent / 100 or more."""
     own = C.checkpointed(sketches(docs, k, bands, rows))
-    reps = own.where("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"))
-    reps = C.checkpointed(reps)
-    rep_rows = own.join(reps.select(F.col("rep").alias("doc_id"), F.col("print").alias("p")), "doc_id").where("print = p").dropDuplicates(["doc_id"])
+    first = F.min(F.struct("doc_id", "n_shingles", "bands"))
+    reps = C.checkpointed(own.where("print is not null and doc_id is not null").groupBy("print").agg(first.alias("x")).select("print", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("size"), "x.bands"))
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.conv(F.hex(F.substring("bands", i * 8 + 1, 8)), 16, -10).cast("long"))
-    placed = rep_rows.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), F.explode(keys).alias("key"))
-    shared = placed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key")
-    members = C.checkpointed(placed.join(shared, "key"))
+    placed = reps.select("rep", "size", F.explode(keys).alias("key"))
+    shared = C.checkpointed(placed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key"))
+    members = C.checkpointed(placed.join(C.few(shared, BROADCAST_ROWS), "key"))
     labels = None
     if not members.isEmpty():
-        linker = Linker(docs, members, k, percent)
-        links, now = None, members.withColumn("comp", F.col("rep"))
-        for pairs in (lambda m: _star(m, 1, percent), lambda m: _star(m, 2, percent), lambda m: _rest(m, percent)):
-            found = linker.links(pairs(now))
-            if found.isEmpty():
-                continue
-            links = found if links is None else links.union(found)
-            labels = connected_components(links)
-            now = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        linker, links, now = Linker(docs, members, k, percent), None, members.withColumn("comp", F.col("rep"))
+        for seed in range(stars + 1):
+            sizes = None
+            if seed:
+                sizes = C.checkpointed(_sizes(now))
+                left, all_ = sizes.agg(F.sum(F.col("minor") * F.col("all")), F.sum("all")).first()
+                if left is None:
+                    break
+            last = bool(seed) and (seed == stars or left <= 20 * all_)
+            found = linker.links(_rest(now, sizes, percent) if last else _star(now, seed, percent))
+            if not found.isEmpty():
+                links = found if links is None else links.union(found)
+                labels = connected_components(links)
+                now = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+            if last:
+                break
+    reps = reps.select("print", F.col("rep").alias("node"))
     if labels is not None:
-        reps = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("print", F.coalesce("comp", "rep").alias("comp"))
+        reps = reps.join(labels, "node", "left").select("print", F.coalesce("comp", "node").alias("comp"))
     else:
-        reps = reps.withColumnRenamed("rep", "comp")
+        reps = reps.withColumnRenamed("node", "comp")
     some = own.where("print is not null").select("doc_id", "n_shingles", "print").join(reps, "print").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("comp")).alias("component_id"))
     none = own.where("print is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = some.unionByName(none)
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return some.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
