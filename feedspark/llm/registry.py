@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from feedspark.llm.decontam import op3_decontamination
 from feedspark.llm.near_dup import op4_near_duplicates
+from feedspark.llm.packing import op7_packing
 from feedspark.llm.quality import op6_quality_rules
+from feedspark.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op3_decontamination": op3_decontamination,
     "op4_near_duplicates": op4_near_duplicates,
     "op6_quality_rules": op6_quality_rules,
+    "op7_packing": op7_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
