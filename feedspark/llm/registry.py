@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 from feedspark.llm.decontam import op3_decontamination
+from feedspark.llm.lang_id import op5_language_id
 from feedspark.llm.near_dup import op4_near_duplicates
 from feedspark.llm.packing import op7_packing
 from feedspark.llm.quality import op6_quality_rules
+from feedspark.llm.sharding import op2_sharding
+from feedspark.llm.token_records import op8_token_records
 from feedspark.llm.toxicity import op1_toxicity
+from feedspark.llm.warc import OP10_SQL, op10_warc_audit
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_sharding": op2_sharding,
     "op3_decontamination": op3_decontamination,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_language_id": op5_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
+    "op8_token_records": op8_token_records,
+    "op10_warc_audit": op10_warc_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_warc_audit": OP10_SQL}
