@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from feedspark.llm.decontam import op3_decontamination
+from feedspark.llm.html_text import op9_main_text
 from feedspark.llm.lang_id import op5_language_id
 from feedspark.llm.near_dup import op4_near_duplicates
 from feedspark.llm.packing import op7_packing
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
     "op8_token_records": op8_token_records,
+    "op9_main_text": op9_main_text,
     "op10_warc_audit": op10_warc_audit,
 }
 
