@@ -1,8 +1,9 @@
 """Ids of whole texts by a public tokenizer, with a memory of pieces.
 
 Both vocabularies cut a text before a blank that a non-blank follows, and no merge crosses a cut, so a text's
-ids are those of its pieces one after the other. Pieces repeat a lot; each new one is encoded once by the
-`tokenizers` library and remembered by the worker, up to `most` pieces.
+ids are those of its pieces one after the other. Frequent pieces are remembered by the worker. A new piece of plain
+Latin text is cut further, as the tokenizer itself does before merging, into words and marks, which repeat more often;
+what is new among these, and any other piece as it is, goes to the `tokenizers` library. Both memories are bounded.
 """
 
 from __future__ import annotations
@@ -15,27 +16,35 @@ import numpy as np
 
 _ODD = re.compile(r" (?=\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
+#: Pieces for which every library agrees on letters, digits, white space and lower case.
+_PLAIN = re.compile(r"[\n\x20-\x7e¡-įı-ɏ]*\Z")
+#: The vocabularies' own patterns of words and marks.
+SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+UNSPACED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class PieceEncoder:
     """Little-endian unsigned 32-bit ids of texts.
 
     spaced: a piece keeps the blank before it (byte-level vocabularies); otherwise blanks and line feeds only
-    part pieces (vocabularies that drop white space)."""
+    part pieces (vocabularies in lower case that drop white space)."""
 
-    def __init__(self, path: str, spaced: bool, most: int = 800_000):
+    def __init__(self, path: str, spaced: bool, pieces: int = 400_000, words: int = 900_000):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's name inside a text is ordinary text
-        self.spaced, self.most = spaced, most
+        self.spaced, self.pieces, self.words = spaced, pieces, words
+        self.cut = regex.compile(SPACED if spaced else UNSPACED).findall
         self.known: dict[str, bytes] = {}
+        self.known_words: dict[str, bytes] = {}
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
+    def _library(self, strings: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch(strings, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def _cut(self, text: str) -> list[str]:
+    def _parts(self, text: str) -> list[str]:
         if not self.spaced:
             return text.replace("\n", " ").split(" ")
         parts = _CUT.split(text) if _ODD.search(text) else text.split(" ")
@@ -45,28 +54,38 @@ class PieceEncoder:
             del parts[0]
         return parts
 
-    def _whole(self, piece: str) -> str:
-        return piece if not self.spaced else piece[1:] if piece[:1] == "\0" else " " + piece
+    def _words(self, piece: str) -> list[str]:
+        whole = piece if not self.spaced else piece[1:] if piece[:1] == "\0" else " " + piece
+        if not _PLAIN.match(whole):
+            return [whole]
+        return self.cut(whole if self.spaced else whole.lower())
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known, cuts, odd = self.known, [], {}
+        cuts, odd = [], {}
         for text in texts:
             if "\0" in text:  # the mark of first pieces; such texts are encoded whole
                 odd[len(cuts)] = text
                 cuts.append([])
             else:
-                cuts.append(self._cut(text))
-        new = list({p for parts in cuts for p in parts if p not in known})
-        added = dict(zip(new, self._encode([self._whole(p) for p in new]), strict=True))
-        if len(known) + len(added) <= self.most:
-            known.update(added)
-        else:
-            known = _Layered(known, added)
+                cuts.append(self._parts(text))
+        new = {p: self._words(p) for p in {p for parts in cuts for p in parts}.difference(self.known)}
+        words = self._remembered(self.known_words, self.words, list({w for ws in new.values() for w in ws}.difference(self.known_words)))
+        known = self._added(self.known, self.pieces, {p: b"".join(map(words.__getitem__, ws)) for p, ws in new.items()})
         out = [b"".join(map(known.__getitem__, parts)) for parts in cuts]
         for i, text in odd.items():
-            out[i] = self._encode([text])[0]
+            out[i] = self._library([text])[0]
         return out
 
+    def _remembered(self, memory: dict[str, bytes], most: int, new: list[str]):
+        return self._added(memory, most, dict(zip(new, self._library(new), strict=True)))
+
+    @staticmethod
+    def _added(memory: dict[str, bytes], most: int, new: dict[str, bytes]):
+        if len(memory) + len(new) <= most:
+            memory.update(new)
+            return memory
+        return _Layered(memory, new)
+
 
 class _Layered:
     """What is remembered for good, then what this call needed besides."""
