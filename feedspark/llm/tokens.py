@@ -68,34 +68,30 @@ class PieceEncoder:
                 cuts.append([])
             else:
                 cuts.append(self._parts(text))
-        new = {p: self._words(p) for p in {p for parts in cuts for p in parts}.difference(self.known)}
-        words = self._remembered(self.known_words, self.words, list({w for ws in new.values() for w in ws}.difference(self.known_words)))
-        known = self._added(self.known, self.pieces, {p: b"".join(map(words.__getitem__, ws)) for p, ws in new.items()})
-        out = [b"".join(map(known.__getitem__, parts)) for parts in cuts]
+        all_ = {p for parts in cuts for p in parts}
+        ids = self._found(self.known, all_)
+        new = {p: self._words(p) for p in all_.difference(ids)}
+        if new:
+            all_words = {w for ws in new.values() for w in ws}
+            words = self._found(self.known_words, all_words)
+            rest = list(all_words.difference(words))
+            words |= self._added(self.known_words, self.words, dict(zip(rest, self._library(rest), strict=True)))
+            ids |= self._added(self.known, self.pieces, {p: b"".join(map(words.__getitem__, ws)) for p, ws in new.items()})
+        out = [b"".join(map(ids.__getitem__, parts)) for parts in cuts]
         for i, text in odd.items():
             out[i] = self._library([text])[0]
         return out
 
-    def _remembered(self, memory: dict[str, bytes], most: int, new: list[str]):
-        return self._added(memory, most, dict(zip(new, self._library(new), strict=True)))
+    @staticmethod
+    def _found(memory: dict[str, bytes], keys: set[str]) -> dict[str, bytes]:
+        get = memory.get
+        return {k: v for k in keys if (v := get(k)) is not None}
 
     @staticmethod
-    def _added(memory: dict[str, bytes], most: int, new: dict[str, bytes]):
+    def _added(memory: dict[str, bytes], most: int, new: dict[str, bytes]) -> dict[str, bytes]:
         if len(memory) + len(new) <= most:
             memory.update(new)
-            return memory
-        return _Layered(memory, new)
-
-
-class _Layered:
-    """What is remembered for good, then what this call needed besides."""
-
-    def __init__(self, first: dict[str, bytes], then: dict[str, bytes]):
-        self.first, self.then = first, then
-
-    def __getitem__(self, piece: str) -> bytes:
-        found = self.first.get(piece)
-        return self.then[piece] if found is None else found
+        return new
 
 
 @cache
