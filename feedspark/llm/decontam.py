@@ -6,8 +6,8 @@ shifted by the word's place in the item, so that equal shifts (diagonals) of one
 only diagonals on which two rarest words agree are compared word by word. What matches is exact; proximity
 matches are runs of an item's rare words that lie close together in a document without having to be in line.
 
-Scale: texts are cut into words where they are scanned; only occurrences of the chosen rare words leave the
-scan, and whole texts are touched again only for documents that have a candidate. Lists of terms and ids are broadcast
+Scale: texts are cut into words where they are scanned; only occurrences of the chosen words leave the
+scan and are stored, and whole texts are touched again only for documents that have a candidate. Lists of terms and ids are broadcast
 if their counted size is within BROADCAST_ROWS, else joined by shuffle. A passage that many documents share
 adds one candidate for each document and diagonal, never pairs of documents.
 
@@ -26,6 +26,7 @@ from feedspark.llm import common as C
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
+CHOICE = 4
 ANCHORS = 2
 BROADCAST_ROWS = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,24 +49,47 @@ def item_terms(own: DataFrame) -> DataFrame:
     return own.select("item_id", F.posexplode("words").alias("place", "term"))
 
 
-def term_frequencies(words: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, df: occurrences in the corpus of the given distinct terms (0 if none)."""
-    seen = words.select(F.explode("words").alias("term")).join(terms, "term").groupBy("term").count()
-    return terms.join(seen, "term", "left").select("term", F.coalesce("count", F.lit(0)).alias("df"))
+def rarest_places(places: DataFrame, own: DataFrame, window: int, most: int) -> DataFrame:
+    """item_id, place, term: of the given places (item_id, place, term, df) those that are among the `most` rarest of some
+    window (ties: the longer term, then the earlier place)."""
+    ranked = places.groupBy("item_id").agg(F.collect_list(F.struct("df", (-F.length("term")).alias("short"), "place", "term")).alias("w")).join(own.select("item_id", F.size("words").alias("n")), "item_id")
+    starts = ranked.select("item_id", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - window, F.lit(0)))).alias("s"), "w")
+    inside = F.array_sort(F.filter("w", lambda x: (x["place"] >= F.col("s")) & (x["place"] < F.col("s") + window)))
+    return starts.select("item_id", F.explode(F.slice(inside, 1, most)).alias("x")).select("item_id", "x.place", "x.term").distinct()
 
 
-def anchors(own: DataFrame, frequencies: DataFrame, window: int = WINDOW, most: int = ANCHORS) -> DataFrame:
-    """item_id, place, term: for every window the places of its rarest words (ties: the earlier place)."""
-    ranked = item_terms(own).join(frequencies, "term").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("place", "df", "term"))).alias("w"))
-    last = F.greatest(F.size("w") - window, F.lit(0))
-    starts = ranked.select("item_id", F.explode(F.sequence(F.lit(0), last)).alias("s"), "w")
-    rarest = F.slice(F.array_sort(F.transform(F.slice("w", F.col("s") + 1, F.lit(window)), lambda x: F.struct(x["df"].alias("df"), x["place"].alias("place"), x["term"].alias("term")))), 1, most)
-    return starts.select("item_id", F.explode(rarest).alias("x")).select("item_id", "x.place", "x.term").distinct()
+def term_filter(terms: DataFrame, column: Column, longest: int = 1 << 20) -> Column:
+    """True for every given term and few others: a bitmap of hashed terms, of a size that the number of terms sets up
+    to `longest` bits, as a constant of the plan."""
+    bits = min(longest, 1 << max(10, (20 * max(terms.count(), 1)).bit_length()))
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    cells = terms.select(at(F.col("term")).alias("h")).groupBy(F.floor(F.col("h") / 64).cast("int").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("b"))
+    words = [0] * (bits // 64)
+    for r in cells.collect():
+        words[r["i"]] = r["b"]
+    place = at(column)
+    return F.get(F.lit(words), F.floor(place / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))) != 0
 
 
 def postings(words: DataFrame, terms: DataFrame) -> DataFrame:
-    """The positional index of the given distinct terms: term, doc_id, position (from 0)."""
-    return words.select("doc_id", F.posexplode("words").alias("position", "term")).join(terms, "term")
+    """The positional index of the given distinct terms: term, doc_id, position (from 0). A bitmap drops most
+    other words before the join."""
+    found = words.select("doc_id", F.posexplode("words").alias("position", "term"))
+    return found.where(term_filter(terms, F.col("term"))).join(C.few(terms, BROADCAST_ROWS), "term")
+
+
+def positional_index(docs: DataFrame, own: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """The stored index of the words that may be an item's rarest, and the places of each window's rarest words.
+
+    Words that the benchmark itself repeats are left out where a window has CHOICE rarer ones; of these, the counts of the
+    index over the whole corpus pick the ANCHORS rarest."""
+    words = docs.select("doc_id", tokens(F.col("text").cast("string")).alias("words"))
+    all_ = item_terms(own)
+    choice = C.checkpointed(rarest_places(all_.join(all_.groupBy("term").agg(F.count("*").alias("df")), "term"), own, window, CHOICE))
+    terms = C.checkpointed(choice.select("term").distinct())
+    index = C.checkpointed(postings(words, terms))
+    counts = terms.join(index.groupBy("term").agg(F.count("*").alias("df")), "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
+    return index, C.checkpointed(rarest_places(choice.join(counts, "term"), own, window, ANCHORS))
 
 
 def candidates(index: DataFrame, places: DataFrame, own: DataFrame) -> DataFrame:
@@ -85,13 +109,11 @@ def _window_starts(words: Column, item: Column, shift: Column, window: int) -> C
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, hits: array of (item_id, start, length), the exact windows found in every document."""
     own = C.checkpointed(items(benchmark))
-    words = docs.select("doc_id", tokens(F.col("text").cast("string")).alias("words"))
-    terms = C.few(C.checkpointed(item_terms(own).select("term").distinct()), BROADCAST_ROWS)
-    places = C.checkpointed(anchors(own, term_frequencies(words, terms), window))
-    index = postings(words, C.few(places.select("term").distinct(), BROADCAST_ROWS))
+    index, places = positional_index(docs, own, window)
     near = candidates(index, places, own).join(own, "item_id")
     by_doc = C.checkpointed(near.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("near")))
-    joined = words.join(_maybe_few(by_doc), "doc_id", "left")
+    whole = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(_maybe_few(by_doc), "doc_id", "left")
+    joined = whole.select("doc_id", tokens(F.col("text")).alias("words"), "near")
     found = F.flatten(F.transform("near", lambda x: F.transform(_window_starts(F.col("words"), x["words"], x["shift"], window), lambda s: F.struct(x["item_id"].alias("item_id"), (s + x["shift"]).alias("start"), F.least(F.size(x["words"]), F.lit(window)).alias("length")))))
     kind = T.ArrayType(T.StructType([T.StructField("item_id", own.schema["item_id"].dataType), T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())]))
     return joined.select("doc_id", F.coalesce(F.size("words"), F.lit(0)).cast("long").alias("n_words"), F.when(F.col("near").isNotNull(), found).otherwise(F.array().cast(kind)).alias("hits"))
@@ -109,10 +131,8 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 8, leas
     from pyspark.sql import Window
 
     own = C.checkpointed(items(benchmark))
-    words = docs.select("doc_id", tokens(F.col("text").cast("string")).alias("words"))
-    terms = C.few(C.checkpointed(item_terms(own).select("term").distinct()), BROADCAST_ROWS)
-    places = C.checkpointed(anchors(own, term_frequencies(words, terms), window))
-    met = postings(words, C.few(places.select("term").distinct(), BROADCAST_ROWS)).join(places, "term").withColumn("shift", F.col("position") - F.col("place"))
+    index, places = positional_index(docs, own, window)
+    met = index.join(places, "term").withColumn("shift", F.col("position") - F.col("place"))
     w = Window.partitionBy("doc_id", "item_id").orderBy("shift", "position")
     gap = F.coalesce(F.col("shift") - F.lag("shift").over(w) > slop, F.lit(True)).cast("int")
     runs = met.withColumn("new", gap).withColumn("run", F.sum("new").over(w))
