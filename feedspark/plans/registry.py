@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SECTIONS = ["identity", "feed"]
+SECTIONS = ["identity", "feed", "times"]
 
 
 def all_queries() -> dict:
