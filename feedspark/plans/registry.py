@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SECTIONS = ["identity", "feed", "times", "text", "events", "pages"]
+SECTIONS = ["identity", "feed", "times", "text", "events", "pages", "rules", "streams"]
 
 
 def all_queries() -> dict:
