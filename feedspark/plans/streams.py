@@ -52,8 +52,8 @@ def a05(spark, d):
     path = folder(spark)
     clean = F.regexp_replace(F.substring("title", 1, 30), "[<&>]", " ")
     entry = F.concat(F.lit("<item><title> "), clean, F.lit("</title><link>"), "url", F.lit("</link><description>"), F.md5("raw_text"), F.lit("</description><pubDate>"), "date", F.lit("</pubDate></item>"))
-    a = articles(spark, d).select(F.concat(F.lit("<rss><channel>"), entry, F.lit("</channel></rss>")).alias("value"), "source_name")
-    a.select("value").write.text(path)
+    feeds = articles(spark, d).groupBy(F.floor(F.col("id") / 500).alias("feed")).agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(entry), ""), F.lit("</channel></rss>")).alias("value"))
+    feeds.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return A.read_feed_entries(spark, path).select("link", "body", "date")
 
 
