@@ -220,8 +220,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         reps = reps.join(labels, "node", "left").select("print", F.coalesce("comp", "node").alias("comp"))
     else:
         reps = reps.withColumnRenamed("node", "comp")
-    some = own.where("print is not null").select("doc_id", "n_shingles", "print").join(reps, "print").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("comp")).alias("component_id"))
-    none = own.where("print is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    linked = F.col("print").isNotNull() & F.col("doc_id").isNotNull()
+    some = own.where(linked).select("doc_id", "n_shingles", "print").join(reps, "print").select("doc_id", "n_shingles", F.col("comp").alias("component_id"))
+    none = own.where(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return some.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
