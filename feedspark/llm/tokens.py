@@ -1,9 +1,10 @@
 """Ids of whole texts by a public tokenizer, with a memory of pieces.
 
-Both vocabularies cut a text before a blank that a non-blank follows, and no merge crosses a cut, so a text's
-ids are those of its pieces one after the other. Frequent pieces are remembered by the worker. A new piece of plain
-Latin text is cut further, as the tokenizer itself does before merging, into words and marks, which repeat more often;
-what is new among these, and any other piece as it is, goes to the `tokenizers` library. Both memories are bounded.
+Both vocabularies cut a text into words and marks before any merge, and no merge crosses a cut, so a text's ids are
+those of its pieces one after the other. Every text is cut before a blank that a non-blank follows; plain
+Latin texts also before and behind line feeds and before a full stop or comma that follows a letter or digit, which leaves
+words, and these repeat. A new piece is encoded once by the `tokenizers` library and remembered by the worker, up to
+`most` pieces.
 """
 
 from __future__ import annotations
@@ -16,83 +17,71 @@ import numpy as np
 
 _ODD = re.compile(r" (?=\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
-#: Pieces for which every library agrees on letters, digits, white space and lower case.
-_PLAIN = re.compile(r"[\n\x20-\x7e¡-įı-ɏ]*\Z")
-#: The vocabularies' own patterns of words and marks.
-SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-UNSPACED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Texts for which every library agrees on letters, digits, white space and lower case.
+_PLAIN = re.compile(r"[\n\x20-\x7e\u00a1-\u012f\u0131-\u024f]*\Z")
+#: What keeps a plain text from the finer cut: marks or line feeds next to marks, white space or the text's ends.
+_HARD = re.compile(r"(?<![^\W_])[.,]|\n(?=\s|\Z)|(?<=\s)\n|\A\n")
 
 
 class PieceEncoder:
     """Little-endian unsigned 32-bit ids of texts.
 
     spaced: a piece keeps the blank before it (byte-level vocabularies); otherwise blanks and line feeds only
-    part pieces (vocabularies in lower case that drop white space)."""
+    part pieces (vocabularies in lower case that drop white space). A piece that begins with NUL has no blank before it."""
 
-    def __init__(self, path: str, spaced: bool, pieces: int = 400_000, words: int = 900_000):
-        import regex
+    def __init__(self, path: str, spaced: bool, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's name inside a text is ordinary text
-        self.spaced, self.pieces, self.words = spaced, pieces, words
-        self.cut = regex.compile(SPACED if spaced else UNSPACED).findall
+        self.spaced, self.most = spaced, most
         self.known: dict[str, bytes] = {}
-        self.known_words: dict[str, bytes] = {}
 
     def _library(self, strings: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(strings, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def _parts(self, text: str) -> list[str]:
+        fine = _PLAIN.match(text) and not _HARD.search(text)
         if not self.spaced:
+            if fine:
+                text = text.lower().replace(".", " .").replace(",", " ,")
             return text.replace("\n", " ").split(" ")
-        parts = _CUT.split(text) if _ODD.search(text) else text.split(" ")
+        if _ODD.search(text):
+            parts = _CUT.split(text)
+        else:
+            parts = (text.replace(".", " \0.").replace(",", " \0,").replace("\n", " \0\n \0") if fine else text).split(" ")
         if parts[0]:
-            parts[0] = "\0" + parts[0]  # the first piece has no blank before it
+            parts[0] = "\0" + parts[0]
         else:
             del parts[0]
         return parts
 
-    def _words(self, piece: str) -> list[str]:
-        whole = piece if not self.spaced else piece[1:] if piece[:1] == "\0" else " " + piece
-        if not _PLAIN.match(whole):
-            return [whole]
-        return self.cut(whole if self.spaced else whole.lower())
+    def _whole(self, piece: str) -> str:
+        return piece if not self.spaced else piece[1:] if piece[:1] == "\0" else " " + piece
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cuts, odd = [], {}
         for text in texts:
-            if "\0" in text:  # the mark of first pieces; such texts are encoded whole
+            if "\0" in text:  # the mark; such texts are encoded whole
                 odd[len(cuts)] = text
                 cuts.append([])
             else:
                 cuts.append(self._parts(text))
-        all_ = {p for parts in cuts for p in parts}
-        ids = self._found(self.known, all_)
-        new = {p: self._words(p) for p in all_.difference(ids)}
+        all_ = set().union(*cuts)
+        get = self.known.get
+        ids = {p: v for p in all_ if (v := get(p)) is not None}
+        new = list(all_.difference(ids))
         if new:
-            all_words = {w for ws in new.values() for w in ws}
-            words = self._found(self.known_words, all_words)
-            rest = list(all_words.difference(words))
-            words |= self._added(self.known_words, self.words, dict(zip(rest, self._library(rest), strict=True)))
-            ids |= self._added(self.known, self.pieces, {p: b"".join(map(words.__getitem__, ws)) for p, ws in new.items()})
+            added = dict(zip(new, self._library([self._whole(p) for p in new]), strict=True))
+            if len(self.known) + len(added) <= self.most:
+                self.known.update(added)
+            ids |= added
         out = [b"".join(map(ids.__getitem__, parts)) for parts in cuts]
         for i, text in odd.items():
             out[i] = self._library([text])[0]
         return out
 
-    @staticmethod
-    def _found(memory: dict[str, bytes], keys: set[str]) -> dict[str, bytes]:
-        get = memory.get
-        return {k: v for k in keys if (v := get(k)) is not None}
-
-    @staticmethod
-    def _added(memory: dict[str, bytes], most: int, new: dict[str, bytes]) -> dict[str, bytes]:
-        if len(memory) + len(new) <= most:
-            memory.update(new)
-        return new
-
 
 @cache
 def encoder(path: str, spaced: bool) -> PieceEncoder:

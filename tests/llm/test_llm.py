@@ -314,10 +314,27 @@ def test_main_text(spark):
     assert html_text.extract(rows.limit(0)).count() == 0
 
 
-def test_field_gradient_learns_transitions():
-    pages = [([["x"], ["m"], ["m"], ["y"], ["m"], ["m"]] * 3, [1, 1, 1, 0, 0, 0] * 3) for _ in range(20)]
-    field = html_text.train(pages)
-    assert field.decode(pages[0][0]) == pages[0][1]
+def test_field_is_the_maximum_of_its_likelihood():
+    rows, labels = [["x"], ["m"], ["y"], ["m"]], [1, 1, 0, 0]
+    field = html_text.train([(rows, labels)] * 4, rounds=800, l2=1e-2)
+
+    def score(y):
+        out = field.start[y[0]] + sum(field.moves[a][b] for a, b in itertools.pairwise(y))
+        return out + sum(field.weights[k][field.index[f]] for k, row in zip(y, rows, strict=True) for f in row)
+
+    def value():
+        every = [score(y) for y in itertools.product((0, 1), repeat=4)]
+        own = sum((x**2).sum() for x in (field.weights, field.moves, field.start))
+        return score(labels) - np.logaddexp.reduce(every) - 1e-2 / 2 * own
+
+    best = value()
+    assert field.decode(rows) == labels == list(max(itertools.product((0, 1), repeat=4), key=score))
+    for x in (field.weights, field.moves, field.start):
+        for i in np.ndindex(x.shape):
+            for step in (-0.05, 0.05):
+                x[i] += step
+                assert value() < best
+                x[i] -= step
 
 
 def test_warc_audit(spark):
