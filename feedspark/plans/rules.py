@@ -9,13 +9,13 @@ from feedspark.operators import annotations as K
 from feedspark.operators import rules as R
 from feedspark.plans.fixtures import ARTICLES, CANDIDATES, CHECKS, articles, candidates, rule_checks, sql, table
 
-_i = F.col("id")
-_n = F.regexp_extract("source_name", r"(\d+)", 1).cast("int")
+def _source_number():
+    return F.regexp_extract("source_name", r"(\d+)", 1).cast("int")
 
 
 def _quotas(spark, d):
     s = articles(spark, d).select("source_name").distinct()
-    return s.where(_n % 2 == 0).select("source_name", F.when(_n % 4 == 0, 10).when(_n % 6 == 0, 1).alias("quota"))
+    return s.where(_source_number() % 2 == 0).select("source_name", F.when(_source_number() % 4 == 0, 10).when(_source_number() % 6 == 0, 1).alias("quota"))
 
 
 def e01(spark, d):
@@ -42,9 +42,9 @@ CUTOFF = "2024-01-10 06:00:00"
 def _parts(spark, d):
     c = candidates(spark, d)
     stored = c.where("id % 4 = 1")
-    frontiers = c.where((_n % 2 == 0) & (_i % 10 == 7)).groupBy("source_name", "section").agg(F.max_by("url", "id").alias("url"))
-    details = c.where("id % 18 = 0 or dt = '2024-01-10'").select("url", F.when(_i % 5 != 0, F.concat(F.lit("2024-01-"), F.lpad((1 + _i * 5 % 28).cast("string"), 2, "0"), F.lit(" 08:00:00"))).alias("detail_dt"))
-    cutoffs = c.select("source_name").distinct().select("source_name", F.lit(CUTOFF).alias("cutoff"), F.when(_n % 3 == 0, 20).otherwise(10).alias("repair_window"))
+    frontiers = c.where((_source_number() % 2 == 0) & (F.col("id") % 10 == 7)).groupBy("source_name", "section").agg(F.max_by("url", "id").alias("url"))
+    details = c.where("id % 18 = 0 or dt = '2024-01-10'").select("url", F.when(F.col("id") % 5 != 0, F.concat(F.lit("2024-01-"), F.lpad((1 + F.col("id") * 5 % 28).cast("string"), 2, "0"), F.lit(" 08:00:00"))).alias("detail_dt"))
+    cutoffs = c.select("source_name").distinct().select("source_name", F.lit(CUTOFF).alias("cutoff"), F.when(_source_number() % 3 == 0, 20).otherwise(10).alias("repair_window"))
     return c, stored, frontiers, details, cutoffs
 
 
@@ -75,7 +75,7 @@ def e08(spark, d):
 
 def _items(spark, d):
     a = articles(spark, d)
-    return a.select("rule_id", _i.alias("id"), F.create_map(F.lit("title"), F.when(_i % 10 == 3, "").otherwise(F.col("title")), F.lit("date"), F.when(_i % 3 == 0, F.col("date")).otherwise(" "), F.lit("body"), F.when(_n % 2 == 0, F.lit("x"))).alias("f"), "source_name")
+    return a.select("rule_id", F.col("id").alias("id"), F.create_map(F.lit("title"), F.when(F.col("id") % 10 == 3, "").otherwise(F.col("title")), F.lit("date"), F.when(F.col("id") % 3 == 0, F.col("date")).otherwise(" "), F.lit("body"), F.when(_source_number() % 2 == 0, F.lit("x"))).alias("f"), "source_name")
 
 
 def i01(spark, d):
@@ -83,7 +83,7 @@ def i01(spark, d):
 
 
 def i02(spark, d):
-    items = _items(spark, d).withColumn("f", F.map_from_arrays(F.map_keys("f"), F.transform(F.map_values("f"), lambda v: F.when((_i < 200) | (_i % 4 == 0), F.lit("v")).otherwise(F.when(_n % 3 == 0, F.lit("")).otherwise(v)))))
+    items = _items(spark, d).withColumn("f", F.map_from_arrays(F.map_keys("f"), F.transform(F.map_values("f"), lambda v: F.when((F.col("id") < 200) | (F.col("id") % 4 == 0), F.lit("v")).otherwise(F.when(_source_number() % 3 == 0, F.lit("")).otherwise(v)))))
     return R.detect_field_drift(R.field_hit_stats(items.where("id >= 200"), "rule_id", "f"), R.field_hit_stats(items.where("id < 200"), "rule_id", "f"))
 
 
@@ -120,12 +120,12 @@ SELECTORS = ["#main > ul.news-list li", ".css-1a2b3c div > p > a > b", "article[
 
 def i06(spark, d):
     pick = F.element_at(F.array(*map(F.lit, SELECTORS)), (F.col("k") % 8 + 1).cast("int"))
-    rows = articles(spark, d).where("id < 200").select(F.concat(F.lit("r"), (_i % 30).cast("string")).alias("rule_id"), (_i % 30 + F.floor(_i / 30)).alias("k")).select("rule_id", pick.alias("selector"))
+    rows = articles(spark, d).where("id < 200").select(F.concat(F.lit("r"), (F.col("id") % 30).cast("string")).alias("rule_id"), (F.col("id") % 30 + F.floor(F.col("id") / 30)).alias("k")).select("rule_id", pick.alias("selector"))
     return R.stability_score(rows)
 
 
 def i07(spark, d):
-    c = articles(spark, d).select("source_name", F.concat(F.lit("r"), _i.cast("string")).alias("rule_id"), (_i % 6).alias("n_rows"), (_i % 4).alias("filled"), F.lit(4).alias("fields"), (_i * 37 % 101).cast("double").alias("stability"))
+    c = articles(spark, d).select("source_name", F.concat(F.lit("r"), F.col("id").cast("string")).alias("rule_id"), (F.col("id") % 6).alias("n_rows"), (F.col("id") % 4).alias("filled"), F.lit(4).alias("fields"), (F.col("id") * 37 % 101).cast("double").alias("stability"))
     return R.vote_best_rule(c, "source_name")
 
 
@@ -137,21 +137,21 @@ def i08(spark, d):
 def i09(spark, d):
     a = articles(spark, d)
     rules = a.groupBy("rule_id").agg(F.max("title").alias("snapshot"))
-    versions = a.select("rule_id", F.concat(F.lit("v"), _i.cast("string")).alias("version_id"), F.col("exact_time").alias("saved_at"), F.lit("save").alias("reason"), F.col("title").alias("snapshot"))
-    pins = a.groupBy("rule_id", "source_name").agg(F.concat(F.lit("v"), F.min("id").cast("string")).alias("version_id")).where(_n % 2 == 0).select("rule_id", "version_id")
+    versions = a.select("rule_id", F.concat(F.lit("v"), F.col("id").cast("string")).alias("version_id"), F.col("exact_time").alias("saved_at"), F.lit("save").alias("reason"), F.col("title").alias("snapshot"))
+    pins = a.groupBy("rule_id", "source_name").agg(F.concat(F.lit("v"), F.min("id").cast("string")).alias("version_id")).where(_source_number() % 2 == 0).select("rule_id", "version_id")
     restored, after = R.restore_versions(rules, versions, pins, "2024-02-01")
     return restored.select("rule_id", F.lit("rule").alias("version_id"), "snapshot").unionByName(after.where("reason = 'rollback'").select("rule_id", "version_id", "snapshot"))
 
 
 def i10(spark, d):
-    incoming = articles(spark, d).where("id < 300").select(F.concat(F.lit("r"), _i.cast("string")).alias("rule_id"), F.when(_i % 5 == 0, " ").otherwise(F.col("title")).alias("task_name"), F.when(_i % 7 == 0, "").otherwise(F.col("url")).alias("url"), "source_type")
+    incoming = articles(spark, d).where("id < 300").select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("rule_id"), F.when(F.col("id") % 5 == 0, " ").otherwise(F.col("title")).alias("task_name"), F.when(F.col("id") % 7 == 0, "").otherwise(F.col("url")).alias("url"), "source_type")
     stored = incoming.where("cast(substring(rule_id, 2) as int) % 3 = 0").select("rule_id")
     both = [R.import_rules(stored, incoming, o).withColumn("overwrite", F.lit(o)) for o in (True, False)]
     return both[0].unionByName(both[1])
 
 
 def i11(spark, d):
-    r = articles(spark, d).select("id", F.when(_i % 3 == 0, "RSS").when(_i % 3 == 1, "html").alias("source_type"), (_i % 2 == 0).alias("enable_ai"), F.when(_i % 5 == 0, True).alias("enable_formatting"), F.lit(None).cast("boolean").alias("enable_summary"), F.lit(".list").alias("list_container"), F.lit("li").alias("item_selector"), F.concat(F.lit("Accept: x \n User-Agent:"), "source_name").alias("headers_text"))
+    r = articles(spark, d).select("id", F.when(F.col("id") % 3 == 0, "RSS").when(F.col("id") % 3 == 1, "html").alias("source_type"), (F.col("id") % 2 == 0).alias("enable_ai"), F.when(F.col("id") % 5 == 0, True).alias("enable_formatting"), F.lit(None).cast("boolean").alias("enable_summary"), F.lit(".list").alias("list_container"), F.lit("li").alias("item_selector"), F.concat(F.lit("Accept: x \n User-Agent:"), "source_name").alias("headers_text"))
     return R.normalize_rules(r).select("id", "source_type", "enable_formatting", "enable_summary", "list_container", F.element_at("headers", "User-Agent").alias("agent"), F.element_at("headers", "Accept").alias("accept"))
 
 
@@ -177,7 +177,7 @@ def k03(spark, d):
 
 
 def k04(spark, d):
-    done = articles(spark, d).where("id < 200").select(_i.alias("article_id"), F.when(_i % 2 == 0, "rss_full").otherwise("summary_only").alias("kind"))
+    done = articles(spark, d).where("id < 200").select(F.col("id").alias("article_id"), F.when(F.col("id") % 2 == 0, "rss_full").otherwise("summary_only").alias("kind"))
     return K.invalidate_annotations(_annotations(spark, d), done).groupBy("view_mode").agg(F.count("*").alias("n"))
 
 
