@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from feedspark.llm.decontam import op3_decontamination
+from feedspark.llm.decontam import OP3_SQL, op3_decontamination
 from feedspark.llm.html_text import op9_main_text
 from feedspark.llm.lang_id import op5_language_id
-from feedspark.llm.near_dup import op4_near_duplicates
+from feedspark.llm.near_dup import OP4_SQL, op4_near_duplicates
 from feedspark.llm.packing import op7_packing
 from feedspark.llm.quality import op6_quality_rules
-from feedspark.llm.sharding import op2_sharding
+from feedspark.llm.sharding import OP2_SQL, op2_sharding
 from feedspark.llm.token_records import op8_token_records
 from feedspark.llm.toxicity import op1_toxicity
 from feedspark.llm.warc import OP10_SQL, op10_warc_audit
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_warc_audit": op10_warc_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_warc_audit": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_sharding": OP2_SQL, "op3_decontamination": OP3_SQL, "op4_near_duplicates": OP4_SQL, "op10_warc_audit": OP10_SQL}

@@ -65,3 +65,19 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = 42, per_bucket
 def op2_sharding(spark, sf_dir: str) -> DataFrame:
     out = interleave(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The same in DuckDB, with the checksum computed from its rule.
+OP2_SQL = """
+WITH RECURSIVE bits AS (
+  SELECT i, 0 AS k, CAST(i AS BIGINT) AS c FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(CAST(3988292384 AS BIGINT), c >> 1) ELSE c >> 1 END FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+hexed AS (SELECT *, string_split(hex(encode(coalesce(text, ''))), '') AS h FROM documents),
+bytes AS (SELECT * EXCLUDE (h), list_transform(range(1, len(h), 2), lambda i: CAST((strpos('0123456789ABCDEF', h[i]) - 1) * 16 + strpos('0123456789ABCDEF', h[i + 1]) - 1 AS BIGINT)) AS b FROM hexed),
+summed AS (SELECT * EXCLUDE (b), xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), CAST(4294967295 AS BIGINT)) AS crc, len(b) + 16 AS size FROM bytes, tab),
+ranked AS (SELECT *, coalesce('s' || source, 'n') AS stratum, md5('42:' || CAST(doc_id AS VARCHAR)) AS h, count(*) OVER () AS total FROM summed),
+r AS (SELECT *, CAST(2 * row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id, size, crc) - 1 AS DOUBLE) / CAST(2 * count(*) OVER (PARTITION BY stratum) AS DOUBLE) AS f FROM ranked),
+p AS (SELECT *, row_number() OVER (ORDER BY f, stratum, h, doc_id, size, crc) - 1 AS pos FROM r)
+SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'rows' AS law, CAST(pos * 40 // total AS INTEGER) AS shard, pos - (39 + (pos * 40 // total) * total) // 40 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p
+"""
