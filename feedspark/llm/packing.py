@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedspark.llm import common as C
-from feedspark.llm.tokens import encoder
+from feedspark.llm.tokens import PIECES, encoder
 
 CAPACITY = 1024
 SCHEMA = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
@@ -72,11 +72,11 @@ def _pieces(total: int, capacity: int) -> Iterator[tuple[int, int]]:
         start, length = start + length, capacity
 
 
-def _packed(path: str, end_id: int, capacity: int, batch: int, spaced: bool):
+def _packed(path: str, end_id: int, capacity: int, batch: int, spaced: bool, pieces: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path, spaced)
+        coder = encoder(path, spaced, pieces)
         packer = SumOfSquares(capacity, TaskContext.get().partitionId() << 40)
         held: list[tuple] = []
 
@@ -105,13 +105,13 @@ def _packed(path: str, end_id: int, capacity: int, batch: int, spaced: bool):
     return run
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY, batch: int = 4096, spaced: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY, batch: int = 4096, spaced: bool = True, pieces: int = PIECES) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids (little-endian unsigned 32-bit), sequence_id, offset.
 
-    path: a tokenizer file; end_id: appended to every document."""
+    path: a tokenizer file; end_id: appended to every document; pieces: what a worker remembers of the tokenizer's results."""
     C.ready(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(_packed(path, end_id, capacity, batch, spaced), SCHEMA)
+    return own.mapInArrow(_packed(path, end_id, capacity, batch, spaced, pieces), SCHEMA)
 
 
 def digest(packed: DataFrame) -> DataFrame:

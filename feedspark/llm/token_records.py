@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from feedspark.llm import common as C
 from feedspark.llm.files import Ranges, written
-from feedspark.llm.tokens import encoder
+from feedspark.llm.tokens import PIECES, encoder
 
 INDEX = "part int, record int, doc_id long, offset long, length long, n_tokens long, before long"
 MASK = 0xA282EAD8
@@ -76,7 +76,7 @@ def _write(folder: str, path: str, end_id: int, spaced: bool):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, coder = TaskContext.get().partitionId(), encoder(path, spaced)
+        part, coder = TaskContext.get().partitionId(), encoder(path, spaced, PIECES)
         record = offset = before = 0
         with written(_part(folder, part)) as out:
             for b in batches:

@@ -23,13 +23,17 @@ _PLAIN = re.compile(r"[\n\x20-\x7e\u00a1-\u012f\u0131-\u024f]*\Z")
 _HARD = re.compile(r"(?<![^\W_])[.,]|\n(?=\s|\Z)|(?<=\s)\n|\A\n")
 
 
+#: Pieces that a worker remembers, about 0.2 KB each.
+PIECES = 800_000
+
+
 class PieceEncoder:
     """Little-endian unsigned 32-bit ids of texts.
 
     spaced: a piece keeps the blank before it (byte-level vocabularies); otherwise blanks and line feeds only
     part pieces (vocabularies in lower case that drop white space). A piece that begins with NUL has no blank before it."""
 
-    def __init__(self, path: str, spaced: bool, most: int = 1_000_000):
+    def __init__(self, path: str, spaced: bool, most: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -84,7 +88,7 @@ class PieceEncoder:
 
 
 @cache
-def encoder(path: str, spaced: bool) -> PieceEncoder:
+def encoder(path: str, spaced: bool, most: int) -> PieceEncoder:
     """The worker's encoder; it stays from task to task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return PieceEncoder(path, spaced)
+    return PieceEncoder(path, spaced, most)

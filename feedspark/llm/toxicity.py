@@ -33,9 +33,13 @@ from feedspark.llm import common as C
 EXAMPLES = 8_000
 VOCABULARY = 2_048
 MIN_CHI2 = 25.0
+MIN_SHARE = 0.6
 PREFIXES = (4, 5)
 THRESHOLD = 0.3
 BLOCK = 32
+FIRST_BLOCKS = 8
+#: Weight of what a text says besides the vocabulary, so that one such word in a text differs from a text full of them.
+REST = 6.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -106,36 +110,44 @@ class BlockMaxIndex:
                 self.largest[t, k // BLOCK] = max(self.largest[t, k // BLOCK], np.nextafter(np.float32(w), np.float32(2)))
         self.postings = [(np.array([k for k, _ in x], np.int64), np.array([w for _, w in x])) for x in own]
 
-    def nearest(self, terms: list[int], weights: np.ndarray, k: int, but: int = -1) -> list[tuple[int, float, float, float]]:
-        """(row, cosine, examples, toxic examples) in order until k examples; but: a row that counts one less."""
+    def _score(self, terms: list[int], weights: np.ndarray, open_: np.ndarray) -> list[tuple[float, int, int]]:
+        """(-cosine, id, row) of the rows in the open blocks that share a term."""
+        score = np.zeros(self.blocks * BLOCK)
+        for t, w in zip(terms, weights, strict=True):
+            rows, own = self.postings[t]
+            keep = open_[rows // BLOCK]
+            score[rows[keep]] += w * own[keep]
+        return [(-score[j], int(self.ids[j]), int(j)) for j in np.flatnonzero(score)]
+
+    def nearest(self, terms: list[int], weights: np.ndarray, k: int, but: int = -1) -> list[tuple[int, float, float]]:
+        """(row, cosine, examples) in order until k examples; but: a row that counts one less. The blocks of the largest
+        bounds set the k-th cosine; then every block that may reach it is opened, and no other."""
         if not self.blocks or not len(terms):
             return []
         bound = weights @ self.largest[terms]
         order = np.argsort(-bound, kind="stable")
+        done = np.zeros(self.blocks, bool)
         found: list[tuple[float, int, int]] = []
-        at, floor = 0, 0.0
-        while at < self.blocks and bound[order[at]] > 0 and bound[order[at]] >= floor:
-            for b in order[at : at + 4]:
-                score = np.zeros(BLOCK)
-                for t, w in zip(terms, weights, strict=True):
-                    rows, own = self.postings[t]
-                    lo, hi = np.searchsorted(rows, (b * BLOCK, (b + 1) * BLOCK))
-                    score[rows[lo:hi] - b * BLOCK] += w * own[lo:hi]
-                found += [(-score[j], int(self.ids[b * BLOCK + j]), int(b * BLOCK + j)) for j in np.flatnonzero(score)]
-            found.sort()
-            total = 0.0
+        now = order[:FIRST_BLOCKS]
+        while len(now):
+            open_ = np.zeros(self.blocks, bool)
+            open_[now] = True
+            done |= open_
+            found = sorted(found + self._score(terms, weights, open_))
+            total, floor = 0.0, 0.0
             for n, (s, _, row) in enumerate(found):
                 total += self.all[row] - (row == but)
                 if total >= k:
                     found, floor = found[: n + 1], -s - 1e-9
                     break
-            at += 4
-        return [(row, min(-s, 1.0), self.all[row] - (row == but), 0.0) for s, _, row in found]
+            now = np.flatnonzero(~done & (bound > 0) & (bound >= floor))
+        return [(row, min(-s, 1.0), self.all[row] - (row == but)) for s, _, row in found]
 
 
-def _unit(terms, counts, idf: np.ndarray) -> np.ndarray:
-    w = (1 + np.log(np.asarray(counts, float))) * idf[list(terms)]
-    return w / math.sqrt(float(w @ w))
+def _unit(terms, counts, idf: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """Terms and unit weights; the last term stands for the rest of the text."""
+    w = np.append((1 + np.log(np.asarray(counts, float))) * idf[list(terms)], REST)
+    return [*terms, len(idf)], w / math.sqrt(float(w @ w))
 
 
 class Model:
@@ -146,14 +158,14 @@ class Model:
         self.x, self.y = np.array([0.0, 1.0]), np.array([0.0, 1.0])
 
     def vote(self, terms, counts, but: int = -1, own: int = 0) -> tuple[float, list[tuple[int, float]]]:
-        near = self.index.nearest(list(terms), _unit(terms, counts, self.idf), self.k, but)
+        near = self.index.nearest(*_unit(terms, counts, self.idf), self.k, but)
         top, bottom = self.base, 1.0
-        for row, cos, n, _ in near:
+        for row, cos, n in near:
             share = self.index.toxic[row] - (own if row == but else 0)
             weight = cos * cos * min(1.0, self.k / max(n, 1.0))
             top += weight * share
             bottom += weight * n
-        return top / bottom, [(int(self.index.ids[row]), cos) for row, cos, n, _ in near if n > 0]
+        return top / bottom, [(int(self.index.ids[row]), cos) for row, cos, n in near if n > 0]
 
     def score(self, terms, counts) -> tuple[float, list[tuple[int, float]]]:
         if not len(terms):
@@ -192,8 +204,8 @@ def _fit(rows: list, vocabulary: dict[str, int], df: dict[int, int], n_docs: int
     keyed = {}
     for v, ids in groups.items():
         terms, counts = zip(*v, strict=True)
-        keyed[v] = (terms, tuple(_unit(terms, counts, idf)), min(ids), len(ids), sum(labels[i] for i in ids))
-    index = BlockMaxIndex(list(keyed.values()), len(vocabulary))
+        keyed[v] = (*map(tuple, _unit(terms, counts, idf)), min(ids), len(ids), sum(labels[i] for i in ids))
+    index = BlockMaxIndex(list(keyed.values()), len(vocabulary) + 1)
     model = Model(index, idf, base, (sum(labels[i] for i in none) + base) / (len(none) + 1), k)
     place = {int(i): n for n, i in enumerate(index.ids)}
     x, y = [], []
@@ -234,14 +246,18 @@ def example_rows(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
     return C.checkpointed(docs.join(F.broadcast(few), "doc_id").select("doc_id", "text", "toxic").mapInArrow(_example_terms, "doc_id long, toxic int, term string, tf long"))
 
 
-def choose_vocabulary(rows: DataFrame, size: int, min_chi2: float) -> dict[str, int]:
-    """The terms that go with the label most clearly: chi-square of presence and label, positive ones."""
+def choose_vocabulary(rows: DataFrame, size: int, min_chi2: float, min_share: float = MIN_SHARE) -> dict[str, int]:
+    """The terms that go with the label most clearly by chi-square of presence and label, among those for which the share
+    of toxic examples with the term is min_share or more even at its lower bound (Wilson, 95 % one-sided)."""
     n, pos = rows.where("term = ''").agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     a, b = F.col("pos").cast("double"), (F.col("n") - F.col("pos")).cast("double")
     c, d = float(pos) - a, float(n - pos) - b
     chi2 = float(n) * (a * d - b * c) ** 2 / F.greatest((a + b) * (c + d) * (a + c) * (b + d), F.lit(1e-9))
     counts = rows.where("term <> ''").groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("pos")).where("pos >= 3")
-    best = counts.select("term", chi2.alias("chi2"), (a * d > b * c).alias("up")).where((F.col("chi2") >= min_chi2) & F.col("up"))
+    k, z2 = F.col("n").cast("double"), 1.645**2
+    share = a / k
+    low = (share + z2 / (2 * k) - 1.645 * F.sqrt(share * (1 - share) / k + z2 / (4 * k * k))) / (1 + z2 / k)
+    best = counts.select("term", chi2.alias("chi2"), low.alias("low")).where((F.col("chi2") >= min_chi2) & (F.col("low") >= min_share))
     return {r["term"]: i for i, r in enumerate(best.orderBy(F.desc("chi2"), "term").limit(size).collect())}
 
 
