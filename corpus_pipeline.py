@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedspark.llm import decontam, near_dup, packing, quality, toxicity
-from feedspark.llm.common import few, shared_folder
+from feedspark.llm.common import checkpointed, few, shared_folder
 
 #: Lists of document ids up to so many rows are broadcast; beyond it, the joins shuffle.
 BROADCAST_ROWS = 300_000
+#: Results of the tokenizer that a Python worker keeps while it goes on to other stages.
+PIECES = 250_000
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the given ids; a row without an id stays."""
-    return docs.join(few(ids.select("doc_id").distinct(), BROADCAST_ROWS), "doc_id", "left_anti").select(docs.columns)
+    """docs without the given ids; a row without an id stays. The ids are stored first, as they are counted and joined."""
+    gone = checkpointed(ids.select("doc_id").distinct())
+    return docs.join(few(gone, BROADCAST_ROWS), "doc_id", "left_anti").select(docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +48,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Pieces of the documents in sequences of 1024 tokens."""
     import public_tokenizers
 
-    return packing.digest(packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return packing.digest(packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), pieces=PIECES))
 
 
 STAGES = [
