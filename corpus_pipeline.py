@@ -8,40 +8,61 @@ from pyspark.sql import functions as F
 from feedspark.llm import decontam, near_dup, packing, quality, toxicity
 from feedspark.llm.common import checkpointed, few, shared_folder
 
-#: Lists of document ids up to so many rows are broadcast; beyond it, the joins shuffle.
+#: Lists of rows up to so many rows are broadcast; beyond it, the joins shuffle.
 BROADCAST_ROWS = 300_000
+#: Column of the rows' numbers within a stage.
+ROW = "_row"
 #: Results of the tokenizer that a Python worker keeps while it goes on to other stages.
 PIECES = 250_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the given ids; a row without an id stays. The ids are stored first, as they are counted and joined."""
-    gone = checkpointed(ids.select("doc_id").distinct())
-    return docs.join(few(gone, BROADCAST_ROWS), "doc_id", "left_anti").select(docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a stored number of each row, so that what a stage decides about a row is applied to this row alone."""
+    return checkpointed(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def _by_row(keyed: DataFrame) -> DataFrame:
+    """Texts under their row's number in place of an id."""
+    return keyed.select(F.col(ROW).alias("doc_id"), "text")
+
+
+def _without(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents without the given rows (their numbers are in doc_id). The rows are stored first, as they are counted and joined."""
+    gone = checkpointed(rows.select(F.col("doc_id").alias(ROW)).distinct())
+    return keyed.join(few(gone, BROADCAST_ROWS), ROW, "left_anti").drop(ROW)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rule nor the learned rules reject."""
-    judged = quality.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, judged.where(~F.col("kept")))
+    keyed = _keyed(docs)
+    judged = quality.judge(keyed, spark.read.parquet(f"{sf_dir}/labels.parquet"), key=ROW)
+    return _without(keyed, judged.where(~F.col("kept")))
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the toxicity threshold."""
-    scored = toxicity.score_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, scored.where(F.col("score") >= toxicity.THRESHOLD))
+    keyed = _keyed(docs)
+    scored = toxicity.score_documents(keyed, spark.read.parquet(f"{sf_dir}/labels.parquet"), key=ROW)
+    return _without(keyed, scored.where(F.col("score") >= toxicity.THRESHOLD))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id, and one of repeated rows."""
-    dup = near_dup.near_duplicates(docs)
-    return _without(docs, dup.where(~F.col("kept")))
+    """One document of each group of near duplicates: the one with the smallest id (one without an id only where none has one),
+    and one of repeated rows. Texts without words are alike only if they repeat a row."""
+    keyed = _keyed(docs)
+    own = keyed.select(ROW, F.col("doc_id").alias("id"), F.md5("text").alias("mark"))
+    dup = near_dup.near_duplicates(_by_row(keyed)).select(F.col("doc_id").alias(ROW), "component_id", (F.col("n_shingles") == 0).alias("blank"))
+    rows = checkpointed(dup.join(own, ROW))
+    group = [F.when(~F.col("blank"), F.col("component_id")).alias("of"), F.when(F.col("blank"), F.col("id")).alias("blank_id"), F.when(F.col("blank"), F.col("mark")).alias("blank_mark"), "blank"]
+    kept = rows.groupBy(*group).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", ROW)).alias("x")).select(f"x.{ROW}")
+    return _without(keyed, rows.join(kept, ROW, "left_anti").select(F.col(ROW).alias("doc_id")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words lie in benchmark windows."""
-    found = decontam.hit_report(decontam.phrase_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
-    return _without(docs, found.where("contaminated"))
+    keyed = _keyed(docs)
+    found = decontam.hit_report(decontam.phrase_matches(_by_row(keyed), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return _without(keyed, found.where("contaminated"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ scan and are stored, and whole texts are touched again only for documents that h
 if their counted size is within BROADCAST_ROWS, else joined by shuffle. A passage that many documents share
 adds one candidate for each document and diagonal, never pairs of documents.
 
-Defined results: null and empty texts have no words and no hit; a document's repeated rows each get the result of
-their own text; an item without words has no window; an item of fewer words than a window is one window;
+Defined results: null and empty texts have no words and no hit; a document's repeated rows and rows without an id each
+get the result of their own text; an item without words has no window; an item of fewer words than a window is one window;
 empty tables give an empty result or no hit; extra columns are ignored.
 """
 
@@ -107,12 +107,14 @@ def _window_starts(words: Column, item: Column, shift: Column, window: int) -> C
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, hits: array of (item_id, start, length), the exact windows found in every document."""
+    """doc_id, n_words, hits: array of (item_id, start, length), the exact windows found in every document. Rows without an id
+    are looked up by a hash of their text; rows that share a key only share candidates, as each row's own words are compared."""
     own = C.checkpointed(items(benchmark))
-    index, places = positional_index(docs, own, window)
+    key = F.coalesce(F.col("doc_id").try_cast("long"), F.xxhash64(F.col("text").cast("string")))
+    index, places = positional_index(docs.select(key.alias("doc_id"), "text"), own, window)
     near = candidates(index, places, own).join(own, "item_id")
-    by_doc = C.checkpointed(near.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("near")))
-    whole = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(_maybe_few(by_doc), "doc_id", "left")
+    by_doc = C.checkpointed(near.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("near")))
+    whole = docs.select("doc_id", key.alias("key"), F.col("text").cast("string").alias("text")).join(_maybe_few(by_doc), "key", "left")
     joined = whole.select("doc_id", tokens(F.col("text")).alias("words"), "near")
     found = F.flatten(F.transform("near", lambda x: F.transform(_window_starts(F.col("words"), x["words"], x["shift"], window), lambda s: F.struct(x["item_id"].alias("item_id"), (s + x["shift"]).alias("start"), F.least(F.size(x["words"]), F.lit(window)).alias("length")))))
     kind = T.ArrayType(T.StructType([T.StructField("item_id", own.schema["item_id"].dataType), T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())]))

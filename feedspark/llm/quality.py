@@ -90,10 +90,10 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(out[c].astype(np.int64)) for c in COUNTS)], ["doc_id", *COUNTS])
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """Counts of every whole text, one row per document; no shuffle."""
+def features(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Counts of every whole text, one row per document, with its key as doc_id; no shuffle."""
     C.ready(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_measure, SCHEMA)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_measure, SCHEMA)
 
 
 def ratio(name: str) -> Column:
@@ -205,13 +205,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLE
     return rows.join(F.broadcast(few), "doc_id").limit(4 * bound).toPandas()
 
 
-def judge(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, **how) -> DataFrame:
-    """One row per document: its counts, base_failed, rejected_by (number of the rule, else null), kept."""
+def judge(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, key: str = "doc_id", **how) -> DataFrame:
+    """One row per document: its key as doc_id, its counts, base_failed, rejected_by (number of the rule, else null), kept."""
     rules = learn(labelled_sample(docs, labels, bound), **how)
     which = F.lit(None).cast("int")
     for i in reversed(range(len(rules))):
         which = F.when(rules[i].column(), F.lit(i)).otherwise(which)
-    return features(docs).select("*", base_failed().alias("base_failed"), which.alias("rejected_by"), (~base_failed() & as_column(rules)).alias("kept"))
+    return features(docs, key).select("*", base_failed().alias("base_failed"), which.alias("rejected_by"), (~base_failed() & as_column(rules)).alias("kept"))
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -261,13 +261,14 @@ def choose_vocabulary(rows: DataFrame, size: int, min_chi2: float, min_share: fl
     return {r["term"]: i for i, r in enumerate(best.orderBy(F.desc("chi2"), "term").limit(size).collect())}
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary: int = VOCABULARY, k: int = 16, min_chi2: float = MIN_CHI2) -> DataFrame:
-    """doc_id, score (0 to 1), evidence (nearest examples with their cosine), one row per document."""
+def score_documents(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary: int = VOCABULARY, k: int = 16, min_chi2: float = MIN_CHI2, key: str = "doc_id") -> DataFrame:
+    """doc_id (the given key), score (0 to 1), evidence (nearest examples with their cosine), one row per document."""
     C.ready(docs.sparkSession)
+    keyed = docs.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = example_rows(docs, labels, examples)
     chosen = choose_vocabulary(rows, vocabulary, min_chi2)
-    vectors = C.checkpointed(docs.mapInArrow(_vectors(chosen), "doc_id long, terms array<int>, counts array<int>"))
+    vectors = C.checkpointed(keyed.mapInArrow(_vectors(chosen), "doc_id long, terms array<int>, counts array<int>"))
     df = {r["term"]: r["count"] for r in vectors.select(F.explode("terms").alias("term")).groupBy("term").count().collect()}
     kept = rows.where(F.col("term") == "") if not chosen else rows.join(F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in ["", *chosen]], "term string")), "term", "left_semi")
     model = _fit(kept.dropDuplicates(["doc_id", "term"]).collect(), chosen, df, vectors.count(), k)

@@ -371,3 +371,35 @@ def test_pipeline(spark):
     assert all(i == c for i, c in components({i: s for i, s in sets.items() if len(s) < 400}).items())
     packed = P.best_fit_packing(spark, now, sf)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == ids[-1]
+
+
+def test_pipeline_decides_row_by_row(spark):
+    import corpus_pipeline as P
+
+    def left(stage, rows):
+        own = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+        return sorted((r["doc_id"] or -1, r["text"]) for r in stage(spark, own.repartition(3), DATA).collect())
+
+    good, other = (" ".join(f"{a}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(60)) for a in ("plain", "other"))
+    assert left(P.quality_rules, [(None, "too short"), (7, "too short"), (7, good), (8, good)]) == [(7, good), (8, good)]
+    copies = [(None, good), (None, good), (5, good), (5, good), (3, other), (9, good), (9, other), (9, other + " " + good), (4, ""), (4, ""), (None, "")]
+    assert left(P.near_duplicates, copies) == [(-1, ""), (3, other), (4, ""), (5, good), (9, other + " " + good)]
+    assert left(P.near_duplicates, [(None, good), (None, good)]) == [(-1, good)]
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").where("length(text) > 100").first()["text"]
+    assert left(P.decontamination, [(None, item), (7, item), (7, good), (None, good)]) == [(-1, good), (7, good)]
+    larger = "/root/testdata/sf0.01"
+    d, lab = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.score_documents(d, lab).join(d, "doc_id").orderBy("score", "doc_id").select("text", "score").collect()
+    clean, toxic = scored[0], scored[-1]
+    assert clean["score"] < toxicity.THRESHOLD <= toxic["score"]
+    rows = d.select("doc_id", "text").unionByName(spark.createDataFrame([(None, toxic["text"]), (7_000_000, toxic["text"]), (7_000_000, clean["text"])], "doc_id long, text string"))
+    kept = P.toxicity_filter(spark, rows, larger).where("doc_id is null or doc_id = 7000000").collect()
+    assert [(r["doc_id"], r["text"]) for r in kept] == [(7_000_000, clean["text"])]
+
+
+def test_decontamination_of_rows_without_an_id(spark):
+    item = " ".join(f"word{i}" for i in range(30))
+    rows = spark.createDataFrame([(None, item), (None, "before " + item), (None, "clean text"), (None, None), (1, item), (1, "clean text")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontam.hit_report(decontam.phrase_matches(rows, bench)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"]) for r in got) == [(0, 0, 0), (0, 2, 0), (0, 30, 30), (0, 31, 30), (1, 2, 0), (1, 30, 30)]
