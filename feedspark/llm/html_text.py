@@ -10,7 +10,7 @@ Scale: training is bounded by its parameters; extraction is a projection of whol
 takes time in proportion to its length.
 
 Defined results: a null or empty html, and a page without main text, give an empty text; unclosed elements, cut
-tags and cut references at a page's end are taken as they are; repeated rows get equal results; an empty table
+tags and cut references at a page's end are taken as they are; only raw-text elements (RAW) and closed templates hide their content; repeated rows get equal results; an empty table
 gives an empty result; extra columns are ignored.
 """
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,15 +30,18 @@ from pyspark.sql import functions as F
 from feedspark.llm import common as C
 
 PAGES = 150
-#: Elements whose content is never text of the page.
-SILENT = "script style noscript template iframe svg math canvas object audio video textarea select button title".split()
-INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements whose content is raw text and never text of the page; without a closing tag they run to the page's end.
+RAW = "script style noscript iframe textarea title".split()
+INLINE = set("a abbr audio b bdi bdo big button canvas cite code data del dfn em font i img ins kbd label mark math object q s samp select small span strike strong sub sup svg template time tt u var video wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+#: Openings that end an svg or math element left open.
+BREAKOUT = set("article aside blockquote body center dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul".split())
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(SILENT) + r")\b[^>]*+(?:>.*?(?:</\1\b[^>]*+(?:>|\Z)|\Z)|\Z)"
-    r"|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?>\"[^\"]*+\"|'[^']*+'|[^'\">])*+|[^>]*+)(?:>|\Z)",
-    re.S | re.I,
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?>\"[^\"]*+\"|'[^']*+'|[^'\">])*+|[^>]*+)(?:>|\Z)",
+    re.S,
 )
+_END = {tag: re.compile(rf"</{tag}(?![^\s/>])[^>]*+(?:>|\Z)", re.I) for tag in [*RAW, "template"]}
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
 _LETTERS = re.compile(r"[a-z]+")
@@ -49,7 +52,9 @@ _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 class Block:
     text: str
     linked: int
-    path: tuple[tuple[str, frozenset[str]], ...]
+    path: tuple[tuple[str, frozenset[str]], ...]  # distinct ancestors that are blocks or have names
+    near: str  # the innermost of them
+    depth: int
 
 
 def _names(attributes: str) -> frozenset[str]:
@@ -60,62 +65,83 @@ def _names(attributes: str) -> frozenset[str]:
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """Blocks with text, in page order."""
+    """Blocks with text, in page order. Each tag knows its places on the stack, so that depth costs little."""
     blocks: list[Block] = []
     stack: list[tuple[str, frozenset[str]]] = []
+    shown: list[tuple[str, frozenset[str]]] = []
+    around: Counter = Counter()
+    places: defaultdict[str, list[int]] = defaultdict(list)
     parts: list[str] = []
-    linked, links, at = 0, 0, 0
+    linked, at = 0, 0
+    templates = max((m.start() for m in _END["template"].finditer(page)), default=-1)
 
     def close() -> None:
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            blocks.append(Block(text, linked, tuple(x for x in stack if x[0] not in INLINE or x[1])))
+            blocks.append(Block(text, linked, tuple(around), shown[-1][0] if shown else "none", len(shown)))
         parts.clear()
         linked = 0
 
+    def add(text: str) -> None:
+        nonlocal linked
+        if text and not places["template"]:
+            parts.append(text)
+            linked += len(text) if places["a"] else 0
+
+    def last(names) -> int:
+        return max((places[x][-1] for x in names if places[x]), default=-1)
+
     def pop_to(names: set[str], barrier: frozenset[str]) -> None:
-        nonlocal links
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                links -= sum(x[0] == "a" for x in stack[i:])
-                del stack[i:]
-                return
-            if stack[i][0] in barrier:
-                return
+        to = last(names)
+        if to < 0 or to < last(barrier) or to < last(("template",)):
+            return
+        while len(stack) > to:
+            x = stack.pop()
+            places[x[0]].pop()
+            if x[0] not in INLINE or x[1]:
+                shown.pop()
+                around[x] -= 1
+                if not around[x]:
+                    del around[x]
 
     none, boxes, lists = frozenset(), frozenset(("table", "td", "th", "article", "section", "div", "body")), frozenset(("ul", "ol", "dl", "table", "nav", "menu"))
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            text = page[at : m.start()]
-            parts.append(text)
-            linked += len(text) if links else 0
+    while m := _TOKEN.search(page, at):
+        add(page[at : m.start()])
         at = m.end()
-        if not m[3]:
+        if not m[2]:
+            continue
+        tag = m[2].lower()
+        if tag in BREAKOUT and not m[1]:
+            pop_to({"svg"}, none)
+            pop_to({"math"}, none)
+        foreign = bool(places["svg"] or places["math"])
+        closed = m[3].endswith("/") and (foreign or tag in ("svg", "math"))
+        if tag in RAW and not m[1]:
+            if not closed:
+                end = _END[tag].search(page, at)
+                at = end.end() if end else len(page)
             continue
-        tag = m[3].lower()
         if tag == "br":
-            parts.append(" ")
+            add(" ")
             continue
-        block = tag not in INLINE
+        block = tag not in INLINE and not foreign and not places["template"]
         if block and parts:
             close()
-        if m[2]:
+        if m[1]:
             pop_to({tag}, none)
-        elif tag not in VOID:
+        elif tag not in VOID and not closed and (tag != "template" or at <= templates):
             if block:
                 pop_to({"p"}, boxes)
             if tag in _CLOSED_BY:
                 pop_to(_CLOSED_BY[tag], lists)
-            links += tag == "a"
-            if len(stack) < 200:
-                stack.append((tag, _names(m[4])))
-            else:
-                links -= tag == "a"
-    if at < len(page):
-        rest = page[at:]
-        parts.append(rest)
-        linked += len(rest) if links else 0
+            x = (tag, _names(m[3]))
+            places[tag].append(len(stack))
+            stack.append(x)
+            if tag not in INLINE or x[1]:
+                shown.append(x)
+                around[x] += 1
+    add(page[at:])
     close()
     return blocks
 
@@ -125,8 +151,7 @@ def features(blocks: list[Block]) -> list[list[str]]:
     n = len(blocks)
     for i, b in enumerate(blocks):
         words = b.text.count(" ") + 1
-        near = b.path[-1][0] if b.path else "none"
-        own = ["bias", "near:" + near, f"words:{min(words.bit_length(), 8)}", f"links:{min(4, b.linked * 5 // (len(b.text) + 1))}", "end:" + (b.text[-1] if not b.text[-1].isalnum() else "word")]
+        own = ["bias", "near:" + b.near, f"words:{min(words.bit_length(), 8)}", f"links:{min(4, b.linked * 5 // (len(b.text) + 1))}", "end:" + (b.text[-1] if not b.text[-1].isalnum() else "word")]
         own += {"in:" + t for t, _ in b.path} | {"name:" + w for _, ws in b.path for w in ws}
         if i == 0:
             own.append("first")
@@ -137,7 +162,7 @@ def features(blocks: list[Block]) -> list[list[str]]:
         if not b.text[0].isupper():
             own.append("lower")
         own.append(f"stops:{min(3, b.text.count('. ') + b.text.count(', '))}")
-        own.append("depth:" + str(min(len(b.path), 8)))
+        own.append("depth:" + str(min(b.depth, 8)))
         out.append(own)
     return out
 

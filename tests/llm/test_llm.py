@@ -403,3 +403,17 @@ def test_decontamination_of_rows_without_an_id(spark):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     got = decontam.hit_report(decontam.phrase_matches(rows, bench)).collect()
     assert sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"]) for r in got) == [(0, 0, 0), (0, 2, 0), (0, 30, 30), (0, 31, 30), (1, 2, 0), (1, 30, 30)]
+
+
+def test_blocks_keep_all_text():
+    def text(page):
+        return " ".join(b.text for b in html_text.leaf_blocks(page))
+
+    assert text('<p>a <svg class="x"/>b</p><p>c <svg><title/><path d="1"/></svg>d</p><p>e <svg><g>f</p><p>g') == "a b c d e f g"
+    assert text("<p>a <button>b</p><p>c <object>d</p><p>e <template>f</p>") == "a b c d e f"
+    assert text("<p>a <math><mi>x</mi><mn>2</mn></math> b <object>c</object> <video-player>d</video-player> <select-x>e</p>") == "a x2 b c d e"
+    assert text("<p>a<script>b</p></scripty>c</script> d <template><p>e</p></template>f</p><style>g") == "a d f"
+    deep = "<section>" * 300 + "<div>x</div>" * 3 + "</section>" * 299
+    assert [b.depth for b in html_text.leaf_blocks(f'<article class="k">{deep}y</section>z</article>w')] == [302, 302, 302, 2, 1, 0]
+    many = 50_000
+    assert len(html_text.leaf_blocks("<p>" + "".join(f"<x-y>{i}" for i in range(many)))) == many
