@@ -113,6 +113,16 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYT
             at = to
 
 
+def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = False) -> np.ndarray:
+    """64-bit hashes of spans of bytes, whatever their place; fold: A-Z count as a-z."""
+    n = len(data)
+    up, down = _powers(n)
+    with np.errstate(over="ignore"):
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum((_LOWER if fold else _BYTE)[data] * up, out=total[1:])
+        return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 class Pieces:
     """Runs of bytes (words or lines) of a chunk: start, end, document number, 64-bit hash."""
 
@@ -129,11 +139,7 @@ class Pieces:
         self.end = np.flatnonzero(inside & (after | edge[1:])) + 1
         self.doc = np.searchsorted(offs, self.start, "right") - 1
         self.inside = inside
-        up, down = _powers(n)
-        with np.errstate(over="ignore"):
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum((_LOWER if fold else _BYTE)[data] * up, out=total[1:])
-            self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        self.hash = spans_hash(data, self.start, self.end, fold)
 
     def first_of_doc(self, docs: int) -> np.ndarray:
         """Where each document's pieces begin; one entry more than documents."""

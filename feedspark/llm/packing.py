@@ -6,7 +6,8 @@ bins with that gap becomes smallest. Placing looks only at counts by gap, so it
 
 Scale: every task packs the rows of its own partition in one pass and without shuffle; a task holds one batch of
 pieces and the numbers of its open bins. Bins aren't shared between partitions, so the loss is at most the
-few bins that a partition leaves open; partitions of a table of any size are of a fixed size. Numbers of
+few bins that a partition leaves open; partitions of a table of any size are of a fixed size, so the share of this loss
+doesn't grow (README has it in figures). Numbers of
 sequences are the partition's number and a count, so a task that runs again gives equal numbers for
 equal input. Documents with hot sources, many copies or great length need no special case: a longer one is
 cut into full pieces, and they make sequences of their own.
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedspark.llm import common as C
-from feedspark.llm.tokens import PIECES, encoder
+from feedspark.llm.tokens import encoder
 
 CAPACITY = 1024
 SCHEMA = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
@@ -72,11 +73,9 @@ def _pieces(total: int, capacity: int) -> Iterator[tuple[int, int]]:
         start, length = start + length, capacity
 
 
-def _packed(path: str, end_id: int, capacity: int, batch: int, spaced: bool, pieces: int):
-    end = np.array([end_id], "<u4").tobytes()
-
+def _packed(path: str, end_id: int, capacity: int, batch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path, spaced, pieces)
+        coder = encoder(path)
         packer = SumOfSquares(capacity, TaskContext.get().partitionId() << 40)
         held: list[tuple] = []
 
@@ -89,29 +88,28 @@ def _packed(path: str, end_id: int, capacity: int, batch: int, spaced: bool, pie
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                texts = [x or "" for x in part.column("text").to_pylist()]
-                for doc, ids in zip(part.column("doc_id").to_pylist(), coder.encode(texts), strict=True):
-                    ids += end
-                    for n, (start, length) in enumerate(_pieces(len(ids) // 4, capacity)):
-                        held.append((doc, n, start, length, ids[4 * start : 4 * (start + length)]))
-                        if len(held) >= batch:
-                            yield placed()
+        for part, data, offs in C.chunks(batches, "text"):
+            ids, at = coder.encode(data, offs)
+            raw = np.insert(ids, at[1:], np.uint32(end_id)).astype("<u4", copy=False).tobytes()
+            for k, doc in enumerate(part.column("doc_id").to_pylist()):
+                base = int(at[k]) + k
+                for n, (start, length) in enumerate(_pieces(int(at[k + 1] - at[k]) + 1, capacity)):
+                    held.append((doc, n, start, length, raw[4 * (base + start) : 4 * (base + start + length)]))
+                    if len(held) >= batch:
+                        yield placed()
         if held:
             yield placed()
 
     return run
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY, batch: int = 4096, spaced: bool = True, pieces: int = PIECES) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY, batch: int = 4096) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids (little-endian unsigned 32-bit), sequence_id, offset.
 
-    path: a tokenizer file; end_id: appended to every document; pieces: what a worker remembers of the tokenizer's results."""
+    path: a tokenizer file; end_id: appended to every document."""
     C.ready(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(_packed(path, end_id, capacity, batch, spaced, pieces), SCHEMA)
+    return own.mapInArrow(_packed(path, end_id, capacity, batch), SCHEMA)
 
 
 def digest(packed: DataFrame) -> DataFrame:

@@ -6,11 +6,12 @@ holds checksums stay sound. A payload is doc_id (signed 64-bit), a byte with the
 if the document has no id), and the ids. The index is a Parquet table with each record's part, offset, length,
 number of ids and ids before it in its part; shuffled reads go through it.
 
-Scale: texts are range-partitioned by doc_id once; each task writes one part file and its index rows as a stream.
-Starts need only the sums of ids by part. Reading opens parts by index rows, in order or in any other.
+Scale: texts are encoded where they are scanned and stored as narrow ids; only these are range-partitioned, by doc_id and the
+row's number, so that rows without an id or with one repeated id spread over tasks. Each task writes one part file and its
+index rows as a stream. Starts need only the sums of ids by part. Reading opens parts by index rows, in order or in any other.
 
 Defined results: a null or empty text is the end id alone; rows without an id come first; repeated rows are records of
-their own, ordered by text; an empty table gives an empty index; extra columns are ignored.
+their own, in the table's order; an empty table gives an empty index; extra columns are ignored; a very long text is one record.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql.window import Window
 
 from feedspark.llm import common as C
 from feedspark.llm.files import Ranges, written
-from feedspark.llm.tokens import PIECES, encoder
+from feedspark.llm.tokens import encoder
 
 INDEX = "part int, record int, doc_id long, offset long, length long, n_tokens long, before long"
 MASK = 0xA282EAD8
@@ -72,23 +73,32 @@ def _part(folder: str, n: int) -> str:
     return f"{folder}/part-{n:06d}.rec"
 
 
-def _write(folder: str, path: str, end_id: int, spaced: bool):
-    end = np.array([end_id], "<u4").tobytes()
+def _encode(path: str, end_id: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(path)
+        for part, data, offs in C.chunks(batches, "text"):
+            ids, at = coder.encode(data, offs)
+            raw, docs = np.insert(ids, at[1:], np.uint32(end_id)).tobytes(), part.column("doc_id").to_pylist()
+            ends = (4 * (at + np.arange(len(at)))).tolist()
+            payloads = [pack_ids(doc, raw[a:b]) for doc, a, b in zip(docs, ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at) + 1, pa.int64()), pa.array(payloads, pa.binary())], ["doc_id", "n_tokens", "payload"])
+
+    return run
+
 
+def _write(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, coder = TaskContext.get().partitionId(), encoder(path, spaced, PIECES)
+        part = TaskContext.get().partitionId()
         record = offset = before = 0
         with written(_part(folder, part)) as out:
             for b in batches:
-                for at in range(0, b.num_rows, 256):
-                    few, rows = b.slice(at, 256), []
-                    ids = few.column("doc_id").to_pylist()
-                    for doc, own in zip(ids, coder.encode([x or "" for x in few.column("text").to_pylist()]), strict=True):
-                        own += end
-                        data = frame(pack_ids(doc, own))
-                        out.write(data)
-                        rows.append((part, record, doc, offset, len(data), len(own) // 4, before))
-                        record, offset, before = record + 1, offset + len(data), before + len(own) // 4
+                rows = []
+                for doc, n, payload in zip(b.column("doc_id").to_pylist(), b.column("n_tokens").to_pylist(), b.column("payload"), strict=True):
+                    data = frame(payload.as_py())
+                    out.write(data)
+                    rows.append((part, record, doc, offset, len(data), n, before))
+                    record, offset, before = record + 1, offset + len(data), before + n
+                if rows:
                     kinds = (pa.int32(), pa.int32(), *[pa.int64()] * 5)
                     names = [x.split()[0] for x in INDEX.split(", ")]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -96,12 +106,14 @@ def _write(folder: str, path: str, end_id: int, spaced: bool):
     return run
 
 
-def write_records(docs: DataFrame, folder: str, path: str, end_id: int = 1, spaced: bool = False) -> None:
+def write_records(docs: DataFrame, folder: str, path: str, end_id: int = 1) -> None:
     """Write part files in ascending doc_id order to folder, and the index to folder/index."""
     C.ready(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_write(folder, path, end_id, spaced), INDEX).write.parquet(f"{folder}/index")
+    encoded = own.mapInArrow(_encode(path, end_id), "doc_id long, n_tokens long, payload binary")
+    stored = C.checkpointed(encoded.withColumn("row", F.monotonically_increasing_id()))
+    ordered = stored.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").drop("row")
+    ordered.mapInArrow(_write(folder), INDEX).write.parquet(f"{folder}/index")
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,94 +1,130 @@
 """Ids of whole texts by a public tokenizer, with a memory of pieces.
 
 Both vocabularies cut a text into words and marks before any merge, and no merge crosses a cut, so a text's ids are
-those of its pieces one after the other. Every text is cut before a blank that a non-blank follows; plain
-Latin texts also before and behind line feeds and before a full stop or comma that follows a letter or digit, which leaves
-words, and these repeat. A new piece is encoded once by the `tokenizers` library and remembered by the worker, up to
-`most` pieces.
+those of its pieces one after the other. A piece begins where every such tokenizer parts a text whatever stands around:
+
+* at a blank with a visible character behind it (the blank belongs to the word that follows);
+* at a single line feed between visible ASCII characters, and behind it;
+* at a full stop or comma behind an ASCII letter or digit.
+
+All pieces of a chunk are found, hashed and looked up at once in numpy; only pieces that the worker doesn't remember
+are encoded, each once a chunk, by the `tokenizers` library. A text that holds `<|`, with which special tokens begin, is one
+piece, so that it gets the very ids of a plain library call.
+
+The memory has a fixed number of slots; a piece takes the slot that its hash names and replaces what was there, so a
+worker's memory never grows. Pieces of more than LONG bytes or WIDTH ids aren't remembered. Pieces are told apart by 64-bit
+hashes: two different pieces in one slot are confused with a chance of 2^-64.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from functools import cache
 
 import numpy as np
 
-_ODD = re.compile(r" (?=\s|\Z)")
-_CUT = re.compile(r" (?=\S)")
-#: Texts for which every library agrees on letters, digits, white space and lower case.
-_PLAIN = re.compile(r"[\n\x20-\x7e\u00a1-\u012f\u0131-\u024f]*\Z")
-#: What keeps a plain text from the finer cut: marks or line feeds next to marks, white space or the text's ends.
-_HARD = re.compile(r"(?<![^\W_])[.,]|\n(?=\s|\Z)|(?<=\s)\n|\A\n")
-
-
-#: Pieces that a worker remembers, about 0.2 KB each.
-PIECES = 800_000
+from feedspark.llm import common as C
+
+SLOTS = 1 << 20
+WIDTH = 8
+LONG = 64
+#: Single bytes that are visible for sure: ASCII marks, and first bytes of characters none of which is white space.
+_SEEN = np.zeros(256, bool)
+_SEEN[0x21:0x7F] = True
+_SEEN[0xC3:0xE1] = True
+_SEEN[0xE4:0xF5] = True
+_WORD = np.zeros(256, bool)
+for _a, _b in ((48, 58), (65, 91), (97, 123)):
+    _WORD[_a:_b] = True
+_STOP = np.zeros(256, bool)
+_STOP[[0x2C, 0x2E]] = True
+
+
+def piece_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Where the pieces of a chunk's texts begin, in order; an empty text has none."""
+    n = len(data)
+    first = offs[:-1][offs[1:] > offs[:-1]]
+    if not n:
+        return first
+    edge = np.zeros(n + 1, bool)
+    edge[offs] = True
+    seen = _SEEN[data]
+    mark = seen & (data < 0x80)
+    begin = np.zeros(n, bool)
+    begin[:-1] = (data[:-1] == 0x20) & seen[1:] & ~edge[1:n]
+    begin[1:] |= _STOP[data[1:]] & _WORD[data[:-1]]
+    feed = np.flatnonzero(data[1:-1] == 0x0A) + 1
+    feed = feed[mark[feed - 1] & seen[feed + 1] & ~edge[feed] & ~edge[feed + 1]]
+    begin[feed] = True
+    begin[feed + 1] = True
+    special = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))
+    for doc in np.unique(np.searchsorted(offs, special, "right") - 1):
+        begin[offs[doc] : offs[doc + 1]] = False
+    begin[first] = True
+    return np.flatnonzero(begin)
 
 
 class PieceEncoder:
-    """Little-endian unsigned 32-bit ids of texts.
-
-    spaced: a piece keeps the blank before it (byte-level vocabularies); otherwise blanks and line feeds only
-    part pieces (vocabularies in lower case that drop white space). A piece that begins with NUL has no blank before it."""
+    """Ids of the texts of a chunk."""
 
-    def __init__(self, path: str, spaced: bool, most: int):
+    def __init__(self, path: str, slots: int = SLOTS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's name inside a text is ordinary text
-        self.spaced, self.most = spaced, most
-        self.known: dict[str, bytes] = {}
-
-    def _library(self, strings: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(strings, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def _parts(self, text: str) -> list[str]:
-        fine = _PLAIN.match(text) and not _HARD.search(text)
-        if not self.spaced:
-            if fine:
-                text = text.lower().replace(".", " .").replace(",", " ,")
-            return text.replace("\n", " ").split(" ")
-        if _ODD.search(text):
-            parts = _CUT.split(text)
-        else:
-            parts = (text.replace(".", " \0.").replace(",", " \0,").replace("\n", " \0\n \0") if fine else text).split(" ")
-        if parts[0]:
-            parts[0] = "\0" + parts[0]
-        else:
-            del parts[0]
-        return parts
-
-    def _whole(self, piece: str) -> str:
-        return piece if not self.spaced else piece[1:] if piece[:1] == "\0" else " " + piece
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cuts, odd = [], {}
-        for text in texts:
-            if "\0" in text:  # the mark; such texts are encoded whole
-                odd[len(cuts)] = text
-                cuts.append([])
-            else:
-                cuts.append(self._parts(text))
-        all_ = set().union(*cuts)
-        get = self.known.get
-        ids = {p: v for p in all_ if (v := get(p)) is not None}
-        new = list(all_.difference(ids))
-        if new:
-            added = dict(zip(new, self._library([self._whole(p) for p in new]), strict=True))
-            if len(self.known) + len(added) <= self.most:
-                self.known.update(added)
-            ids |= added
-        out = [b"".join(map(ids.__getitem__, parts)) for parts in cuts]
-        for i, text in odd.items():
-            out[i] = self._library([text])[0]
-        return out
+        self.shift = np.uint64(64 - (slots.bit_length() - 1))
+        self.keys = np.zeros(slots, np.uint64)
+        self.sizes = np.zeros(slots, np.uint8)
+        self.ids = np.zeros((slots, WIDTH), np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+
+    def _library(self, strings: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """UTF-8 bytes and offsets of texts -> ids (unsigned 32-bit) and the offset of each text's ids."""
+        starts = piece_starts(data, offs)
+        ends = np.append(starts[1:], len(data))
+        size = ends - starts
+        hashes = C.spans_hash(data, starts, ends) | np.uint64(1)
+        slot = (hashes >> self.shift).astype(np.int64)
+        hit = (self.keys[slot] == hashes) & (size <= LONG)
+        count = np.where(hit, self.sizes[slot], 0).astype(np.int64)
+        missed = np.flatnonzero(~hit)
+        long = missed[size[missed] > LONG]
+        short = missed[size[missed] <= LONG]
+        _, first, inverse = np.unique(hashes[short], return_index=True, return_inverse=True)
+        new = np.concatenate([short[first], long])
+        raw = data.tobytes() if len(new) else b""
+        found = self._library([raw[starts[i] : ends[i]].decode() for i in new.tolist()])
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        begins = np.cumsum(sizes) - sizes
+        pool = np.fromiter((x for ids in found for x in ids), np.uint32, int(sizes.sum()))
+        which = np.empty(len(starts), np.int64)  # of a missed piece: its place among the new ones
+        which[short], which[long] = inverse, np.arange(len(first), len(new))
+        count[missed] = sizes[which[missed]]
+        total = np.zeros(len(starts) + 1, np.int64)
+        np.cumsum(count, out=total[1:])
+        out = np.empty(total[-1], np.uint32)
+        for rows, flat, base in ((np.flatnonzero(hit), self.ids.ravel(), slot * WIDTH), (missed, pool, None)):
+            own = count[rows]
+            to = np.cumsum(own) - own
+            step = np.arange(own.sum()) - np.repeat(to, own)
+            source = base[rows] if base is not None else begins[which[rows]]
+            out[np.repeat(total[:-1][rows], own) + step] = flat[np.repeat(source, own) + step]
+        keep = np.flatnonzero(sizes[: len(first)] <= WIDTH)
+        at = slot[new[keep]]
+        self.keys[at] = hashes[new[keep]]
+        self.sizes[at] = sizes[keep]
+        wide = np.zeros((len(keep), WIDTH), self.ids.dtype)
+        own = sizes[keep]
+        step = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        wide[np.repeat(np.arange(len(keep)), own), step] = pool[np.repeat(begins[keep], own) + step]
+        # two new pieces may name one slot; the last of them takes it in all three tables
+        self.ids[at] = wide
+        return out, total[np.searchsorted(starts, offs)]
 
 
 @cache
-def encoder(path: str, spaced: bool, most: int) -> PieceEncoder:
+def encoder(path: str) -> PieceEncoder:
     """The worker's encoder; it stays from task to task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return PieceEncoder(path, spaced, most)
+    return PieceEncoder(path)

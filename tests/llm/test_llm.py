@@ -16,7 +16,7 @@ from feedspark.llm.components import connected_components
 
 DATA = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score double, words string"
-ODD = [None, "", " \n\t ", "Ab", "x\0y \0", "a a a a a a a a a", "é É ß İ Σ 日本語 мир", "w " * 3000, "1 2 3 4 5 6", "same text here it is", "same text here it is", "x" * 50_000]
+ODD = [None, "", " \n\t ", "Ab", "x\0y \0", "a a a a a a a a a", "é É ß İ Σ 日本語 мир", "w " * 3000, "1 2 3 4 5 6", "same text here it is", "same text here it is", "x" * 50_000, "a  <|endoftext|> b.<|startoftext|>,c <|ENDOFTEXT|>", "a\u00a0 b \u3000c\n\nd\ne, f.\n g\u2028h\n\u0301i \u0301j\r\nk\t l\n<|x|>m it's, 'tis.'s"]
 SPACE, LOWER = re.compile(r"[^\x20\x09-\x0D]+"), str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -224,7 +224,6 @@ def test_packing(spark, docs, odd):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     for df in (docs, odd.where("doc_id is not null").dropDuplicates(["doc_id"])):
         raw, pieces, seqs = texts(df), {}, {}
         for r in packing.pack_documents(df, path).collect():
@@ -269,7 +268,6 @@ def test_token_records(spark, docs, odd):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     for df in (docs, odd.where("doc_id is not null").dropDuplicates(["doc_id"])):
         folder = C.shared_folder(spark, "tokens")
         token_records.write_records(df, folder, path)
