@@ -7,7 +7,9 @@ needs bounded memory whatever the table's size; only one text of more than a chu
 
 from __future__ import annotations
 
+import ctypes
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 #: Bytes that part words: blank, tab, line feed, vertical tab, form feed, carriage return.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -27,23 +29,54 @@ _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint6
 _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Applications that have the package, and their own folders where spark.checkpoint.dir is unset.
+_SHIPPED: set[str] = set()
+_OWN: dict[str, str | None] = {}
 
 
 def ready(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver was started."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    known = env.get("PYTHONPATH", "")
-    if root not in known.split(os.pathsep):
-        env["PYTHONPATH"] = root + (os.pathsep + known if known else "")
+    """Send this package to the session's executors, once an application, and bound the Arrow batches that pass between the JVM
+    and Python workers (two session settings) to 1,000 rows and 4 MB, so that a worker's memory doesn't depend on the rows."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        _SHIPPED.add(context.applicationId)
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        name = os.path.join(tempfile.mkdtemp(prefix="spark-"), "feedspark")
+        context.addPyFile(shutil.make_archive(name, "zip", root, "feedspark"))
+    for key, most in (("maxRecordsPerBatch", 1_000), ("maxBytesPerBatch", 4 << 20)):
+        spark.conf.set(f"spark.sql.execution.arrow.{key}", most)
+
+
+def _released(run):
+    """run, and at a task's end what its memory pools hold unused goes back to the system."""
+
+    def own(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return own
+
+
+def mapped(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow for a session that is made ready for it."""
+    ready(df.sparkSession)
+    return df.mapInArrow(_released(run), schema)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset (tests), one on this machine."""
+    """A new folder under spark.checkpoint.dir. Where that is unset, one on this machine, which only a local master allows."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = getattr(spark.sparkContext, "_own_shared", None) or tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext._own_shared = base
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _OWN.setdefault(context.applicationId, None) or tempfile.mkdtemp(prefix="spark-")
+        _OWN[context.applicationId] = base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -77,13 +110,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    own: list[np.ndarray] = []
     if len(_POWERS[0]) < n:
         with np.errstate(over="ignore"):
             for i, p in enumerate((_P, _P_INV)):
                 step = np.full(max(n, CHUNK_BYTES), p, np.uint64)
                 step[0] = 1
-                _POWERS[i] = np.multiply.accumulate(step)
-    return _POWERS[0][:n], _POWERS[1][:n]
+                step = np.multiply.accumulate(step)
+                if n > 4 * CHUNK_BYTES:  # a very long text: nothing is kept of it
+                    own.append(step)
+                else:
+                    _POWERS[i] = step
+    return (own or _POWERS)[0][:n], (own or _POWERS)[1][:n]
 
 
 def byte_view(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -346,9 +346,8 @@ def learn(pages: DataFrame, bound: int = PAGES) -> ChainField:
 
 def extract(pages: DataFrame, bound: int = PAGES) -> DataFrame:
     """page_id, url, text: the main text of every page."""
-    C.ready(pages.sparkSession)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return own.mapInArrow(_extracted(learn(own, bound)), "page_id long, url string, text string")
+    return C.mapped(own, _extracted(learn(own, bound)), "page_id long, url string, text string")
 
 
 def op9_main_text(spark, sf_dir: str) -> DataFrame:

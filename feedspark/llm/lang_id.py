@@ -131,7 +131,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, grams: int = GRAMS)
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     few = known.select("doc_id", "lang").withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language).select("doc_id", "lang")
     picked = known.join(C.few(few.select("doc_id").distinct(), 1_000_000), "doc_id", "left_semi").select("text", "lang")
-    counts = picked.mapInArrow(_counted, "lang string, order int, gram long, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
+    counts = C.mapped(picked, _counted, "lang string, order int, gram long, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang", "order").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("r", F.row_number().over(best)).where(F.col("r") <= grams // len(ORDERS)).select("lang", "gram").toPandas()
     languages = sorted(top["lang"].unique())
@@ -171,10 +171,9 @@ def _predicted(made: Filter, usual: str | None):
 
 def identify(docs: DataFrame, **how) -> DataFrame:
     """doc_id, lang_pred, score, one row per document."""
-    C.ready(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     made, usual = learn(own, **how)
-    return own.select("doc_id", "text").mapInArrow(_predicted(made, usual), "doc_id long, lang_pred string, score double")
+    return C.mapped(own.select("doc_id", "text"), _predicted(made, usual), "doc_id long, lang_pred string, score double")
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

@@ -6,17 +6,21 @@ i < t hashes every element to some bin, round t + b puts every element in bin b,
 similarity with the concentration bounds of independent hashing. `bands` groups of `rows` coordinates are
 hashed; documents that share one are compared on their full sets.
 
-Scale: documents with equal sets collapse to the one with the smallest id before banding, so that large groups of copies cost
-one sketch. Within a bucket only links that can join two components are tested: first a star around one
-member, then a star around another among those still apart, then the bucket's members outside its largest
-component against the rest. Members that are already connected are never paired, so copies that
-are linked need about one comparison each, and no link that would join two components is missed. Sign bits of all
-coordinates keep clearly unlike pairs of a crowded bucket from being compared on their sets.
-With 32 bands of 4 rows a pair at similarity 0.8 is missed with a chance of 5e-8.
-
-Defined results: null and empty texts have an empty set and are linked with nothing; a repeated row is a copy;
-an empty table gives an empty result; extra columns are ignored; a row without an id gives a row whose
-component is null and which is linked with nothing.
+Scale: equal sets collapse to one node before banding, so that large groups of copies cost one sketch. Within a bucket only
+links that can join two components are tested. Stars come first: in each bucket the most popular member (the one
+whose buckets are largest, so near the middle of its group) is compared with all members of other components; the next star
+takes its hub outside the bucket's largest component, and stars go on as long as they join components. Last, the
+members outside the largest component are compared with the members of other components, but only pairs that parity bits
+don't rule out: bit j tells whether an odd number of elements hash to j, so two sets differ in at least as many elements
+as bits differ. That bound is strict, and nearly exact for sets of up to about 1,000 elements; no link is lost to it.
+In a bucket of n members of which m stay apart, that last step costs m * n comparisons of 256 bytes in generated code,
+and set comparisons only for what is left. With 32 bands of 4 rows a pair at similarity 0.8 is missed with a chance of 5e-8.
+Shingles are compared by 64-bit hashes, whole sets told apart by 128 bits.
+
+Defined results: null and empty texts have an empty set and are linked with nothing; a repeated row is a copy; rows that
+share a doc_id but not their text are nodes of their own; an empty table gives an empty result; extra columns are
+ignored; a very long text is handled whole, in one task's chunk; a row without an id gives a row whose component is null and
+which is linked with nothing.
 """
 
 from __future__ import annotations
@@ -32,10 +36,12 @@ from pyspark.sql import functions as F
 from feedspark.llm import common as C
 from feedspark.llm.components import connected_components
 
-#: Up to so many rows of 8 bytes each a list of ids is broadcast; beyond it, joins shuffle.
-BROADCAST_ROWS = 500_000
-#: Coordinates of a sketch; all of them give two sign bits, the first bands * rows give bands.
-SIGNS = 1024
+#: Up to so many rows of 8 or 16 bytes each a list of ids or keys is broadcast (1.6 MB); beyond it, joins shuffle.
+BROADCAST_ROWS = 100_000
+#: Bits of the parity bitmap, in 64-bit words.
+WORDS = 32
+#: Stars go on while one of them takes at least this share off the pairs that are left.
+GAIN = 0.2
 _ROUND = C.mix(np.arange(1, 1 + 4096, dtype=np.uint64))
 
 
@@ -72,47 +78,61 @@ def _band_keys(coords: np.ndarray, bands: int, rows: int) -> np.ndarray:
         return C.mix(grid.sum(axis=1, dtype=np.uint64) + C.mix(np.arange(bands, dtype=np.uint64)))
 
 
-def _signs(coords: np.ndarray) -> bytes:
-    """Two bits of each coordinate, as two planes."""
-    h = C.mix(coords)
-    return b"".join(np.packbits(((h >> np.uint64(i)) & np.uint64(1)).astype(np.uint8)).tobytes() for i in (63, 62))
+def _parity(elements: np.ndarray) -> bytes:
+    """Bit j: whether an odd number of elements falls to j."""
+    at = (elements >> np.uint64(64 - (64 * WORDS).bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * WORDS) & 1).astype(np.uint8)).tobytes()
+
+
+def _print(elements: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(elements.tobytes(), digest_size=16).digest() if len(elements) else None
 
 
 def _sketched(k: int, bands: int, rows: int):
+    t = 1 << (bands * rows - 1).bit_length()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple[bytes, bytes]] = {}
         for part, data, offs in C.chunks(batches, "text"):
-            sizes, prints, keys, signs = [], [], [], []
+            sizes, prints, keys, parity = [], [], [], []
             for own in C.shingle_sets(data, offs, k):
                 sizes.append(len(own))
-                mark = hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
+                mark = _print(own)
                 if mark and mark not in known:
-                    if len(known) > 10_000:
+                    if len(known) > 4_000:
                         known.clear()
-                    coords = sketch(own, SIGNS)
-                    known[mark] = _band_keys(coords, bands, rows).astype(">u8").tobytes(), _signs(coords)
+                    known[mark] = _band_keys(sketch(own, t), bands, rows).astype(">u8").tobytes(), _parity(own)
                 prints.append(mark)
                 keys.append(known[mark][0] if mark else None)
-                signs.append(known[mark][1] if mark else None)
-            columns = [part.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (prints, keys, signs))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "print", "bands", "signs"])
+                parity.append(known[mark][1] if mark else None)
+            columns = [part.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (prints, keys, parity))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "print", "bands", "parity"])
 
     return run
 
 
+def _own(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def sketches(docs: DataFrame, k: int = 5, bands: int = 32, rows: int = 4) -> DataFrame:
-    """doc_id, n_shingles, print (128 bits of the whole set), bands (8 bytes for each band of the first coordinates), signs (two
-    bits of each coordinate)."""
-    C.ready(docs.sparkSession)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(_sketched(k, bands, rows), "doc_id long, n_shingles long, print binary, bands binary, signs binary")
+    """doc_id, n_shingles, print (128 bits of the whole set), bands (8 bytes for each band), parity (a bitmap of the set)."""
+    return C.mapped(_own(docs), _sketched(k, bands, rows), "doc_id long, n_shingles long, print binary, bands binary, parity binary")
 
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for part, data, offs in C.chunks(batches, "text"):
-            sets = [x.tobytes() for x in C.shingle_sets(data, offs, k)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["id", "set"])
+            ids, prints, sets = [], [], []
+            for i, own in zip(part.column("doc_id").to_pylist(), C.shingle_sets(data, offs, k), strict=True):
+                mark = _print(own)
+                if mark and (i, mark) not in seen:  # a repeated row is needed once
+                    seen.add((i, mark))
+                    ids.append(i)
+                    prints.append(mark)
+                    sets.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "print", "set"])
 
     return run
 
@@ -136,16 +156,18 @@ def _linked(percent: int):
 class Linker:
     """Exact verification of pairs on the full sets of the documents that share a bucket."""
 
-    def __init__(self, docs: DataFrame, members: DataFrame, k: int, percent: int):
-        ids = C.few(C.checkpointed(members.select(F.col("rep").alias("doc_id")).distinct()), BROADCAST_ROWS)
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.sets = C.checkpointed(texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets(k), "id long, set binary"))
+    def __init__(self, docs: DataFrame, members: DataFrame, reps: DataFrame, k: int, percent: int):
+        used = C.checkpointed(reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "print"))
+        texts = _own(docs).join(C.few(used.select("doc_id").distinct(), BROADCAST_ROWS), "doc_id", "left_semi")
+        sets = C.mapped(texts, _sets(k), "doc_id long, print binary, set binary")
+        self.sets = C.checkpointed(sets.join(used, ["doc_id", "print"]).select("rep", "set"))
         self.percent = percent
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose similarity reaches the threshold, as a stored table."""
-        x, y = (self.sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
-        return C.checkpointed(pairs.join(y, "b").join(x, "a").select("a", "b", "set_a", "set_b").mapInArrow(_linked(self.percent), "a long, b long"))
+        x, y = (self.sets.select(F.col("rep").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
+        both = pairs.join(y, "b").join(x, "a").select("a", "b", "set_a", "set_b")
+        return C.checkpointed(C.mapped(both, _linked(self.percent), "a long, b long"))
 
 
 def _could_link(x: str, y: str, percent: int):
@@ -153,75 +175,84 @@ def _could_link(x: str, y: str, percent: int):
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
-def _star(members: DataFrame, seed: int, percent: int) -> DataFrame:
-    """Pairs of one member of each bucket with the members outside its component. The member is the one of the
-    smallest seeded hash, so that a group's buckets mostly agree on it."""
-    pick = F.min(F.struct(F.xxhash64(F.lit(seed), "rep").alias("h"), F.col("rep").alias("p"), F.col("size").alias("p_size"), F.col("comp").alias("p_comp")))
-    hubs = members.groupBy("key").agg(pick.alias("x"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "x.*")
-    apart = members.join(hubs, "key").where(F.col("comp") != F.col("p_comp")).where(_could_link("size", "p_size", percent))
-    return apart.select(F.col("p").alias("a"), F.col("rep").alias("b")).distinct()
-
-
 def _sizes(members: DataFrame) -> DataFrame:
-    """key, major (its largest component), minor (members of others) of the buckets with several components."""
+    """key, major (its largest component), minor (members of others), all: the buckets with several components."""
     by = members.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("m"), F.sum("count").alias("all"), F.count("*").alias("n"))
     return by.where("n > 1").select("key", F.col("m.comp").alias("major"), (F.col("all") - F.col("m.count")).alias("minor"), "all")
 
 
+def _star(members: DataFrame, sizes: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs of one member of each bucket with the members outside its component: the most popular one (at first of all,
+    later of those outside the largest component), so that a group's buckets mostly agree on it."""
+    pick = F.max(F.struct("popular", F.xxhash64("rep").alias("h"), F.col("rep").alias("p"), F.col("size").alias("p_size"), F.col("comp").alias("p_comp")))
+    free = members if sizes is None else members.join(sizes.select("key", "major"), "key").where("comp <> major")
+    hubs = free.groupBy("key").agg(pick.alias("x")).select("key", "x.p", "x.p_size", "x.p_comp")
+    apart = members.join(hubs, "key").where(F.col("comp") != F.col("p_comp")).where(_could_link("size", "p_size", percent))
+    return apart.select(F.col("p").alias("a"), F.col("rep").alias("b")).distinct()
+
+
 def _rest(members: DataFrame, sizes: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """In each bucket, pairs of the members outside its largest component with the members of other components, each pair in
-    the first band that it shares, unless sign bits rule the similarity out by five standard deviations (a pair
-    at the threshold is lost with a chance of 3e-7)."""
-    words = [F.conv(F.hex(F.substring("signs", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"w{i}") for i in range(SIGNS // 32)]
+    the first band that it shares, unless parity bits rule the similarity out."""
+    words = [F.conv(F.hex(F.substring("parity", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"w{i}") for i in range(WORDS)]
     marks = reps.select("rep", "bands", *words)
     open_ = C.checkpointed(members.join(sizes.select("key", "major"), "key").join(marks, "rep"))
-    x, y = (open_.select("key", "major", *(F.col(c).alias(f"{s}_{c}") for c in ("rep", "size", "comp", "band", "bands", *(f"w{i}" for i in range(SIGNS // 32))))) for s in "ab")
-    odds = 0.75 * (100 - percent) / 100  # that two bits of a coordinate differ at the threshold
-    most = int(SIGNS * odds + 5 * (SIGNS * odds * (1 - odds)) ** 0.5)
-    unlike = sum((F.bit_count(F.col(f"a_w{i}").bitwiseXOR(F.col(f"b_w{i}")).bitwiseOR(F.col(f"a_w{i + SIGNS // 64}").bitwiseXOR(F.col(f"b_w{i + SIGNS // 64}")))) for i in range(SIGNS // 64)), F.lit(0))
+    x, y = (open_.select("key", "major", *(F.col(c).alias(f"{s}_{c}") for c in ("rep", "size", "comp", "band", "bands", *(f"w{i}" for i in range(WORDS))))) for s in "ab")
+    differ = sum((F.bit_count(F.col(f"a_w{i}").bitwiseXOR(F.col(f"b_w{i}"))) for i in range(WORDS)), F.lit(0))
     block = lambda c, i: F.substring(F.col(c), i * 8 + 1, F.lit(8))
     before = F.when(F.col("a_band") > 0, F.exists(F.sequence(F.lit(0), F.col("a_band") - 1), lambda i: block("a_bands", i) == block("b_bands", i))).otherwise(False)
     other = (F.col("a_comp") != F.col("b_comp")) & ((F.col("b_comp") == F.col("a_major")) | (F.col("a_rep") < F.col("b_rep")))
     minor = x.where("a_comp <> major").withColumnRenamed("major", "a_major")
-    near = other & _could_link("a_size", "b_size", percent) & (unlike <= most) & ~before
+    close = (100 + percent) * differ <= (100 - percent) * (F.col("a_size") + F.col("b_size"))
+    near = other & _could_link("a_size", "b_size", percent) & close & ~before
     return minor.join(y.drop("major"), (minor["key"] == y["key"]) & near).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, stars: int = 2) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept. Documents are linked if their shingle sets
-    have a Jaccard similarity of percent / 100 or more."""
-    own = C.checkpointed(sketches(docs, k, bands, rows))
-    first = F.min(F.struct("doc_id", "n_shingles", "bands", "signs"))
-    reps = C.checkpointed(own.where("print is not null and doc_id is not null").groupBy("print").agg(first.alias("x")).select("print", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("size"), "x.bands", "x.signs"))
+def _components(docs: DataFrame, reps: DataFrame, k: int, percent: int, bands: int) -> DataFrame | None:
+    """node, comp of the nodes (reps: rep, doc_id, size, print, bands, parity) that have links; None if none has."""
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.conv(F.hex(F.substring("bands", i * 8 + 1, 8)), 16, -10).cast("long"))
     placed = reps.select("rep", "size", F.posexplode(keys).alias("band", "key"))
-    shared = C.checkpointed(placed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key"))
+    shared = C.checkpointed(placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     members = C.checkpointed(placed.join(C.few(shared, BROADCAST_ROWS), "key"))
-    labels, reps_all = None, reps
-    if not members.isEmpty():
-        linker, links, now = Linker(docs, members, k, percent), None, members.withColumn("comp", F.col("rep"))
-        for seed in range(stars + 1):
-            sizes = None
-            if seed:
-                sizes = C.checkpointed(_sizes(now))
-                left, all_ = sizes.agg(F.sum(F.col("minor") * F.col("all")), F.sum("all")).first()
-                if left is None:
-                    break
-            last = bool(seed) and (seed == stars or left <= 20 * all_)
-            found = linker.links(_rest(now, sizes, reps_all, percent) if last else _star(now, seed, percent))
-            if not found.isEmpty():
-                links = found if links is None else links.union(found)
-                labels = connected_components(links)
-                now = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-            if last:
-                break
-    reps = reps.select("print", F.col("rep").alias("node"))
+    if members.isEmpty():
+        return None
+    popular = members.groupBy("rep").agg(F.sum("n").alias("popular"))
+    members = C.checkpointed(members.drop("n").join(popular, "rep"))
+    linker, links, labels = Linker(docs, members, reps, k, percent), None, None
+    now, sizes, left = members.withColumn("comp", F.col("rep")), None, None
+    while True:
+        last = sizes is not None and left > (1 - GAIN) * before
+        found = linker.links(_rest(now, sizes, reps, percent) if last else _star(now, sizes, percent))
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            labels = connected_components(links)
+            now = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        if last:
+            return labels
+        before, sizes = left, C.checkpointed(_sizes(now))
+        left = sizes.agg(F.sum(F.col("minor") * F.col("all").cast("double"))).first()[0]
+        if left is None:
+            return labels
+        before = before or 2 * left
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept. Documents are linked if their shingle sets
+    have a Jaccard similarity of percent / 100 or more."""
+    own = C.checkpointed(sketches(docs, k, bands, rows).withColumn("row", F.monotonically_increasing_id()))
+    linked = F.col("print").isNotNull() & F.col("doc_id").isNotNull()
+    first = F.min(F.struct("doc_id", "row", "n_shingles", "bands", "parity"))
+    reps = own.where(linked).groupBy("print").agg(first.alias("x"))
+    reps = C.checkpointed(reps.select("print", "x.doc_id", F.col("x.row").alias("rep"), F.col("x.n_shingles").alias("size"), "x.bands", "x.parity"))
+    labels = _components(docs, reps, k, percent, bands)
+    nodes = reps.select("print", "doc_id", "rep")
     if labels is not None:
-        reps = reps.join(labels, "node", "left").select("print", F.coalesce("comp", "node").alias("comp"))
+        nodes = nodes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        least = nodes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+        nodes = nodes.join(least, "comp").select("print", "component_id")
     else:
-        reps = reps.withColumnRenamed("node", "comp")
-    linked = F.col("print").isNotNull() & F.col("doc_id").isNotNull()
-    some = own.where(linked).select("doc_id", "n_shingles", "print").join(reps, "print").select("doc_id", "n_shingles", F.col("comp").alias("component_id"))
+        nodes = nodes.select("print", F.col("doc_id").alias("component_id"))
+    some = own.where(linked).select("doc_id", "n_shingles", "print").join(nodes, "print").select("doc_id", "n_shingles", "component_id")
     none = own.where(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return some.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

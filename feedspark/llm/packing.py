@@ -107,9 +107,8 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, capacity: int =
     """One row per piece: doc_id, piece, start, length, ids (little-endian unsigned 32-bit), sequence_id, offset.
 
     path: a tokenizer file; end_id: appended to every document."""
-    C.ready(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(_packed(path, end_id, capacity, batch), SCHEMA)
+    return C.mapped(own, _packed(path, end_id, capacity, batch), SCHEMA)
 
 
 def digest(packed: DataFrame) -> DataFrame:

@@ -92,8 +92,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def features(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Counts of every whole text, one row per document, with its key as doc_id; no shuffle."""
-    C.ready(docs.sparkSession)
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_measure, SCHEMA)
+    return C.mapped(docs.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _measure, SCHEMA)
 
 
 def ratio(name: str) -> Column:

@@ -108,12 +108,11 @@ def _write(folder: str):
 
 def write_records(docs: DataFrame, folder: str, path: str, end_id: int = 1) -> None:
     """Write part files in ascending doc_id order to folder, and the index to folder/index."""
-    C.ready(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    encoded = own.mapInArrow(_encode(path, end_id), "doc_id long, n_tokens long, payload binary")
+    encoded = C.mapped(own, _encode(path, end_id), "doc_id long, n_tokens long, payload binary")
     stored = C.checkpointed(encoded.withColumn("row", F.monotonically_increasing_id()))
     ordered = stored.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").drop("row")
-    ordered.mapInArrow(_write(folder), INDEX).write.parquet(f"{folder}/index")
+    C.mapped(ordered, _write(folder), INDEX).write.parquet(f"{folder}/index")
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
@@ -141,8 +140,7 @@ def _read(folder: str):
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, ids of the index's records, in the index's order; every checksum is verified."""
-    C.ready(index.sparkSession)
-    return index.select("part", "offset", "length", "start").mapInArrow(_read(folder), "doc_id long, start long, ids binary")
+    return C.mapped(index.select("part", "offset", "length", "start"), _read(folder), "doc_id long, start long, ids binary")
 
 
 def read_shuffled(index: DataFrame, folder: str, seed: int = 0) -> DataFrame:

@@ -243,7 +243,7 @@ def example_rows(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
     """Terms of at most `bound` labelled rows outside the held-out part, checkpointed."""
     few = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~C.held_out())
     few = few.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return C.checkpointed(docs.join(F.broadcast(few), "doc_id").select("doc_id", "text", "toxic").mapInArrow(_example_terms, "doc_id long, toxic int, term string, tf long"))
+    return C.checkpointed(C.mapped(docs.join(F.broadcast(few), "doc_id").select("doc_id", "text", "toxic"), _example_terms, "doc_id long, toxic int, term string, tf long"))
 
 
 def choose_vocabulary(rows: DataFrame, size: int, min_chi2: float, min_share: float = MIN_SHARE) -> dict[str, int]:
@@ -263,16 +263,15 @@ def choose_vocabulary(rows: DataFrame, size: int, min_chi2: float, min_share: fl
 
 def score_documents(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary: int = VOCABULARY, k: int = 16, min_chi2: float = MIN_CHI2, key: str = "doc_id") -> DataFrame:
     """doc_id (the given key), score (0 to 1), evidence (nearest examples with their cosine), one row per document."""
-    C.ready(docs.sparkSession)
     keyed = docs.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = example_rows(docs, labels, examples)
     chosen = choose_vocabulary(rows, vocabulary, min_chi2)
-    vectors = C.checkpointed(keyed.mapInArrow(_vectors(chosen), "doc_id long, terms array<int>, counts array<int>"))
+    vectors = C.checkpointed(C.mapped(keyed, _vectors(chosen), "doc_id long, terms array<int>, counts array<int>"))
     df = {r["term"]: r["count"] for r in vectors.select(F.explode("terms").alias("term")).groupBy("term").count().collect()}
     kept = rows.where(F.col("term") == "") if not chosen else rows.join(F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in ["", *chosen]], "term string")), "term", "left_semi")
     model = _fit(kept.dropDuplicates(["doc_id", "term"]).collect(), chosen, df, vectors.count(), k)
-    return vectors.mapInArrow(_scored(model), "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double>>")
+    return C.mapped(vectors, _scored(model), "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double>>")
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:

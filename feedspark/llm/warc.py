@@ -75,9 +75,8 @@ def _write(folder: str):
 
 def write_warc(pages: DataFrame, folder: str) -> DataFrame:
     """Write the files and folder/index; return the index."""
-    C.ready(pages.sparkSession)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    own.mapInArrow(_write(folder), INDEX).write.parquet(f"{folder}/index")
+    C.mapped(own, _write(folder), INDEX).write.parquet(f"{folder}/index")
     return read_index(pages.sparkSession, folder)
 
 
@@ -111,7 +110,7 @@ def copy_files(index: DataFrame, source: str, target: str, damaged: Column | Non
     """Copy a collection record by record; where `damaged` holds, one byte of the record is changed (for drills)."""
     bad = F.coalesce(damaged, F.lit(False)) if damaged is not None else F.lit(False)
     rows = index.select("part", "record", "offset", "length", bad.alias("bad")).repartition("part").sortWithinPartitions("part", "record")
-    rows.mapInArrow(_copy(source, target), "part int").write.format("noop").mode("overwrite").save()
+    C.mapped(rows, _copy(source, target), "part int").write.format("noop").mode("overwrite").save()
 
 
 def _hashed(folder: str):
@@ -131,7 +130,7 @@ def _hashed(folder: str):
 def merkle_tree(index: DataFrame, folder: str, fanout: int = FANOUT) -> DataFrame:
     """part, level (0: records), node, hash: all nodes of every file's tree, as a stored table. Level -1 of part -1
     stands for the collection: its hash joins the files' roots in order."""
-    leaves = C.checkpointed(index.select("part", "record", "offset", "length").mapInArrow(_hashed(folder), "part int, node long, hash string"))
+    leaves = C.checkpointed(C.mapped(index.select("part", "record", "offset", "length"), _hashed(folder), "part int, node long, hash string"))
     most = leaves.agg(F.max("node")).first()[0]
     levels, now, n, level = [leaves.withColumn("level", F.lit(0))], leaves, (most or 0) + 1, 0
     while n > 1:
@@ -175,7 +174,6 @@ def damaged_records(one: DataFrame, other: DataFrame, fanout: int = FANOUT) -> D
 
 def audit(index: DataFrame, folder: str, replica: str, fanout: int = FANOUT) -> DataFrame:
     """The index with status: ok, or damaged where the replica's bytes differ from the folder's."""
-    C.ready(index.sparkSession)
     one, other = merkle_tree(index, folder, fanout), merkle_tree(index, replica, fanout)
     if root(one) == root(other):
         return index.withColumn("status", F.lit("ok"))
@@ -198,8 +196,7 @@ def _read(folder: str):
 
 def read_warc(index: DataFrame, folder: str) -> DataFrame:
     """page_id, status, url, block of the index's records."""
-    C.ready(index.sparkSession)
-    return index.select("page_id", "status", "part", "offset", "length").mapInArrow(_read(folder), "page_id long, status string, url string, block binary")
+    return C.mapped(index.select("page_id", "status", "part", "offset", "length"), _read(folder), "page_id long, status string, url string, block binary")
 
 
 def op10_warc_audit(spark, sf_dir: str) -> DataFrame:
