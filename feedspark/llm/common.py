@@ -23,6 +23,8 @@ CHUNK_BYTES = 1 << 18
 #: Bytes that part words: blank, tab, line feed, vertical tab, form feed, carriage return.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: What a broadcast may hold.
+BROADCAST_BYTES = 4 << 20
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -89,9 +91,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def few(df: DataFrame, most: int) -> DataFrame:
-    """Marked for broadcast if it has at most so many rows, else left to a shuffled join."""
-    return F.broadcast(df) if df.count() <= most else df
+def few(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Marked for broadcast if its rows are measured to hold at most so many bytes, else left to a shuffled join. df: a stored
+    table of plain columns."""
+    wide = [F.octet_length(c) if kind in ("string", "binary") else F.lit(0) for c, kind in df.dtypes]
+    held = df.agg(F.sum(sum((F.coalesce(x, F.lit(0)) for x in wide), F.lit(0)) + 8 * len(wide))).first()[0]
+    return F.broadcast(df) if (held or 0) <= most else df
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -1,89 +1,106 @@
 """Benchmark decontamination with a positional inverted index, on DataFrame operations only.
 
-The index keeps, for the terms that the search needs, postings (term, doc_id, position) of the training
-texts. Every window of a benchmark item is looked up by its two rarest words in the corpus: postings are
-shifted by the word's place in the item, so that equal shifts (diagonals) of one document and item meet, and
-only diagonals on which two rarest words agree are compared word by word. What matches is exact; proximity
-matches are runs of an item's rare words that lie close together in a document without having to be in line.
-
-Scale: texts are cut into words where they are scanned; only occurrences of the chosen words leave the
-scan and are stored, and whole texts are touched again only for documents that have a candidate. Lists of terms and ids are broadcast
-if their counted size is within BROADCAST_ROWS, else joined by shuffle. A passage that many documents share
-adds one candidate for each document and diagonal, never pairs of documents.
+The index keeps, for the terms that the search needs, postings (term, doc, position) of the training texts; terms that no
+benchmark window can need aren't stored. Every window of a benchmark item is looked up by its two rarest words in the
+corpus: postings are shifted by the word's place in the item, so that equal shifts (diagonals) of one document
+and item meet, and only diagonals on which two rarest words agree are compared word by word with the document's own
+words. What matches is exact; proximity matches are runs of an item's rare words that lie close together in a document without
+having to be in line.
+
+Scale: texts are cut into words where they are scanned, and words that a bitmap of the chosen terms rules out are dropped before
+anything is exploded. Items of equal words are one sequence with a list of ids, and a window that a sequence
+repeats is looked up at its first place alone, so neither repeated items nor repeated words multiply lookups. Texts with
+a candidate are joined with their candidates by shuffle; all others, told apart by a second bitmap, only count their
+words. Bitmaps have at most LONGEST bits; lists of terms are broadcast if they hold few bytes. A passage that
+many documents share adds one candidate for each document and diagonal, never pairs of documents.
 
 Defined results: null and empty texts have no words and no hit; a document's repeated rows and rows without an id each
-get the result of their own text; an item without words has no window; an item of fewer words than a window is one window;
-empty tables give an empty result or no hit; extra columns are ignored.
+get the result of their own text, however long; an item without words has no window; an item of fewer words than a window
+is one window; repeated items are found each under its id, and so are different texts under one item_id (which counts once);
+empty tables give an empty result or no hit; extra columns are ignored, or kept if they are named.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from feedspark.llm import common as C
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What parts words.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
 CHOICE = 4
 ANCHORS = 2
-BROADCAST_ROWS = 200_000
+#: Most bits of a bitmap (512 KB).
+LONGEST = 1 << 22
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def tokens(text: Column) -> Column:
     """Words of a text with A-Z as a-z; null for null. Lower-casing pure ASCII has a fast way."""
     plain = F.octet_length(text) == F.char_length(text)
-    return F.regexp_extract_all(F.when(plain, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER)), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.when(plain, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER)), GAP), "")
 
 
-def items(benchmark: DataFrame) -> DataFrame:
-    """item_id, words of the items that have any."""
-    own = benchmark.select(F.col("item_id"), tokens(F.col("text").cast("string")).alias("words"))
-    return own.where("item_id is not null and size(words) > 0")
+def sequences(benchmark: DataFrame, window: int) -> DataFrame:
+    """seq, words, ids (those of all items of these words, as strings), starts (of each different window the first place), as a
+    stored table."""
+    own = benchmark.select(F.col("item_id").cast("string").alias("id"), tokens(F.col("text").cast("string")).alias("words"))
+    own = own.where("id is not null and size(words) > 0").groupBy("words").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    own = C.checkpointed(own.withColumn("seq", F.monotonically_increasing_id()))
+    places = own.select("seq", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)))).alias("s"))
+    first = places.groupBy("seq", F.slice("words", F.col("s") + 1, F.lit(window)).alias("w")).agg(F.min("s").alias("s"))
+    starts = first.groupBy("seq").agg(F.array_sort(F.collect_list("s")).alias("starts"))
+    return C.checkpointed(own.join(starts, "seq"))
 
 
 def item_terms(own: DataFrame) -> DataFrame:
-    """item_id, place, term: one row per word of an item."""
-    return own.select("item_id", F.posexplode("words").alias("place", "term"))
+    """seq, place, term: one row per word of a sequence."""
+    return own.select("seq", F.posexplode("words").alias("place", "term"))
 
 
 def rarest_places(places: DataFrame, own: DataFrame, window: int, most: int) -> DataFrame:
-    """item_id, place, term: of the given places (item_id, place, term, df) those that are among the `most` rarest of some
+    """seq, place, term: of the given places (seq, place, term, df) those that are among the `most` rarest of some different
     window (ties: the longer term, then the earlier place)."""
-    ranked = places.groupBy("item_id").agg(F.collect_list(F.struct("df", (-F.length("term")).alias("short"), "place", "term")).alias("w")).join(own.select("item_id", F.size("words").alias("n")), "item_id")
-    starts = ranked.select("item_id", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - window, F.lit(0)))).alias("s"), "w")
+    ranked = places.groupBy("seq").agg(F.collect_list(F.struct("df", (-F.length("term")).alias("short"), "place", "term")).alias("w")).join(own.select("seq", "starts"), "seq")
+    starts = ranked.select("seq", F.explode("starts").alias("s"), "w")
     inside = F.array_sort(F.filter("w", lambda x: (x["place"] >= F.col("s")) & (x["place"] < F.col("s") + window)))
-    return starts.select("item_id", F.explode(F.slice(inside, 1, most)).alias("x")).select("item_id", "x.place", "x.term").distinct()
+    return starts.select("seq", F.explode(F.slice(inside, 1, most)).alias("x")).select("seq", "x.place", "x.term").distinct()
 
 
-def term_filter(terms: DataFrame, column: Column, longest: int = 1 << 20) -> Column:
-    """True for every given term and few others: a bitmap of hashed terms, of a size that the number of terms sets up
-    to `longest` bits, as a constant of the plan."""
-    bits = min(longest, 1 << max(10, (20 * max(terms.count(), 1)).bit_length()))
+def bitmap(values: DataFrame, longest: int = LONGEST):
+    """A test that is true for every value of the one column and few others: a bitmap of hashes, of a size that the
+    number of values sets up to `longest` bits, as a constant of the plan."""
+    bits = min(longest, 1 << max(10, (20 * max(values.count(), 1)).bit_length()))
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    cells = terms.select(at(F.col("term")).alias("h")).groupBy(F.floor(F.col("h") / 64).cast("int").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("b"))
+    cells = values.select(at(F.col(values.columns[0])).alias("h")).groupBy(F.floor(F.col("h") / 64).cast("int").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("b"))
     words = [0] * (bits // 64)
     for r in cells.collect():
         words[r["i"]] = r["b"]
-    place = at(column)
-    return F.get(F.lit(words), F.floor(place / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))) != 0
+
+    def test(column: Column) -> Column:
+        place = at(column)
+        return F.get(F.lit(words), F.floor(place / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))) != 0
+
+    return test
 
 
 def postings(words: DataFrame, terms: DataFrame) -> DataFrame:
-    """The positional index of the given distinct terms: term, doc_id, position (from 0). A bitmap drops most
-    other words before the join."""
-    found = words.select("doc_id", F.posexplode("words").alias("position", "term"))
-    return found.where(term_filter(terms, F.col("term"))).join(C.few(terms, BROADCAST_ROWS), "term")
+    """The positional index of the given distinct terms: term, doc, position (from 0). A bitmap drops most other words
+    within their text's array, before they become rows."""
+    wanted = bitmap(terms)
+    found = F.filter(F.transform("words", lambda x, i: F.when(wanted(x), F.struct(i.alias("position"), x.alias("term")))), lambda x: x.isNotNull())
+    rows = words.select("doc", F.explode(found).alias("x")).select("doc", "x.position", "x.term")
+    return rows.join(C.few(terms), "term")
 
 
 def positional_index(docs: DataFrame, own: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """The stored index of the words that may be an item's rarest, and the places of each window's rarest words.
+    """The stored index of the words that may be a window's rarest, and the places of each window's rarest words. docs: doc, text.
 
     Words that the benchmark itself repeats are left out where a window has CHOICE rarer ones; of these, the counts of the
     index over the whole corpus pick the ANCHORS rarest."""
-    words = docs.select("doc_id", tokens(F.col("text").cast("string")).alias("words"))
+    words = docs.select("doc", tokens(F.col("text").cast("string")).alias("words"))
     all_ = item_terms(own)
     choice = C.checkpointed(rarest_places(all_.join(all_.groupBy("term").agg(F.count("*").alias("df")), "term"), own, window, CHOICE))
     terms = C.checkpointed(choice.select("term").distinct())
@@ -93,38 +110,36 @@ def positional_index(docs: DataFrame, own: DataFrame, window: int = WINDOW) -> t
 
 
 def candidates(index: DataFrame, places: DataFrame, own: DataFrame) -> DataFrame:
-    """doc_id, item_id, shift: diagonals on which at least two rarest words agree (one where the item has one)."""
-    met = index.join(places, "term").groupBy("doc_id", "item_id", (F.col("position") - F.col("place")).alias("shift")).agg(F.count("*").alias("n"))
-    return met.join(own.select("item_id", F.size("words").alias("len")), "item_id").where(F.col("n") >= F.least(F.lit(ANCHORS), F.col("len"))).select("doc_id", "item_id", "shift")
+    """doc, seq, shift: diagonals on which at least two rarest words agree (one where the sequence has one)."""
+    met = index.join(places, "term").groupBy("doc", "seq", (F.col("position") - F.col("place")).alias("shift")).agg(F.count("*").alias("n"))
+    return met.join(own.select("seq", F.size("words").alias("len")), "seq").where(F.col("n") >= F.least(F.lit(ANCHORS), F.col("len"))).select("doc", "seq", "shift")
 
 
-def _window_starts(words: Column, item: Column, shift: Column, window: int) -> Column:
-    """Places in the item at which a whole window equals the document's words on this diagonal."""
-    long = F.least(F.size(item), F.lit(window))
-    low, high = F.greatest(F.lit(0), -shift), F.least(F.size(item), F.size(words) - shift) - long
-    starts = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-    return F.filter(starts, lambda s: F.slice(words, s + shift + 1, long) == F.slice(item, s + 1, long))
+def _found(words: Column, x: Column, window: int) -> Column:
+    """Places in the document at which a window of a sequence (words, starts) occurs on one of its diagonals (shifts)."""
+    item, long = x["words"], F.least(F.size(x["words"]), F.lit(window))
+    fits = lambda s, d: (s + d >= 0) & (s + d + long <= F.size(words)) & (F.slice(words, F.greatest(s + d, F.lit(0)) + 1, long) == F.slice(item, s + 1, long))
+    return F.flatten(F.transform(x["shifts"], lambda d: F.transform(F.filter(x["starts"], lambda s: fits(s, d)), lambda s: s + d)))
 
 
-def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, hits: array of (item_id, start, length), the exact windows found in every document. Rows without an id
-    are looked up by a hash of their text; rows that share a key only share candidates, as each row's own words are compared."""
-    own = C.checkpointed(items(benchmark))
+def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
+    """The columns to keep (doc_id alone by default), n_words, hits: array of (item_ids, starts, length), the exact windows found in
+    every document. Rows without an id are looked up by a hash of their text; rows that share a key only share
+    candidates, as each row's own words are compared."""
+    own = sequences(benchmark, window)
     key = F.coalesce(F.col("doc_id").try_cast("long"), F.xxhash64(F.col("text").cast("string")))
-    index, places = positional_index(docs.select(key.alias("doc_id"), "text"), own, window)
-    near = candidates(index, places, own).join(own, "item_id")
-    by_doc = C.checkpointed(near.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("near")))
-    whole = docs.select("doc_id", key.alias("key"), F.col("text").cast("string").alias("text")).join(_maybe_few(by_doc), "key", "left")
-    joined = whole.select("doc_id", tokens(F.col("text")).alias("words"), "near")
-    found = F.flatten(F.transform("near", lambda x: F.transform(_window_starts(F.col("words"), x["words"], x["shift"], window), lambda s: F.struct(x["item_id"].alias("item_id"), (s + x["shift"]).alias("start"), F.least(F.size(x["words"]), F.lit(window)).alias("length")))))
-    kind = T.ArrayType(T.StructType([T.StructField("item_id", own.schema["item_id"].dataType), T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())]))
-    return joined.select("doc_id", F.coalesce(F.size("words"), F.lit(0)).cast("long").alias("n_words"), F.when(F.col("near").isNotNull(), found).otherwise(F.array().cast(kind)).alias("hits"))
-
-
-def _maybe_few(by_doc: DataFrame) -> DataFrame:
-    """Candidates are broadcast only if few documents and diagonals have them."""
-    n = by_doc.agg(F.coalesce(F.sum(F.size("near")), F.lit(0))).first()[0]
-    return F.broadcast(by_doc) if n <= BROADCAST_ROWS // 10 else by_doc
+    index, places = positional_index(docs.select(key.alias("doc"), "text"), own, window)
+    near = candidates(index, places, own).groupBy("doc", "seq").agg(F.collect_list("shift").alias("shifts")).join(own, "seq")
+    by_doc = C.checkpointed(near.groupBy("doc").agg(F.collect_list(F.struct("ids", "shifts", "words", "starts")).alias("near")))
+    whole = docs.select(F.struct(*(keep or ["doc_id"])).alias("row"), key.alias("doc"), F.col("text").cast("string").alias("text"))
+    maybe = F.coalesce(bitmap(by_doc.select("doc"))(F.col("doc")), F.lit(False))
+    words = tokens(F.col("text"))
+    some = whole.where(maybe).join(by_doc, "doc", "left").select("row", words.alias("words"), "near")
+    hits = F.transform(F.coalesce("near", F.array()), lambda x: F.struct(x["ids"].alias("item_ids"), _found(F.col("words"), x, window).alias("starts"), F.least(F.size(x["words"]), F.lit(window)).alias("length")))
+    count = lambda w: F.coalesce(F.size(w), F.lit(0)).cast("long").alias("n_words")
+    some = some.select("row", count(F.col("words")), F.filter(hits, lambda x: F.size(x["starts"]) > 0).alias("hits"))
+    none = whole.where(~maybe).select("row", count(words), F.array().cast(some.schema["hits"].dataType).alias("hits"))
+    return some.unionByName(none).select("row.*", "n_words", "hits")
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 8, least: int = 3, window: int = WINDOW) -> DataFrame:
@@ -132,23 +147,25 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 8, leas
     occur with neighbouring diagonals no more than `slop` apart, in or out of line."""
     from pyspark.sql import Window
 
-    own = C.checkpointed(items(benchmark))
-    index, places = positional_index(docs, own, window)
+    own = sequences(benchmark, window)
+    index, places = positional_index(docs.select(F.col("doc_id").alias("doc"), "text").where("doc is not null"), own, window)
     met = index.join(places, "term").withColumn("shift", F.col("position") - F.col("place"))
-    w = Window.partitionBy("doc_id", "item_id").orderBy("shift", "position")
+    w = Window.partitionBy("doc", "seq").orderBy("shift", "position")
     gap = F.coalesce(F.col("shift") - F.lag("shift").over(w) > slop, F.lit(True)).cast("int")
     runs = met.withColumn("new", gap).withColumn("run", F.sum("new").over(w))
-    out = runs.groupBy("doc_id", "item_id", "run").agg(F.min("position").alias("start"), (F.max("position") + 1).alias("end"), F.count_distinct("place").alias("n_terms"))
-    return out.where(F.col("n_terms") >= least).drop("run")
+    out = runs.groupBy("doc", "seq", "run").agg(F.min("position").alias("start"), (F.max("position") + 1).alias("end"), F.count_distinct("place").alias("n_terms"))
+    found = out.where(F.col("n_terms") >= least).join(own.select("seq", "ids"), "seq")
+    return found.select(F.col("doc").alias("doc_id"), F.explode("ids").alias("item_id"), "start", "end", "n_terms")
 
 
 def hit_report(matches: DataFrame) -> DataFrame:
-    """n_words, n_hit (distinct word positions inside matches), n_items, items_sha256, contaminated."""
-    ids = F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["item_id"].cast("string"))))
-    spots = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["start"], x["start"] + x["length"] - 1))))
-    out = matches.select("doc_id", "n_words", F.size(spots).cast("long").alias("n_hit"), ids.alias("ids"))
+    """All columns but hits, with n_words, n_hit (distinct word positions inside matches), n_items, items_sha256, contaminated."""
+    ids = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["item_ids"]))))
+    spots = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.flatten(F.transform(x["starts"], lambda s: F.sequence(s, s + x["length"] - 1))))))
+    own = [c for c in matches.columns if c not in ("n_words", "hits")]
+    out = matches.select(*own, "n_words", F.size(spots).cast("long").alias("n_hit"), ids.alias("ids"))
     return out.select(
-        "doc_id",
+        *own,
         "n_words",
         "n_hit",
         F.size("ids").cast("long").alias("n_items"),

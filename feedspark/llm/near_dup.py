@@ -36,8 +36,6 @@ from pyspark.sql import functions as F
 from feedspark.llm import common as C
 from feedspark.llm.components import connected_components
 
-#: Up to so many rows of 8 or 16 bytes each a list of ids or keys is broadcast (1.6 MB); beyond it, joins shuffle.
-BROADCAST_ROWS = 100_000
 #: Bits of the parity bitmap, in 64-bit words.
 WORDS = 32
 #: Stars go on while one of them takes at least this share off the pairs that are left.
@@ -158,7 +156,7 @@ class Linker:
 
     def __init__(self, docs: DataFrame, members: DataFrame, reps: DataFrame, k: int, percent: int):
         used = C.checkpointed(reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "print"))
-        texts = _own(docs).join(C.few(used.select("doc_id").distinct(), BROADCAST_ROWS), "doc_id", "left_semi")
+        texts = _own(docs).join(C.few(C.checkpointed(used.select("doc_id").distinct())), "doc_id", "left_semi")
         sets = C.mapped(texts, _sets(k), "doc_id long, print binary, set binary")
         self.sets = C.checkpointed(sets.join(used, ["doc_id", "print"]).select("rep", "set"))
         self.percent = percent
@@ -213,7 +211,7 @@ def _components(docs: DataFrame, reps: DataFrame, k: int, percent: int, bands: i
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.conv(F.hex(F.substring("bands", i * 8 + 1, 8)), 16, -10).cast("long"))
     placed = reps.select("rep", "size", F.posexplode(keys).alias("band", "key"))
     shared = C.checkpointed(placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    members = C.checkpointed(placed.join(C.few(shared, BROADCAST_ROWS), "key"))
+    members = C.checkpointed(placed.join(C.few(shared), "key"))
     if members.isEmpty():
         return None
     popular = members.groupBy("rep").agg(F.sum("n").alias("popular"))

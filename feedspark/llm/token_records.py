@@ -120,7 +120,7 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
     index = spark.read.schema(INDEX).parquet(f"{folder}/index")
     sums = index.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     over = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bases = C.few(sums.select("part", (F.sum("n").over(over) - F.col("n")).alias("base")), 200_000)
+    bases = C.few(C.checkpointed(sums.select("part", (F.sum("n").over(over) - F.col("n")).alias("base"))))
     return index.join(bases, "part").withColumn("start", F.col("base") + F.col("before"))
 
 

@@ -155,11 +155,7 @@ def contamination(text, windows):
 
 def test_decontamination(spark, docs, odd):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet").unionByName(spark.createDataFrame([(900, "same TEXT here"), (901, ""), (902, None), (903, "w w w w w w w w w w w w w w w"), (904, "text here it")], "item_id long, text string"))
-    windows = {}
-    for r in bench.collect():
-        w = WORD.findall((r["text"] or "").translate(LOWER))
-        for i in range(max(1, len(w) - 12)) if w else ():
-            windows.setdefault(tuple(w[i : i + 13]), set()).add(r["item_id"])
+    windows = windows_of((r["item_id"], r["text"]) for r in bench.collect())
     both = docs.select("doc_id", "text").unionByName(odd.where("doc_id is not null").dropDuplicates(["doc_id"]).select((F.col("doc_id") + 100_000).alias("doc_id"), "text"))
     raw = texts(both)
     for r in decontam.hit_report(decontam.phrase_matches(both, bench)).collect():
@@ -171,6 +167,30 @@ def test_decontamination(spark, docs, odd):
     assert exact.join(near, "doc_id", "left_anti").count() == 0
 
 
+def windows_of(items):
+    out = {}
+    for i, text in items:
+        w = WORD.findall((text or "").translate(LOWER))
+        for k in range(max(1, len(w) - 12)) if w else ():
+            out.setdefault(tuple(w[k : k + 13]), set()).add(i)
+    return out
+
+
+def test_decontamination_of_repeated_and_common_items(spark):
+    item = [f"t{i}" for i in range(20)]
+    a = "a " * 40
+    items = [(i, " ".join(item[k : k + 13])) for k in range(0, 8) for i in range(100 * k, 100 * k + k)]  # k copies of the k-th window
+    items += [(5000, "the of and to in is it the of and to in is it"), (5000, "other text under one id with more than thirteen words in it to see"), (5001, a), (5002, "a b a b a b a b a b a b a b a b"), (5003, "a"), (5004, "a a")]
+    texts_ = [" ".join(item), " ".join(item[3:17]), a * 20, "b a " * 30, "x " + "the of and to in is it " * 9, "other text under one id with more than thirteen words in it to see", "b b b", "z a z"]
+    texts_ += [" ".join(item[k : k + 13]) for k in range(8)]
+    rows = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    windows = windows_of(items)
+    got = decontam.hit_report(decontam.phrase_matches(rows, spark.createDataFrame(items, "item_id long, text string"))).collect()
+    for r in got:
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) == contamination(texts_[r["doc_id"]], windows), texts_[r["doc_id"]]
+    assert len(got) == len(texts_)
+
+
 def test_near_duplicates(spark, docs, odd):
     base = [f"w{i}" for i in range(200)]
     chain = [(10_000 + k, " ".join([f"e{k}x{j}" if j < 4 * k else w for j, w in enumerate(base)])) for k in range(12)]  # each links with its neighbours only
