@@ -6,18 +6,19 @@ holds checksums stay sound. A payload is doc_id (signed 64-bit), a byte with the
 if the document has no id), and the ids. The index is a Parquet table with each record's part, offset, length,
 number of ids and ids before it in its part; shuffled reads go through it.
 
-Scale: texts are encoded where they are scanned and stored as narrow ids; only these are range-partitioned, by doc_id and the
-row's number, so that rows without an id or with one repeated id spread over tasks. Each task writes one part file and its
-index rows as a stream. Starts need only the sums of ids by part. Reading opens parts by index rows, in order or in any other.
+Scale: texts are encoded where they are scanned, and only narrow ids are shuffled, once, to ranges of doc_id that quantiles of
+the id column set; rows without an id or with one repeated id fill several ranges if they are many. Each task writes one part
+file and its index rows as a stream. Starts need only the sums of ids by part. Reading opens parts by index rows, in order or in any other.
 
 Defined results: a null or empty text is the end id alone; rows without an id come first; repeated rows are records of
-their own, in the table's order; an empty table gives an empty index; extra columns are ignored; a very long text is one record.
+their own, ordered by content; an empty table gives an empty index; extra columns are ignored; a very long text is one record.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,15 +74,21 @@ def _part(folder: str, n: int) -> str:
     return f"{folder}/part-{n:06d}.rec"
 
 
-def _encode(path: str, end_id: int):
+def _encode(path: str, end_id: int, bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder, seen = encoder(path), Counter()
         for part, data, offs in C.chunks(batches, "text"):
             ids, at = coder.encode(data, offs)
-            raw, docs = np.insert(ids, at[1:], np.uint32(end_id)).tobytes(), part.column("doc_id").to_pylist()
+            raw, docs = np.insert(ids, at[1:], np.uint32(end_id)).tobytes(), part.column("doc_id")
             ends = (4 * (at + np.arange(len(at)))).tolist()
-            payloads = [pack_ids(doc, raw[a:b]) for doc, a, b in zip(docs, ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at) + 1, pa.int64()), pa.array(payloads, pa.binary())], ["doc_id", "n_tokens", "payload"])
+            payloads = [pack_ids(doc, raw[a:b]) for doc, a, b in zip(docs.to_pylist(), ends[:-1], ends[1:], strict=True)]
+            keys = docs.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+            low, high = np.searchsorted(bounds, keys, "left"), np.searchsorted(bounds, keys, "right")
+            for i in np.flatnonzero(high > low).tolist():  # such an id fills ranges of its own; equal rows take turns
+                mark = zlib.crc32(payloads[i])
+                low[i] += (mark + seen[mark]) % (high[i] - low[i] + 1)
+                seen[mark] += 1
+            yield pa.RecordBatch.from_arrays([docs, pa.array(np.diff(at) + 1, pa.int64()), pa.array(payloads, pa.binary()), pa.array(low, pa.int32())], ["doc_id", "n_tokens", "payload", "part"])
 
     return run
 
@@ -109,9 +116,11 @@ def _write(folder: str):
 def write_records(docs: DataFrame, folder: str, path: str, end_id: int = 1) -> None:
     """Write part files in ascending doc_id order to folder, and the index to folder/index."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    encoded = C.mapped(own, _encode(path, end_id), "doc_id long, n_tokens long, payload binary")
-    stored = C.checkpointed(encoded.withColumn("row", F.monotonically_increasing_id()))
-    ordered = stored.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").drop("row")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    id_ = F.coalesce("doc_id", F.lit(int(np.iinfo(np.int64).min)))
+    cuts = own.agg(F.percentile_approx(id_, [i / parts for i in range(1, parts)], max(10_000, 20 * parts)).alias("cuts")).first()["cuts"] if parts > 1 else None
+    encoded = C.mapped(own, _encode(path, end_id, np.array(cuts or [], np.int64)), "doc_id long, n_tokens long, payload binary, part int")
+    ordered = encoded.repartitionById(parts, F.col("part")).sortWithinPartitions("doc_id", "payload").drop("part")
     C.mapped(ordered, _write(folder), INDEX).write.parquet(f"{folder}/index")
 
 
