@@ -8,63 +8,54 @@ from pyspark.sql import functions as F
 from feedspark.llm import decontam, near_dup, packing, quality, toxicity
 from feedspark.llm.common import checkpointed, few, shared_folder
 
-#: Lists of rows up to so many rows are broadcast; beyond it, the joins shuffle.
-BROADCAST_ROWS = 300_000
-#: Column of the rows' numbers within a stage.
+#: Column of the rows' numbers within the near-duplicate stage.
 ROW = "_row"
+#: A document's columns as one, carried through an operator, so that what it decides about a row is applied to this row alone.
+OWN = "_own"
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a stored number of each row, so that what a stage decides about a row is applied to this row alone."""
-    return checkpointed(docs.withColumn(ROW, F.monotonically_increasing_id()))
-
-
-def _by_row(keyed: DataFrame) -> DataFrame:
-    """Texts under their row's number in place of an id."""
-    return keyed.select(F.col(ROW).alias("doc_id"), "text")
-
-
-def _without(keyed: DataFrame, rows: DataFrame) -> DataFrame:
-    """The documents without the given rows (their numbers are in doc_id). The rows are stored first, as they are counted and joined."""
-    gone = checkpointed(rows.select(F.col("doc_id").alias(ROW)).distinct())
-    return keyed.join(few(gone, BROADCAST_ROWS), ROW, "left_anti").drop(ROW)
+def _carried(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias(OWN))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rule nor the learned rules reject."""
-    keyed = _keyed(docs)
-    judged = quality.judge(keyed, spark.read.parquet(f"{sf_dir}/labels.parquet"), key=ROW)
-    return _without(keyed, judged.where(~F.col("kept")))
+    """Documents that neither the base rule nor the learned rules reject. Null and empty texts are rejected by the base rule; rows
+    are judged one by one, so repeated rows go or stay together, with or without an id; an empty table stays empty."""
+    judged = quality.judge(_carried(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=[OWN])
+    return judged.where("kept").select(f"{OWN}.*")
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the toxicity threshold."""
-    keyed = _keyed(docs)
-    scored = toxicity.score_documents(keyed, spark.read.parquet(f"{sf_dir}/labels.parquet"), key=ROW)
-    return _without(keyed, scored.where(F.col("score") >= toxicity.THRESHOLD))
+    """Documents that score below the toxicity threshold. Rows are scored one by one, with or without an id; null and empty texts
+    get the score of no neighbour; an empty table stays empty."""
+    scored = toxicity.score_documents(_carried(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=[OWN])
+    return scored.where(F.col("score") < toxicity.THRESHOLD).select(f"{OWN}.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id (one without an id only where none has one),
-    and one of repeated rows. Texts without words are alike only if they repeat a row."""
-    keyed = _keyed(docs)
+    and one of repeated rows. Texts without words, null or empty, are alike only if they repeat a row; an empty table stays
+    empty."""
+    keyed = checkpointed(docs.withColumn(ROW, F.monotonically_increasing_id()))
     own = keyed.select(ROW, F.col("doc_id").alias("id"), F.md5("text").alias("mark"))
-    dup = near_dup.near_duplicates(_by_row(keyed)).select(F.col("doc_id").alias(ROW), "component_id", (F.col("n_shingles") == 0).alias("blank"))
+    dup = near_dup.near_duplicates(keyed.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id", (F.col("n_shingles") == 0).alias("blank"))
     rows = checkpointed(dup.join(own, ROW))
     group = [F.when(~F.col("blank"), F.col("component_id")).alias("of"), F.when(F.col("blank"), F.col("id")).alias("blank_id"), F.when(F.col("blank"), F.col("mark")).alias("blank_mark"), "blank"]
     kept = rows.groupBy(*group).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", ROW)).alias("x")).select(f"x.{ROW}")
-    return _without(keyed, rows.join(kept, ROW, "left_anti").select(F.col(ROW).alias("doc_id")))
+    gone = checkpointed(rows.join(kept, ROW, "left_anti").select(ROW))
+    return keyed.join(few(gone), ROW, "left_anti").drop(ROW)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words lie in benchmark windows."""
-    keyed = _keyed(docs)
-    found = decontam.hit_report(decontam.phrase_matches(_by_row(keyed), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
-    return _without(keyed, found.where("contaminated"))
+    """Documents of which less than a twentieth of the words lie in benchmark windows. Rows are decided one by one, with or
+    without an id; null and empty texts have no words and stay; an empty table stays empty."""
+    found = decontam.phrase_matches(_carried(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=[OWN])
+    return decontam.hit_report(found).where("not contaminated").select(f"{OWN}.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 1024 tokens."""
+    """Pieces of the documents in sequences of 1024 tokens. A null or empty text is the end id alone; repeated rows are packed each on
+    its own; an empty table gives an empty result."""
     import public_tokenizers
 
     return packing.digest(packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")))

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK_BYTES = 1 << 18
 #: Bytes that part words: blank, tab, line feed, vertical tab, form feed, carriage return.
@@ -64,7 +65,7 @@ def _released(run):
     return own
 
 
-def mapped(df: DataFrame, run, schema: str) -> DataFrame:
+def mapped(df: DataFrame, run, schema: str | T.StructType) -> DataFrame:
     """df.mapInArrow for a session that is made ready for it."""
     ready(df.sparkSession)
     return df.mapInArrow(_released(run), schema)

@@ -5,8 +5,10 @@ sequential covering on the measured features of labelled documents, and `as_colu
 into one Spark conditional expression, so that applying it is a projection without shuffle.
 
 Defined results: a null or empty text has zero of everything (so the base rule rejects it); rows are judged
-one by one, so repeated rows and ties get equal verdicts; an empty table gives an empty result; with no
-label of either class the list is empty and only the base rule decides; extra columns are ignored.
+one by one, so repeated rows and ties get equal verdicts; very long texts are measured whole, each in a chunk of its own; an
+empty table gives an empty result; with no label of either class the list is empty and only the base rule decides; of
+clashing labels of one id the rejection counts, of different texts under one id the one of the smallest counts; extra
+columns are ignored, or kept if they are named.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedspark.llm import common as C
 
@@ -35,7 +38,7 @@ _END = np.zeros(256, bool)
 _END[[ord(c) for c in "!?"]] = True
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_same_words", "n_upper", "n_letters", "n_digits", "n_exclaims"]
-SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
+SCHEMA = [T.StructField(c, T.LongType()) for c in ("doc_id", *COUNTS)]
 WINDOW = 8
 
 #: Features that rules may test, each a ratio that doesn't grow with a text's length.
@@ -44,14 +47,22 @@ RATIOS = {
     "chars_per_word": ("word_chars", "n_words"),
     "dup_lines_per_line": ("n_dup_lines", "n_lines"),
     "repeats_per_word": ("n_repeat_words", "n_words"),
-    "unique_per_word": ("n_same_words", "n_words"),
+    "echoes_per_word": ("n_same_words", "n_words"),
     "upper_per_letter": ("n_upper", "n_letters"),
     "digits_per_char": ("n_digits", "word_chars"),
     "exclaims_per_word": ("n_exclaims", "n_words"),
 }
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measured(carry: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, counts in _measure(batches):
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *counts, *(rows.column(c) for c in carry)], ["doc_id", *COUNTS, *carry])
+
+    return run
+
+
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
     for rows, data, offs in C.chunks(batches, "text"):
         n = len(offs) - 1
         w = C.words(data, offs, False)
@@ -87,12 +98,16 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "n_digits": C.per_doc(_DIGIT[data], offs),
             "n_exclaims": C.per_doc(_END[data], offs),
         }
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(out[c].astype(np.int64)) for c in COUNTS)], ["doc_id", *COUNTS])
+        yield rows, [pa.array(out[c].astype(np.int64)) for c in COUNTS]
 
 
-def features(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Counts of every whole text, one row per document, with its key as doc_id; no shuffle."""
-    return C.mapped(docs.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _measure, SCHEMA)
+def features(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, counts of every whole text and the columns to carry, one row per document; no shuffle."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(carry or []))
+    schema = T.StructType([*SCHEMA])
+    for c in carry or []:
+        schema = schema.add(own.schema[c])
+    return C.mapped(own, _measured(carry or []), schema)
 
 
 def ratio(name: str) -> Column:
@@ -145,9 +160,10 @@ def _grow(table: dict[str, np.ndarray], bad: np.ndarray, cuts: int = 64, most: i
     return tests
 
 
-def learn(sample: pd.DataFrame, min_precision: float = 0.95, min_covered: int = 3, most: int = 24, seed: int = 7) -> list[Rule]:
-    """Sequential covering: grow a rule on two thirds of the labelled rows, prune its last tests on the other
-    third, keep it if it is precise there, drop the rows that it covers, and go on.
+def learn(sample: pd.DataFrame, min_precision: float = 0.95, min_covered: int = 3, most: int = 24, tries: int = 8, seed: int = 7) -> list[Rule]:
+    """Sequential covering: draw a split, grow a rule on two thirds of the labelled rows, prune its last tests on the other third,
+    keep it if it is precise over both parts together, drop the rows that it covers, and go on; stop when `tries` splits in a row
+    give no such rule. How the list does on labels that took no part is for tests to say.
 
     sample: columns of COUNTS and `quality` (0: reject).
     """
@@ -155,24 +171,25 @@ def learn(sample: pd.DataFrame, min_precision: float = 0.95, min_covered: int =
         return []
     table = {name: (sample[a] / sample[b].clip(lower=1)).to_numpy(float) for name, (a, b) in RATIOS.items()}
     bad = sample["quality"].to_numpy() == 0
-    grow = np.random.default_rng(seed).random(len(sample)) < 2 / 3
-    left, rules = np.ones(len(sample), bool), []
+    rng = np.random.default_rng(seed)
+    left, rules, failed = np.ones(len(sample), bool), [], 0
     part = lambda m: {k: v[m] for k, v in table.items()}
-    while len(rules) < most and (g := left & grow)[bad].sum() >= min_covered:
-        tests = _grow(part(g), bad[g])
-        if not tests:
-            break
-        held = left & ~grow
+    while len(rules) < most and failed < tries and left[bad].sum() >= min_covered:
+        grow = rng.random(len(sample)) < 2 / 3
+        g, held = left & grow, left & ~grow
+        tests = _grow(part(g), bad[g]) if bad[g].any() else []
         worth = []
         for k in range(len(tests), 0, -1):
             hit = Rule(tuple(tests[:k]), 0, 0).holds(part(held))
             p, n = (bad[held] & hit).sum(), (~bad[held] & hit).sum()
             worth.append(((p - n) / max(p + n, 1), k))
-        tests = tests[: max(worth, key=lambda x: x[0])[1]]
+        tests = tests[: max(worth, key=lambda x: x[0])[1]] if worth else []
         hit = Rule(tuple(tests), 0, 0).holds(table) & left
         precision = (hit & bad).sum() / max(hit.sum(), 1)
-        if precision < min_precision or (hit & bad).sum() < min_covered:
-            break
+        if not tests or precision < min_precision or (hit & bad).sum() < min_covered:
+            failed += 1
+            continue
+        failed = 0
         rules.append(Rule(tuple(tests), float(precision), int(hit.sum())))
         left &= ~hit
     return rules
@@ -193,24 +210,21 @@ def base_failed() -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> pd.DataFrame:
-    """Features and label of at most `bound` labelled documents: those with the smallest hash of their id."""
-    few = (
-        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-        .where("doc_id is not null and quality is not null")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
-        .limit(bound)
-    )
-    rows = features(docs.select("doc_id", "text").join(F.broadcast(few.select("doc_id").distinct()), "doc_id", "left_semi"))
-    return rows.join(F.broadcast(few), "doc_id").limit(4 * bound).toPandas()
-
-
-def judge(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, key: str = "doc_id", **how) -> DataFrame:
-    """One row per document: its key as doc_id, its counts, base_failed, rejected_by (number of the rule, else null), kept."""
+    """Counts and label of at most `bound` labelled documents, one row an id: those with the smallest hash of their id."""
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
+    few = C.checkpointed(own.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound))
+    rows = features(docs.select("doc_id", "text").join(F.broadcast(few.select("doc_id")), "doc_id", "left_semi"))
+    one = rows.groupBy("doc_id").agg(F.min(F.struct(*COUNTS)).alias("x")).select("doc_id", "x.*")
+    return one.join(F.broadcast(few), "doc_id").orderBy("doc_id").toPandas()
+
+
+def judge(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, carry: list[str] | None = None, **how) -> DataFrame:
+    """One row per document: doc_id, its counts, the columns to carry, base_failed, rejected_by (number of the rule, else null), kept."""
     rules = learn(labelled_sample(docs, labels, bound), **how)
     which = F.lit(None).cast("int")
     for i in reversed(range(len(rules))):
         which = F.when(rules[i].column(), F.lit(i)).otherwise(which)
-    return features(docs, key).select("*", base_failed().alias("base_failed"), which.alias("rejected_by"), (~base_failed() & as_column(rules)).alias("kept"))
+    return features(docs, carry).select("*", base_failed().alias("base_failed"), which.alias("rejected_by"), (~base_failed() & as_column(rules)).alias("kept"))
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -1,49 +1,55 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The vocabulary holds the words and word beginnings that labelled examples tie to the label (chi-square).
-Every whole text becomes a short vector over it, weighted with document frequencies of the whole corpus.
-Labelled examples lie in an inverted index cut into blocks; a block's largest weights bound the cosine of
-every example in it, so that blocks which can't reach the k-th best so far are skipped and the k nearest are
-still exact. Their votes, weighted with the squared cosine, are calibrated by isotonic regression on
-leave-one-out votes of the examples.
-
-Bounds (all parameters): `examples` labelled rows (those with the smallest hash of their id), `vocabulary`
-terms; the index therefore has a fixed largest size and travels with the task. Everything else covers all
-rows: one pass turns texts into vectors, one small aggregation counts document frequencies.
-
-Defined results: null and empty texts, and texts without a term of the vocabulary, get the share of toxic
-rows among such examples; repeated rows get equal scores; ties between examples go to the smaller id; an
-empty table gives an empty result; without labels the score is 0; extra columns are ignored.
+Terms are words and their beginnings of 4 and 5 letters. Every whole text is a vector over the terms that at least two
+labelled examples hold and no more than `most_common` of all documents; a term weighs (1 + ln tf) * ln(1 + N / (1 + df)), with
+df and N counted over the whole corpus, times a factor of FLOOR to 1 that tells how clearly the examples tie the term to the
+label, either way (its z score; see README for figures with and without it). No term is chosen or left out by its label.
+Examples lie in an inverted index cut into blocks; a block's largest weights bound the cosine of every example in
+it, so that blocks which can't reach the k-th best so far are skipped and the k nearest are still exact. Their labels,
+weighted with the squared cosine, give a vote, which isotonic regression on leave-one-out votes of the examples
+calibrates. The nearest examples, toxic or clean, are the evidence.
+
+Bounds (all parameters): `examples` labelled rows (those with the smallest hash of their id), `vocabulary` terms (those that most
+examples hold). The index therefore has a fixed largest size and is broadcast. Everything else covers all rows: one pass
+counts document frequencies, with one row a term and task to sum; another scores, without shuffle.
+
+Defined results: a null or empty text, and one that shares no term with an example, has no neighbour and gets the score of a vote
+that equals the share of toxic examples; very long texts are scored whole; repeated rows get equal scores; ties between
+examples go to the smaller id; of clashing labels of one id toxic counts, of different texts under one id the first in order is
+the example; an empty table gives an empty result; without labels the score is 0; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedspark.llm import common as C
 
-EXAMPLES = 8_000
-VOCABULARY = 2_048
-MIN_CHI2 = 25.0
-MIN_SHARE = 0.6
+EXAMPLES = 4_000
+VOCABULARY = 200_000
+MOST_COMMON = 0.3
 PREFIXES = (4, 5)
+#: Weight of a term that the labels say nothing about; and the z scores from which and up to which the weight grows to 1.
+FLOOR = 0.1
+Z_FROM, Z_TO = 3.0, 8.0
+#: Weight of the share of toxic examples in a vote.
+PRIOR = 0.05
 THRESHOLD = 0.3
 BLOCK = 32
 FIRST_BLOCKS = 8
-#: Weight of what a text says besides the vocabulary, so that one such word in a text differs from a text full of them.
-REST = 6.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _terms(text: str | None) -> Counter:
+def terms_of(text: str | None) -> Counter:
     """Words in lower case and, marked with ^, their beginnings, with counts."""
     found = Counter(_WORD.findall(text.lower())) if text else Counter()
     out = Counter(found)
@@ -56,122 +62,128 @@ def _terms(text: str | None) -> Counter:
 
 def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for at in range(0, b.num_rows, 256):
-            part = b.slice(at, 256)
-            ids, labels, terms, counts = [], [], [], []
-            for i, text, toxic in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
-                own = _terms(text)
-                own[""] = 1  # stands for the example itself
-                ids += [i] * len(own)
-                labels += [toxic] * len(own)
-                terms += own.keys()
-                counts += own.values()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.int32()), pa.array(terms, pa.string()), pa.array(counts, pa.int64())], ["doc_id", "toxic", "term", "tf"])
-
-
-def _vectors(vocabulary: dict[str, int]):
-    whole = {t: i for t, i in vocabulary.items() if t[0] != "^"}
-    parts = [(k, {t[1:]: i for t, i in vocabulary.items() if t[0] == "^" and len(t) == k + 1}) for k in PREFIXES]
+        for text, toxic in zip(b.column("text"), b.column("toxic").to_pylist(), strict=True):
+            own = list(terms_of(text.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([toxic] * len(own), pa.int32())], ["term", "toxic"])
+
+
+class Vocabulary:
+    """Numbers of terms."""
+
+    def __init__(self, terms: list[str]):
+        self.terms = terms
+        self.tables = None
+
+    def __getstate__(self):
+        return self.terms
+
+    def __setstate__(self, terms):
+        self.__init__(terms)
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers (ascending) and counts of a text's terms."""
+        if self.tables is None:
+            place = {t: i for i, t in enumerate(self.terms)}
+            parts = [(k, {t[1:]: i for t, i in place.items() if t[0] == "^" and len(t) == k + 1}) for k in PREFIXES]
+            self.tables = {t: i for t, i in place.items() if t[0] != "^"}, parts
+        whole, parts = self.tables
+        own: dict[int, int] = {}
+        for word, n in Counter(_WORD.findall(text.lower())).items() if text else ():
+            if (i := whole.get(word)) is not None:
+                own[i] = own.get(i, 0) + n
+            for k, table in parts:
+                if len(word) > k and (i := table.get(word[:k])) is not None:
+                    own[i] = own.get(i, 0) + n
+        terms = np.fromiter(own, np.int64, len(own))
+        counts = np.fromiter(own.values(), np.int64, len(own))
+        order = np.argsort(terms)
+        return terms[order], counts[order]
+
+
+def _frequencies(shared):
+    """Documents that hold each term, and all documents (term -1), summed over a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value
+        total, docs = np.zeros(len(vocabulary.terms), np.int64), 0
         for b in batches:
-            terms, counts = [], []
+            docs += b.num_rows
             for text in b.column("text"):
-                own: dict[int, int] = defaultdict(int)
-                for word, n in Counter(_WORD.findall(text.as_py().lower())).items() if text.is_valid else ():
-                    if (i := whole.get(word)) is not None:
-                        own[i] += n
-                    for k, table in parts:
-                        if len(word) > k and (i := table.get(word[:k])) is not None:
-                            own[i] += n
-                ordered = sorted(own)
-                terms.append(ordered)
-                counts.append([own[i] for i in ordered])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "terms", "counts"])
+                total[vocabulary.vector(text.as_py())[0]] += 1
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), pa.array(np.append(total[held], docs))], ["term", "n"])
 
     return run
 
 
-class BlockMaxIndex:
-    """Distinct unit vectors of examples, in blocks, with each term's postings and its largest weight a block."""
-
-    def __init__(self, rows: list[tuple[tuple[int, ...], tuple[float, ...], int, int, int]], n_terms: int):
-        """rows: terms, unit weights, smallest example id, examples, toxic examples."""
-        rows = sorted(rows, key=lambda r: (r[0], r[1], r[2]))  # vectors that share their first terms share blocks
-        self.ids = np.array([r[2] for r in rows], np.int64)
-        self.all = np.array([r[3] for r in rows], float)
-        self.toxic = np.array([r[4] for r in rows], float)
-        self.blocks = -(-len(rows) // BLOCK)
-        self.largest = np.zeros((n_terms, self.blocks), np.float32)
-        own: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for k, (terms, weights, *_) in enumerate(rows):
-            for t, w in zip(terms, weights, strict=True):
-                own[t].append((k, w))
-                self.largest[t, k // BLOCK] = max(self.largest[t, k // BLOCK], np.nextafter(np.float32(w), np.float32(2)))
-        self.postings = [(np.array([k for k, _ in x], np.int64), np.array([w for _, w in x])) for x in own]
-
-    def _score(self, terms: list[int], weights: np.ndarray, open_: np.ndarray) -> list[tuple[float, int, int]]:
-        """(-cosine, id, row) of the rows in the open blocks that share a term."""
-        score = np.zeros(self.blocks * BLOCK)
-        for t, w in zip(terms, weights, strict=True):
-            rows, own = self.postings[t]
-            keep = open_[rows // BLOCK]
-            score[rows[keep]] += w * own[keep]
-        return [(-score[j], int(self.ids[j]), int(j)) for j in np.flatnonzero(score)]
-
-    def nearest(self, terms: list[int], weights: np.ndarray, k: int, but: int = -1) -> list[tuple[int, float, float]]:
-        """(row, cosine, examples) in order until k examples; but: a row that counts one less. The blocks of the largest
-        bounds set the k-th cosine; then every block that may reach it is opened, and no other."""
-        if not self.blocks or not len(terms):
-            return []
-        bound = weights @ self.largest[terms]
-        order = np.argsort(-bound, kind="stable")
-        done = np.zeros(self.blocks, bool)
-        found: list[tuple[float, int, int]] = []
-        now = order[:FIRST_BLOCKS]
-        while len(now):
-            open_ = np.zeros(self.blocks, bool)
-            open_[now] = True
-            done |= open_
-            found = sorted(found + self._score(terms, weights, open_))
-            total, floor = 0.0, 0.0
-            for n, (s, _, row) in enumerate(found):
-                total += self.all[row] - (row == but)
-                if total >= k:
-                    found, floor = found[: n + 1], -s - 1e-9
-                    break
-            now = np.flatnonzero(~done & (bound > 0) & (bound >= floor))
-        return [(row, min(-s, 1.0), self.all[row] - (row == but)) for s, _, row in found]
-
-
-def _unit(terms, counts, idf: np.ndarray) -> tuple[list[int], np.ndarray]:
-    """Terms and unit weights; the last term stands for the rest of the text."""
-    w = np.append((1 + np.log(np.asarray(counts, float))) * idf[list(terms)], REST)
-    return [*terms, len(idf)], w / math.sqrt(float(w @ w))
+def _vectors(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            terms, counts = zip(*(shared.value.vector(x.as_py()) for x in b.column("text")), strict=True) if b.num_rows else ((), ())
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(list(terms), kind), pa.array(list(counts), kind)], ["doc_id", "toxic", "terms", "counts"])
 
+    return run
 
-class Model:
-    """Votes of the nearest examples and their calibration."""
 
-    def __init__(self, index: BlockMaxIndex, idf: np.ndarray, base: float, empty: float, k: int):
-        self.index, self.idf, self.base, self.empty, self.k = index, idf, base, empty, k
-        self.x, self.y = np.array([0.0, 1.0]), np.array([0.0, 1.0])
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start[i] to start[i] + size[i] - 1 for every i, one after the other."""
+    before = np.cumsum(size) - size
+    return np.repeat(start - before, size) + np.arange(size.sum())
 
-    def vote(self, terms, counts, but: int = -1, own: int = 0) -> tuple[float, list[tuple[int, float]]]:
-        near = self.index.nearest(*_unit(terms, counts, self.idf), self.k, but)
-        top, bottom = self.base, 1.0
-        for row, cos, n in near:
-            share = self.index.toxic[row] - (own if row == but else 0)
-            weight = cos * cos * min(1.0, self.k / max(n, 1.0))
-            top += weight * share
-            bottom += weight * n
-        return top / bottom, [(int(self.index.ids[row]), cos) for row, cos, n in near if n > 0]
-
-    def score(self, terms, counts) -> tuple[float, list[tuple[int, float]]]:
-        if not len(terms):
-            return self.empty, []
-        raw, near = self.vote(terms, counts)
-        return float(np.clip(np.interp(raw, self.x, self.y), 0, 1)), near
+
+class BlockMaxIndex:
+    """Unit vectors of examples in blocks; for each term its postings, cut at blocks, and its largest weight in each block."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, labels: np.ndarray, n_terms: int):
+        """vectors: terms and weights of each example; the order by heaviest term lets blocks hold like vectors."""
+        heavy = [int(t[w.argmax()]) if len(t) else -1 for t, w in vectors]
+        order = np.lexsort((ids, heavy)) if len(ids) else np.zeros(0, np.int64)
+        self.ids, self.labels = ids[order], labels[order]
+        self.blocks = -(-len(order) // BLOCK)
+        vectors = [vectors[i] for i in order]
+        row = np.repeat(np.arange(len(order)), [len(t) for t, _ in vectors]).astype(np.int64)
+        term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)])
+        weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
+        by = np.lexsort((row, term))
+        self.rows, self.weights, term = row[by].astype(np.int32), weight[by], term[by]
+        block = self.rows // BLOCK
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        at = np.flatnonzero(new)
+        self.block, self.start = block[at], np.append(at, len(term))
+        self.largest = np.maximum.reduceat(self.weights, at) if len(at) else np.zeros(0)
+        self.entry = np.searchsorted(term[at], np.arange(n_terms + 1))
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and cosines of the k nearest examples that share a term, in order; but: a row that doesn't count. The blocks of the
+        largest bounds set the k-th cosine; then every block that may reach it is opened, and no other."""
+        size = self.entry[terms + 1] - self.entry[terms]
+        entries = _spans(self.entry[terms], size)
+        if not len(entries):
+            return np.zeros(0, np.int64), np.zeros(0)
+        own = np.repeat(weights, size)
+        block = self.block[entries]
+        bound = np.bincount(block, self.largest[entries] * own, self.blocks)
+        score = np.zeros(len(self.ids))
+        open_ = np.zeros(self.blocks, bool)
+        now = np.argpartition(-bound, FIRST_BLOCKS)[:FIRST_BLOCKS] if self.blocks > FIRST_BLOCKS else np.arange(self.blocks)
+        while len(now):
+            mask = np.zeros(self.blocks, bool)
+            mask[now] = True
+            open_ |= mask
+            keep = mask[block]
+            e = entries[keep]
+            count = self.start[e + 1] - self.start[e]
+            at = _spans(self.start[e], count)
+            score += np.bincount(self.rows[at], self.weights[at] * np.repeat(own[keep], count), len(score))
+            if but >= 0:
+                score[but] = 0
+            floor = -np.partition(-score, k - 1)[k - 1] if len(score) > k else 0.0
+            now = np.flatnonzero(~open_ & (bound > 0) & (bound >= floor - 1e-9))
+        found = np.flatnonzero((score > 0) & (score >= floor - 1e-12))
+        found = found[np.lexsort((self.ids[found], -np.round(score[found], 12)))][:k]
+        return found, np.minimum(score[found], 1.0)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,93 +200,98 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([v for b in blocks for v in (b[2], b[3])]), np.array([b[0] for b in blocks for _ in (0, 1)])
 
 
-def _fit(rows: list, vocabulary: dict[str, int], df: dict[int, int], n_docs: int, k: int) -> Model:
-    """rows: (doc_id, toxic, term, tf) of the examples, the empty term for each example itself."""
-    idf = np.array([math.log(1 + n_docs / (1 + df.get(i, 0))) for i in range(len(vocabulary))])
-    labels = {r["doc_id"]: r["toxic"] for r in rows if r["term"] == ""}
-    vectors: dict[int, list] = {i: [] for i in labels}
-    for r in rows:
-        if r["term"] in vocabulary:
-            vectors[r["doc_id"]].append((vocabulary[r["term"]], r["tf"]))
-    groups: dict[tuple, list[int]] = defaultdict(list)
-    for i, v in vectors.items():
-        groups[tuple(sorted(v))].append(i)
-    none = groups.pop((), [])
-    base = sum(labels.values()) / max(len(labels), 1)
-    keyed = {}
-    for v, ids in groups.items():
-        terms, counts = zip(*v, strict=True)
-        keyed[v] = (*map(tuple, _unit(terms, counts, idf)), min(ids), len(ids), sum(labels[i] for i in ids))
-    index = BlockMaxIndex(list(keyed.values()), len(vocabulary) + 1)
-    model = Model(index, idf, base, (sum(labels[i] for i in none) + base) / (len(none) + 1), k)
-    place = {int(i): n for n, i in enumerate(index.ids)}
-    x, y = [], []
-    for v, ids in groups.items():
-        terms, counts = zip(*v, strict=True)
-        for toxic, n in Counter(labels[i] for i in ids).items():
-            raw, _ = model.vote(terms, counts, place[min(ids)], toxic)
-            x += [raw] * min(n, 50)
-            y += [float(toxic)] * min(n, 50)
-    if x:
-        model.x, model.y = isotonic(np.array(x), np.array(y))
-    return model
-
-
-def _scored(model: Model):
+def label_weights(held: np.ndarray, toxic: np.ndarray, n: int, n_toxic: int) -> np.ndarray:
+    """FLOOR to 1 by the z score of the toxic share among the examples that hold a term (held, toxic: examples and toxic ones)."""
+    share = n_toxic / max(n, 1)
+    z = np.abs(toxic - held * share) / np.sqrt(np.maximum(held * share * (1 - share), 1e-9))
+    return FLOOR + (1 - FLOOR) * np.clip((z - Z_FROM) / (Z_TO - Z_FROM), 0, 1)
+
+
+class Model:
+    """Votes of the nearest examples and their calibration."""
+
+    def __init__(self, vocabulary: Vocabulary, weight: np.ndarray, vectors: list, ids: np.ndarray, labels: np.ndarray, k: int):
+        """weight: of each term; vectors: terms and counts of each example."""
+        self.vocabulary, self.weight, self.k = vocabulary, weight, k
+        self.base = float(labels.mean()) if len(labels) else 0.0
+        self.index = BlockMaxIndex([self.unit(*v) for v in vectors], ids, labels, len(weight))
+        self.x, self.y = np.array([0.0, 1.0]), np.array([0.0, 1.0])
+        row = {int(i): n for n, i in enumerate(self.index.ids)}
+        own = [self.vote(*v, row[int(i)])[0] for i, v in zip(ids, vectors, strict=True)]
+        if own:
+            self.x, self.y = isotonic(np.array(own), labels.astype(float))
+
+    def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms with a weight, and the unit vector."""
+        w = (1 + np.log(np.maximum(counts, 1))) * self.weight[terms]
+        keep = w > 0
+        return terms[keep], w[keep] / max(math.sqrt(float(w @ w)), 1e-300)
+
+    def vote(self, terms: np.ndarray, counts: np.ndarray, but: int = -1) -> tuple[float, list[tuple[int, float, int]]]:
+        rows, cosines = self.index.nearest(*self.unit(terms, counts), self.k, but)
+        labels, weights = self.index.labels[rows], cosines**2
+        raw = (PRIOR * self.base + float(weights @ labels)) / (PRIOR + float(weights.sum()))
+        return raw, list(zip(self.index.ids[rows].tolist(), cosines.tolist(), labels.tolist(), strict=True))
+
+    def score(self, text: str | None) -> tuple[float, list[tuple[int, float, int]]]:
+        raw, near = self.vote(*self.vocabulary.vector(text))
+        return float(np.clip(np.interp(raw, self.x, self.y), 0, 1)), near
+
+
+EVIDENCE = "array<struct<doc_id:long,similarity:double,toxic:int>>"
+
+
+def _scored(shared, carry: list[str]):
+    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, tuple] = {}
         for b in batches:
-            scores, near = [], []
-            for terms, counts in zip(b.column("terms").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                key = (tuple(terms), tuple(counts))
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    known[key] = model.score(terms, counts)
-                scores.append(known[key][0])
-                near.append([{"doc_id": i, "similarity": s} for i, s in known[key][1]])
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores, pa.float64()), pa.array(near, kind)], ["doc_id", "score", "evidence"])
+            scores, near = zip(*map(shared.value.score, b.column("text").to_pylist()), strict=True) if b.num_rows else ((), ())
+            evidence = [[{"doc_id": i, "similarity": s, "toxic": y} for i, s, y in x] for x in near]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, kind), *(b.column(c) for c in carry)], ["doc_id", "score", "evidence", *carry])
 
     return run
 
 
-def example_rows(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
-    """Terms of at most `bound` labelled rows outside the held-out part, checkpointed."""
-    few = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~C.held_out())
-    few = few.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return C.checkpointed(C.mapped(docs.join(F.broadcast(few), "doc_id").select("doc_id", "text", "toxic"), _example_terms, "doc_id long, toxic int, term string, tf long"))
-
-
-def choose_vocabulary(rows: DataFrame, size: int, min_chi2: float, min_share: float = MIN_SHARE) -> dict[str, int]:
-    """The terms that go with the label most clearly by chi-square of presence and label, among those for which the share
-    of toxic examples with the term is min_share or more even at its lower bound (Wilson, 95 % one-sided)."""
-    n, pos = rows.where("term = ''").agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    a, b = F.col("pos").cast("double"), (F.col("n") - F.col("pos")).cast("double")
-    c, d = float(pos) - a, float(n - pos) - b
-    chi2 = float(n) * (a * d - b * c) ** 2 / F.greatest((a + b) * (c + d) * (a + c) * (b + d), F.lit(1e-9))
-    counts = rows.where("term <> ''").groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("pos")).where("pos >= 3")
-    k, z2 = F.col("n").cast("double"), 1.645**2
-    share = a / k
-    low = (share + z2 / (2 * k) - 1.645 * F.sqrt(share * (1 - share) / k + z2 / (4 * k * k))) / (1 + z2 / k)
-    best = counts.select("term", chi2.alias("chi2"), low.alias("low")).where((F.col("chi2") >= min_chi2) & (F.col("low") >= min_share))
-    return {r["term"]: i for i, r in enumerate(best.orderBy(F.desc("chi2"), "term").limit(size).collect())}
-
-
-def score_documents(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary: int = VOCABULARY, k: int = 16, min_chi2: float = MIN_CHI2, key: str = "doc_id") -> DataFrame:
-    """doc_id (the given key), score (0 to 1), evidence (nearest examples with their cosine), one row per document."""
-    keyed = docs.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = example_rows(docs, labels, examples)
-    chosen = choose_vocabulary(rows, vocabulary, min_chi2)
-    vectors = C.checkpointed(C.mapped(keyed, _vectors(chosen), "doc_id long, terms array<int>, counts array<int>"))
-    df = {r["term"]: r["count"] for r in vectors.select(F.explode("terms").alias("term")).groupBy("term").count().collect()}
-    kept = rows.where(F.col("term") == "") if not chosen else rows.join(F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in ["", *chosen]], "term string")), "term", "left_semi")
-    model = _fit(kept.dropDuplicates(["doc_id", "term"]).collect(), chosen, df, vectors.count(), k)
-    return C.mapped(vectors, _scored(model), "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double>>")
+def _examples(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
+    """doc_id, toxic, text of at most `bound` labelled documents outside the held-out part, stored."""
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
+    few = own.where(~C.held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    return C.checkpointed(docs.join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
+
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary: int = VOCABULARY, k: int = 16, most_common: float = MOST_COMMON) -> Model:
+    """docs: doc_id, text."""
+    context = docs.sparkSession.sparkContext
+    sample = _examples(docs, labels, examples)
+    counted = C.mapped(sample.select("text", "toxic"), _example_terms, "term string, toxic int").groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
+    chosen = counted.where("n >= 2").orderBy(F.desc("n"), "term").limit(vocabulary).toArrow()
+    terms = Vocabulary(chosen.column("term").to_pylist())
+    shared = context.broadcast(terms)
+    counts = C.mapped(docs.select("text"), _frequencies(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df, at = np.zeros(len(terms.terms) + 1), counts.column("term").to_numpy()
+    df[at] = counts.column("n").to_numpy()  # the number of documents, at -1, takes the last place
+    n_docs, df = df[-1], df[:-1]
+    rows = C.mapped(sample, _vectors(shared), "doc_id long, toxic int, terms array<long>, counts array<long>").orderBy("doc_id").toArrow()
+    ids, own = rows.column("doc_id").to_numpy().astype(np.int64), rows.column("toxic").to_numpy().astype(np.int64)
+    vectors = [(np.array(t, np.int64), np.array(c, np.int64)) for t, c in zip(rows.column("terms").to_pylist(), rows.column("counts").to_pylist(), strict=True)]
+    held, toxic = (chosen.column(c).to_numpy().astype(float) for c in ("n", "toxic"))
+    weight = np.log(1 + n_docs / (1 + df)) * label_weights(held, toxic, len(ids), int(own.sum())) * (df <= most_common * n_docs)
+    return Model(terms, weight, vectors, ids, own, k)
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None, **how) -> DataFrame:
+    """doc_id, score (0 to 1), evidence (nearest examples with cosine and label) and the columns to carry, one row per document."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(carry or []))
+    model = fit(own.select("doc_id", "text"), labels, **how)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType.fromDDL(f"doc_id long, score double, evidence {EVIDENCE}")
+    for c in carry or []:
+        schema = schema.add(own.schema[c])
+    return C.mapped(own, _scored(shared, carry or []), schema)
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score_documents(docs, labels)
-    return scored.select("doc_id", C.held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.size("evidence").alias("n_neighbours"))
+    return scored.select("doc_id", C.held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
