@@ -2,16 +2,19 @@
 
 A page is cut into leaf blocks: runs of text between block-level tags. Each block has features of its ancestors' tags,
 of the words in their class, id and role, and of its text; the field labels the blocks as main text or not and
-Viterbi decoding picks the best sequence. It is trained by maximum likelihood on labelled pages: at most `pages` pages (those
-with the smallest hash of their id), labelled by their semantic elements, and the same blocks set again in other
-page layouts with sidebars, notices, forms, adverts and reader comments, whose labels are known.
+Viterbi decoding picks the best sequence. It is trained by maximum likelihood on at most `pages` pages (those
+with the smallest hash of their id, of at most `longest` characters and `most_blocks` blocks; larger ones are left out of training, none
+is cut). No table has labels, so the labels are weak: pages with an article or main element are labelled by tag and class
+names, and the texts of all sampled pages, and a few of our own, are set again in other page layouts with sidebars, notices,
+forms, adverts and reader comments, whose labels are known. A table without such elements is learned from these layouts alone.
 
 Scale: training is bounded by its parameters; extraction is a projection of whole pages without shuffle, and a page
 takes time in proportion to its length.
 
 Defined results: a null or empty html, and a page without main text, give an empty text; unclosed elements, cut
-tags and cut references at a page's end are taken as they are; only raw-text elements (RAW) and closed templates hide their content; repeated rows get equal results; an empty table
-gives an empty result; extra columns are ignored.
+tags and cut references at a page's end are taken as they are; only raw-text elements (RAW) and closed templates hide their
+content; very long and very deep pages are extracted whole; repeated rows get equal results; of different pages under one id the
+first in order may be learned from; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from pyspark.sql import functions as F
 from feedspark.llm import common as C
 
 PAGES = 150
+LONGEST = 200_000
+MOST_BLOCKS = 400
 #: Elements whose content is raw text and never text of the page; without a closing tag they run to the page's end.
 RAW = "script style noscript iframe textarea title".split()
 INLINE = set("a abbr audio b bdi bdo big button canvas cite code data del dfn em font i img ins kbd label mark math object q s samp select small span strike strong sub sup svg template time tt u var video wbr".split())
@@ -254,6 +259,8 @@ def weak_labels(blocks: list[Block]) -> list[int] | None:
     return out
 
 
+#: Marks main text in built pages (a private character).
+MARK = "\ue000"
 #: Layouts of training pages: (opening, main, closing) with a place for what is set in; parts are filled at random.
 _MAIN = [("article", ""), ("main", ""), ("div", "content"), ("div", "post-body"), ("section", "entry-content"), ("div", "article-text"), ("div", "story main"), ("div", "")]
 _OTHER = [
@@ -265,7 +272,7 @@ _OTHER = [
 
 
 def _layout(main: list[str], other: list[str], rng: np.random.Generator) -> tuple[str, str]:
-    """A page of the given texts in a random layout; main text is marked by \\ue000 at its blocks' beginnings."""
+    """A page of the given texts in a random layout; main text has MARK at its blocks' beginnings."""
     esc = lambda x: entities.escape(x, quote=False)
     pick = lambda: esc(other[rng.integers(len(other))]) if other else "more"
     name = lambda x: f' {"id" if rng.random() < 0.2 else "class"}="{x}"' if x else ""
@@ -289,7 +296,7 @@ def _layout(main: list[str], other: list[str], rng: np.random.Generator) -> tupl
     own = []
     for i, text in enumerate(main):
         kind = "h1" if i == 0 and rng.random() < 0.7 else ["p", "p", "p", "p", "p", "h2", "blockquote", "li", "div", "td"][rng.integers(10)]
-        text = "" + esc(text)
+        text = MARK + esc(text)
         own.append({"li": f"<ul><li>{text}</li></ul>", "td": f"<table><tr><td>{text}</td></tr></table>"}.get(kind, f"<{kind}>{text}</{kind}>" if rng.random() < 0.8 else f"<p><b>{text}<br>"))
         if rng.random() < 0.1:
             own.append(box(*_OTHER[rng.integers(10, len(_OTHER))]))
@@ -300,23 +307,45 @@ def _layout(main: list[str], other: list[str], rng: np.random.Generator) -> tupl
     return f"<html><body>{before}<{tag}{name(cls)}>{''.join(own)}</{tag}>{after}</body></html>"
 
 
-def labelled_pages(pages: list[str], layouts: int = 5, seed: int = 11) -> list[tuple[list[list[str]], list[int]]]:
-    """Features and labels of the given pages and of their texts in other layouts."""
-    rng, out = np.random.default_rng(seed), []
+#: Material of layouts, so that the field is trained whatever the table holds.
+_OWN_MAIN = [
+    "The river rose in the night, and by morning the lower road was closed.",
+    "Most of the houses there were built before anyone kept records of the water.",
+    "She had measured the same field every spring for twenty years. The numbers hardly changed.",
+    "A second survey, made in autumn, found less. Nobody could say why.",
+    "What the town needs, he said, is time, money and a better map.",
+]
+_OWN_OTHER = ["Home", "About us", "Contact", "Read more", "Sign in to see more of this site.", "All rights reserved", "We value your privacy.", "Thanks, this was of help to me. I agree with most of it.", "Our best offers of the week"]
+
+
+def _material(blocks: list[Block]) -> list[int]:
+    """For a page without semantic elements: blocks that read like running text."""
+    return [int(b.text.count(" ") >= 7 and 2 * b.linked <= len(b.text)) for b in blocks]
+
+
+def labelled_pages(pages: list[str], layouts: int = 5, most_blocks: int = MOST_BLOCKS, seed: int = 11) -> list[tuple[list[list[str]], list[int]]]:
+    """Features and labels of the given pages, and of their texts and our own in other layouts."""
+    rng, out, texts = np.random.default_rng(seed), [], [(_OWN_MAIN, _OWN_OTHER)] * 4
     for page in pages:
-        blocks = leaf_blocks(page)[:120]
-        labels = weak_labels(blocks)
-        if labels is None or not any(labels):
+        blocks = leaf_blocks(page)
+        if not 0 < len(blocks) <= most_blocks:
             continue
-        out.append((features(blocks), labels))
-        main = [b.text for b, y in zip(blocks, labels, strict=True) if y][:40]
-        other = [b.text for b, y in zip(blocks, labels, strict=True) if not y]
-        other += [x[: int(rng.integers(40, 400))] for x in main]  # what comments and notices say may read like the article
+        labels = weak_labels(blocks)
+        if labels is not None and any(labels):
+            out.append((features(blocks), labels))
+        else:
+            labels = _material(blocks)
+        main, other = ([b.text for b, y in zip(blocks, labels, strict=True) if y == k] for k in (1, 0))
+        if main:
+            texts.append((main, other or _OWN_OTHER))
+    for main, other in texts:
+        # what comments and notices say may read like the article
+        other = other + [x.split(". ")[int(rng.integers(x.count(". ") + 1))] for x in main]
         for _ in range(layouts):
             made = leaf_blocks(_layout(main, other, rng))
-            y = [int(b.text.startswith("")) for b in made]
+            y = [int(b.text.startswith(MARK)) for b in made]
             for b in made:
-                b.text = b.text.replace("", "") or "."
+                b.text = b.text.replace(MARK, "") or "."
             out.append((features(made), y))
     return out
 
@@ -337,11 +366,13 @@ def _extracted(field: ChainField):
     return run
 
 
-def learn(pages: DataFrame, bound: int = PAGES) -> ChainField:
-    """Train on at most `bound` pages with an article or main element."""
-    few = pages.where(F.col("html").rlike("(?i)<(article|main)[\\s>]") & F.col("page_id").isNotNull()).select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(bound)
-    rows = pages.join(F.broadcast(few.distinct()), "page_id", "left_semi").where("html is not null").orderBy("page_id", "url").limit(2 * bound).select("html").collect()
-    return train(labelled_pages([r["html"][:200_000] for r in rows]))
+def learn(pages: DataFrame, bound: int = PAGES, longest: int = LONGEST) -> ChainField:
+    """Train on at most `bound` pages, those with an article or main element first."""
+    own = pages.where(F.col("page_id").isNotNull() & (F.char_length("html") <= longest))
+    rank = F.when(F.col("html").rlike("(?i)<(article|main)[\\s>]"), 0).otherwise(1)
+    few = C.checkpointed(own.groupBy("page_id").agg(F.min(rank).alias("rank")).orderBy("rank", F.xxhash64("page_id"), "page_id").limit(bound))
+    rows = own.join(F.broadcast(few.select("page_id")), "page_id", "left_semi").groupBy("page_id").agg(F.min("html").alias("html")).orderBy("page_id").collect()
+    return train(labelled_pages([r["html"] for r in rows]))
 
 
 def extract(pages: DataFrame, bound: int = PAGES) -> DataFrame:
