@@ -3,14 +3,16 @@
 Pages are written as compressed WARC resource records, one file a partition, with an index of ordered offset ranges.
 The audit hashes every record's stored bytes with its range into the leaves of a tree for each file, joins `fanout`
 neighbours level by level, and joins the files' roots to one root of the collection. Two replicas with equal roots are
-equal; else only the children of mismatching nodes are compared, level by level, down to the damaged ranges.
+equal; else only the children of mismatching nodes are compared, level by level, down to the damaged ranges. A file's last leaf
+is its length, and the collection's root covers the list of files, so that bytes behind the last record and files that
+no record names are found as well (`surplus`).
 
 Scale: bytes are read once, where the tasks are; what is shuffled are 32-byte hashes, a sixteenth as many on each
 level. A damaged file costs its path of nodes, not a comparison of all records.
 
 Defined results: a null html is an empty block, a null url an empty target; a missing or shorter file has damaged ranges;
-repeated rows are records of their own; an empty table has no record and the root of nothing (null); extra columns are
-ignored.
+repeated rows are records of their own; a very long page is one record; an empty table has no record and a root of its file
+list alone; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,10 +130,36 @@ def _hashed(folder: str):
     return run
 
 
+def files_of(spark: SparkSession, folder: str) -> DataFrame:
+    """file, size of what lies in a collection's folder; contents aren't read."""
+    kind = "path string, modificationTime timestamp, length long, content binary"
+    try:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        found = spark.createDataFrame([], kind)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("size"))
+
+
+def _ends(index: DataFrame) -> DataFrame:
+    """part, file, record (one behind the last), end of every file."""
+    name = F.format_string("part-%06d.warc.gz", "part").alias("file")
+    return index.groupBy("part").agg((F.max("record") + 1).alias("record"), F.max(F.col("offset") + F.col("length")).alias("end")).select("part", name, "record", "end")
+
+
+def surplus(index: DataFrame, folder: str) -> DataFrame:
+    """file, offset, length of the bytes that no record of the index names: behind a file's last record, or a whole file."""
+    both = files_of(index.sparkSession, folder).join(_ends(index), "file", "left")
+    return both.select("file", F.coalesce("end", F.lit(0)).alias("offset"), (F.col("size") - F.coalesce("end", F.lit(0))).alias("length")).where("length > 0")
+
+
 def merkle_tree(index: DataFrame, folder: str, fanout: int = FANOUT) -> DataFrame:
-    """part, level (0: records), node, hash: all nodes of every file's tree, as a stored table. Level -1 of part -1
-    stands for the collection: its hash joins the files' roots in order."""
-    leaves = C.checkpointed(C.mapped(index.select("part", "record", "offset", "length"), _hashed(folder), "part int, node long, hash string"))
+    """part, level (0: records, and behind them the file's length), node, hash: all nodes of every file's tree, as a stored table."""
+    records = C.mapped(index.select("part", "record", "offset", "length"), _hashed(folder), "part int, node long, hash string")
+    size = F.coalesce(F.col("size").cast("string"), F.lit("none"))
+    ends = _ends(index).join(files_of(index.sparkSession, folder), "file", "left").select("part", F.col("record").alias("node"), F.sha2(F.concat(F.lit("3"), size), 256).alias("hash"))
+    leaves = C.checkpointed(records.unionByName(ends))
     most = leaves.agg(F.max("node")).first()[0]
     levels, now, n, level = [leaves.withColumn("level", F.lit(0))], leaves, (most or 0) + 1, 0
     while n > 1:
@@ -144,15 +173,16 @@ def merkle_tree(index: DataFrame, folder: str, fanout: int = FANOUT) -> DataFram
     return out.select("part", "level", "node", "hash")
 
 
-def root(tree: DataFrame) -> str | None:
-    """The collection's root: files' roots joined in groups, as many levels as it takes."""
+def root(tree: DataFrame, folder: str) -> tuple:
+    """The collection's root: files' roots joined in groups, as many levels as it takes, and a digest of the list of files."""
     top = tree.agg(F.max("level")).first()[0]
     now = tree.where(F.col("level") == top).select(F.col("part").cast("long").alias("node"), "hash") if top is not None else None
     while now is not None and now.count() > 1:
         inside = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda x: x["hash"]), "")
         now = C.checkpointed(now.groupBy(F.expr(f"node div {FANOUT}").alias("up")).agg(F.sha2(F.concat(F.lit("2"), inside), 256).alias("hash")).withColumnRenamed("up", "node"))
     found = now.collect() if now is not None else []
-    return found[0]["hash"] if found else None
+    names = files_of(tree.sparkSession, folder).agg(F.count("*"), F.bit_xor(F.xxhash64("file"))).first()
+    return (found[0]["hash"] if found else None, *names)
 
 
 def damaged_records(one: DataFrame, other: DataFrame, fanout: int = FANOUT) -> DataFrame:
@@ -173,9 +203,10 @@ def damaged_records(one: DataFrame, other: DataFrame, fanout: int = FANOUT) -> D
 
 
 def audit(index: DataFrame, folder: str, replica: str, fanout: int = FANOUT) -> DataFrame:
-    """The index with status: ok, or damaged where the replica's bytes differ from the folder's."""
+    """The index with status: ok, or damaged where the replica's bytes differ from the folder's. `surplus` names what else the
+    replica holds."""
     one, other = merkle_tree(index, folder, fanout), merkle_tree(index, replica, fanout)
-    if root(one) == root(other):
+    if root(one, folder) == root(other, replica):
         return index.withColumn("status", F.lit("ok"))
     bad = damaged_records(one, other, fanout).withColumn("bad", F.lit(True))
     return index.join(C.few(bad), ["part", "record"], "left").withColumn("status", F.when(F.col("bad"), "damaged").otherwise("ok")).drop("bad")
