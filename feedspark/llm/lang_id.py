@@ -11,7 +11,7 @@ without shuffle over whole texts, vectorised over chunks of about a million code
 
 Defined results: `und` with score 0 if a text is null, empty or has no letter, or if no language was learned; a text
 whose n-grams are all unknown gets the most frequent language with score 0; ties go to the first language by
-code; repeated rows get equal results; an empty table gives an empty result; extra columns are ignored.
+code; very long texts are read whole; rows that share an id are learned from together, and repeated rows get equal results; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -125,12 +125,23 @@ class Filter:
         return out
 
 
+def sample(known: DataFrame, per_language: int) -> DataFrame:
+    """doc_id, lang of the `per_language` rows of each language with the smallest hash of their id. Counts by language first set a
+    bound of the hash that at least so many rows stay below (but for 6 standard deviations), so that no task ranks more."""
+    top = 1 << 40
+    own = known.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(top)).alias("h"))
+    most = F.col("n") * 1.0 / (per_language + 6 * per_language**0.5 + 36)
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (top / F.greatest(most, F.lit(1.0))).alias("below"))
+    near = own.join(C.few(C.checkpointed(sizes)), "lang").where("h <= below")
+    first = Window.partitionBy("lang").orderBy("h", "doc_id")
+    return near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language).select("doc_id", "lang")
+
+
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, grams: int = GRAMS) -> tuple[Filter, str | None]:
     """The filter and the most frequent language, from rows with a language outside the held-out part."""
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(~C.held_out())
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = known.select("doc_id", "lang").withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language).select("doc_id", "lang")
-    picked = known.join(C.few(few.select("doc_id").distinct(), 1_000_000), "doc_id", "left_semi").select("text", "lang")
+    few = C.checkpointed(sample(known, per_language).select("doc_id").distinct())
+    picked = known.join(C.few(few), "doc_id", "left_semi").select("text", "lang")
     counts = C.mapped(picked, _counted, "lang string, order int, gram long, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang", "order").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("r", F.row_number().over(best)).where(F.col("r") <= grams // len(ORDERS)).select("lang", "gram").toPandas()
