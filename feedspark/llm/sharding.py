@@ -11,8 +11,9 @@ in a source that holds a third of the table; only counts per bucket (a few thous
 meet in one place. Texts never leave the scan, only their size and checksum.
 
 Defined results: a null text has size 16 and checksum 0, as an empty one; a null source is a source of its own;
-ties of the hash order go by doc_id, then size and checksum; repeated rows take a slot each; an empty table gives an
-empty result; extra columns are ignored.
+the hash is of the id, size and checksum, so rows that share an id spread by their texts; its ties go by doc_id, then size and
+checksum; repeated rows take a slot each; a very long text is one row; an empty table gives an empty result; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ def _first_of_bucket(rows: DataFrame, group: str | None, bucket: str) -> DataFra
     return counts.select(*keys, before.alias("before"), F.sum("n").over(over).alias("all"))
 
 
-def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = 42, per_bucket: int = 50_000) -> DataFrame:
+def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = 42, per_bucket: int = 10_000) -> DataFrame:
     """doc_id, source, size, text_crc32, fraction, shard, slot: one row per document."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
@@ -42,8 +43,10 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = 42, per_bucket
         (F.octet_length(text).cast("long") + 16).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("stratum"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h"),
+        F.col("doc_id").cast("string").alias("id"),
     )
+    mark = F.concat_ws(":", F.lit(str(seed)), F.coalesce("id", F.lit("")), F.col("size"), F.col("text_crc32"))
+    rows = rows.withColumn("h", F.md5(mark)).drop("id")
     total = docs.count()
     buckets = max(1, -(-total // per_bucket))
     part = lambda x: F.floor(x * buckets).cast("long")
@@ -76,7 +79,7 @@ tab AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
 hexed AS (SELECT *, string_split(hex(encode(coalesce(text, ''))), '') AS h FROM documents),
 bytes AS (SELECT * EXCLUDE (h), list_transform(range(1, len(h), 2), lambda i: CAST((strpos('0123456789ABCDEF', h[i]) - 1) * 16 + strpos('0123456789ABCDEF', h[i + 1]) - 1 AS BIGINT)) AS b FROM hexed),
 summed AS (SELECT * EXCLUDE (b), xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), CAST(4294967295 AS BIGINT)) AS crc, len(b) + 16 AS size FROM bytes, tab),
-ranked AS (SELECT *, coalesce('s' || source, 'n') AS stratum, md5('42:' || CAST(doc_id AS VARCHAR)) AS h, count(*) OVER () AS total FROM summed),
+ranked AS (SELECT *, coalesce('s' || source, 'n') AS stratum, md5('42:' || CAST(doc_id AS VARCHAR) || ':' || CAST(size AS VARCHAR) || ':' || CAST(crc AS VARCHAR)) AS h, count(*) OVER () AS total FROM summed),
 r AS (SELECT *, CAST(2 * row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id, size, crc) - 1 AS DOUBLE) / CAST(2 * count(*) OVER (PARTITION BY stratum) AS DOUBLE) AS f FROM ranked),
 p AS (SELECT *, row_number() OVER (ORDER BY f, stratum, h, doc_id, size, crc) - 1 AS pos FROM r)
 SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'rows' AS law, CAST(pos * 40 // total AS INTEGER) AS shard, pos - (39 + (pos * 40 // total) * total) // 40 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p
