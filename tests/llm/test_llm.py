@@ -269,6 +269,44 @@ def test_language(spark, odd):
     assert lang_id.identify(odd.limit(0)).count() == 0
 
 
+def test_language_against_brute_force(spark, docs):
+    """Frequent n-grams by plain counting, exact sets in place of the filter."""
+    from collections import Counter
+
+    rows = docs.withColumn("held", C.held_out()).collect()
+
+    def grams(text, n):
+        word = "".join(c.lower()[0] if c.isalpha() else " " for c in text or "")
+        word = " " + " ".join(word.split()) + " " if word.strip() else " "
+        return [g for i in range(len(word) - n + 1) if " " not in (g := word[i : i + n])[1:-1]]
+
+    def order(g):  # the operator's order of equally frequent n-grams
+        codes = np.array([ord(c) if c != " " else 0 for c in g], np.uint32)
+        return int(lang_id._grams(codes, len(g))[0].view(np.int64)[0])
+
+    top = {}
+    for lang in {r["lang"] for r in rows if r["lang"]}:
+        for n in lang_id.ORDERS:
+            counts = Counter(g for r in rows if r["lang"] == lang and not r["held"] for g in grams(r["text"], n))
+            top[lang, n] = set(sorted(counts, key=lambda g: (-counts[g], order(g)))[: lang_id.GRAMS // len(lang_id.ORDERS)])
+    got = {r["doc_id"]: r for r in lang_id.identify(docs).collect()}
+    for r in rows:
+        found = {lang: sum(g in top[lang, n] for n in lang_id.ORDERS for g in grams(r["text"], n)) for lang in sorted({k for k, _ in top})}
+        best = max(found, key=lambda x: found[x])
+        assert abs(got[r["doc_id"]]["score"] - max(found.values()) / max(sum(found.values()), 1)) < 0.02
+        if sorted(found.values())[-1] > 1.1 * sorted(found.values())[-2]:
+            assert got[r["doc_id"]]["lang_pred"] == best
+
+
+def test_language_sample_is_the_smallest_hashes(spark):
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "a").when(F.col("id") < 300, "b").otherwise("c").alias("lang"))
+    got = {(r["lang"], r["doc_id"]) for r in lang_id.sample(rows, 150).collect()}
+    want = set()
+    for lang in "abc":
+        want |= {(lang, r["doc_id"]) for r in rows.where(F.col("lang") == lang).orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id").limit(150).collect()}
+    assert got == want
+
+
 def test_bloom_filter_has_no_false_negatives():
     rng = np.random.default_rng(1)
     made = lang_id.Filter([f"l{i:02d}" for i in range(70)], cells=1 << 14)
@@ -381,6 +419,18 @@ def test_main_text(spark):
     assert html_text.extract(rows.limit(0)).count() == 0
 
 
+def test_main_text_without_semantic_elements(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    plain = F.regexp_replace("html", "(?i)</article>", "</div>")
+    want = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    for open_tag, least in (('<div class="content">', 0.9), ('<div class="post-body">', 0.9), ("<div>", 0.4)):
+        got = {r["page_id"]: r["text"] for r in html_text.extract(pages.withColumn("html", F.regexp_replace(plain, "(?i)<article>", open_tag))).collect()}
+        assert sum(got[i] == t for i, t in want.items()) >= least * len(want), open_tag
+    long = "<article>" + "<div>" * 500 + "".join(f"<p>Sentence {i} of a long page, with words in it.</p>" for i in range(5000))
+    rows = html_text.extract(spark.createDataFrame([(1, "u", long)], "page_id long, url string, html string")).collect()
+    assert rows[0]["text"].startswith("Sentence 0 of") and rows[0]["text"].endswith("Sentence 4999 of a long page, with words in it.")
+
+
 def test_field_is_the_maximum_of_its_likelihood():
     rows, labels = [["x"], ["m"], ["y"], ["m"]], [1, 1, 0, 0]
     field = html_text.train([(rows, labels)] * 4, rounds=800, l2=1e-2)
@@ -415,6 +465,21 @@ def test_warc_audit(spark):
     bad = warc.audit(index, folder, broken, fanout=4).where("status <> 'ok'")
     assert {r["page_id"] for r in bad.collect()} == {3, 40}
     assert warc.audit(index, folder, C.shared_folder(spark, "none")).where("status = 'ok'").count() == 0
+    assert warc.surplus(index, copy).count() == warc.surplus(index, broken).count() == 0
+    from pathlib import Path
+
+    file = sorted(Path(copy.removeprefix("file:")).glob("*.warc.gz"))[0]
+    size = file.stat().st_size
+    with file.open("ab") as f:
+        f.write(b"more")
+    assert [(r["file"], r["offset"], r["length"]) for r in warc.surplus(index, copy).collect()] == [(file.name, size, 4)]
+    one = warc.merkle_tree(index, folder)
+    assert warc.root(one, folder) != warc.root(warc.merkle_tree(index, copy), copy)
+    (Path(broken.removeprefix("file:")) / "extra.warc.gz").write_bytes(b"x")
+    assert [(r["file"], r["length"]) for r in warc.surplus(index, broken).collect()] == [("extra.warc.gz", 1)]
+    assert warc.root(one, folder) == warc.root(warc.merkle_tree(index, folder), folder) != warc.root(one, broken)
+    twice = warc.write_warc(pages.unionByName(pages).withColumn("part", F.lit("x")).withColumn("hash", F.lit("y")), C.shared_folder(spark, "warc"))
+    assert twice.count() == 2 * pages.count()
     read = {r["page_id"]: bytes(r["block"]) for r in warc.read_warc(index.withColumn("status", F.lit("")), folder).collect()}
     assert read == {r["page_id"]: (r["html"] or "").encode() for r in pages.collect()}
     assert gzip.decompress(warc.record(1, "http://a", b"x")).startswith(b"WARC/1.1\r\n")
