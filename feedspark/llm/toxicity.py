@@ -36,7 +36,7 @@ from feedspark.llm import common as C
 
 EXAMPLES = 4_000
 VOCABULARY = 200_000
-MOST_COMMON = 0.3
+MOST_COMMON = 0.1
 PREFIXES = (4, 5)
 #: Weight of a term that the labels say nothing about; and the z scores from which and up to which the weight grows to 1.
 FLOOR = 0.1
@@ -44,7 +44,7 @@ Z_FROM, Z_TO = 3.0, 8.0
 #: Weight of the share of toxic examples in a vote.
 PRIOR = 0.05
 THRESHOLD = 0.3
-BLOCK = 32
+BLOCK = 16
 FIRST_BLOCKS = 8
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -136,7 +136,8 @@ class BlockMaxIndex:
     """Unit vectors of examples in blocks; for each term its postings, cut at blocks, and its largest weight in each block."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, labels: np.ndarray, n_terms: int):
-        """vectors: terms and weights of each example; the order by heaviest term lets blocks hold like vectors."""
+        """vectors: terms and weights of each example, stored in single precision; the order by heaviest term lets blocks hold like
+        vectors."""
         heavy = [int(t[w.argmax()]) if len(t) else -1 for t, w in vectors]
         order = np.lexsort((ids, heavy)) if len(ids) else np.zeros(0, np.int64)
         self.ids, self.labels = ids[order], labels[order]
@@ -146,13 +147,13 @@ class BlockMaxIndex:
         term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)])
         weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
         by = np.lexsort((row, term))
-        self.rows, self.weights, term = row[by].astype(np.int32), weight[by], term[by]
+        self.rows, self.weights, term = row[by].astype(np.int32), weight[by].astype(np.float32), term[by]
         block = self.rows // BLOCK
         new = np.ones(len(term), bool)
         new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
         at = np.flatnonzero(new)
-        self.block, self.start = block[at], np.append(at, len(term))
-        self.largest = np.maximum.reduceat(self.weights, at) if len(at) else np.zeros(0)
+        self.block, self.start = block[at].astype(np.int32), np.append(at, len(term))
+        self.largest = np.maximum.reduceat(self.weights, at) if len(at) else np.zeros(0, np.float32)
         self.entry = np.searchsorted(term[at], np.arange(n_terms + 1))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -180,9 +181,9 @@ class BlockMaxIndex:
             if but >= 0:
                 score[but] = 0
             floor = -np.partition(-score, k - 1)[k - 1] if len(score) > k else 0.0
-            now = np.flatnonzero(~open_ & (bound > 0) & (bound >= floor - 1e-9))
-        found = np.flatnonzero((score > 0) & (score >= floor - 1e-12))
-        found = found[np.lexsort((self.ids[found], -np.round(score[found], 12)))][:k]
+            now = np.flatnonzero(~open_ & (bound > 0) & (bound >= floor - 1e-6))
+        found = np.flatnonzero((score > 0) & (score >= floor - 1e-7))
+        found = found[np.lexsort((self.ids[found], -np.round(score[found], 7)))][:k]
         return found, np.minimum(score[found], 1.0)
 
 

@@ -123,7 +123,7 @@ def test_toxicity_against_brute_force(spark, docs, labels):
 
     def weight(t):
         held = [y for i, y in mine.items() if t in terms[i]]
-        if len(held) < 2 or df[t] > 0.3 * n:
+        if len(held) < 2 or df[t] > toxicity.MOST_COMMON * n:
             return 0.0
         z = abs(sum(held) - len(held) * share) / math.sqrt(len(held) * share * (1 - share))
         return math.log(1 + n / (1 + df[t])) * (0.1 + 0.9 * min(max((z - 3) / 5, 0), 1))
@@ -133,7 +133,7 @@ def test_toxicity_against_brute_force(spark, docs, labels):
     norm = {i: math.sqrt(sum(v * v for v in x.values())) for i, x in vec.items()}
 
     def vote(i, but=None):
-        near = sorted(((-sum(v * vec[j].get(t, 0) for t, v in vec[i].items()) / (norm[i] * norm[j]), j) for j in mine if j != but and norm[i] and norm[j]), key=lambda x: (round(x[0], 12), x[1]))
+        near = sorted(((-sum(v * vec[j].get(t, 0) for t, v in vec[i].items()) / (norm[i] * norm[j]), j) for j in mine if j != but and norm[i] and norm[j]), key=lambda x: (round(x[0], 7), x[1]))
         near = [(-s, j) for s, j in near if s < 0][:5]
         return (0.05 * share + sum(s * s * mine[j] for s, j in near)) / (0.05 + sum(s * s for s, _ in near)), near
 
@@ -141,8 +141,8 @@ def test_toxicity_against_brute_force(spark, docs, labels):
     for i, r in got.items():
         value, near = vote(i)
         assert [(e["doc_id"], e["toxic"]) for e in r["evidence"]] == [(j, mine[j]) for _, j in near]
-        assert all(abs(e["similarity"] - s) < 1e-9 for e, (s, _) in zip(r["evidence"], near, strict=True))
-        assert abs(r["score"] - np.interp(value, x, y)) < 1e-9
+        assert all(abs(e["similarity"] - s) < 1e-6 for e, (s, _) in zip(r["evidence"], near, strict=True))
+        assert abs(r["score"] - np.interp(value, x, y)) < 1e-4
 
 
 def test_block_max_search_is_exact():
@@ -160,7 +160,7 @@ def test_block_max_search_is_exact():
         q = rng.random(5)
         q /= np.linalg.norm(q)
         score = dense[:, terms] @ q
-        want = sorted((-round(s, 12), i) for i, s in enumerate(score) if s > 0)[:16]
+        want = sorted((-round(float(s), 7), i) for i, s in enumerate(score) if s > 0)[:16]
         rows, cosines = index.nearest(terms, q, 16)
         assert index.ids[rows].tolist() == [i for _, i in want]
         assert np.allclose(cosines, [-s for s, _ in want])
