@@ -23,13 +23,16 @@ def today_filter(candidates: DataFrame, today: str) -> DataFrame:
     return candidates.where(F.col("dt").isNull() | (F.substring("dt", 1, 10) == today))
 
 
-def cold_start_top_n(candidates: DataFrame, quotas: DataFrame) -> DataFrame:
+def cold_start_top_n(candidates: DataFrame, quotas: DataFrame, parts: int = 64) -> DataFrame:
     """For sources with a quota (source_name, quota; null: unlimited): URLs once across sections, newest first, undated last,
     then in order of encounter, up to the quota."""
     once = Window.partitionBy("source_name", "url").orderBy("section", "position")
-    rows = candidates.join(F.broadcast(quotas), "source_name").withColumn("_n", F.row_number().over(once)).where("_n = 1")
-    w = Window.partitionBy("source_name").orderBy(F.desc_nulls_last("dt"), "section", "position")
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("quota").isNull() | (F.col("rank") <= F.col("quota"))).drop("_n", "quota")
+    rows = candidates.join(quotas, "source_name").withColumn("_n", F.row_number().over(once)).where("_n = 1")
+    order, within = [F.desc_nulls_last("dt"), "section", "position"], F.col("quota").isNull() | (F.col("rank") <= F.col("quota"))
+    # the best of each of many parts of a source first, so that only a quota a part meets in one task
+    part = rows.withColumn("_p", F.pmod(F.xxhash64("url"), F.lit(parts)))
+    near = part.withColumn("rank", F.row_number().over(Window.partitionBy("source_name", "_p").orderBy(*order))).where(within)
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("source_name").orderBy(*order))).where(within).drop("_n", "_p", "quota")
 
 
 def cold_start_frontiers(candidates: DataFrame, selected: DataFrame) -> DataFrame:
@@ -59,7 +62,7 @@ def admit_incremental(candidates: DataFrame, stored: DataFrame, frontiers: DataF
     rows = candidates.where("coalesce(url, '') <> ''").withColumn("_o", F.row_number().over(once)).where("_o = 1")
     rows = rows.withColumn("unique_index", F.row_number().over(order))
     rows = rows.join(stored.select("url").distinct().withColumn("_stored", F.lit(True)), "url", "left")
-    rows = rows.join(F.broadcast(frontiers.select(*SECTION, F.col("url").alias("_frontier"))), SECTION, "left").join(F.broadcast(cutoffs), "source_name", "left").join(details.select("url", "detail_dt"), "url", "left")
+    rows = rows.join(frontiers.select(*SECTION, F.col("url").alias("_frontier")), SECTION, "left").join(cutoffs, "source_name", "left").join(details.select("url", "detail_dt"), "url", "left")
     same_day = (F.substring("dt", 1, 10) == F.substring("cutoff", 1, 10)) & (F.rpad(F.coalesce(F.substring("dt", 12, 8), F.lit("")), 8, "0").isin("00000000", "00:00:00")) & (F.substring("cutoff", 12, 8) != "00:00:00")
     listed = F.when(F.length("dt") == 10, F.concat("dt", F.lit(" 00:00:00"))).otherwise(F.col("dt"))
     rows = rows.withColumns({"_stored": F.coalesce("_stored", F.lit(False)), "_at": F.col("_frontier").isNotNull() & (F.col("url") == F.col("_frontier")), "_window": F.col("_frontier").isNotNull() | (F.col("unique_index") <= F.coalesce("repair_window", F.lit(0)))})
@@ -79,11 +82,15 @@ def auto_seed_frontiers(candidates: DataFrame, frontiers: DataFrame, cutoffs: Da
     unless that row is newer than the cutoff."""
     missing = candidates.where("coalesce(url, '') <> ''").join(frontiers, SECTION, "left_anti")
     first = missing.groupBy(*SECTION).agg(F.min_by(F.struct("url", "dt"), "position").alias("x"))
-    rows = first.join(F.broadcast(cutoffs.select("source_name", "cutoff")), "source_name", "left")
+    rows = first.join(cutoffs.select("source_name", "cutoff"), "source_name", "left")
     return rows.select(*SECTION, "x.url", (~F.coalesce(F.col("x.dt") > F.col("cutoff"), F.lit(False))).alias("stops"))
 
 
 def source_run_summary(runs: DataFrame) -> DataFrame:
-    """source_name (null: all), status, new_items, errors, seconds: error if there are errors and nothing new."""
-    g = runs.rollup("source_name").agg(F.sum("new_items").alias("new_items"), F.count_if("is_error").alias("errors"), F.sum("seconds").alias("seconds"))
+    """source_name (null: all), status, new_items, errors, seconds, warnings (number), skipped (names of the sources that a run
+    passed over): error if there are errors and nothing new. runs: source_name, new_items, is_error, seconds, warning (text or
+    null), is_skipped."""
+    warned, passed = F.count_if(F.trim(F.coalesce("warning", F.lit(""))) != ""), F.array_sort(F.collect_set(F.when(F.col("is_skipped"), F.col("_name"))))
+    sums = [F.sum("new_items").alias("new_items"), F.count_if("is_error").alias("errors"), F.sum("seconds").alias("seconds")]
+    g = runs.withColumn("_name", F.col("source_name")).rollup("source_name").agg(*sums, warned.alias("warnings"), passed.alias("skipped"))
     return g.withColumn("status", F.when((F.col("errors") > 0) & (F.col("new_items") == 0), "error").when(F.col("new_items") > 0, "success").otherwise("empty"))

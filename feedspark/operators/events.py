@@ -27,42 +27,90 @@ def valid_events(raw: DataFrame) -> DataFrame:
     return validate_events(raw).where("missing = ''").drop("missing")
 
 
-def sanitize_props(events: DataFrame, props: str = "props", event: str = "event", longest: int = 240, longest_error: int = 360) -> DataFrame:
-    """props (map<string,string>) without secrets; links become a hash of their host, names of custom sources a hash; text
-    is trimmed and cut, longer for errors."""
+#: Events whose name begins like this are errors.
+ERROR = "error_"
+PROPS = "map<string,string>"
+
+
+def _first_by_key(entries: Column) -> Column:
+    """Entries (key, value) as a map; of equal keys the first stays."""
+    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.get(F.filter(entries, lambda e: e["key"] == k), 0)["value"]))
+
+
+def _cut(value: Column, most: Column) -> Column:
+    v = F.trim(value)
+    return F.when(F.length(v) > most, F.concat(F.rtrim(F.substring(v, F.lit(1), most)), F.lit("..."))).otherwise(F.nullif(v, F.lit("")))
+
+
+def _hashed(v: Column) -> Column:
+    return F.substring(F.sha2(v, 256), 1, 16)
+
+
+def _is_link(key: Column) -> Column:
+    return F.lower(key).isin(URL_KEYS) | F.lower(key).endswith("_url")
+
+
+def _is_kept(e: Column) -> Column:
+    return (F.trim(e["key"]) != "") & ~F.lower(F.trim(e["key"])).isin(SECRET_KEYS) & e["value"].isNotNull() & (F.trim(e["value"]) != "")
+
+
+def _clean_object(text: Column, most: Column) -> Column:
+    """An object as JSON without secrets and with links hashed; null if it isn't one or nothing is left."""
     from feedspark.functions.urls import host
 
-    p = F.coalesce(F.col(props), F.create_map().cast("map<string,string>"))
-    custom = (F.coalesce(p["is_custom_source"], F.lit("")) == "true") | (F.lower(F.coalesce(p["source_type"], F.lit(""))) == "rss") | (F.trim(F.coalesce(p["rule_id"], F.lit(""))) != "")
-    link = lambda k: F.lower(k).isin(URL_KEYS) | F.lower(k).endswith("_url")
-    hashed = lambda v: F.substring(F.sha2(v, 256), 1, 16)
-    most = F.when(F.col(event).startswith("error_"), longest_error).otherwise(longest)
+    quoted = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", "")
+
+    def pair(e: Column) -> Column:
+        k, v = F.trim(e["key"]), F.trim(e["value"])
+        name, value = F.when(_is_link(k), F.concat(k, F.lit("DomainHash"))).otherwise(k), F.when(_is_link(k), F.when(host(v) != "", _hashed(host(v)))).otherwise(_cut(v, most))
+        return F.concat(quoted(name), F.lit(":"), quoted(value))
+
+    kept = F.filter(F.map_entries(F.from_json(text, PROPS)), _is_kept)
+    return F.nullif(F.concat(F.lit("{"), F.array_join(F.array_sort(F.transform(kept, pair)), ","), F.lit("}")), F.lit("{}"))
+
+
+def sanitize_props(events: DataFrame, props: str = "props", event: str = "event", longest: int = 240, longest_error: int = 360, error: str = ERROR) -> DataFrame:
+    """props (map<string,string>, lists and objects as JSON) without secrets; links become a hash of their host, names of custom
+    sources a hash; text is trimmed and cut, longer for errors. Of a list the first 12 items stay, cleaned alike; objects, also those in
+    lists, are cleaned by key, what lies deeper is text. Of keys that only blanks tell apart the first in order stays."""
+    from feedspark.functions.urls import host
+
+    p = F.coalesce(F.col(props), F.create_map().cast(PROPS))
+    has = lambda k: F.coalesce(F.get(F.filter(F.map_entries(p), lambda e: F.trim(e["key"]) == k), 0)["value"], F.lit(""))
+    custom = (has("is_custom_source") == "true") | (F.lower(F.trim(has("source_type"))) == "rss") | (F.trim(has("rule_id")) != "")
+    most = F.when(F.col(event).startswith(error), longest_error).otherwise(longest)
+    listed = lambda v: F.from_json(v, "array<string>")
+
+    def item(x: Column) -> Column:
+        return F.when(F.trim(x).startswith("{"), _clean_object(F.trim(x), most)).otherwise(_cut(x, most))
 
     def entry(e: Column) -> Column:
         k, v = F.trim(e["key"]), F.trim(e["value"])
-        named = custom & (k == "source_name")
-        name = F.when(link(k), F.concat(k, F.lit("DomainHash"))).when(named, "sourceNameHash").otherwise(k)
-        cut = F.when(F.length(v) > most, F.concat(F.rtrim(F.substring(v, F.lit(1), most)), F.lit("..."))).otherwise(v)
-        value = F.when(link(k), F.when(host(v) != "", hashed(host(v)))).when(named, hashed(v)).otherwise(cut)
-        return F.struct(name.alias("key"), value.alias("value"))
+        named = F.col("_custom") & (k == "source_name")
+        name = F.when(_is_link(k), F.concat(k, F.lit("DomainHash"))).when(named, "sourceNameHash").otherwise(k)
+        text = F.when(v.startswith("{") & F.from_json(v, PROPS).isNotNull(), _clean_object(v, most)).when(v.startswith("[") & listed(v).isNotNull(), F.to_json(F.filter(F.transform(F.slice(listed(v), 1, 12), item), lambda x: x.isNotNull()))).otherwise(_cut(v, most))
+        value = F.when(_is_link(k), F.when(host(v) != "", _hashed(host(v)))).when(named, _hashed(v)).otherwise(text)
+        return F.struct(name.alias("key"), e["key"].alias("own"), value.alias("value"))
 
-    kept = F.filter(F.map_entries(p), lambda e: (F.trim(e["key"]) != "") & ~F.lower(F.trim(e["key"])).isin(SECRET_KEYS) & e["value"].isNotNull() & (F.trim(e["value"]) != ""))
-    clean = F.filter(F.transform(kept, entry), lambda e: e["value"].isNotNull() & (e["key"] != "is_custom_source"))
-    marked = F.when(custom, F.concat(clean, F.array(F.struct(F.lit("is_custom_source").alias("key"), F.lit("true").alias("value"))))).otherwise(clean)
-    return events.withColumn(props, F.map_from_entries(F.array_sort(marked)))
+    rows = events.withColumn("_custom", custom)
+    rows = rows.withColumn("_clean", F.filter(F.transform(F.filter(F.map_entries(p), _is_kept), entry), lambda e: e["value"].isNotNull() & (e["key"] != "is_custom_source")))
+    mark = F.struct(F.lit("is_custom_source").alias("key"), F.lit("").alias("own"), F.lit("true").alias("value"))
+    all_ = F.array_sort(F.when(F.col("_custom"), F.concat("_clean", F.array(mark))).otherwise(F.col("_clean")))
+    return rows.withColumn("_clean", all_).withColumn(props, _first_by_key(F.col("_clean"))).drop("_custom", "_clean")
 
 
-def sample_events(events: DataFrame, rate: float, event: str = "event", key: str = "event_id") -> DataFrame:
+def sample_events(events: DataFrame, rate: float, event: str = "event", key: str = "event_id", error: str = ERROR) -> DataFrame:
     """Errors and critical events always, others by a hash of their id, so that a higher rate keeps a superset."""
     bucket = F.conv(F.substring(F.md5(F.col(key)), 1, 8), 16, 10).cast("long") % 1_000_000
-    return events.where(F.col(event).startswith("error") | F.col(event).isin(CRITICAL_EVENTS) | (bucket < int(rate * 1_000_000)))
+    return events.where(F.col(event).startswith(error) | F.col(event).isin(CRITICAL_EVENTS) | (bucket < int(rate * 1_000_000)))
 
 
-def consent_filter(events: DataFrame, consent: DataFrame) -> DataFrame:
+def consent_filter(events: DataFrame, consent: DataFrame, error: str = ERROR) -> DataFrame:
     """Events that their install agrees to: errors by error_enabled, others by usage_enabled, none behind `killed`; installs
     without a row agree to nothing."""
     rows = events.join(consent, "install_id")
-    return rows.where(~F.col("killed") & F.when(F.col("event").startswith("error"), F.col("error_enabled")).otherwise(F.col("usage_enabled"))).select(events.columns)
+    return rows.where(~F.col("killed") & F.when(F.col("event").startswith(error), F.col("error_enabled")).otherwise(F.col("usage_enabled"))).select(events.columns)
 
 
 def queue_stats(queue: DataFrame, now: Column) -> DataFrame:
@@ -70,12 +118,22 @@ def queue_stats(queue: DataFrame, now: Column) -> DataFrame:
     return queue.agg(F.count("*").alias("total"), *(F.count_if(F.col("status") == s).alias(s) for s in ("pending", "failed", "sent")), F.count_if(waiting & (F.coalesce("next_retry_at", now) <= now)).alias("ready"))
 
 
-def apply_retention(events: DataFrame, now: Column, days: dict[str, int], default: int, ts: str = "ts", kind: str = "event") -> DataFrame:
-    """Rows younger than the days of their class (default: other classes)."""
+def apply_retention(events: DataFrame, now: Column, days: dict[str, int], default: int, ts: str = "ts", kind: str = "event", status: str | None = None, sent_at: str = "sent_at", sent_days: int = 7) -> DataFrame:
+    """Rows younger than the days of their class (default: other classes); with a status column, without those sent longer ago
+    than sent_days."""
     keep = F.lit(default)
     for name, n in days.items():
         keep = F.when(F.col(kind) == name, n).otherwise(keep)
-    return events.where(F.col(ts) >= now - F.make_dt_interval(keep))
+    rows = events.where(F.col(ts) >= now - F.make_dt_interval(keep))
+    if status is None:
+        return rows
+    return rows.where(~F.coalesce((F.col(status) == "sent") & (F.col(sent_at) < now - F.make_dt_interval(F.lit(sent_days))), F.lit(False)))
+
+
+def clear_events(queue: DataFrame, statuses: list[str] | None = None) -> DataFrame:
+    """The queue without the rows of the given statuses; without any, nothing is left."""
+    named = [x.strip() for x in statuses or [] if x.strip()]
+    return queue.where(~F.coalesce(F.col("status").isin(named), F.lit(False))) if named else queue.limit(0)
 
 
 def event_report(events: DataFrame) -> DataFrame:
@@ -98,8 +156,8 @@ def action_counts(events: DataFrame, actions: DataFrame) -> DataFrame:
     return events.join(F.broadcast(actions), "event").groupBy("event", "label").agg(F.count("*").alias("n"))
 
 
-def error_counts(events: DataFrame) -> DataFrame:
-    return events.where(F.col("event").startswith("error")).groupBy("event").agg(F.count("*").alias("n"))
+def error_counts(events: DataFrame, error: str = ERROR) -> DataFrame:
+    return events.where(F.col("event").startswith(error)).groupBy("event").agg(F.count("*").alias("n"))
 
 
 def feature_counts(events: DataFrame, part: str = "ai_") -> DataFrame:
@@ -107,11 +165,15 @@ def feature_counts(events: DataFrame, part: str = "ai_") -> DataFrame:
 
 
 def activity_metrics(events: DataFrame, launch: str = "app_launch", approximate: bool = False) -> DataFrame:
-    """day, app_version, platform (null: all) with launches, devices and sessions, as a cube of version and platform."""
+    """day, app_version, platform, channel (null: all) with launches, installs (devices first seen that day), devices and
+    sessions: in all, by each of them, and by all three."""
     distinct = F.approx_count_distinct if approximate else F.count_distinct
-    rows = events.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    g = rows.groupingSets([["day", "app_version", "platform"], ["day", "app_version"], ["day", "platform"], ["day"]], "day", "app_version", "platform")
-    return g.agg(F.count_if(F.col("event") == launch).alias("launches"), distinct("install_id").alias("devices"), distinct("session_id").alias("sessions"))
+    first = events.groupBy("install_id").agg(F.min("ts").cast("date").alias("_first"))
+    rows = events.withColumn("day", F.date_format("ts", "yyyy-MM-dd")).join(first, "install_id", "left")
+    new = F.when(F.date_format("_first", "yyyy-MM-dd") == F.col("day"), F.col("install_id"))
+    dims = ["app_version", "platform", "channel"]
+    g = rows.withColumn("_new", new).groupingSets([["day", *dims], *(["day", x] for x in dims), ["day"]], "day", *dims)
+    return g.agg(F.count_if(F.col("event") == launch).alias("launches"), distinct("_new").alias("installs"), distinct("install_id").alias("devices"), distinct("session_id").alias("sessions"))
 
 
 def retention(events: DataFrame, days: tuple[int, ...] = (1, 7)) -> DataFrame:
@@ -124,17 +186,35 @@ def retention(events: DataFrame, days: tuple[int, ...] = (1, 7)) -> DataFrame:
     return g.withColumn("rate", F.round(F.col("active") / F.col("devices"), 4))
 
 
-def failure_rate_by(events: DataFrame, dimension: str) -> DataFrame:
+def failure_rate_by(events: DataFrame, dimension: str, error: str = ERROR) -> DataFrame:
     """Error share of each value of a dimension and its jump against the value before."""
-    g = events.groupBy(dimension).agg(F.count("*").alias("n"), F.count_if(F.col("event").startswith("error")).alias("errors"))
+    g = events.groupBy(dimension).agg(F.count("*").alias("n"), F.count_if(F.col("event").startswith(error)).alias("errors"))
     rate = F.col("errors") / F.col("n")
     return g.withColumn("rate", F.round(rate, 4)).withColumn("jump", F.round(rate - F.lag(rate).over(Window.orderBy(dimension)), 4))
 
 
-def rolling_metrics(samples: DataFrame, key: str, order: list[str], value: str, n: int = 60) -> DataFrame:
-    """samples with the mean of the last n samples and the peak so far, by series."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return samples.withColumns({"rolling_mean": F.round(F.avg(value).over(w.rowsBetween(1 - n, 0)), 6), "peak": F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+def rolling_metrics(samples: DataFrame, key: str, order: list[str], value: str, n: int = 60, bucket: str = "day", width: int = 50_000) -> DataFrame:
+    """samples with the mean of the last n samples and the peak so far, by series. order: a time and what breaks its ties.
+
+    A series of any length is cut: counts by time bucket (a unit of date_trunc) number its rows, stretches of `width` numbers are
+    windows of their own, the last n - 1 rows of a stretch also go before the next, and peaks of earlier stretches are
+    carried on. So a task holds a bucket or a stretch of a series."""
+    rows = samples.withColumn("_b", F.date_trunc(bucket, order[0]))
+    run = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(key, "_b").agg(F.count("*").alias("_c")).select(F.col(key).alias("_k"), F.col("_b").alias("_at"), F.coalesce(F.sum("_c").over(run), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(key, "_b").orderBy(*order)) - 1
+    same = F.col(key).eqNullSafe(F.col("_k")) & F.col("_b").eqNullSafe(F.col("_at"))
+    numbered = rows.withColumn("_i", own).join(before, same).withColumn("_i", F.col("_i") + F.col("_before")).drop("_b", "_k", "_at", "_before")
+    numbered = numbered.withColumn("_s", F.floor(F.col("_i") / width))
+    lent = F.when(F.col("_i") % width >= width - (n - 1), F.array("_s", F.col("_s") + 1)).otherwise(F.array("_s"))
+    spread = numbered.withColumn("_t", F.explode(lent))
+    w = Window.partitionBy(key, "_t").orderBy("_i")
+    within = F.max(F.when(F.col("_s") == F.col("_t"), F.col(value))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rolled = spread.withColumns({"rolling_mean": F.round(F.avg(value).over(w.rowsBetween(1 - n, 0)), 6), "_peak": within}).where("_s = _t")
+    past = Window.partitionBy(key).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    peaks = numbered.groupBy(key, "_s").agg(F.max(value).alias("_m")).select(F.col(key).alias("_k"), F.col("_s").alias("_p"), F.max("_m").over(past).alias("_high"))
+    joined = rolled.join(peaks, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_s") == F.col("_p")))
+    return joined.withColumn("peak", F.greatest("_peak", "_high")).select(*samples.columns, "rolling_mean", "peak")
 
 
 def fetch_outcomes(runs: DataFrame) -> DataFrame:

@@ -71,15 +71,16 @@ def exists_by_key(rows: DataFrame, stored: DataFrame, url: str = "url") -> DataF
 
 def merge_cache(cache: DataFrame, results: DataFrame, key: str, value: str, now: Column) -> DataFrame:
     """Upsert that keeps created_at and refreshes updated_at of changed keys."""
-    new = results.select(key, F.col(value).alias("_new")).dropDuplicates([key])
+    new = results.groupBy(key).agg(F.max(value).alias("_new"))  # of several results for a key the largest
     both = cache.join(new, key, "full_outer")
     return both.select(key, F.coalesce("_new", value).alias(value), F.coalesce("created_at", now).alias("created_at"), F.when(F.col("_new").isNotNull(), now).otherwise(F.col("updated_at")).alias("updated_at"))
 
 
 def merge_frontiers(frontiers: DataFrame, new: DataFrame) -> DataFrame:
-    """Upsert by (source_name, section_name); rows without source or URL are dropped."""
+    """Upsert by (source_name, section_name): the latest row, of equally late ones the largest URL; rows without source or URL are
+    dropped."""
     good = new.where("coalesce(trim(source_name), '') <> '' and coalesce(trim(url), '') <> ''")
-    good = good.groupBy("source_name", "section_name").agg(F.max_by("url", "updated_at").alias("url"), F.max("updated_at").alias("updated_at"))
+    good = good.groupBy("source_name", "section_name").agg(F.max_by("url", F.struct("updated_at", "url")).alias("url"), F.max("updated_at").alias("updated_at"))
     rest = frontiers.join(good.select("source_name", "section_name"), ["source_name", "section_name"], "left_anti")
     return rest.select("source_name", "section_name", "url", "updated_at").unionByName(good)
 
@@ -94,12 +95,13 @@ def sync_reference_rows(stored: DataFrame, desired: DataFrame, key: str, columns
 
 
 def merge_assets(primary: DataFrame, fallback: DataFrame, doc: str, attributes: list[str]) -> DataFrame:
-    """Two lists of assets (doc, url, category, position, attributes) as one: first occurrence wins, its empty attributes are
-    filled by later ones, and `cover` overrides the category."""
+    """Two lists of assets (doc, url, category, position, attributes) as one: of assets of one URL, or without one of equal
+    attributes, the first occurrence wins, its empty attributes are filled by later ones, and `cover` overrides the category."""
     rows = primary.withColumn("_list", F.lit(0)).unionByName(fallback.withColumn("_list", F.lit(1)))
     order = F.struct("_list", "position")
     filled = [F.min_by(F.col(a), F.when(F.coalesce(F.col(a), F.lit("")) != "", order)).alias(a) for a in attributes]
-    out = rows.where("coalesce(url, '') <> ''").groupBy(doc, "url").agg(F.min(order).alias("_o"), F.min_by("category", order).alias("_c"), F.max((F.col("category") == "cover").cast("int")).alias("_cover"), *filled)
+    same = F.coalesce(F.nullif(F.trim("url"), F.lit("")), F.to_json(F.struct("category", *attributes)))
+    out = rows.groupBy(doc, F.coalesce("url", F.lit("")).alias("url"), same.alias("_same")).agg(F.min(order).alias("_o"), F.min_by("category", order).alias("_c"), F.max((F.col("category") == "cover").cast("int")).alias("_cover"), *filled)
     w = Window.partitionBy(doc).orderBy("_o")
     return out.select(doc, "url", F.when(F.col("_cover") == 1, "cover").otherwise(F.col("_c")).alias("category"), (F.row_number().over(w) - 1).alias("position"), *attributes)
 

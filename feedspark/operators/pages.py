@@ -165,6 +165,12 @@ def classify_site_type(pages: DataFrame, keywords: DataFrame, key: str = "page_i
     return pages.select(key).join(hits, key, "left").withColumn("site_type", F.coalesce("site_type", F.lit("general")))
 
 
+def site_type_distribution(classified: DataFrame) -> DataFrame:
+    """site_type, n, percent."""
+    g = classified.groupBy("site_type").agg(F.count("*").alias("n"))
+    return g.withColumn("percent", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 2))
+
+
 def domain_rollup(pages: DataFrame) -> DataFrame:
     """domain, pages, hosts by registrable domain."""
     h = host(F.col("url"))
@@ -206,8 +212,10 @@ def detail_fallback(items: DataFrame, details: DataFrame, key: str, columns: lis
 
 
 def map_fields_by_alias(items: DataFrame, fields: str, aliases: dict[str, list[str]], default_title: str = "untitled") -> DataFrame:
-    """items with a column for each name: the value of its first alias among the fields' keys, whatever the case."""
-    low = F.map_from_entries(F.transform(F.array_sort(F.transform(F.map_entries(F.col(fields)), lambda e: F.struct(F.lower(e["key"]).alias("k"), e["key"].alias("o"), e["value"].alias("v")))), lambda e: F.struct(F.concat(e["k"]).alias("k"), e["v"].alias("v"))))
-    rows = items.withColumn("_m", low)
-    new = {n: F.coalesce(*(F.nullif(F.trim(F.coalesce(F.try_element_at("_m", F.lit(a.lower())), F.lit(""))), F.lit("")) for a in names), F.lit(default_title if n == "title" else "")) for n, names in aliases.items()}
+    """items with a column for each name: the value of its first alias among the fields' keys, whatever the case; of keys that
+    differ by case alone the first filled one in order."""
+    entries = F.array_sort(F.transform(F.map_entries(F.col(fields)), lambda e: F.struct(F.lower(e["key"]).alias("k"), e["key"].alias("o"), e["value"].alias("v"))))
+    rows = items.withColumn("_m", entries)
+    filled = lambda a: F.get(F.filter("_m", lambda e: (e["k"] == a.lower()) & (F.trim(F.coalesce(e["v"], F.lit(""))) != "")), 0)["v"]
+    new = {n: F.coalesce(*(F.trim(filled(a)) for a in names), F.lit(default_title if n == "title" else "")) for n, names in aliases.items()}
     return rows.withColumns(new).drop("_m")

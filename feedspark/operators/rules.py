@@ -78,16 +78,19 @@ def current_health(checks: DataFrame, rule: str = "rule_id") -> DataFrame:
     at = F.struct("checked_at", "check_id")
     last_not = lambda s: F.max(F.when(F.col("status") != s, at))
     ends = checks.groupBy(rule).agg(F.max_by("status", at).alias("status"), F.max("checked_at").alias("checked_at"), last_not("error").alias("_e"), last_not("empty").alias("_m"))
-    rows = checks.select(rule, at.alias("_at"), F.col("status").alias("_s")).join(F.broadcast(ends), rule)
+    rows = checks.select(rule, at.alias("_at"), F.col("status").alias("_s")).join(ends, rule)
     run = lambda s, edge: F.count_if((F.col("_s") == s) & (F.col(edge).isNull() | (F.col("_at") > F.col(edge))))
     return rows.groupBy(rule, "status", "checked_at").agg(run("error", "_e").alias("consecutive_failures"), run("empty", "_m").alias("consecutive_empties"))
 
 
-def health_summary(health: DataFrame, most: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Totals by status, and the rules that need attention: most failures first, then the latest check."""
+def health_summary(health: DataFrame, source_type: str | None = None, most: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Totals by status, and the rules that need attention: most failures first, then the earliest check; of one source type if
+    it is named (column source_type)."""
+    if source_type is not None:
+        health = health.where(F.col("source_type") == source_type)
     totals = health.agg(F.count("*").alias("total"), *(F.count_if(F.col("status") == s).alias(s) for s in ("healthy", "empty", "error")))
     bad = health.where((F.col("consecutive_failures") > 0) | (F.col("consecutive_empties") > 0))
-    return totals, bad.orderBy(F.desc("consecutive_failures"), F.desc("checked_at"), "rule_id").limit(most)
+    return totals, bad.orderBy(F.desc("consecutive_failures"), "checked_at", "rule_id").limit(most)
 
 
 def selector_stability(selector):

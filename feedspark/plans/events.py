@@ -25,18 +25,20 @@ def j02(spark, d):
         F.lit("url"), F.concat(F.lit("https://Host"), (i % 5).cast("string"), F.lit(".example.com/x")), F.lit("password"), F.lit("p"), F.lit("source_name"), F.concat(F.lit(" name"), (i % 3).cast("string")),
         F.lit("source_type"), F.when(i % 2 == 0, "rss").otherwise("html"), F.lit("note_x"), F.repeat(F.lit("ab "), 100), F.lit("empty"), F.lit(" "),
     )
+    more = F.create_map(F.lit(" note_x"), F.lit("first"), F.lit("list"), F.lit('[" a", "", "b", {"password": "p", "k": " v "}, "1","2","3","4","5","6","7","8","9"]'), F.lit("object"), F.lit('{"token": " t ", "url": "http://h.example.com/a", "password": "p"}'), F.lit("bare"), F.lit('{"password": "p"}'))
+    props = F.when(i % 3 == 0, F.map_concat(props, more)).otherwise(props)
     out = J.sanitize_props(t.select("event_id", F.when(i % 4 == 0, "error_x").otherwise("e").alias("event"), props.alias("props")))
     return out.select("event_id", F.array_join(F.transform(F.array_sort(F.map_entries("props")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("props"))
 
 
 def j03(spark, d):
-    return J.sample_events(telemetry(spark, d), 0.3).groupBy("event").agg(F.count("*").alias("n"))
+    return J.sample_events(telemetry(spark, d), 0.3, error="error").groupBy("event").agg(F.count("*").alias("n"))
 
 
 def j04(spark, d):
     u = F.col("c_custkey")
     consent = table(spark, d, "customer").select(u.cast("string").alias("install_id"), (u % 2 == 0).alias("usage_enabled"), (u % 3 != 0).alias("error_enabled"), (u % 5 == 0).alias("killed"))
-    return J.consent_filter(telemetry(spark, d), consent).groupBy("event").agg(F.count("*").alias("n"))
+    return J.consent_filter(telemetry(spark, d), consent, error="error").groupBy("event").agg(F.count("*").alias("n"))
 
 
 _NOW = "2024-01-20 00:00:00"
@@ -53,7 +55,11 @@ def j05(spark, d):
 
 
 def j06(spark, d):
-    return J.apply_retention(_queue(spark, d), F.lit(_NOW).cast("timestamp"), {"error": 14, "view": 3}, 7).groupBy("event").agg(F.count("*").alias("n"))
+    return J.apply_retention(_queue(spark, d), F.lit(_NOW).cast("timestamp"), {"error": 14, "view": 3}, 7, status="status", sent_at="next_retry_at", sent_days=5).groupBy("event").agg(F.count("*").alias("n"))
+
+
+def j06_clear(spark, d):
+    return J.clear_events(_queue(spark, d), ["sent", " "]).groupBy("status").agg(F.count("*").alias("n"))
 
 
 def j07(spark, d):
@@ -71,7 +77,7 @@ def j09(spark, d):
 
 def j10(spark, d):
     t = telemetry(spark, d)
-    return J.error_counts(t).withColumn("kind", F.lit("error")).unionByName(J.feature_counts(t, "i").withColumn("kind", F.lit("feature")))
+    return J.error_counts(t, "error").withColumn("kind", F.lit("error")).unionByName(J.feature_counts(t, "i").withColumn("kind", F.lit("feature")))
 
 
 def j11(spark, d):
@@ -83,7 +89,7 @@ def j12(spark, d):
 
 
 def j13(spark, d):
-    return J.failure_rate_by(telemetry(spark, d), "app_version")
+    return J.failure_rate_by(telemetry(spark, d), "app_version", "error")
 
 
 def j14(spark, d):
@@ -104,7 +110,9 @@ QUERIES = {
     ),
     "j02_sanitize_props": (
         j02,
-        """SELECT CAST(event_id AS VARCHAR) AS event_id, CASE WHEN event_id % 2 = 0 THEN 'is_custom_source=true;' ELSE '' END || 'note_x=' || CASE WHEN event_id % 4 = 0 THEN trim(repeat('ab ', 100)) ELSE trim(substr(repeat('ab ', 100), 1, 240)) || '...' END
+        """SELECT CAST(event_id AS VARCHAR) AS event_id, CASE WHEN event_id % 2 = 0 THEN 'is_custom_source=true;' ELSE '' END || CASE WHEN event_id % 3 = 0 THEN 'list=["a","b","{\\"k\\":\\"v\\"}","1","2","3","4","5","6","7","8"];' ELSE '' END
+|| 'note_x=' || CASE WHEN event_id % 3 = 0 THEN 'first' WHEN event_id % 4 = 0 THEN trim(repeat('ab ', 100)) ELSE trim(substr(repeat('ab ', 100), 1, 240)) || '...' END
+|| CASE WHEN event_id % 3 = 0 THEN ';object={"token":"t","urlDomainHash":"' || substr(sha256('h.example.com'), 1, 16) || '"}' ELSE '' END
 || CASE WHEN event_id % 2 = 0 THEN ';sourceNameHash=' || substr(sha256('name' || CAST(event_id % 3 AS VARCHAR)), 1, 16) || ';source_type=rss' ELSE ';source_name=name' || CAST(event_id % 3 AS VARCHAR) || ';source_type=html' END
 || ';urlDomainHash=' || substr(sha256('host' || CAST(event_id % 5 AS VARCHAR) || '.example.com'), 1, 16) AS props FROM events""",
     ),
@@ -123,8 +131,9 @@ count(*) FILTER (event_id % 3 <> 0 AND (event_id % 4 = 0 OR ts <= TIMESTAMP '{_N
     ),
     "j06_apply_retention": (
         j06,
-        f"SELECT event_type AS event, count(*) AS n FROM events WHERE ts >= TIMESTAMP '{_NOW}' - to_days(CASE event_type WHEN 'error' THEN 14 WHEN 'view' THEN 3 ELSE 7 END) GROUP BY 1",
+        f"SELECT event_type AS event, count(*) AS n FROM events WHERE ts >= TIMESTAMP '{_NOW}' - to_days(CASE event_type WHEN 'error' THEN 14 WHEN 'view' THEN 3 ELSE 7 END) AND NOT (event_id % 3 = 0 AND event_id % 4 <> 0 AND ts < TIMESTAMP '{_NOW}' - to_days(5)) GROUP BY 1",
     ),
+    "j06_clear_events": (j06_clear, "SELECT CASE event_id % 3 WHEN 1 THEN 'pending' ELSE 'failed' END AS status, count(*) AS n FROM events WHERE event_id % 3 <> 0 GROUP BY 1"),
     "j07_event_report": (
         j07,
         sql(
@@ -143,9 +152,9 @@ count(*) FILTER (event_id % 3 <> 0 AND (event_id % 4 = 0 OR ts <= TIMESTAMP '{_N
     "j11_activity_metrics": (
         j11,
         sql(
-            TELEMETRY, "t AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM telemetry)",
-            then="""SELECT day, app_version, platform, count(*) FILTER (event = 'click') AS launches, count(DISTINCT install_id) AS devices, count(DISTINCT session_id) AS sessions FROM t
-GROUP BY GROUPING SETS ((day, app_version, platform), (day, app_version), (day, platform), (day))""",
+            TELEMETRY, "t AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day, strftime(min(ts) OVER (PARTITION BY install_id), '%Y-%m-%d') AS first FROM telemetry)",
+            then="""SELECT day, app_version, platform, channel, count(*) FILTER (event = 'click') AS launches, count(DISTINCT install_id) FILTER (first = day) AS installs, count(DISTINCT install_id) AS devices, count(DISTINCT session_id) AS sessions FROM t
+GROUP BY GROUPING SETS ((day, app_version, platform, channel), (day, app_version), (day, platform), (day, channel), (day))""",
         ),
     ),
     "j12_retention": (

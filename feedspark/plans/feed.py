@@ -56,7 +56,7 @@ def c02(spark, d):
 
 def c03(spark, d):
     a = articles(spark, d).select(_FEW)
-    return C.source_filter(a, ["src1", "src4"]).unionByName(C.source_filter(a, [])).unionByName(C.source_filter(a.where("id < 10"), None))
+    return C.source_filter(a, ["src1", "src4"]).unionByName(C.source_filter(a, [])).unionByName(C.source_filter(a, None))
 
 
 def _subscribed(spark, d):
@@ -163,7 +163,7 @@ _TAGS = lambda c: f"CASE WHEN starts_with(trim(coalesce({c}, '')), '【') THEN r
 QUERIES = {
     "c01_feed_page": (c01, sql(ARTICLES, then=f"SELECT {_LIGHT} FROM articles WHERE NOT is_deleted AND source_name IN ('src1', 'src2', 'src3') ORDER BY {_TIME} DESC, id DESC LIMIT 50 OFFSET 30")),
     "c02_light_projection": (c02, sql(ARTICLES, then=f"SELECT {_LIGHT} FROM articles")),
-    "c03_source_filter": (c03, sql(ARTICLES, then="SELECT id, url, source_name FROM articles WHERE source_name IN ('src1', 'src4') UNION ALL SELECT id, url, source_name FROM articles WHERE id < 10")),
+    "c03_source_filter": (c03, sql(ARTICLES, then="SELECT id, url, source_name FROM articles WHERE source_name IN ('src1', 'src4') UNION ALL SELECT id, url, source_name FROM articles")),
     "c04_effective_sources": (
         c04,
         sql(

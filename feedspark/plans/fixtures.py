@@ -68,6 +68,7 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(u, F.lit("-"), F.col("ts").cast("date").cast("string")).alias("session_id"),
         F.concat(F.lit("v1."), (k % 4).cast("string")).alias("app_version"),
         F.when(k % 3 == 0, "darwin").when(k % 3 == 1, "windows").otherwise("linux").alias("platform"),
+        F.when(k % 2 == 0, "stable").otherwise("beta").alias("channel"),
         "value",
         "props",
     )
@@ -96,7 +97,7 @@ CHECKS = """checks AS (
 TELEMETRY = """telemetry AS (
   SELECT CAST(event_id AS VARCHAR) AS event_id, event_type AS event, ts, CAST(user_id AS VARCHAR) AS install_id,
     CAST(user_id AS VARCHAR) || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS session_id, 'v1.' || CAST(k % 4 AS VARCHAR) AS app_version,
-    CASE k % 3 WHEN 0 THEN 'darwin' WHEN 1 THEN 'windows' ELSE 'linux' END AS platform, value, props
+    CASE k % 3 WHEN 0 THEN 'darwin' WHEN 1 THEN 'windows' ELSE 'linux' END AS platform, CASE k % 2 WHEN 0 THEN 'stable' ELSE 'beta' END AS channel, value, props
   FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM events) e)"""
 
 

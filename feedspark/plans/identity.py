@@ -82,7 +82,7 @@ def b10(spark, d):
 
 def _assets(spark, d, k):
     a = articles(spark, d)
-    return a.select("id", F.explode(F.array(*(F.struct(F.concat(F.lit("http://img/"), ((F.col("id") * (i + k)) % 5).cast("string")).alias("url"), F.lit("cover" if (i + k) % 4 == 0 else "body").alias("category"), F.lit(i).alias("position"), F.when((F.col("id") + i + k) % 2 == 0, F.lit("")).otherwise(F.concat(F.lit(f"alt{i}{k}-"), F.col("source_name"))).alias("alt")) for i in range(3)))).alias("x")).select("id", "x.*")
+    return a.select("id", F.explode(F.array(*(F.struct(F.when((F.col("id") * (i + k)) % 5 == 4, "").otherwise(F.concat(F.lit("http://img/"), ((F.col("id") * (i + k)) % 5).cast("string"))).alias("url"), F.lit("cover" if (i + k) % 4 == 0 else "body").alias("category"), F.lit(i).alias("position"), F.when((F.col("id") + i + k) % 2 == 0, F.lit("")).otherwise(F.concat(F.lit(f"alt{i}{k}-"), F.col("source_name"))).alias("alt")) for i in range(3)))).alias("x")).select("id", "x.*")
 
 
 def b11(spark, d):
@@ -102,7 +102,7 @@ def b13(spark, d):
 
 
 _STORED = "stored AS (SELECT * FROM articles WHERE id % 3 <> 0)"
-_ASSETS = lambda k: f"""a{k} AS (SELECT id, 'http://img/' || CAST(id * (i + {k}) % 5 AS VARCHAR) AS url, CASE WHEN (i + {k}) % 4 = 0 THEN 'cover' ELSE 'body' END AS category, i AS position,
+_ASSETS = lambda k: f"""a{k} AS (SELECT id, CASE WHEN id * (i + {k}) % 5 = 4 THEN '' ELSE 'http://img/' || CAST(id * (i + {k}) % 5 AS VARCHAR) END AS url, CASE WHEN (i + {k}) % 4 = 0 THEN 'cover' ELSE 'body' END AS category, i AS position,
   CASE WHEN (id + i + {k}) % 2 = 0 THEN '' ELSE 'alt' || CAST(i AS VARCHAR) || '{k}-' || source_name END AS alt FROM articles, (SELECT unnest([0, 1, 2]) AS i) t)"""
 _MERGE = lambda flags: sql(
     ARTICLES, INCOMING, _STORED,
@@ -157,7 +157,7 @@ FROM (SELECT * FROM customer WHERE c_custkey % 5 <> 0) s FULL JOIN (SELECT c_cus
         sql(
             ARTICLES, _ASSETS(1), _ASSETS(2),
             "u AS (SELECT *, position AS o FROM a1 UNION ALL SELECT *, position + 10 AS o FROM a2)",
-            "g AS (SELECT id, url, min(o) AS o, CASE WHEN bool_or(category = 'cover') THEN 'cover' ELSE arg_min(category, o) END AS category, arg_min(alt, o) FILTER (alt <> '') AS alt FROM u GROUP BY id, url)",
+            "g AS (SELECT id, url, min(o) AS o, CASE WHEN bool_or(category = 'cover') THEN 'cover' ELSE arg_min(category, o) END AS category, arg_min(alt, o) FILTER (alt <> '') AS alt FROM u GROUP BY id, url, CASE WHEN url = '' THEN category || ' ' || alt ELSE '' END)",
             then="SELECT id, url, category, row_number() OVER (PARTITION BY id ORDER BY o) - 1 AS position, alt FROM g",
         ),
     ),
@@ -166,7 +166,7 @@ FROM (SELECT * FROM customer WHERE c_custkey % 5 <> 0) s FULL JOIN (SELECT c_cus
         sql(
             ARTICLES, _ASSETS(1), _ASSETS(2),
             "u AS (SELECT *, position AS o FROM a1 UNION ALL SELECT *, position + 10 AS o FROM a2)",
-            "g AS (SELECT id, url, min(o) AS o, arg_min(alt, o) AS name FROM u GROUP BY id, url)",
+            "g AS (SELECT id, url, min(o) AS o, arg_min(alt, o) AS name FROM u WHERE url <> '' GROUP BY id, url)",
             then="SELECT id, url, name, row_number() OVER (PARTITION BY id ORDER BY o) - 1 AS position FROM g",
         ),
     ),

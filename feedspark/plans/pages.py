@@ -73,6 +73,10 @@ def g09(spark, d):
     return G.site_profile(pages, G.match_templates(pages, _templates(spark)))
 
 
+def g10_types(spark, d):
+    return G.site_type_distribution(g10(spark, d))
+
+
 def g10(spark, d):
     words = spark.createDataFrame([(1, "cheap", "shop"), (2, "/en/", "english"), (3, "blog", "blog"), (4, "/fr/", "french")], "ord int, keyword string, type string")
     return G.classify_site_type(_pages(spark, d), words)
@@ -209,6 +213,11 @@ SELECT page_id, tag, n_links, text_chars, CAST(row_number() OVER (PARTITION BY p
         g10,
         "SELECT page_id, CASE WHEN contains(lower(url), 'cheap') THEN 'shop' WHEN contains(lower(url), '/en/') THEN 'english' WHEN contains(lower(url), 'blog') THEN 'blog' WHEN contains(lower(url), '/fr/') THEN 'french' ELSE 'general' END AS site_type FROM pages",
     ),
+    "g10_site_type_distribution": (
+        g10_types,
+        "WITH t AS (SELECT CASE WHEN contains(lower(url), 'cheap') THEN 'shop' WHEN contains(lower(url), '/en/') THEN 'english' WHEN contains(lower(url), 'blog') THEN 'blog' WHEN contains(lower(url), '/fr/') THEN 'french' ELSE 'general' END AS site_type FROM pages) "
+        "SELECT site_type, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS percent FROM t GROUP BY 1",
+    ),
     "g11_domain_rollup": (g11, f"SELECT array_to_string(string_split(h, '.')[-2:], '.') AS domain, count(*) AS pages, count(DISTINCT h) AS hosts FROM (SELECT {_HOST} AS h FROM pages) x GROUP BY 1"),
     "g12_same_site_frames": (g12, "SELECT page_id, 0 AS n, 'http://www.site' || CAST(page_id % 4 AS VARCHAR) || '.example.com/frame' AS src FROM pages"),
     "g13_thin_entries": (

@@ -69,8 +69,8 @@ def e07(spark, d):
 
 def e08(spark, d):
     ev = table(spark, d, "events")
-    runs = ev.select(F.concat(F.lit("s"), (F.col("user_id") % 40).cast("string")).alias("source_name"), F.when(F.col("user_id") % 40 % 3 == 0, F.col("event_id") % 2).otherwise(0).alias("new_items"), ((F.col("event_type") == "error") & (F.col("user_id") % 40 % 2 == 0)).alias("is_error"), (F.col("event_id") % 7).alias("seconds"))
-    return E.source_run_summary(runs)
+    runs = ev.select(F.concat(F.lit("s"), (F.col("user_id") % 40).cast("string")).alias("source_name"), F.when(F.col("user_id") % 40 % 3 == 0, F.col("event_id") % 2).otherwise(0).alias("new_items"), ((F.col("event_type") == "error") & (F.col("user_id") % 40 % 2 == 0)).alias("is_error"), (F.col("event_id") % 7).alias("seconds"), F.when(F.col("event_id") % 9 == 0, "slow").when(F.col("event_id") % 9 == 1, " ").alias("warning"), (F.col("user_id") % 40 == F.col("event_id") % 45).alias("is_skipped"))
+    return E.source_run_summary(runs).withColumn("skipped", F.array_join("skipped", ","))
 
 
 def _items(spark, d):
@@ -111,6 +111,13 @@ def i05(spark, d):
     return attention.withColumn("checked_at", F.date_format("checked_at", "yyyy-MM-dd HH:mm:ss"))
 
 
+def i05_rss(spark, d):
+    """The RSS rules alone: those of an even number."""
+    health = R.current_health(rule_checks(spark, d))
+    kind = F.when(F.regexp_extract("rule_id", "([0-9]+)", 1).cast("int") % 2 == 0, "rss").otherwise("html")
+    return R.health_summary(health.withColumn("source_type", kind), "rss")[0]
+
+
 def i05_totals(spark, d):
     return R.health_summary(R.current_health(rule_checks(spark, d)))[0]
 
@@ -120,7 +127,7 @@ SELECTORS = ["#main > ul.news-list li", ".css-1a2b3c div > p > a > b", "article[
 
 def i06(spark, d):
     pick = F.element_at(F.array(*map(F.lit, SELECTORS)), (F.col("k") % 8 + 1).cast("int"))
-    rows = articles(spark, d).where("id < 200").select(F.concat(F.lit("r"), (F.col("id") % 30).cast("string")).alias("rule_id"), (F.col("id") % 30 + F.floor(F.col("id") / 30)).alias("k")).select("rule_id", pick.alias("selector"))
+    rows = articles(spark, d).select(F.concat(F.lit("r"), (F.col("id") % 30).cast("string")).alias("rule_id"), (F.col("id") % 30 + F.floor(F.col("id") / 30)).alias("k")).select("rule_id", pick.alias("selector"))
     return R.stability_score(rows)
 
 
@@ -144,7 +151,7 @@ def i09(spark, d):
 
 
 def i10(spark, d):
-    incoming = articles(spark, d).where("id < 300").select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("rule_id"), F.when(F.col("id") % 5 == 0, " ").otherwise(F.col("title")).alias("task_name"), F.when(F.col("id") % 7 == 0, "").otherwise(F.col("url")).alias("url"), "source_type")
+    incoming = articles(spark, d).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("rule_id"), F.when(F.col("id") % 5 == 0, " ").otherwise(F.col("title")).alias("task_name"), F.when(F.col("id") % 7 == 0, "").otherwise(F.col("url")).alias("url"), "source_type")
     stored = incoming.where("cast(substring(rule_id, 2) as int) % 3 = 0").select("rule_id")
     both = [R.import_rules(stored, incoming, o).withColumn("overwrite", F.lit(o)) for o in (True, False)]
     return both[0].unionByName(both[1])
@@ -229,8 +236,8 @@ QUERIES = {
     ),
     "e08_source_run_summary": (
         e08,
-        """WITH r AS (SELECT 's' || CAST(user_id % 40 AS VARCHAR) AS source_name, CASE WHEN user_id % 40 % 3 = 0 THEN event_id % 2 ELSE 0 END AS ni, event_type = 'error' AND user_id % 40 % 2 = 0 AS er, event_id % 7 AS sec FROM events),
-g AS (SELECT source_name, sum(ni) AS new_items, count(*) FILTER (er) AS errors, sum(sec) AS seconds FROM r GROUP BY ROLLUP (source_name))
+        """WITH r AS (SELECT 's' || CAST(user_id % 40 AS VARCHAR) AS source_name, CASE WHEN user_id % 40 % 3 = 0 THEN event_id % 2 ELSE 0 END AS ni, event_type = 'error' AND user_id % 40 % 2 = 0 AS er, event_id % 7 AS sec, event_id % 9 = 0 AS wa, user_id % 40 = event_id % 45 AS sk FROM events),
+g AS (SELECT source_name, sum(ni) AS new_items, count(*) FILTER (er) AS errors, sum(sec) AS seconds, count(*) FILTER (wa) AS warnings, coalesce(string_agg(DISTINCT r.source_name, ',' ORDER BY r.source_name) FILTER (sk), '') AS skipped FROM r GROUP BY ROLLUP (r.source_name))
 SELECT *, CASE WHEN errors > 0 AND new_items = 0 THEN 'error' WHEN new_items > 0 THEN 'success' ELSE 'empty' END AS status FROM g""",
     ),
     "i01_field_hit_stats": (
@@ -270,16 +277,20 @@ cf >= 2 OR cm >= 3 AS is_alerting FROM su WINDOW w AS (PARTITION BY rule_id ORDE
         i05,
         sql(
             CHECKS, _STREAK, "l AS (SELECT * FROM su QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY checked_at DESC, check_id DESC) = 1)",
-            then="SELECT rule_id, status, strftime(checked_at, '%Y-%m-%d %H:%M:%S') AS checked_at, cf AS consecutive_failures, cm AS consecutive_empties FROM l WHERE cf > 0 OR cm > 0 ORDER BY cf DESC, l.checked_at DESC, rule_id LIMIT 5",
+            then="SELECT rule_id, status, strftime(checked_at, '%Y-%m-%d %H:%M:%S') AS checked_at, cf AS consecutive_failures, cm AS consecutive_empties FROM l WHERE cf > 0 OR cm > 0 ORDER BY cf DESC, l.checked_at, rule_id LIMIT 5",
         ),
     ),
     "i05_health_totals": (
         i05_totals,
         sql(CHECKS, "l AS (SELECT * FROM checks QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY checked_at DESC, check_id DESC) = 1)", then="SELECT count(*) AS total, count(*) FILTER (status = 'healthy') AS healthy, count(*) FILTER (status = 'empty') AS empty, count(*) FILTER (status = 'error') AS error FROM l"),
     ),
+    "i05_health_totals_rss": (
+        i05_rss,
+        sql(CHECKS, "l AS (SELECT * FROM checks QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY checked_at DESC, check_id DESC) = 1)", then="SELECT count(*) AS total, count(*) FILTER (status = 'healthy') AS healthy, count(*) FILTER (status = 'empty') AS empty, count(*) FILTER (status = 'error') AS error FROM l WHERE CAST(regexp_extract(rule_id, '([0-9]+)', 1) AS INTEGER) % 2 = 0"),
+    ),
     "i06_stability_score": (
         i06,
-        f"""WITH s AS (SELECT 'r' || CAST(doc_id % 30 AS VARCHAR) AS rule_id, [93.0, 5.0, 100.0, 35.0, 40.0, 60.0, 30.0, 82.0][CAST((doc_id % 30 + doc_id // 30) % 8 + 1 AS INTEGER)] AS s FROM documents WHERE doc_id < 200), g AS (SELECT rule_id, round(avg(s), 2) AS score FROM s GROUP BY 1)
+        f"""WITH s AS (SELECT 'r' || CAST(doc_id % 30 AS VARCHAR) AS rule_id, [93.0, 5.0, 100.0, 35.0, 40.0, 60.0, 30.0, 82.0][CAST((doc_id % 30 + doc_id // 30) % 8 + 1 AS INTEGER)] AS s FROM documents), g AS (SELECT rule_id, round(avg(s), 2) AS score FROM s GROUP BY 1)
 SELECT rule_id, score, CASE WHEN score >= 80 THEN 'excellent' WHEN score >= 60 THEN 'good' WHEN score >= 40 THEN 'fair' ELSE 'at_risk' END AS rating FROM g""",
     ),
     "i07_vote_best_rule": (
@@ -305,7 +316,7 @@ SELECT source_name, rule_id, CAST(score AS DOUBLE) AS score FROM c QUALIFY row_n
     "i10_import_rules": (
         i10,
         """SELECT 'r' || CAST(doc_id AS VARCHAR) AS rule_id, CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 OR trim(substr(text, 1, 40)) = '' THEN 'invalid' WHEN doc_id % 3 <> 0 THEN 'added' WHEN o THEN 'updated' ELSE 'skipped' END AS outcome,
-concat_ws(',', CASE WHEN doc_id % 5 = 0 OR trim(substr(text, 1, 40)) = '' THEN 'task_name' END, CASE WHEN doc_id % 7 = 0 THEN 'url' END) AS missing, o AS overwrite FROM documents, (SELECT unnest([true, false]) AS o) x WHERE doc_id < 300""",
+concat_ws(',', CASE WHEN doc_id % 5 = 0 OR trim(substr(text, 1, 40)) = '' THEN 'task_name' END, CASE WHEN doc_id % 7 = 0 THEN 'url' END) AS missing, o AS overwrite FROM documents, (SELECT unnest([true, false]) AS o) x""",
     ),
     "i11_normalize_rules": (
         i11,
