@@ -68,16 +68,24 @@ def line_type(line: Column) -> Column:
 
 
 def explode_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, block_index, type, level, n_lines, text: Markdown lines gathered in blocks. Neighbouring lines of a list, quote or
-    paragraph are one block; blank lines part blocks."""
+    """key, block_index, type, level, n_lines, text, anchor (of a title: its letters and digits in lower case, or its place),
+    ordered and items (of a list): Markdown lines gathered in blocks. Neighbouring lines of a numbered or other list, a quote or
+    a paragraph are one block; blank lines part blocks."""
     lines = docs.select(key, F.posexplode(F.split(F.regexp_replace(_text(text), "\r\n?", "\n"), "\n")).alias("n", "line")).withColumn("type", line_type(F.col("line")))
+    lines = lines.withColumn("ordered", (F.col("type") == "list") & F.trim("line").rlike(r"^\d"))
     w = Window.partitionBy(key).orderBy("n")
-    new = (F.col("type") != F.coalesce(F.lag("type").over(w), F.lit(""))) | ~F.col("type").isin("list", "quote", "paragraph")
+    new = (F.col("type") != F.coalesce(F.lag("type").over(w), F.lit(""))) | (F.col("ordered") != F.coalesce(F.lag("ordered").over(w), F.lit(False))) | ~F.col("type").isin("list", "quote", "paragraph")
     islands = lines.withColumn("new", new.cast("int")).withColumn("b", F.sum("new").over(w)).where("type <> 'blank'")
     inner = F.regexp_replace(F.trim("line"), r"^(#{1,6}\s+|>\s?|([-*+]|\d+\.)\s+)", "")
     level = F.max(F.when(F.col("type") == "title", F.length(F.regexp_extract(F.trim("line"), "^(#+)", 1))).otherwise(0))
-    blocks = islands.groupBy(key, "b", "type").agg(level.alias("level"), F.count("*").alias("n_lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", inner.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
-    return blocks.withColumn("block_index", F.row_number().over(Window.partitionBy(key).orderBy("b")) - 1).drop("b")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("n", inner.alias("t")))), lambda x: x["t"])
+    blocks = islands.groupBy(key, "b", "type").agg(level.alias("level"), F.count("*").alias("n_lines"), parts.alias("_parts"), F.first("ordered").alias("ordered"))
+    blocks = blocks.withColumn("block_index", F.row_number().over(Window.partitionBy(key).orderBy("b")) - 1).withColumn("text", F.array_join("_parts", "\n"))
+    slug = F.regexp_replace(F.regexp_replace(F.lower(F.trim("text")), r"[^\p{L}\p{N}_-]+", "-"), "-{2,}", "-")
+    anchor = F.coalesce(F.nullif(F.regexp_replace(slug, "^-|-$", ""), F.lit("")), F.concat(F.lit("section-"), (F.col("block_index") + 1).cast("string")))
+    is_list = F.col("type") == "list"
+    own = {"anchor": F.when(F.col("type") == "title", anchor), "items": F.when(is_list, F.filter(F.transform("_parts", lambda x: F.trim(x)), lambda x: x != "")), "ordered": F.when(is_list, F.col("ordered"))}
+    return blocks.withColumns(own).drop("b", "_parts")
 
 
 def block_metrics(blocks: DataFrame, key: str) -> DataFrame:
@@ -186,12 +194,21 @@ def recombine_chunks(chunks: DataFrame, key: str, index: str, text: str, heading
 
 
 def redact_terms(docs: DataFrame, dictionary: list[tuple[str, str, str]], text: str) -> DataFrame:
-    """docs with `redacted` and one column hits_<label> for each label of the ordered (pattern, replacement, label) list."""
+    """docs with `redacted` and one column hits_<label> for each label of the ordered (pattern, replacement, label) list. Runs of
+    blanks become one, of line feeds at most two stay."""
     now, hits = _text(text), {}
     for pattern, to, label in dictionary:
         hits[f"hits_{label}"] = hits.get(f"hits_{label}", F.lit(0)) + F.regexp_count(now, F.lit(pattern))
         now = F.regexp_replace(now, pattern, to)
-    return docs.withColumns({"redacted": F.trim(F.regexp_replace(now, "[ \t]{2,}", " "))} | hits)
+    return docs.withColumns({"redacted": F.trim(F.regexp_replace(F.regexp_replace(now, "[ \t]{2,}", " "), "\n{3,}", "\n\n"))} | hits)
+
+
+def redaction_totals(redacted: DataFrame) -> DataFrame:
+    """label, hits, docs (with a hit) over all documents, from the hits_ columns."""
+    own = [c for c in redacted.columns if c.startswith("hits_")]
+    sums = redacted.agg(*(F.sum(c).alias(c) for c in own), *(F.count_if(F.col(c) > 0).alias(f"docs_{c}") for c in own))
+    each = F.array(*(F.struct(F.lit(c[5:]).alias("label"), F.col(c).alias("hits"), F.col(f"docs_{c}").alias("docs")) for c in own))
+    return sums.select(F.explode(each).alias("x")).select("x.*")
 
 
 def length_gate(docs: DataFrame, text: str, images: str, least: int = 10) -> DataFrame:
@@ -285,4 +302,4 @@ def apply_enrichment(articles: DataFrame, results: DataFrame) -> DataFrame:
 def redacted_retry_set(results: DataFrame, docs: DataFrame, dictionary: list[tuple[str, str, str]], markers: str, key: str = "id") -> DataFrame:
     """key, redacted of failed results whose error names a content risk and whose text changes when redacted."""
     failed = results.where((F.col("status") == "failed") & F.lower(_text("error")).rlike(markers)).select(key).distinct()
-    return redact_terms(docs.join(failed, key, "left_semi"), dictionary, "raw_text").where(F.col("redacted") != F.trim(F.regexp_replace(_text("raw_text"), "[ \t]{2,}", " "))).select(key, "redacted")
+    return redact_terms(docs.join(failed, key, "left_semi"), dictionary, "raw_text").where(F.col("redacted") != F.trim(F.regexp_replace(F.regexp_replace(_text("raw_text"), "[ \t]{2,}", " "), "\n{3,}", "\n\n"))).select(key, "redacted")

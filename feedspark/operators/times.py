@@ -65,11 +65,12 @@ def backfill_report(rows: DataFrame) -> DataFrame:
 
 def parse_mixed_date(text: Column) -> Column:
     """Best-effort date: CJK, year first, day or month first (a first number above 12 is the day), English month
-    names, else null."""
+    names, the first three numbers if the first has four digits, else null."""
     g = lambda p, n: F.regexp_extract(text, p, n)
     make = lambda y, m, d: F.try_to_date(F.concat(y, F.lit("-"), F.lpad(m, 2, "0"), F.lit("-"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
     cjk, iso, us = r"(\d{4})年(\d{1,2})月(\d{1,2})日", r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", r"(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})"
     named, behind = r"(?i)\b(" + "|".join(_MONTHS) + r")[a-z]*\.?\s+(\d{1,2}),?\s+(\d{4})", r"(?i)(\d{1,2})\s+(" + "|".join(_MONTHS) + r")[a-z]*\.?,?\s+(\d{4})"
+    numbers = r"^\D*(\d{4})\D+(\d{1,2})\D+(\d{1,2})(?!\d)"
     month = lambda m: F.array_position(F.lit(_MONTHS), F.lower(m)).cast("string")
     first = F.try_to_number(F.nullif(g(us, 1), F.lit("")), F.lit("99"))
     day_first = F.coalesce(first > 12, F.lit(False))
@@ -79,6 +80,7 @@ def parse_mixed_date(text: Column) -> Column:
         F.when(g(us, 3) != "", F.when(day_first, make(g(us, 3), g(us, 2), g(us, 1))).otherwise(make(g(us, 3), g(us, 1), g(us, 2)))),
         F.when(g(named, 1) != "", make(g(named, 3), month(g(named, 1)), g(named, 2))),
         F.when(g(behind, 2) != "", make(g(behind, 3), month(g(behind, 2)), g(behind, 1))),
+        F.when(F.regexp_extract(text, numbers, 1) != "", make(g(numbers, 1), g(numbers, 2), g(numbers, 3))),
     )
 
 

@@ -169,8 +169,8 @@ _SCORE = f"""SELECT page_id, template_id, profile, round(s, 1) AS score, m FROM
 _RANKED = f"ranked AS (SELECT page_id, template_id, profile, score, CAST(row_number() OVER (PARTITION BY page_id ORDER BY score DESC, m DESC, template_id) AS INTEGER) AS rank FROM ({_SCORE}) q)"
 _RULES = "rules AS (SELECT source_name, n, CASE n % 3 WHEN 0 THEN 'visual' WHEN 1 THEN 'longform' ELSE 'news' END AS kind FROM (SELECT DISTINCT source AS source_name, CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) AS n FROM documents) s)"
 _THIN = "thin AS (SELECT doc_id, source, substr(text, 1, CAST(doc_id % 5 * 50 AS INTEGER)) AS t, doc_id % 3 AS images, substr(text, 1, CAST(doc_id % 4 * 60 AS INTEGER)) AS detail FROM documents)"
-_PLAIN = lambda t: f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, '(?m)^\\s*[-*+]\\s+', '', 'g'), '[*_~|`]', ' ', 'g'), '(?m)^#{{1,6}}\\s*', '', 'g'), '\\s+', ' ', 'g'))"
-_PREVIEW = lambda t: f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, '!\\[([^\\]]*)\\]\\(([^)]+)\\)', '\\1 ', 'g'), '\\[([^\\]]+)\\]\\(([^)]+)\\)', '\\1', 'g'), '(?m)^#{{1,6}}\\s*', '', 'g'), '(?m)^\\s*>\\s?', '', 'g'), '(?m)^\\s*[-*+]\\s+', '', 'g'), '[*_~]', '', 'g'), '\\s+', ' ', 'g'))"
+_PLAIN = lambda t: f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, '(?m)^\\s*([-*+]|\\d+\\.)\\s+', '', 'g'), '[*_~|`]', ' ', 'g'), '(?m)^#{{1,6}}\\s*', '', 'g'), '\\s+', ' ', 'g'))"
+_PREVIEW = lambda t: f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, '!\\[([^\\]]*)\\]\\(([^)]+)\\)', '\\1 ', 'g'), '\\[([^\\]]+)\\]\\(([^)]+)\\)', '\\1', 'g'), '(?m)^#{{1,6}}\\s*', '', 'g'), '(?m)^\\s*>\\s?', '', 'g'), '(?m)^\\s*([-*+]|\\d+\\.)\\s+', '', 'g'), '[*_~]', '', 'g'), '\\s+', ' ', 'g'))"
 
 QUERIES = {
     "g01_page_links": (

@@ -43,7 +43,11 @@ def a03(spark, d):
 def a04(spark, d):
     path = folder(spark)
     t = telemetry(spark, d)
-    lines = t.select(F.when(F.col("event_id").cast("long") % 50 == 0, F.concat(F.lit("server: received "), "event_id", F.lit(" events"))).otherwise(F.concat(F.lit("12:00 - "), "event", F.lit(" | "), "platform", F.lit(" | "), "app_version")).alias("value"))
+    i = F.col("event_id").cast("long")
+    part = F.when(i % 3 == 0, F.lit(" from ")).otherwise(F.lit(" | "))
+    one = F.concat(F.lit("- "), "event", part, "platform", part, "app_version")
+    total = F.when(i % 100 == 0, F.concat(F.lit("📊 收到 "), "event_id", F.lit(" 条事件"))).otherwise(F.concat(F.lit("server: received "), "event_id", F.lit(" events")))
+    lines = t.select(F.when(i % 50 == 0, total).when(i % 7 == 0, F.concat(F.lit("12:00 "), one, F.lit("; "), one)).otherwise(F.concat(F.lit("12:00 "), one)).alias("value"))
     lines.write.text(path)
     return A.read_event_log_text(spark, path).groupBy("event", "platform", "version").agg(F.count("*").alias("n"), F.sum("received").alias("received"))
 
@@ -159,7 +163,7 @@ QUERIES = {
         a04,
         sql(
             TELEMETRY,
-            then="""SELECT event, platform, app_version AS version, count(*) AS n, NULL::BIGINT AS received FROM telemetry WHERE CAST(event_id AS BIGINT) % 50 <> 0 GROUP BY 1, 2, 3
+            then="""SELECT event, platform, app_version AS version, CAST(sum(CASE WHEN CAST(event_id AS BIGINT) % 7 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS n, NULL::BIGINT AS received FROM telemetry WHERE CAST(event_id AS BIGINT) % 50 <> 0 GROUP BY 1, 2, 3
 UNION ALL SELECT '', '', '', count(*), CAST(sum(CAST(event_id AS BIGINT)) AS BIGINT) FROM telemetry WHERE CAST(event_id AS BIGINT) % 50 = 0""",
         ),
     ),

@@ -8,15 +8,16 @@ from feedspark.operators import text as X
 from feedspark.plans.feed import RICH, RULES, rich, rules
 from feedspark.plans.fixtures import ARTICLES, INCOMING, articles, incoming, sql, table
 
-MD = """md AS (SELECT doc_id AS id, '# ' || substr(text, 1, 20) || chr(10) || chr(10) || replace(replace(substr(text, 21, 400), chr(10), ' '), '. ', '.' || chr(10) || '- ') || chr(10) || chr(10)
+MD = """md AS (SELECT doc_id AS id, '# ' || replace(substr(text, 1, 20), chr(10), ' ') || chr(10) || chr(10) || replace(replace(substr(text, 21), chr(10), ' '), '. ', '.' || chr(10) || '- ') || chr(10) || '1. one' || chr(10) || '2. two' || chr(10) || chr(10)
   || '![pic](http://i/' || CAST(doc_id % 3 AS VARCHAR) || '.png)' || chr(10) || '![pic](http://i/x.png)' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '---' || chr(10) || '> [quoted](http://q) text' ELSE '' END AS t FROM documents)"""
 
 
 def md(spark, d):
     i = F.col("doc_id")
-    body = F.replace(F.replace(F.substring("text", 21, 400), F.lit("\n"), F.lit(" ")), F.lit(". "), F.lit(".\n- "))
+    body = F.replace(F.replace(F.expr("substring(text, 21)"), F.lit("\n"), F.lit(" ")), F.lit(". "), F.lit(".\n- "))
+    head = F.replace(F.substring("text", 1, 20), F.lit("\n"), F.lit(" "))
     tail = F.when(i % 2 == 0, "\n---\n> [quoted](http://q) text").otherwise("")
-    return table(spark, d, "documents").select(i.alias("id"), F.concat(F.lit("# "), F.substring("text", 1, 20), F.lit("\n\n"), body, F.lit("\n\n![pic](http://i/"), (i % 3).cast("string"), F.lit(".png)\n![pic](http://i/x.png)"), tail).alias("t"))
+    return table(spark, d, "documents").select(i.alias("id"), F.concat(F.lit("# "), head, F.lit("\n\n"), body, F.lit("\n1. one\n2. two\n\n![pic](http://i/"), (i % 3).cast("string"), F.lit(".png)\n![pic](http://i/x.png)"), tail).alias("t"))
 
 
 def f01(spark, d):
@@ -24,12 +25,12 @@ def f01(spark, d):
 
 
 def f02(spark, d):
-    rows = md(spark, d).join(articles(spark, d).select("id", "raw_text"), "id").withColumn("raw", F.substring("raw_text", 1, 300)).withColumn("html", F.concat(F.lit("<p>"), F.substring("raw_text", 1, 350), F.lit("</p><script>var x = 1;</script>")))
+    rows = md(spark, d).join(articles(spark, d).select("id", "raw_text"), "id").withColumn("raw", F.when(F.col("id") % 3 == 0, F.substring("raw_text", 1, 300)).otherwise(F.col("raw_text"))).withColumn("html", F.concat(F.lit("<p>"), F.replace(F.replace("raw_text", F.lit("<"), F.lit(" ")), F.lit("&"), F.lit(" ")), F.lit(" tail</p><script>var x = 1;</script>")))
     return X.best_text(rows, "raw", "t", "html").select("id", "best_from", F.length("best_text").alias("n"))
 
 
 def f03(spark, d):
-    return X.explode_blocks(md(spark, d), "id", "t").select("id", "block_index", "type", "level", "n_lines", F.md5("text").alias("text_md5"))
+    return X.explode_blocks(md(spark, d), "id", "t").select("id", "block_index", "type", "level", "n_lines", F.md5("text").alias("text_md5"), "anchor", "ordered", F.md5(F.array_join("items", "|")).alias("items_md5"))
 
 
 def f04(spark, d):
@@ -81,7 +82,12 @@ TERMS = [("(?i)idiot|moron", "[insult]", "insult"), ("(?i)clown", "[name]", "nam
 
 
 def f13(spark, d):
-    return X.redact_terms(articles(spark, d), TERMS, "raw_text").select("id", F.md5("redacted").alias("redacted_md5"), "hits_insult", "hits_name", "hits_again")
+    rows = articles(spark, d).withColumn("raw_text", F.when(F.col("id") % 2 == 0, F.replace("raw_text", F.lit("\n"), F.lit("\n\n\n"))).otherwise(F.col("raw_text")))
+    return X.redact_terms(rows, TERMS, "raw_text").select("id", F.md5("redacted").alias("redacted_md5"), "hits_insult", "hits_name", "hits_again")
+
+
+def f13_totals(spark, d):
+    return X.redaction_totals(X.redact_terms(articles(spark, d), TERMS, "raw_text"))
 
 
 def _short(spark, d):
@@ -142,16 +148,17 @@ def f22(spark, d):
     return X.redacted_retry_set(results, a, TERMS[:2], "content risk|content_filter").select("id", F.md5("redacted").alias("redacted_md5"))
 
 
-_AI = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '!\\[([^\\]]*)\\]\\(([^)]+)\\)', ' ', 'g'), '\\[([^\\]]+)\\]\\(([^)]+)\\)', '\\1', 'g'), '(?m)^#{1,6}\\s*', '', 'g'), '(?m)^\\s*>\\s?', '', 'g'), '(?m)^\\s*[-*+]\\s+', '', 'g'), '[*_~|`]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_AI = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '!\\[([^\\]]*)\\]\\(([^)]+)\\)', ' ', 'g'), '\\[([^\\]]+)\\]\\(([^)]+)\\)', '\\1', 'g'), '(?m)^#{1,6}\\s*', '', 'g'), '(?m)^\\s*>\\s?', '', 'g'), '(?m)^\\s*([-*+]|\\d+\\.)\\s+', '', 'g'), '[*_~|`]', ' ', 'g'), '\\s+', ' ', 'g'))"
 BLOCKS = (
     "lines AS (SELECT id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM md)",
     """typed AS (SELECT *, CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(trim(line), '^#{1,6}\\s') THEN 'title' WHEN regexp_matches(trim(line), '^(-{3,}|\\*{3,}|_{3,})$') THEN 'divider'
       WHEN regexp_matches(trim(line), '^!\\[[^\\]]*\\]\\([^)]+\\)$') THEN 'image' WHEN regexp_matches(trim(line), '^\\[[^\\]]+\\]\\([^)]+\\)$') THEN 'link' WHEN regexp_matches(trim(line), '^>') THEN 'quote'
       WHEN regexp_matches(trim(line), '^([-*+]|\\d+\\.)\\s+') THEN 'list' ELSE 'paragraph' END AS type FROM lines)""",
-    "marked AS (SELECT *, CASE WHEN type = lag(type, 1, '') OVER (PARTITION BY id ORDER BY n) AND type IN ('list', 'quote', 'paragraph') THEN 0 ELSE 1 END AS new FROM typed)",
+    "marked AS (SELECT *, type = 'list' AND regexp_matches(trim(line), '^\\d') AS ordered, CASE WHEN type = lag(type, 1, '') OVER (PARTITION BY id ORDER BY n) AND (type = 'list' AND regexp_matches(trim(line), '^\\d')) = lag(type = 'list' AND regexp_matches(trim(line), '^\\d'), 1, false) OVER (PARTITION BY id ORDER BY n) AND type IN ('list', 'quote', 'paragraph') THEN 0 ELSE 1 END AS new FROM typed)",
     "isl AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY n) AS b FROM marked)",
     """blocks AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY b) - 1 AS block_index, type, max(CASE WHEN type = 'title' THEN length(regexp_extract(trim(line), '^(#+)', 1)) ELSE 0 END) AS level, count(*) AS n_lines,
-      string_agg(regexp_replace(trim(line), '^(#{1,6}\\s+|>\\s?|([-*+]|\\d+\\.)\\s+)', ''), chr(10) ORDER BY n) AS text FROM isl WHERE type <> 'blank' GROUP BY id, b, type)""",
+      string_agg(regexp_replace(trim(line), '^(#{1,6}\\s+|>\\s?|([-*+]|\\d+\\.)\\s+)', ''), chr(10) ORDER BY n) AS text, bool_or(ordered) AS ordered,
+      coalesce(string_agg(trim(regexp_replace(trim(line), '^(#{1,6}\\s+|>\\s?|([-*+]|\\d+\\.)\\s+)', '')), '|' ORDER BY n) FILTER (trim(regexp_replace(trim(line), '^(#{1,6}\\s+|>\\s?|([-*+]|\\d+\\.)\\s+)', '')) <> ''), '') AS items FROM isl WHERE type <> 'blank' GROUP BY id, b, type)""",
 )
 _KEY = "sha256('summary|m1|local|' || sha256(raw_text) || '|' || sha256('p'))"
 _SHORT = "short AS (SELECT *, CASE WHEN id % 6 = 1 THEN substr(raw_text, 1, 8) ELSE raw_text END AS body, id % 3 AS images FROM incoming)"
@@ -161,12 +168,13 @@ QUERIES = {
     "f02_best_text": (
         f02,
         sql(
-            MD, f"p AS (SELECT md.id, trim(substr(d.text, 1, 300)) AS r, {_AI} AS m, trim(regexp_replace(substr(d.text, 1, 350), '\\s+', ' ', 'g')) AS h FROM md JOIN documents d ON d.doc_id = md.id)",
+            MD, f"p AS (SELECT md.id, trim(CASE WHEN md.id % 3 = 0 THEN substr(d.text, 1, 300) ELSE d.text END) AS r, {_AI} AS m, trim(regexp_replace(replace(replace(d.text, '<', ' '), '&', ' ') || ' tail', '\\s+', ' ', 'g')) AS h FROM md JOIN documents d ON d.doc_id = md.id)",
             "q AS (SELECT *, length(regexp_replace(r, '\\s+', '', 'g')) AS lr, length(regexp_replace(m, '\\s+', '', 'g')) AS lm, length(regexp_replace(h, '\\s+', '', 'g')) AS lh FROM p)",
             then="SELECT id, CASE WHEN lr >= lm AND lr >= lh THEN 'raw' WHEN lm >= lh THEN 'markdown' ELSE 'html' END AS best_from, CASE WHEN lr >= lm AND lr >= lh THEN length(r) WHEN lm >= lh THEN length(m) ELSE length(h) END AS n FROM q",
         ),
     ),
-    "f03_explode_blocks": (f03, sql(MD, *BLOCKS, then="SELECT id, block_index, type, level, n_lines, md5(text) AS text_md5 FROM blocks")),
+    "f03_explode_blocks": (f03, sql(MD, *BLOCKS, then="""SELECT id, block_index, type, level, n_lines, md5(text) AS text_md5, CASE WHEN type = 'title' THEN coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(lower(trim(text)), '[^\\p{L}\\p{N}_-]+', '-', 'g'), '-{2,}', '-', 'g'), '^-|-$', '', 'g'), ''), 'section-' || CAST(block_index + 1 AS VARCHAR)) END AS anchor,
+CASE WHEN type = 'list' THEN ordered END AS ordered, CASE WHEN type = 'list' THEN md5(items) END AS items_md5 FROM blocks""")),
     "f04_block_metrics": (f04, sql(MD, *BLOCKS, then="SELECT id, count(*) FILTER (type = 'title') AS headings, count(*) FILTER (type = 'list') AS lists, count(*) FILTER (type = 'paragraph') AS paragraphs, count(*) AS blocks FROM blocks GROUP BY id")),
     "f05_group_images": (
         f05,
@@ -205,8 +213,13 @@ QUERIES = {
     "f12_recombine_chunks": (f12, "SELECT conv_id, count(*) AS n_chunks, md5(string_agg('## Part ' || CAST(turn + 1 AS VARCHAR) || chr(10) || trim(text), chr(10) || chr(10) ORDER BY turn)) AS text_md5 FROM conversations GROUP BY conv_id"),
     "f13_redact_terms": (
         f13,
-        """SELECT doc_id AS id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'idiot|moron', '[insult]', 'gi'), 'clown', '[name]', 'gi'), '\\binsult\\b', 'rude', 'g'), '[ \\t]{2,}', ' ', 'g'))) AS redacted_md5,
-len(regexp_extract_all(text, '(?i)idiot|moron')) AS hits_insult, len(regexp_extract_all(text, '(?i)clown')) AS hits_name, len(regexp_extract_all(regexp_replace(text, 'idiot|moron', '[insult]', 'gi'), '\\binsult\\b')) AS hits_again FROM documents""",
+        """SELECT doc_id AS id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'idiot|moron', '[insult]', 'gi'), 'clown', '[name]', 'gi'), '\\binsult\\b', 'rude', 'g'), '[ \\t]{2,}', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'))) AS redacted_md5,
+len(regexp_extract_all(text, '(?i)idiot|moron')) AS hits_insult, len(regexp_extract_all(text, '(?i)clown')) AS hits_name, len(regexp_extract_all(regexp_replace(text, 'idiot|moron', '[insult]', 'gi'), '\\binsult\\b')) AS hits_again FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(text, chr(10), chr(10) || chr(10) || chr(10)) ELSE text END AS text FROM documents) d""",
+    ),
+    "f13_redaction_totals": (
+        f13_totals,
+        """WITH h AS (SELECT len(regexp_extract_all(text, '(?i)idiot|moron')) AS a, len(regexp_extract_all(text, '(?i)clown')) AS b, len(regexp_extract_all(regexp_replace(text, 'idiot|moron', '[insult]', 'gi'), '\\binsult\\b')) AS c FROM documents)
+SELECT 'insult' AS label, CAST(sum(a) AS BIGINT) AS hits, count(*) FILTER (a > 0) AS docs FROM h UNION ALL SELECT 'name', CAST(sum(b) AS BIGINT), count(*) FILTER (b > 0) FROM h UNION ALL SELECT 'again', CAST(sum(c) AS BIGINT), count(*) FILTER (c > 0) FROM h""",
     ),
     "f14_length_gate": (
         f14,
@@ -256,7 +269,7 @@ CASE WHEN id % 3 <> 0 THEN ai_summary WHEN id % 4 = 3 THEN '' WHEN id % 4 IN (0,
     ),
     "f22_redacted_retry": (
         f22,
-        """SELECT doc_id AS id, md5(r) AS redacted_md5 FROM (SELECT doc_id, text, trim(regexp_replace(regexp_replace(regexp_replace(text, 'idiot|moron', '[insult]', 'gi'), 'clown', '[name]', 'gi'), '[ \\t]{2,}', ' ', 'g')) AS r FROM documents) x
-WHERE doc_id % 6 = 0 AND r <> trim(regexp_replace(text, '[ \\t]{2,}', ' ', 'g'))""",
+        """SELECT doc_id AS id, md5(r) AS redacted_md5 FROM (SELECT doc_id, text, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'idiot|moron', '[insult]', 'gi'), 'clown', '[name]', 'gi'), '[ \\t]{2,}', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')) AS r FROM documents) x
+WHERE doc_id % 6 = 0 AND r <> trim(regexp_replace(regexp_replace(text, '[ \\t]{2,}', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'))""",
     ),
 }

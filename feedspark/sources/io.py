@@ -32,12 +32,15 @@ def read_events_ndjson(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_event_log_text(spark: SparkSession, path: str) -> DataFrame:
-    """event, platform, version of log lines `- event | platform | version`, and received, the totals of `received N` lines."""
-    lines = spark.read.text(path)
-    g = lambda n: F.trim(F.regexp_extract("value", r"-\s*([\w.]+)\s*\|\s*([^|]+?)\s*\|\s*(\S+)", n))
-    total = F.regexp_extract(F.lower("value"), r"received\s+(\d+)", 1)
-    rows = lines.select(g(1).alias("event"), g(2).alias("platform"), g(3).alias("version"), F.nullif(total, F.lit("")).cast("long").alias("received"))
-    return rows.where("event <> '' or received is not null")
+    """event, platform, version of every `- event | platform | version` or `- event from platform from version` of a line, and
+    received, the number of every `received N` or `收到 N`; a row has either."""
+    each = lambda pattern, n: F.regexp_extract_all("value", F.lit(pattern), F.lit(n))
+    event = r"(?U)-\s*([\w.]+)\s*(?:\bfrom\b|\|)\s*(\w+)\s*(?:\bfrom\b|\|)\s*([\w.]+)"
+    none = F.lit(None)
+    events = F.transform(F.arrays_zip(each(event, 1).alias("e"), each(event, 2).alias("p"), each(event, 3).alias("v")), lambda x: F.struct(x["e"].alias("event"), x["p"].alias("platform"), x["v"].alias("version"), none.cast("long").alias("received")))
+    empty = [F.lit("").alias(x) for x in ("event", "platform", "version")]
+    totals = F.transform(each(r"(?i)(?:received|收到)\s*(\d+)", 1), lambda x: F.struct(*empty, x.cast("long").alias("received")))
+    return spark.read.text(path).select(F.explode(F.concat(events, totals)).alias("x")).select("x.*")
 
 
 def read_feed_entries(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
