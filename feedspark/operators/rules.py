@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 DROP, LEAST, ALERT_FAILURES, ALERT_EMPTIES, VERSIONS = 0.5, 0.6, 2, 3, 20
@@ -27,18 +31,40 @@ def detect_field_drift(current: DataFrame, baseline: DataFrame, rule: str = "rul
     return both.withColumn("reason", reason).where("reason is not null")
 
 
+def drift_steps(rates: list[float], base: float | None) -> tuple[list[bool], float | None]:
+    """Which of the checks in order lost hits against the last clean one, and the baseline behind them."""
+    out = []
+    for rate in rates:
+        drifted = base is not None and base >= LEAST and (rate <= 0 or round(base - rate, 4) >= DROP)
+        out.append(drifted)
+        if not drifted:
+            base = rate
+    return out, base
+
+
+def _drifted(rule: str):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, base = None, None
+        for frame in frames:
+            out = []
+            for name, own in frame.groupby(rule, sort=False, dropna=False):
+                flags, base = drift_steps(own["hit_rate"].tolist(), base if name == last else None)
+                last = name
+                out.append(own.assign(drifted=flags))
+            if out:
+                yield pd.concat(out)[[rule, "checked_at", "check_id", "drifted"]]
+
+    return run
+
+
 def drift_history(checks: DataFrame, rule: str = "rule_id") -> DataFrame:
     """rule, checked_at, check_id, drifted by a fold over each rule's healthy checks (hit_rate): the baseline moves on only at
-    clean checks. A rule's history is one array, as short as its number of checks."""
-    step = lambda acc, x: F.struct(
-        F.when((acc["base"] >= LEAST) & ((x["hit_rate"] <= 0) | (F.round(acc["base"] - x["hit_rate"], 4) >= DROP)), acc["base"]).otherwise(x["hit_rate"]).alias("base"),
-        F.concat(acc["out"], F.array(F.struct(x["checked_at"].alias("checked_at"), x["check_id"].alias("check_id"), F.coalesce((acc["base"] >= LEAST) & ((x["hit_rate"] <= 0) | (F.round(acc["base"] - x["hit_rate"], 4) >= DROP)), F.lit(False)).alias("drifted")))).alias("out"),
-    )
-    kind = checks.select(F.array(F.struct("checked_at", "check_id", F.lit(False).alias("drifted"))).alias("a")).schema["a"].dataType
-    ordered = F.array_sort(F.collect_list(F.struct("checked_at", "check_id", "hit_rate")))
-    g = checks.where("status = 'healthy'").groupBy(rule).agg(ordered.alias("h"))
-    folded = F.aggregate("h", F.struct(F.lit(-1.0).alias("base"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
-    return g.select(rule, F.explode(folded).alias("x")).select(rule, "x.*")
+    clean checks, so a rule's checks are taken one after the other. They stream through a task in sorted batches, of which
+    only the baseline is carried on; a rule of any length needs no more memory than a batch."""
+    own = checks.where("status = 'healthy'").select(rule, "checked_at", "check_id", F.col("hit_rate").cast("double").alias("hit_rate"))
+    ordered = own.repartition(rule).sortWithinPartitions(rule, "checked_at", "check_id")
+    schema = T.StructType([*(own.schema[c] for c in (rule, "checked_at", "check_id")), T.StructField("drifted", T.BooleanType())])
+    return ordered.mapInPandas(_drifted(rule), schema)
 
 
 def failure_kind(status: str = "status", message: str = "message"):

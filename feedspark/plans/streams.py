@@ -7,16 +7,22 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from feedspark.operators import identity as I
 from feedspark.plans.fixtures import ARTICLES, CHECKS, TELEMETRY, articles, rule_checks, sql, telemetry
 from feedspark.sources import io as A
 from feedspark.streaming import streams as L
 
 
+_OWN: dict[str, str] = {}
+
+
 def folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_own_shared", None)
+    """A new folder under spark.checkpoint.dir. Where that is unset, one on this machine, which only a local master allows."""
+    base, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not base:
-        base = spark.sparkContext._own_shared = tempfile.mkdtemp(prefix="spark-")
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _OWN.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="spark-")
+        _OWN[context.applicationId] = base
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -100,9 +106,11 @@ def _out(spark, stream):
 
 
 def l01(spark, d):
-    t = telemetry(spark, d).withColumn("session_id", F.when(F.col("event_id").cast("long") % 13 != 0, F.col("session_id")))
+    props = F.create_map(F.lit("password"), F.lit("p"), F.lit("user"), F.concat(F.lit(" "), "install_id"))
+    t = telemetry(spark, d).withColumn("session_id", F.when(F.col("event_id").cast("long") % 13 != 0, F.col("session_id"))).withColumn("props", props)
     _, s = _written(spark, t)
-    return _out(spark, L.stream_valid(s).select("event_id", "event")).groupBy("event").agg(F.count("*").alias("n"))
+    out = _out(spark, L.stream_valid(s).select("event", F.map_keys("props").alias("keys"), F.col("props")["user"].alias("user")))
+    return out.groupBy("event", F.array_join("keys", ",").alias("keys")).agg(F.count("*").alias("n"), F.max("user").alias("last_user"))
 
 
 def l02(spark, d):
@@ -111,43 +119,56 @@ def l02(spark, d):
     return _out(spark, L.stream_dedup(s, "400 days")).groupBy("event").agg(F.count("*").alias("n"))
 
 
+def _flushed(spark, rows, flush):
+    """A stream of the rows, and behind them in a later file one row that moves the watermark past them all."""
+    path = folder(spark)
+    rows.write.parquet(path)
+    flush.write.mode("append").parquet(path)
+    return L.stream_events(spark, path, rows.schema, files=10_000)
+
+
+def _late(rows, **names):
+    late = rows.agg(F.max("ts").alias("ts")).select(*(F.lit(v).alias(k) for k, v in names.items()), (F.col("ts") + F.expr("interval 500 days")).alias("ts"))
+    return late.select(rows.columns)
+
+
 def l03(spark, d):
     t = telemetry(spark, d).select("event", "ts")
-    late = t.agg(F.max("ts").alias("ts")).select(F.lit("flush").alias("event"), (F.col("ts") + F.expr("interval 500 days")).alias("ts"))
-    path = folder(spark)
-    t.coalesce(1).write.parquet(path)
-    late.coalesce(1).write.mode("append").parquet(path)
-    s = L.stream_events(spark, path, t.schema, files=10)
-    out = _out(spark, L.stream_counts(s, "1 day", "400 days"))
+    out = _out(spark, L.stream_counts(_flushed(spark, t, _late(t, event="flush")), "1 day", "400 days"))
     return out.where("event <> 'flush'").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event", "n")
 
 
 def l04(spark, d):
-    c = rule_checks(spark, d).select("rule_id", "status", "checked_at", "check_id")
-    path = folder(spark)
-    c.coalesce(1).write.parquet(path)
-    out = _out(spark, L.stream_health(L.stream_events(spark, path, c.schema)))
-    return out.select("check_id", "consecutive_failures", "consecutive_empties", "is_alerting")
+    rate = F.when(F.col("check_id") % 5 == 0, 0.0).when(F.col("check_id") % 3 == 0, 0.4).otherwise(0.9)
+    c = rule_checks(spark, d).select("rule_id", "status", "checked_at", "check_id", rate.alias("hit_rate"))
+    path, out, state = folder(spark), folder(spark), folder(spark)
+    half = c.agg(F.percentile_approx(F.col("checked_at").cast("timestamp"), 0.5).alias("half"))
+    parts = c.join(half).withColumn("early", F.col("checked_at").cast("timestamp") <= F.col("half"))
+    for early in (True, False):  # the second run goes on from the state that the first left
+        parts.where(F.col("early") == early).select(c.columns).write.mode("append").parquet(path)
+        done = L.run_to_table(L.stream_health(L.stream_events(spark, path, c.schema, files=10_000)), out, state)
+    return done.select("check_id", "consecutive_failures", "consecutive_empties", "is_alerting", "drifted")
 
 
 def l05(spark, d):
-    a = articles(spark, d).select("id", "url", "title")
-    path, store = folder(spark), folder(spark)
-    a.where("id % 2 = 0").coalesce(1).write.parquet(path)
-    a.where("id % 3 = 0").coalesce(1).write.mode("append").parquet(path)
-    s = L.stream_events(spark, path, a.schema, files=1)
-    admit = lambda new, old: I.dedup_keep_first(new, ["url"], ["id"]).join(old.select("url"), "url", "left_anti")
-    L.stream_admission(s, store, folder(spark), admit).start().awaitTermination()
-    return spark.read.schema(a.schema).option("recursiveFileLookup", True).parquet(store)
+    """Each section's older rows first; then all of them, of which those above the frontier are new."""
+    a = articles(spark, d).withColumns({"section": (F.col("id") % 2).cast("string"), "dt": F.when(F.col("id") % 9 != 0, F.col("date"))})
+    last = a.agg(F.max("id").alias("last"))
+    rows = a.join(last).select("id", "source_name", "section", (F.col("last") - F.col("id") + 1).alias("position"), "url", "title", "dt", "last")
+    details = a.select("url", F.concat("date", F.lit(" 00:00:00")).alias("detail_dt"))
+    cutoffs = a.select("source_name").distinct().select("source_name", F.lit("2000-01-01 00:00:00").alias("cutoff"), F.lit(0).alias("repair_window"))
+    path, store, state = folder(spark), folder(spark), folder(spark)
+    for part in (rows.where("3 * id <= 2 * last"), rows):
+        part.drop("last").write.mode("append").parquet(path)
+        L.stream_admission(L.stream_events(spark, path, L.CANDIDATE, files=10_000), store, state, details, cutoffs).start().awaitTermination()
+    stored = L.stored_articles(spark, store).select("id", "url", "effective_dt", "batch")
+    ends = L.stored_frontiers(spark, store).select(F.col("url").alias("url"), F.lit(True).alias("is_frontier"))
+    return stored.join(ends, "url", "left").withColumn("is_frontier", F.coalesce("is_frontier", F.lit(False)))
 
 
 def l06(spark, d):
     t = telemetry(spark, d).select("install_id", "event", "ts")
-    late = t.agg(F.max("ts").alias("ts")).select(F.lit("flush").alias("install_id"), F.lit("flush").alias("event"), (F.col("ts") + F.expr("interval 500 days")).alias("ts"))
-    path = folder(spark)
-    t.coalesce(1).write.parquet(path)
-    late.coalesce(1).write.mode("append").parquet(path)
-    out = _out(spark, L.stream_sessions(L.stream_events(spark, path, t.schema, files=10), "6 hours", "400 days"))
+    out = _out(spark, L.stream_sessions(_flushed(spark, t, _late(t, install_id="flush", event="flush")), "6 hours", "400 days"))
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return out.where("install_id <> 'flush'").select("install_id", stamp("start"), stamp("end"), "n")
 
@@ -178,11 +199,26 @@ UNION ALL SELECT '', '', '', count(*), CAST(sum(CAST(event_id AS BIGINT)) AS BIG
         ),
     ),
     "a10_schema_evolution": (a10, sql(ARTICLES, then="SELECT id, false AS is_read, md5(raw_text) AS raw_md5, md5(CASE WHEN id % 4 = 0 OR title = '' THEN raw_text ELSE title END) AS enhanced_md5 FROM articles")),
-    "l01_stream_events": (l01, "SELECT event_type AS event, count(*) AS n FROM events WHERE event_id % 13 <> 0 GROUP BY 1"),
+    "l01_stream_events": (l01, "SELECT event_type AS event, 'user' AS keys, count(*) AS n, max(CAST(user_id AS VARCHAR)) AS last_user FROM events WHERE event_id % 13 <> 0 GROUP BY 1"),
     "l02_stream_dedup": (l02, "SELECT event_type AS event, count(*) AS n FROM events GROUP BY 1"),
     "l03_stream_counts": (l03, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS event, count(*) AS n FROM events GROUP BY 1, 2"),
-    "l04_stream_health": (l04, sql(CHECKS, _STREAK, then="SELECT check_id, cf AS consecutive_failures, cm AS consecutive_empties, cf >= 2 OR cm >= 3 AS is_alerting FROM su")),
-    "l05_stream_admission": (l05, sql(ARTICLES, then="SELECT id, url, title FROM articles WHERE id % 2 = 0 OR id % 3 = 0")),
+    "l04_stream_health": (
+        l04,
+        sql(
+            CHECKS, _STREAK,
+            "d AS (SELECT *, CASE WHEN check_id % 5 = 0 THEN 0.0 WHEN check_id % 3 = 0 THEN 0.4 ELSE 0.9 END AS r, row_number() OVER (PARTITION BY rule_id ORDER BY checked_at, check_id) AS k FROM checks WHERE status = 'healthy')",
+            "e AS (SELECT *, min(CASE WHEN r = 0.9 THEN k END) OVER (PARTITION BY rule_id) AS good FROM d)",
+            then="SELECT su.check_id, cf AS consecutive_failures, cm AS consecutive_empties, cf >= 2 OR cm >= 3 AS is_alerting, coalesce(k > good AND r < 0.9, false) AS drifted FROM su LEFT JOIN e USING (check_id)",
+        ),
+    ),
+    "l05_stream_admission": (
+        l05,
+        sql(
+            ARTICLES,
+            then="""SELECT id, url, date || ' 00:00:00' AS effective_dt, CASE WHEN 3 * id <= 2 * (SELECT max(id) FROM articles) THEN 0 ELSE 1 END AS batch,
+id = max(id) OVER (PARTITION BY source_name, id % 2) AS is_frontier FROM articles""",
+        ),
+    ),
     "l06_stream_sessions": (
         l06,
         """WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOURS OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS new FROM events),
