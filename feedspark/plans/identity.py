@@ -28,7 +28,7 @@ def b02(spark, d):
 
 
 def b03(spark, d):
-    items = articles(spark, d).select("id", "url", "source_name", "title", "date", F.substring("raw_text", 1, 200).alias("body"), F.create_map(F.lit("Kind"), F.col("source_type"), F.lit("link"), F.col("url"), F.lit("rule"), F.col("rule_id")).alias("fields"))
+    items = articles(spark, d).select("id", "url", "source_name", "title", "date", F.col("raw_text").alias("body"), F.create_map(F.lit("Kind"), F.col("source_type"), F.lit("link"), F.col("url"), F.lit("rule"), F.col("rule_id")).alias("fields"))
     return I.fingerprint_keys(items, "url", "source_name", "title", "date", "body", "fields").select("id", "item_key")
 
 
@@ -117,7 +117,7 @@ QUERIES = {
         b03,
         sql(
             ARTICLES,
-            then=r"""SELECT id, url || '#item-' || substr(sha1(url || '||' || source_name || '||' || trim(regexp_replace(title, '\s+', ' ', 'g')) || '||' || date || '||' || trim(regexp_replace(substr(raw_text, 1, 200), '\s+', ' ', 'g')) ||
+            then=r"""SELECT id, url || '#item-' || substr(sha1(url || '||' || source_name || '||' || trim(regexp_replace(title, '\s+', ' ', 'g')) || '||' || date || '||' || trim(regexp_replace(raw_text, '\s+', ' ', 'g')) ||
 '||' || '[["kind","' || source_type || '"],["rule","' || rule_id || '"]]'), 1, 16) AS item_key FROM articles""",
         ),
     ),

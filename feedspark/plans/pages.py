@@ -16,7 +16,7 @@ def _pages(spark, d):
 
 
 def _media(spark, d):
-    """Pages with links, images and frames set in."""
+    """The pages with links, images and frames set in before what they hold."""
     i = F.col("page_id")
     n = (i % 4).cast("string")
     extra = F.concat(
@@ -24,7 +24,7 @@ def _media(spark, d):
         F.when(i % 3 == 0, F.concat(F.lit('<img src="blank.gif" data-src="//cdn.site/'), n, F.lit('.jpg" alt="A" width="400" height="300"><img alt="B" src="/b.png">'))).when(i % 3 == 1, '<meta property="og:image" content="http://img.org/og.png">').otherwise(""),
         F.lit('<iframe src="/frame"></iframe><iframe src="https://elsewhere.net/f"></iframe>'),
     )
-    return table(spark, d, "pages").select("page_id", F.concat(F.lit("http://www.site"), n, F.lit(".example.com/a/b.html")).alias("url"), extra.alias("html"))
+    return table(spark, d, "pages").select("page_id", "url", F.concat(extra, "html").alias("html"))
 
 
 def g01(spark, d):
@@ -172,6 +172,9 @@ _THIN = "thin AS (SELECT doc_id, source, substr(text, 1, CAST(doc_id % 5 * 50 AS
 _PLAIN = lambda t: f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, '(?m)^\\s*([-*+]|\\d+\\.)\\s+', '', 'g'), '[*_~|`]', ' ', 'g'), '(?m)^#{{1,6}}\\s*', '', 'g'), '\\s+', ' ', 'g'))"
 _PREVIEW = lambda t: f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, '!\\[([^\\]]*)\\]\\(([^)]+)\\)', '\\1 ', 'g'), '\\[([^\\]]+)\\]\\(([^)]+)\\)', '\\1', 'g'), '(?m)^#{{1,6}}\\s*', '', 'g'), '(?m)^\\s*>\\s?', '', 'g'), '(?m)^\\s*([-*+]|\\d+\\.)\\s+', '', 'g'), '[*_~]', '', 'g'), '\\s+', ' ', 'g'))"
 
+#: SQL for scheme and host of a page.
+_ROOT = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
+
 QUERIES = {
     "g01_page_links": (
         g01,
@@ -180,12 +183,12 @@ SELECT page_id, 'page' AS kind, count(*) AS n, min({_BARE('tag')}) AS first_text
     ),
     "g02_page_attachments": (
         g02,
-        "SELECT page_id, 0 AS n, 'Doc ' || CAST(page_id % 4 AS VARCHAR) AS text, 'http://www.site' || CAST(page_id % 4 AS VARCHAR) || '.example.com/a/files/doc' || CAST(page_id % 4 AS VARCHAR) || '.pdf' AS link FROM pages",
+        f"SELECT page_id, 0 AS n, 'Doc ' || CAST(page_id % 4 AS VARCHAR) AS text, {_ROOT} || regexp_extract(url, '^https?://[^/?#]+(/[^?#]*/)', 1) || 'files/doc' || CAST(page_id % 4 AS VARCHAR) || '.pdf' AS link FROM pages",
     ),
     "g03_page_images": (
         g03,
-        """SELECT page_id, 0 AS n, 'http://cdn.site/' || CAST(page_id % 4 AS VARCHAR) || '.jpg' AS src, 'A' AS alt, 400.0 AS width, 300.0 AS height, 1.3333 AS ratio, 'cdn.site' AS hostname FROM pages WHERE page_id % 3 = 0
-UNION ALL SELECT page_id, 1, 'http://www.site' || CAST(page_id % 4 AS VARCHAR) || '.example.com/b.png', 'B', NULL, NULL, NULL, 'www.site' || CAST(page_id % 4 AS VARCHAR) || '.example.com' FROM pages WHERE page_id % 3 = 0
+        f"""SELECT page_id, 0 AS n, regexp_extract(url, '^(https?:)', 1) || '//cdn.site/' || CAST(page_id % 4 AS VARCHAR) || '.jpg' AS src, 'A' AS alt, 400.0 AS width, 300.0 AS height, 1.3333 AS ratio, 'cdn.site' AS hostname FROM pages WHERE page_id % 3 = 0
+UNION ALL SELECT page_id, 1, {_ROOT} || '/b.png', 'B', NULL, NULL, NULL, {_HOST} FROM pages WHERE page_id % 3 = 0
 UNION ALL SELECT page_id, 0, 'http://img.org/og.png', '', NULL, NULL, NULL, 'img.org' FROM pages WHERE page_id % 3 = 1""",
     ),
     "g04_page_summary": (
@@ -219,7 +222,7 @@ SELECT page_id, tag, n_links, text_chars, CAST(row_number() OVER (PARTITION BY p
         "SELECT site_type, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS percent FROM t GROUP BY 1",
     ),
     "g11_domain_rollup": (g11, f"SELECT array_to_string(string_split(h, '.')[-2:], '.') AS domain, count(*) AS pages, count(DISTINCT h) AS hosts FROM (SELECT {_HOST} AS h FROM pages) x GROUP BY 1"),
-    "g12_same_site_frames": (g12, "SELECT page_id, 0 AS n, 'http://www.site' || CAST(page_id % 4 AS VARCHAR) || '.example.com/frame' AS src FROM pages"),
+    "g12_same_site_frames": (g12, f"SELECT page_id, 0 AS n, {_ROOT} || '/frame' AS src FROM pages"),
     "g13_thin_entries": (
         g13,
         f"""WITH {_THIN} SELECT doc_id, greatest(length(t), length(detail)) AS n, length(detail) > length(t) AS from_detail FROM thin WHERE length(t) < 160 AND NOT (length({_PLAIN('t')}) >= 120 AND images > 1)""",
