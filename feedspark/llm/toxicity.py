@@ -1,6 +1,6 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and their beginnings of 4 and 5 letters. Every whole text is a vector over the terms that at least two
+Terms are words and their beginnings of 4 and 5 letters. Every whole text is a vector over the terms that at least LEAST
 labelled examples hold and no more than `most_common` of all documents; a term weighs (1 + ln tf) * ln(1 + N / (1 + df)), with
 df and N counted over the whole corpus, times a factor of FLOOR to 1 that tells how clearly the examples tie the term to the
 label, either way (its z score; see README for figures with and without it). No term is chosen or left out by its label.
@@ -34,8 +34,10 @@ from pyspark.sql import types as T
 
 from feedspark.llm import common as C
 
-EXAMPLES = 4_000
+EXAMPLES = 3_000
 VOCABULARY = 200_000
+#: Examples that a term of the vocabulary is found in, at least.
+LEAST = 3
 MOST_COMMON = 0.1
 PREFIXES = (4, 5)
 #: Weight of a term that the labels say nothing about; and the z scores from which and up to which the weight grows to 1.
@@ -266,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary
     context = docs.sparkSession.sparkContext
     sample = _examples(docs, labels, examples)
     counted = C.mapped(sample.select("text", "toxic"), _example_terms, "term string, toxic int").groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
-    chosen = counted.where("n >= 2").orderBy(F.desc("n"), "term").limit(vocabulary).toArrow()
+    chosen = counted.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "term").limit(vocabulary).toArrow()
     terms = Vocabulary(chosen.column("term").to_pylist())
     shared = context.broadcast(terms)
     counts = C.mapped(docs.select("text"), _frequencies(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()

@@ -123,7 +123,7 @@ def test_toxicity_against_brute_force(spark, docs, labels):
 
     def weight(t):
         held = [y for i, y in mine.items() if t in terms[i]]
-        if len(held) < 2 or df[t] > toxicity.MOST_COMMON * n:
+        if len(held) < toxicity.LEAST or df[t] > toxicity.MOST_COMMON * n:
             return 0.0
         z = abs(sum(held) - len(held) * share) / math.sqrt(len(held) * share * (1 - share))
         return math.log(1 + n / (1 + df[t])) * (0.1 + 0.9 * min(max((z - 3) / 5, 0), 1))
