@@ -119,26 +119,26 @@ def health_summary(health: DataFrame, source_type: str | None = None, most: int
     return totals, bad.orderBy(F.desc("consecutive_failures"), "checked_at", "rule_id").limit(most)
 
 
+#: What a selector may hold, and what each adds to 60 points.
+STABILITY = [
+    (r"^#|\[id=", 20.0),
+    (r"(?i)article|section|main|nav|aside|ul|ol|li|time|header|footer", 15.0),
+    (r"data-", 25.0),
+    (r"aria-", 15.0),
+    (r"(?i)news|article|list|item|post|content|title|date", 10.0),
+    (r"css-[a-z0-9]+|style-[a-z0-9]+|sc-[a-zA-Z]+|_[a-f0-9]{5,}|[a-z]+-\d+[a-z]*$", -30.0),
+    (r":nth-child|:nth-of-type|:first-child|:last-child", -25.0),
+    (r"\*", -20.0),
+    (r"(?s)>.*>.*>", -10.0),
+]
+
+
 def selector_stability(selector):
-    """0 to 100: how likely a selector survives a redesign."""
-    s, low = selector, F.lower(selector)
-    has = lambda c, *xs: F.greatest(*(F.contains(c, F.lit(x)).cast("int") for x in xs)) if len(xs) > 1 else F.contains(c, F.lit(xs[0])).cast("int")
-    deep = F.regexp_count(s, F.lit("[> ]"))
-    steps = F.regexp_count(s, F.lit(">"))
-    score = (
-        60.0
-        + 20 * (s.startswith("#") | F.contains(s, F.lit("[id="))).cast("int")
-        + 15 * low.rlike("article|section|main|nav|aside|ul|ol|li|time|header|footer").cast("int")
-        + 25 * has(s, "data-")
-        + 15 * has(s, "aria-")
-        + 10 * low.rlike("news|article|list|item|post|content|title|date").cast("int")
-        - 30 * s.rlike(r"css-[a-z0-9]+|style-[a-z0-9]+|sc-[a-zA-Z]+|_[a-f0-9]{5,}|[a-z]+-\d+[a-z]*$").cast("int")
-        - F.least(3 * deep, F.lit(15))
-        - 25 * s.rlike(":nth-child|:nth-of-type|:first-child|:last-child").cast("int")
-        - 20 * has(s, "*")
-        - 10 * (steps >= 3).cast("int")
-    )
-    return F.when(F.coalesce(s, F.lit("")) == "", 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)))
+    """0 to 100: how likely a selector survives a redesign; each step down costs 3 points, 15 at most."""
+    score = F.lit(60.0) - F.least(3.0 * F.regexp_count(selector, F.lit("[> ]")), F.lit(15.0))
+    for pattern, points in STABILITY:
+        score = score + F.when(selector.rlike(pattern), points).otherwise(0.0)
+    return F.when(F.coalesce(selector, F.lit("")) == "", 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)))
 
 
 def stability_score(selectors: DataFrame, rule: str = "rule_id") -> DataFrame:

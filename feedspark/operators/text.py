@@ -17,6 +17,7 @@ def _text(c: str | Column) -> Column:
 
 def plain(text: Column, mode: str = "ai") -> Column:
     """Markdown or HTML as plain text; ai: images go; preview: their alternative text stays."""
+    # fixed values: the patterns and their order, which decides where they overlap
     steps = [
         (r"!\[([^\]]*)\]\(([^)]+)\)", " " if mode == "ai" else "$1 "),
         (r"\[([^\]]+)\]\(([^)]+)\)", "$1"),
@@ -270,7 +271,7 @@ def cache_key(scope: Column, model: Column, endpoint: Column, content: Column, p
 
 def cache_misses(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hits with the cached result, misses) of requests with a cache_key."""
-    return requests.join(cache.select("cache_key", "result").dropDuplicates(["cache_key"]), "cache_key"), requests.join(cache.select("cache_key").distinct(), "cache_key", "left_anti")
+    return requests.join(cache.groupBy("cache_key").agg(F.max("result").alias("result")), "cache_key"), requests.join(cache.select("cache_key").distinct(), "cache_key", "left_anti")
 
 
 def enrichment_plan(articles: DataFrame, rules: DataFrame, trigger: int = 7000, target: int = 3600) -> DataFrame:

@@ -87,6 +87,15 @@ def a08(spark, d):
     return A.read_heat_csv(spark, path).select("url", "attachment_types", F.date_format("exact_time", "yyyy-MM-dd HH:mm:ss").alias("exact_time"))
 
 
+def a09(spark, d):
+    path = folder(spark)
+    a = articles(spark, d)
+    stamp = F.when(F.col("id") % 8 == 3, "soon").when(F.col("id") % 8 == 5, F.col("date")).otherwise(F.concat("date", F.lit(" 06:07:08")))
+    a.select("url", stamp.alias("seen")).write.option("header", True).csv(path)
+    rows = A.read_heat_csv(spark, path, "seen")
+    return rows.groupBy(F.date_format("seen", "yyyy-MM-dd HH:mm:ss").alias("seen")).agg(F.count("*").alias("n"), F.max("url").alias("last_url"))
+
+
 def a10(spark, d):
     old = articles(spark, d).select("id", "raw_text", F.when(F.col("id") % 4 == 0, "").otherwise(F.col("title")).alias("summary"))
     target = {"id": "long", "raw_text": "string", "summary": "string", "raw_markdown": "string", "enhanced_markdown": "string", "is_read": "boolean"}
@@ -198,6 +207,10 @@ UNION ALL SELECT '', '', '', count(*), CAST(sum(CAST(event_id AS BIGINT)) AS BIG
             then="SELECT url, 'pdf,doc' AS attachment_types, exact_time FROM x WHERE exact_time IS NOT NULL",
         ),
     ),
+    "a09_read_heat_csv": (
+        a09,
+        sql(ARTICLES, then="SELECT date || CASE WHEN id % 8 = 5 THEN ' 00:00:00' ELSE ' 06:07:08' END AS seen, count(*) AS n, max(url) AS last_url FROM articles WHERE id % 8 <> 3 GROUP BY 1"),
+    ),
     "a10_schema_evolution": (a10, sql(ARTICLES, then="SELECT id, false AS is_read, md5(raw_text) AS raw_md5, md5(CASE WHEN id % 4 = 0 OR title = '' THEN raw_text ELSE title END) AS enhanced_md5 FROM articles")),
     "l01_stream_events": (l01, "SELECT event_type AS event, 'user' AS keys, count(*) AS n, max(CAST(user_id AS VARCHAR)) AS last_user FROM events WHERE event_id % 13 <> 0 GROUP BY 1"),
     "l02_stream_dedup": (l02, "SELECT event_type AS event, count(*) AS n FROM events GROUP BY 1"),

@@ -114,8 +114,9 @@ def f17(spark, d):
 
 def f18(spark, d):
     a = articles(spark, d)
-    rows = a.select("id", F.concat(F.lit("see "), "url", F.lit("/a/b?x=1 and `"), "url", F.lit("` or [it]("), "url", F.lit(") end")).alias("t"))
-    return X.autolink(rows, "t").select("id", "linked", "n_links")
+    clean = F.regexp_replace("raw_text", r"[<`!\[\]]|https?://", " ")
+    rows = a.select("id", F.concat(clean, F.lit(" see "), "url", F.lit("/a/b?x=1 and `"), "url", F.lit("` or [it]("), "url", F.lit(") end")).alias("t"))
+    return X.autolink(rows, "t").select("id", F.md5("linked").alias("linked_md5"), "n_links")
 
 
 def f19(spark, d):
@@ -247,7 +248,13 @@ FROM short s LEFT JOIN old ON s.url = old.url GROUP BY 1""",
             then="SELECT id, '- **Body**: ' || CASE WHEN length(b) > 200 THEN substr(b, 1, 200) || '...' ELSE b END || chr(10) || '- **Title**: ' || t AS field_summary FROM p",
         ),
     ),
-    "f18_autolink": (f18, None),
+    "f18_autolink": (
+        f18,
+        sql(
+            ARTICLES,
+            then="SELECT id, md5(regexp_replace(raw_text, '[<`!\\[\\]]|https?://', ' ', 'g') || ' see [feed.example.com/.../a/b](' || url || '/a/b?x=1) and `' || url || '` or [it](' || url || ') end') AS linked_md5, 1 AS n_links FROM articles",
+        ),
+    ),
     "f19_cache_misses": (f19, sql(ARTICLES, INCOMING, f"c AS (SELECT DISTINCT {_KEY} AS k FROM articles WHERE id % 3 <> 0)", then=f"SELECT id, {_KEY} AS cache_key, {_KEY} IN (SELECT k FROM c) AS hit FROM incoming")),
     "f20_enrichment_plan": (
         f20,
