@@ -505,6 +505,32 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == ids[-1]
 
 
+def test_pipeline_of_odd_rows(spark, odd):
+    """Nulls in every column, repeated rows, odd and long texts, extra columns with clashing names, and empty tables."""
+    import corpus_pipeline as P
+
+    docs = odd.withColumns({c: F.lit("x") for c in ("kept", "hits", "n_words", "row", "doc", "print", "component_id", "evidence")})
+    for name, stage in P.STAGES[:-1]:
+        got = stage(spark, docs, DATA)
+        assert got.columns == docs.columns, name
+        rows = [tuple(r) for r in got.collect()]
+        assert set(rows) <= {tuple(r) for r in docs.collect()}
+        if name in ("toxicity", "benchmark decontamination"):
+            assert len(rows) == docs.count()  # none is toxic, none is contaminated
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+    assert P.best_fit_packing(spark, docs, DATA).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    assert P.best_fit_packing(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_near_duplicates_of_one_id(spark):
+    """Different texts under one id are documents of their own; copies under other ids join them."""
+    base = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = spark.createDataFrame([(5, base), (5, other), (9, base), (9, base + " more"), (2, other), (None, base)], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in near_dup.near_duplicates(rows, k=4).collect())
+    assert got == [(0, 0, True), (2, 2, True), (5, 2, False), (5, 5, True), (9, 5, False), (9, 5, False)]
+
+
 def test_pipeline_decides_row_by_row(spark):
     import corpus_pipeline as P
 
