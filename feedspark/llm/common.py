@@ -50,17 +50,22 @@ def ready(spark: SparkSession) -> None:
         spark.conf.set(f"spark.sql.execution.arrow.{key}", most)
 
 
+def release() -> None:
+    """What this process's memory pools hold unused goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _released(run):
-    """run, and at a task's end what its memory pools hold unused goes back to the system."""
+    """run, with a release at a task's end."""
 
     def own(batches):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            release()
 
     return own
 

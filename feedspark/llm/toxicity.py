@@ -279,6 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary
     ids, own = rows.column("doc_id").to_numpy().astype(np.int64), rows.column("toxic").to_numpy().astype(np.int64)
     vectors = [(np.array(t, np.int64), np.array(c, np.int64)) for t, c in zip(rows.column("terms").to_pylist(), rows.column("counts").to_pylist(), strict=True)]
     held, toxic = (chosen.column(c).to_numpy().astype(float) for c in ("n", "toxic"))
+    shared.destroy()  # every job that read it has ended
     weight = np.log(1 + n_docs / (1 + df)) * label_weights(held, toxic, len(ids), int(own.sum())) * (df <= most_common * n_docs)
     return Model(terms, weight, vectors, ids, own, k)
 
@@ -288,6 +289,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, carry: list[str] | None
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(carry or []))
     model = fit(own.select("doc_id", "text"), labels, **how)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    C.release()
     schema = T.StructType.fromDDL(f"doc_id long, score double, evidence {EVIDENCE}")
     for c in carry or []:
         schema = schema.add(own.schema[c])
