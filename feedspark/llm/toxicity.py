@@ -38,6 +38,8 @@ EXAMPLES = 3_000
 VOCABULARY = 200_000
 #: Examples that a term of the vocabulary is found in, at least.
 LEAST = 3
+#: Words whose terms a worker remembers.
+WORDS = 100_000
 MOST_COMMON = 0.1
 PREFIXES = (4, 5)
 #: Weight of a term that the labels say nothing about; and the z scores from which and up to which the weight grows to 1.
@@ -46,7 +48,7 @@ Z_FROM, Z_TO = 3.0, 8.0
 #: Weight of the share of toxic examples in a vote.
 PRIOR = 0.05
 THRESHOLD = 0.3
-BLOCK = 16
+BLOCK = 64
 FIRST_BLOCKS = 8
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -75,6 +77,7 @@ class Vocabulary:
     def __init__(self, terms: list[str]):
         self.terms = terms
         self.tables = None
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self):
         return self.terms
@@ -82,20 +85,27 @@ class Vocabulary:
     def __setstate__(self, terms):
         self.__init__(terms)
 
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers (ascending) and counts of a text's terms."""
+    def _of(self, word: str) -> tuple[int, ...]:
+        """Numbers of a word's terms, looked up once and remembered."""
         if self.tables is None:
             place = {t: i for i, t in enumerate(self.terms)}
             parts = [(k, {t[1:]: i for t, i in place.items() if t[0] == "^" and len(t) == k + 1}) for k in PREFIXES]
             self.tables = {t: i for t, i in place.items() if t[0] != "^"}, parts
         whole, parts = self.tables
+        found = (whole.get(word), *(table.get(word[:k]) if len(word) > k else None for k, table in parts))
+        if len(self.known) >= WORDS:
+            self.known.clear()
+        out = self.known[word] = tuple(i for i in found if i is not None)
+        return out
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers (ascending) and counts of a text's terms."""
         own: dict[int, int] = {}
+        get = self.known.get
         for word, n in Counter(_WORD.findall(text.lower())).items() if text else ():
-            if (i := whole.get(word)) is not None:
+            ids = get(word)
+            for i in self._of(word) if ids is None else ids:
                 own[i] = own.get(i, 0) + n
-            for k, table in parts:
-                if len(word) > k and (i := table.get(word[:k])) is not None:
-                    own[i] = own.get(i, 0) + n
         terms = np.fromiter(own, np.int64, len(own))
         counts = np.fromiter(own.values(), np.int64, len(own))
         order = np.argsort(terms)
