@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Query parameters that only track a reader.
 TRACKING = ["_hsenc", "_hsmi", "fbclid", "from", "gclid", "igshid", "mkt_tok", "mc_cid", "mc_eid", "ref", "ref_src", "share_from", "share_source", "si", "spm", "yclid"]
 TRACKING_PATTERN = r"^(utm_.*|session|sessionid|jsessionid|phpsessid)$"
+#: URLs that are canonical as they stand, told by one look: lower-case host, plain path, nothing behind it.
+_PLAIN = r"^https?://[a-z0-9][a-z0-9.-]*(?:/[^\s?#/&]+)*$"
 _PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
 
@@ -42,7 +44,7 @@ def canonical(url: Column, keep_virtual: bool = True) -> Column:
     query = F.array_join(F.transform(ordered, lambda x: F.concat(_recoded(x["k"]), F.lit("="), _recoded(x["v"]))), "&")
     fragment = part(raw, 5)
     virtual = F.lower(fragment).rlike("^(item-|virtual-)") if keep_virtual else F.lit(False)
-    return F.when(raw == "", "").otherwise(
+    return F.when(raw == "", "").when(raw.rlike(_PLAIN), raw).otherwise(
         F.concat(
             F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
             F.when(where != "", F.concat(F.lit("//"), where)).otherwise(""),
