@@ -110,3 +110,44 @@ def test_empty_and_null_pages(spark):
     assert pages.page_links(rows).count() == 0 and pages.page_images(rows).count() == 0 and pages.page_blocks(rows).count() == 0
     assert [r["n_links"] for r in pages.page_summary(rows).collect()] == [0, 0]
     assert pages.page_links(rows.limit(0)).count() == 0
+
+
+def test_properties_with_equal_keys_lists_and_objects(spark):
+    rows = spark.createDataFrame(
+        [("error_x", {"a": "1", " a": "2", "list": '["x", "", {"password": "p", "url": "http://H.org/a"}]', "o": '{"token": " t ", "prompt": "p"}', "none": '{"html": "x"}'}), ("e", None)],
+        "event string, props map<string,string>",
+    )
+    got = {r["event"]: r["props"] for r in ev.sanitize_props(rows).collect()}
+    assert got["e"] == {}
+    assert got["error_x"]["a"] == "2" and got["error_x"]["o"] == '{"token":"t"}' and "none" not in got["error_x"]
+    assert "password" not in got["error_x"]["list"] and "H.org" not in got["error_x"]["list"] and '"x"' in got["error_x"]["list"]
+
+
+def test_fields_whose_keys_differ_by_case(spark):
+    rows = spark.createDataFrame([(1, {"Title": " ", "title": "b", "LINK": "u"})], "id long, f map<string,string>")
+    got = pages.map_fields_by_alias(rows, "f", {"title": ["title"], "link": ["href", "link"]}).first()
+    assert (got["title"], got["link"]) == ("b", "u")
+
+
+def test_rolling_metrics_in_stretches(spark):
+    """Small stretches and a series in one bucket give what one window over the series gives."""
+    from pyspark.sql import Window
+
+    rows = spark.range(500).selectExpr("case when id % 3 > 0 then 'a' else 'b' end as s", "timestamp_seconds(id * 7919 % 40000) as ts", "id", "cast(id * 37 % 101 as double) as v")
+    w = Window.partitionBy("s").orderBy("ts", "id")
+    want = {r["id"]: (round(r["m"], 5), r["p"]) for r in rows.select("id", F.avg("v").over(w.rowsBetween(-6, 0)).alias("m"), F.max("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("p")).collect()}
+    for bucket, width in (("hour", 7), ("day", 20), ("minute", 1000)):
+        got = ev.rolling_metrics(rows, "s", ["ts", "id"], "v", n=7, bucket=bucket, width=width).collect()
+        assert {r["id"]: (round(r["rolling_mean"], 5), r["peak"]) for r in got} == want and len(got) == 500
+
+
+def test_drift_goes_on_over_batches():
+    from feedspark.operators.rules import drift_steps
+
+    rates = [0.3, 0.9, 0.4, 0.0, 0.5, 0.45, 0.9]
+    whole = drift_steps(rates, None)
+    assert whole == ([False, False, True, True, False, False, False], 0.9)
+    for k in range(len(rates)):
+        first, base = drift_steps(rates[:k], None)
+        rest, end = drift_steps(rates[k:], base)
+        assert (first + rest, end) == whole
