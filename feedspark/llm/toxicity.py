@@ -99,17 +99,14 @@ class Vocabulary:
         return out
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers (ascending) and counts of a text's terms."""
+        """Numbers and counts of a text's terms."""
         own: dict[int, int] = {}
         get = self.known.get
         for word, n in Counter(_WORD.findall(text.lower())).items() if text else ():
             ids = get(word)
             for i in self._of(word) if ids is None else ids:
                 own[i] = own.get(i, 0) + n
-        terms = np.fromiter(own, np.int64, len(own))
-        counts = np.fromiter(own.values(), np.int64, len(own))
-        order = np.argsort(terms)
-        return terms[order], counts[order]
+        return np.fromiter(own, np.int64, len(own)), np.fromiter(own.values(), np.int64, len(own))
 
 
 def _frequencies(shared):
@@ -175,7 +172,7 @@ class BlockMaxIndex:
         entries = _spans(self.entry[terms], size)
         if not len(entries):
             return np.zeros(0, np.int64), np.zeros(0)
-        own = np.repeat(weights, size)
+        own = np.repeat(weights.astype(np.float32), size)
         block = self.block[entries]
         bound = np.bincount(block, self.largest[entries] * own, self.blocks)
         score = np.zeros(len(self.ids))
@@ -240,13 +237,13 @@ class Model:
         keep = w > 0
         return terms[keep], w[keep] / max(math.sqrt(float(w @ w)), 1e-300)
 
-    def vote(self, terms: np.ndarray, counts: np.ndarray, but: int = -1) -> tuple[float, list[tuple[int, float, int]]]:
+    def vote(self, terms: np.ndarray, counts: np.ndarray, but: int = -1) -> tuple[float, tuple[np.ndarray, np.ndarray, np.ndarray]]:
         rows, cosines = self.index.nearest(*self.unit(terms, counts), self.k, but)
         labels, weights = self.index.labels[rows], cosines**2
         raw = (PRIOR * self.base + float(weights @ labels)) / (PRIOR + float(weights.sum()))
-        return raw, list(zip(self.index.ids[rows].tolist(), cosines.tolist(), labels.tolist(), strict=True))
+        return raw, (self.index.ids[rows], cosines, labels)
 
-    def score(self, text: str | None) -> tuple[float, list[tuple[int, float, int]]]:
+    def score(self, text: str | None) -> tuple[float, tuple[np.ndarray, np.ndarray, np.ndarray]]:
         raw, near = self.vote(*self.vocabulary.vector(text))
         return float(np.clip(np.interp(raw, self.x, self.y), 0, 1)), near
 
@@ -255,13 +252,18 @@ EVIDENCE = "array<struct<doc_id:long,similarity:double,toxic:int>>"
 
 
 def _scored(shared, carry: list[str]):
-    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
+    names = ["doc_id", "similarity", "toxic"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores, near = zip(*map(shared.value.score, b.column("text").to_pylist()), strict=True) if b.num_rows else ((), ())
-            evidence = [[{"doc_id": i, "similarity": s, "toxic": y} for i, s, y in x] for x in near]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, kind), *(b.column(c) for c in carry)], ["doc_id", "score", "evidence", *carry])
+            if not b.num_rows:
+                continue
+            scores, near = zip(*(shared.value.score(x.as_py()) for x in b.column("text")), strict=True)
+            ends = np.cumsum([0, *(len(x[0]) for x in near)], dtype=np.int32)
+            flat = [np.concatenate([x[i] for x in near]) for i in range(3)]
+            flat = pa.StructArray.from_arrays([pa.array(flat[0], pa.int64()), pa.array(flat[1], pa.float64()), pa.array(flat[2].astype(np.int32))], names)
+            evidence = pa.ListArray.from_arrays(pa.array(ends), flat)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores, pa.float64()), evidence, *(b.column(c) for c in carry)], ["doc_id", "score", "evidence", *carry])
 
     return run
 
