@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from feedspark.llm.decontam import OP3_SQL, op3_decontamination
+from feedspark.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from feedspark.llm.html_text import op9_main_text
 from feedspark.llm.lang_id import op5_language_id
 from feedspark.llm.near_dup import OP4_SQL, op4_near_duplicates
@@ -12,6 +13,7 @@ from feedspark.llm.sharding import OP2_SQL, op2_sharding
 from feedspark.llm.token_records import op8_token_records
 from feedspark.llm.toxicity import op1_toxicity
 from feedspark.llm.warc import OP10_SQL, op10_warc_audit
+from feedspark.llm.whitening import op13_whitening
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -24,6 +26,14 @@ QUERIES = {
     "op8_token_records": op8_token_records,
     "op9_main_text": op9_main_text,
     "op10_warc_audit": op10_warc_audit,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op13_whitening": op13_whitening,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_sharding": OP2_SQL, "op3_decontamination": OP3_SQL, "op4_near_duplicates": OP4_SQL, "op10_warc_audit": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_sharding": OP2_SQL,
+    "op3_decontamination": OP3_SQL,
+    "op4_near_duplicates": OP4_SQL,
+    "op10_warc_audit": OP10_SQL,
+    "op11_hard_negatives": OP11_SQL,
+}
