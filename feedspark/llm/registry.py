@@ -7,6 +7,7 @@ from feedspark.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from feedspark.llm.html_text import op9_main_text
 from feedspark.llm.lang_id import op5_language_id
 from feedspark.llm.near_dup import OP4_SQL, op4_near_duplicates
+from feedspark.llm.ngram_join import OP12_SQL, op12_ngram_join
 from feedspark.llm.packing import op7_packing
 from feedspark.llm.quality import op6_quality_rules
 from feedspark.llm.sharding import OP2_SQL, op2_sharding
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_main_text": op9_main_text,
     "op10_warc_audit": op10_warc_audit,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_ngram_join": op12_ngram_join,
     "op13_whitening": op13_whitening,
 }
 
@@ -36,4 +38,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_near_duplicates": OP4_SQL,
     "op10_warc_audit": OP10_SQL,
     "op11_hard_negatives": OP11_SQL,
+    "op12_ngram_join": OP12_SQL,
 }
