@@ -26,6 +26,9 @@ def j02(spark, d):
         F.lit("source_type"), F.when(i % 2 == 0, "rss").otherwise("html"), F.lit("note_x"), F.repeat(F.lit("ab "), 100), F.lit("empty"), F.lit(" "),
     )
     more = F.create_map(F.lit(" note_x"), F.lit("first"), F.lit("list"), F.lit('[" a", "", "b", {"password": "p", "k": " v "}, "1","2","3","4","5","6","7","8","9"]'), F.lit("object"), F.lit('{"token": " t ", "url": "http://h.example.com/a", "password": "p"}'), F.lit("bare"), F.lit('{"password": "p"}'))
+    id_ = i.cast("string")
+    deep = F.concat(F.lit('{"a":{"password":"x","n":'), id_, F.lit(',"b":[{"API_KEY":"k","c":{"prompt":"p","d":{"html":"h","ok":true,"e":[1,2.5,[],{"note":"n"}]}}}]}}'))
+    more = F.map_concat(more, F.create_map(F.lit("deep"), deep))
     props = F.when(i % 3 == 0, F.map_concat(props, more)).otherwise(props)
     out = J.sanitize_props(t.select("event_id", F.when(i % 4 == 0, "error_x").otherwise("e").alias("event"), props.alias("props")))
     return out.select("event_id", F.array_join(F.transform(F.array_sort(F.map_entries("props")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("props"))
@@ -110,7 +113,8 @@ QUERIES = {
     ),
     "j02_sanitize_props": (
         j02,
-        """SELECT CAST(event_id AS VARCHAR) AS event_id, CASE WHEN event_id % 2 = 0 THEN 'is_custom_source=true;' ELSE '' END || CASE WHEN event_id % 3 = 0 THEN 'list=["a","b","{\\"k\\":\\"v\\"}","1","2","3","4","5","6","7","8"];' ELSE '' END
+        """SELECT CAST(event_id AS VARCHAR) AS event_id, CASE WHEN event_id % 3 = 0 THEN 'deep={"a":{"b":[{"c":{"d":{"e":[1,2.5],"ok":true}}}],"n":' || CAST(event_id AS VARCHAR) || '}};' ELSE '' END
+|| CASE WHEN event_id % 2 = 0 THEN 'is_custom_source=true;' ELSE '' END || CASE WHEN event_id % 3 = 0 THEN 'list=["a","b",{"k":"v"},"1","2","3","4","5","6","7","8"];' ELSE '' END
 || 'note_x=' || CASE WHEN event_id % 3 = 0 THEN 'first' WHEN event_id % 4 = 0 THEN trim(repeat('ab ', 100)) ELSE trim(substr(repeat('ab ', 100), 1, 240)) || '...' END
 || CASE WHEN event_id % 3 = 0 THEN ';object={"token":"t","urlDomainHash":"' || substr(sha256('h.example.com'), 1, 16) || '"}' ELSE '' END
 || CASE WHEN event_id % 2 = 0 THEN ';sourceNameHash=' || substr(sha256('name' || CAST(event_id % 3 AS VARCHAR)), 1, 16) || ';source_type=rss' ELSE ';source_name=name' || CAST(event_id % 3 AS VARCHAR) || ';source_type=html' END

@@ -115,11 +115,11 @@ def _out(spark, stream):
 
 
 def l01(spark, d):
-    props = F.create_map(F.lit("password"), F.lit("p"), F.lit("user"), F.concat(F.lit(" "), "install_id"))
+    props = F.create_map(F.lit("password"), F.lit("p"), F.lit("user"), F.concat(F.lit(" "), "install_id"), F.lit("more"), F.lit('{"a":[{"b":{"password":"x","n":1}}]}'))
     t = telemetry(spark, d).withColumn("session_id", F.when(F.col("event_id").cast("long") % 13 != 0, F.col("session_id"))).withColumn("props", props)
     _, s = _written(spark, t)
-    out = _out(spark, L.stream_valid(s).select("event", F.map_keys("props").alias("keys"), F.col("props")["user"].alias("user")))
-    return out.groupBy("event", F.array_join("keys", ",").alias("keys")).agg(F.count("*").alias("n"), F.max("user").alias("last_user"))
+    out = _out(spark, L.stream_valid(s).select("event", F.map_keys("props").alias("keys"), F.col("props")["user"].alias("user"), F.col("props")["more"].alias("more")))
+    return out.groupBy("event", F.array_join("keys", ",").alias("keys"), "more").agg(F.count("*").alias("n"), F.max("user").alias("last_user"))
 
 
 def l02(spark, d):
@@ -212,7 +212,7 @@ UNION ALL SELECT '', '', '', count(*), CAST(sum(CAST(event_id AS BIGINT)) AS BIG
         sql(ARTICLES, then="SELECT date || CASE WHEN id % 8 = 5 THEN ' 00:00:00' ELSE ' 06:07:08' END AS seen, count(*) AS n, max(url) AS last_url FROM articles WHERE id % 8 <> 3 GROUP BY 1"),
     ),
     "a10_schema_evolution": (a10, sql(ARTICLES, then="SELECT id, false AS is_read, md5(raw_text) AS raw_md5, md5(CASE WHEN id % 4 = 0 OR title = '' THEN raw_text ELSE title END) AS enhanced_md5 FROM articles")),
-    "l01_stream_events": (l01, "SELECT event_type AS event, 'user' AS keys, count(*) AS n, max(CAST(user_id AS VARCHAR)) AS last_user FROM events WHERE event_id % 13 <> 0 GROUP BY 1"),
+    "l01_stream_events": (l01, "SELECT event_type AS event, 'more,user' AS keys, '{\"a\":[{\"b\":{\"n\":1}}]}' AS more, count(*) AS n, max(CAST(user_id AS VARCHAR)) AS last_user FROM events WHERE event_id % 13 <> 0 GROUP BY 1"),
     "l02_stream_dedup": (l02, "SELECT event_type AS event, count(*) AS n FROM events GROUP BY 1"),
     "l03_stream_counts": (l03, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS event, count(*) AS n FROM events GROUP BY 1, 2"),
     "l04_stream_health": (

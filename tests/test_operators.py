@@ -123,6 +123,74 @@ def test_properties_with_equal_keys_lists_and_objects(spark):
     assert "password" not in got["error_x"]["list"] and "H.org" not in got["error_x"]["list"] and '"x"' in got["error_x"]["list"]
 
 
+def _reference_props(value, most, custom_of=None):
+    """The rules for properties, read one value at a time."""
+    import hashlib
+    from urllib.parse import urlparse
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()[:16]
+    if isinstance(value, dict):
+        custom = bool(value.get("is_custom_source")) or str(value.get("source_type") or "").strip().lower() == "rss" or bool(str(value.get("rule_id") or "").strip())
+        out = {}
+        for key, v in value.items():
+            key = key.strip()
+            if not key or key.lower() in ev.SECRET_KEYS or v is None:
+                continue
+            if key.lower() in ev.URL_KEYS or key.lower().endswith("_url"):
+                host = (urlparse(str(v).strip()).hostname or "").lower()
+                if host:
+                    out[key + "DomainHash"] = sha(host)
+            elif key == "source_name" and custom:
+                if str(v).strip():
+                    out["sourceNameHash"] = sha(str(v).strip())
+            else:
+                inner = _reference_props(v, most)
+                if inner not in (None, "", {}):
+                    out[key] = inner
+        return out | {"is_custom_source": True} if custom else out
+    if isinstance(value, list):
+        return [x for x in (_reference_props(v, most) for v in value[:12]) if x not in (None, "", [], {})]
+    if isinstance(value, str):
+        text = value.strip()
+        return text[:most].rstrip() + "..." if len(text) > most else text
+    return value
+
+
+def test_no_secret_at_any_depth(spark):
+    """Random objects of up to six levels come out as the rules say, and no secret is left."""
+    import json
+    import random
+
+    rnd = random.Random(5)
+    keys = ["a", "b", "password", "API_KEY", "url", "target_url", "source_name", "source_type", "rule_id", "is_custom_source", "n"]
+
+    def make(depth):
+        kind = rnd.random()
+        if depth and kind < 0.45:
+            return {k: make(0 if k in ("source_name", "url", "target_url") else depth - 1) for k in rnd.sample(keys, 4)}
+        if depth and kind < 0.65:
+            return [make(depth - 1) for _ in range(rnd.randint(0, 14))]
+        if depth == 0:
+            return rnd.choice(["", " x ", "https://H.org/q?a=b", "secret" * 50, "it's \"q\" \\ é"])
+        return rnd.choice([1, 2.5, -7, True, False, None, "", " x ", "rss", "RSS", "secret" * 50])
+
+    values = [make(6) for _ in range(300)] + [[make(4) for _ in range(14)] for _ in range(50)]
+    rows = spark.createDataFrame([(i, "e", {"x": json.dumps(v)}) for i, v in enumerate(values)], "i int, event string, props map<string,string>")
+    got = {r["i"]: r["props"].get("x") for r in ev.sanitize_props(rows).collect()}
+    for i, v in enumerate(values):
+        if not isinstance(v, (dict, list)):
+            continue
+        want = _reference_props(v, 240)
+        assert (json.loads(got[i]) if got[i] else {}) == want, (v, got[i])
+        assert "password" not in (got[i] or "").lower() and "api_key" not in (got[i] or "").lower()
+    deep = lambda n, inner: inner if n == 0 else {"a": deep(n - 1, inner)}
+    odd = [json.dumps(deep(n, {"password": "x", "n": 1})) for n in range(12)] + ["[" * 100_000 + "]" * 100_000, '{"a":1,"a":2,"password":"x"}', '[{"a":1,"a":2,"password":"x"}]', '{"password":', "[password"]
+    rows = spark.createDataFrame([(i, "e", {"x": v}) for i, v in enumerate(odd)], "i int, event string, props map<string,string>")
+    got = {r["i"]: r["props"].get("x") for r in ev.sanitize_props(rows).collect()}
+    assert [json.loads(got[n]) for n in range(12)] == [deep(n, {"n": 1}) for n in range(12)]
+    assert got[12] is None and got[13] == '{"a":2}' and got[14] == '[{"a":2}]' and got[15] == '{"password":' and got[16] == "[password"  # the last two are no JSON, but text
+
+
 def test_fields_whose_keys_differ_by_case(spark):
     rows = spark.createDataFrame([(1, {"Title": " ", "title": "b", "LINK": "u"})], "id long, f map<string,string>")
     got = pages.map_fields_by_alias(rows, "f", {"title": ["title"], "link": ["href", "link"]}).first()
