@@ -12,9 +12,12 @@ The order of tokens puts those last which many prefixes hold (passages and lines
 over all documents first, and the most frequent tokens, as many as a broadcast may hold, go to the end. Any order is exact.
 
 Scale: a group has at most `members` sets and `tokens` tokens (one larger text is a group alone); groups, not documents, are
-paired, so n near copies cost n / members rows a token. Equal sets in a task leave it once. The shuffles carry prefixes and bitmaps, about
-a third of the texts; full sets are read again only for groups that qualify. Near copies that all differ are still compared pair by
-pair in numpy, as their links are counted: that work grows with the number of links, its rows with that of group pairs.
+paired, so n near copies are n / members rows a token. Equal sets leave a task once. The shuffles carry prefixes and bitmaps, about
+a third of the texts; full sets are read again only for groups that qualify. A token that many groups hold pairs them with its largest group
+only; when those links are known, the groups that aren't wholly in the component of most of the token's groups are paired with all of
+them, and where two groups are mostly of one component, only the members outside it are compared. So near copies by the thousand
+cost about one comparison each, and no link between components is lost. Counting all links (counted) needs all pairs: that work grows with
+the number of links.
 
 Defined results: null and empty texts have an empty set and no link; a repeated row is a copy, and copies are linked; rows that share a
 doc_id but not their text are nodes of their own; a row without an id is linked with nothing and has a null component; an empty table gives an
@@ -37,6 +40,8 @@ from feedspark.llm.components import connected_components
 
 #: A token in more prefixes than this may go to the end of the order.
 FREQUENT = 16
+#: Groups that share a token are paired with each other up to this number.
+CROWD = 16
 #: Smallest hashes by which nodes are ordered.
 LOWS = 4
 
@@ -235,8 +240,7 @@ class Opened:
     """A group's full sets, as one list of tokens in order with their owners."""
 
     def __init__(self, members: pa.StructArray):
-        self.nodes = members.field("node").to_numpy()
-        self.copies = members.field("copies").to_numpy()
+        self.nodes, self.copies, self.comps = (members.field(c).to_numpy() for c in ("node", "copies", "comp"))
         self.sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in members.field("set")]
         self.sizes = np.array([len(x) for x in self.sets])
         owner = np.repeat(np.arange(len(self.sets)), self.sizes)
@@ -252,40 +256,58 @@ class Opened:
         return np.bincount(self.owner[at], minlength=len(self.sets))
 
 
-def _joined(percent: int):
-    """Links of the opened groups: spanning links (a, b), and (a, null, number of documents linked) for each node."""
+class _Roots:
+    """Components of the members of two groups, as they are joined."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def __call__(self, v: int) -> int:
+        while self.parent.setdefault(v, v) != v:
+            v = self.parent[v] = self.parent[self.parent[v]]
+        return v
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether they were apart."""
+        a, b = self(a), self(b)
+        self.parent[a] = b
+        return a != b
+
+
+def _links_of(x: Opened, y: Opened | None, percent: int, counted: bool) -> list[tuple]:
+    """Links (a, b, null) that join components, and if counted (node, null, documents linked). y: None for the links within x."""
+    same, roots, rows = y is None, _Roots(), []
+    y = y or x
+    linked = np.zeros(len(y.nodes), np.int64)
+    targets = y.comps.tolist()
+    for q, own in enumerate(x.sets):
+        mine = int(x.comps[q])
+        if not counted and all(roots(t) == roots(mine) for t in targets):
+            continue
+        both = y.shared(own)
+        near = 100 * both >= percent * (len(own) + y.sizes - both)
+        if same:
+            near[q] = False
+        hits = np.flatnonzero(near)
+        if counted and len(hits):
+            rows.append((int(x.nodes[q]), None, int(y.copies[hits].sum())))
+            linked[hits] += x.copies[q]
+        rows += [(int(x.nodes[q]), int(y.nodes[h]), None) for h in hits if roots.join(mine, targets[h])]
+    if counted and not same:
+        rows += [(int(y.nodes[h]), None, int(linked[h])) for h in np.flatnonzero(linked)]
+    return rows
+
+
+def _joined(percent: int, counted: bool):
+    """_links_of all rows (members_a, members_b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for i in range(batch.num_rows):
-                x = Opened(batch.column("members_a")[i].values)
-                same = not batch.column("members_b")[i].is_valid
-                y = x if same else Opened(batch.column("members_b")[i].values)
-                parent: dict[int, int] = {}
-
-                def root(v, parent=parent):
-                    while parent.setdefault(v, v) != v:
-                        v = parent[v] = parent[parent[v]]
-                    return v
-
-                linked = np.zeros(len(y.nodes), np.int64)
-                for q, own in enumerate(x.sets):
-                    both = y.shared(own)
-                    near = 100 * both >= percent * (len(own) + y.sizes - both)
-                    if same:
-                        near[q] = False
-                    hits = np.flatnonzero(near)
-                    if len(hits):
-                        rows.append((int(x.nodes[q]), None, int(y.copies[hits].sum())))
-                        linked[hits] += x.copies[q]
-                        for h in hits:
-                            a, b = int(x.nodes[q]), int(y.nodes[h])
-                            if root(a) != root(b):
-                                parent[root(a)] = root(b)
-                                rows.append((a, b, None))
-                if not same:
-                    rows += [(int(y.nodes[h]), None, int(linked[h])) for h in np.flatnonzero(linked)]
+                x, y = batch.column("members_a")[i], batch.column("members_b")[i]
+                if len(x.values):
+                    rows += _links_of(Opened(x.values), Opened(y.values) if y.is_valid else None, percent, counted)
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(3)], ["a", "b", "links"])
 
     return run
@@ -294,9 +316,9 @@ def _joined(percent: int):
 class Join:
     """The steps of the join over one table of documents."""
 
-    def __init__(self, docs: DataFrame, k: int, percent: int, members: int, tokens: int):
+    def __init__(self, docs: DataFrame, k: int, percent: int, members: int, tokens: int, counted: bool):
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.k, self.percent = k, percent
+        self.k, self.percent, self.counted = k, percent, counted
         context = docs.sparkSession.sparkContext
         common = context.broadcast(self._common(C.BROADCAST_BYTES // 8))
         self.own = C.checkpointed(C.mapped(self.docs, _scanned(k, percent, common), _OWN))
@@ -312,35 +334,95 @@ class Join:
         top = counts.orderBy(F.desc("count"), "token").limit(most).select("token").toArrow()
         return np.sort(top["token"].to_numpy().astype(np.int64).view(np.uint64))
 
-    def pairs(self) -> DataFrame:
-        """(a, b), a < b: the pairs of different groups that have to be opened."""
-        rows = self.groups.select("group", "least", "most", F.explode("tokens").alias("token"))
-        cross = rows.groupBy("token").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g < h").select("token")
-        held = C.checkpointed(rows.join(C.few(C.checkpointed(cross)), "token", "left_semi"))
+    def _matrix(self) -> tuple[DataFrame, DataFrame]:
+        """(token, group, least, most, n) of the tokens that several groups hold: those of at most CROWD groups, and the others."""
+        rows = self.groups.select("group", "least", "most", F.size("nodes").alias("n"), F.explode("tokens").alias("token"))
+        cross = rows.groupBy("token").agg(F.min("group").alias("g"), F.max("group").alias("h"), F.count("*").alias("groups")).where("g < h").select("token", "groups")
+        held = C.checkpointed(rows.join(C.few(C.checkpointed(cross)), "token"))
+        plain = F.lit(True) if self.counted else F.col("groups") <= CROWD
+        return held.where(plain).drop("groups"), held.where(~plain).drop("groups")
+
+    def _fit(self):
+        """Whether the sizes of two groups allow a link."""
+        return (100 * F.col("a_most") >= self.percent * F.col("b_least")) & (100 * F.col("b_most") >= self.percent * F.col("a_least"))
+
+    def _plain_pairs(self, held: DataFrame) -> DataFrame:
+        """(a, b), a < b, that share tokens; of groups of one size as many as a link needs: the others can all lie in the larger
+        set's part behind its prefix, and no more."""
+        p = self.percent
         x, y = (held.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("group", "least", "most"))) for s in "ab")
-        fit = (100 * F.col("a_most") >= self.percent * F.col("b_least")) & (100 * F.col("b_most") >= self.percent * F.col("a_least"))
-        near = x.join(y, (x["token"] == y["token"]) & (F.col("a_group") < F.col("b_group")) & fit)
-        pairs = C.checkpointed(near.select(F.col("a_group").alias("a"), F.col("b_group").alias("b")).distinct())
+        near = x.join(y, (x["token"] == y["token"]) & (F.col("a_group") < F.col("b_group")) & self._fit())
+        shared = near.groupBy(F.col("a_group").alias("a"), F.col("b_group").alias("b")).agg(F.count("*").alias("c"), *(F.first(f"{s}_{c}").alias(f"{s}_{c}") for s in "ab" for c in ("least", "most")))
+        behind = F.expr(f"({p} * greatest(a_most, b_most) + 99) div 100 - 1")
+        enough = (F.col("c") + behind) * (100 + p) >= p * (F.col("a_most") + F.col("b_most"))
+        return shared.where((F.col("a_least") < F.col("a_most")) | (F.col("b_least") < F.col("b_most")) | enough).select("a", "b")
+
+    def _star_pairs(self, crowded: DataFrame) -> DataFrame:
+        """Of each crowded token the largest group with the others."""
+        hubs = crowded.groupBy("token").agg(F.max(F.struct("n", F.xxhash64("group").alias("x"), "group", "least", "most")).alias("h"))
+        y = hubs.select("token", F.col("h.group").alias("b_group"), F.col("h.least").alias("b_least"), F.col("h.most").alias("b_most"))
+        x = crowded.select("token", *(F.col(c).alias(f"a_{c}") for c in ("group", "least", "most")))
+        near = x.join(y, "token").where((F.col("a_group") != F.col("b_group")) & self._fit())
+        return near.select(F.least("a_group", "b_group").alias("a"), F.greatest("a_group", "b_group").alias("b"))
+
+    def _rest_pairs(self, crowded: DataFrame, mains: DataFrame) -> DataFrame:
+        """(a, b): of each crowded token the groups that aren't wholly in the component of most of its groups, with all of its
+        groups. mains: group, main (the component of most of its members), apart (whether it has others)."""
+        held = C.checkpointed(crowded.join(mains, "group"))
+        usual = held.groupBy("token", "main").count().groupBy("token").agg(F.max(F.struct("count", "main")).alias("m"))
+        columns = ("group", "least", "most", "main", "apart")
+        x = held.join(usual.select("token", F.col("m.main").alias("usual")), "token").where("main <> usual or apart").select("token", *(F.col(c).alias(f"a_{c}") for c in columns))
+        y = held.select("token", *(F.col(c).alias(f"b_{c}") for c in columns))
+        same = F.col("a_main") == F.col("b_main")
+        near = x.join(y, (x["token"] == y["token"]) & (F.col("a_group") != F.col("b_group")) & (~same | F.col("a_apart")) & self._fit())
+        first = lambda f, g: F.when(same, F.col(f"{f}_group")).otherwise(g("a_group", "b_group"))
+        return near.select(first("a", F.least).alias("a"), first("b", F.greatest).alias("b"))
+
+    def _qualified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that bitmaps don't rule out, stored."""
         for s in "ab":
             pairs = pairs.join(self.groups.select(F.col("group").alias(s), F.col("sizes").alias(f"sizes_{s}"), F.col("marks").alias(f"marks_{s}")), s)
         return C.checkpointed(C.mapped(pairs, _qualified(self.percent), "a long, b long"))
 
+    def _members(self, used: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """group, main, members (node, copies, comp, set) of the used groups, stored; their texts are read again."""
+        zipped = F.explode(F.arrays_zip("nodes", "docs", "prints")).alias("m")
+        rows = self.groups.join(C.few(C.checkpointed(used.distinct())), "group", "left_semi").select("group", zipped)
+        rows = rows.select("group", F.col("m.nodes").alias("node"), F.col("m.docs").alias("doc_id"), F.col("m.prints").alias("print"))
+        rows = rows.join(self.prints.select("print", "copies"), "print")
+        if labels is not None:
+            rows = rows.join(labels, "node", "left")
+        rows = C.checkpointed(rows.withColumn("comp", F.coalesce("comp", "node") if labels is not None else F.col("node")))
+        texts = self.docs.join(C.few(C.checkpointed(rows.select("doc_id").distinct())), "doc_id", "left_semi")
+        sets = C.mapped(texts, _sets(self.k), "doc_id long, print binary, set binary").join(rows, ["doc_id", "print"])
+        return C.checkpointed(sets.groupBy("group").agg(F.mode("comp", True).alias("main"), F.collect_set(F.struct("node", "copies", "comp", "set")).alias("members")))
+
+    def _opened(self, rows: DataFrame) -> DataFrame:
+        return C.checkpointed(C.mapped(rows.select("members_a", "members_b"), _joined(self.percent, self.counted), "a long, b long, links long"))
+
     def links(self) -> DataFrame:
-        """Rows of _joined over all groups of several members and all pairs that qualify."""
-        pairs = self.pairs()
+        """Links that join all components (a, b, null), and if counted (node, null, number of documents linked)."""
+        plain, crowded = self._matrix()
+        pairs = self._qualified(self._plain_pairs(plain).union(self._star_pairs(crowded)).distinct())
         several = self.groups.where(F.size("nodes") > 1).select("group")
-        used = C.checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("group")).union(several).distinct())
-        zipped = F.explode(F.arrays_zip("nodes", "docs", "prints")).alias("m")
-        members = self.groups.join(C.few(used), "group", "left_semi").select("group", zipped).select("group", F.col("m.nodes").alias("node"), F.col("m.docs").alias("doc_id"), F.col("m.prints").alias("print"))
-        members = C.checkpointed(members.join(self.prints.select("print", "copies"), "print"))
-        texts = self.docs.join(C.few(C.checkpointed(members.select("doc_id").distinct())), "doc_id", "left_semi")
-        sets = C.mapped(texts, _sets(self.k), "doc_id long, print binary, set binary").join(members, ["doc_id", "print"])
-        held = C.checkpointed(sets.groupBy("group").agg(F.collect_set(F.struct("node", "copies", "set")).alias("members")))
-        own = held.join(several, "group", "left_semi").select(F.col("members").alias("members_a"), F.lit(None).cast(held.schema["members"].dataType).alias("members_b"))
-        for s in "ab":
-            pairs = pairs.join(held.select(F.col("group").alias(s), F.col("members").alias(f"members_{s}")), s)
-        opened = [C.mapped(rows, _joined(self.percent), "a long, b long, links long") for rows in (own, pairs.select("members_a", "members_b"))]
-        return C.checkpointed(opened[0].union(opened[1]))
+        held = self._members(pairs.select(F.explode(F.array("a", "b")).alias("group")).union(several), None)
+        side = lambda s: held.select(F.col("group").alias(s), F.col("members").alias(f"members_{s}"))
+        own = side("a").join(several.withColumnRenamed("group", "a"), "a", "left_semi").withColumn("members_b", F.lit(None).cast(held.schema["members"].dataType))
+        links = self._opened(own).union(self._opened(pairs.join(side("a"), "a").join(side("b"), "b")))
+        if self.counted or crowded.isEmpty():
+            return links
+        labels = connected_components(links.select("a", "b"))
+        zipped = self.groups.join(crowded.select("group").distinct(), "group", "left_semi").select("group", F.explode("nodes").alias("node"))
+        comps = zipped.join(labels, "node", "left").groupBy("group", F.coalesce("comp", "node").alias("comp")).count()
+        mains = comps.groupBy("group").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"), (F.count("*") > 1).alias("apart"))
+        rest = self._rest_pairs(crowded, mains).distinct().join(pairs, ["a", "b"], "left_anti")
+        rest = self._qualified(rest)
+        held = self._members(rest.select(F.explode(F.array("a", "b")).alias("group")), labels)
+        x = held.select(F.col("group").alias("a"), F.col("main").alias("main_a"), F.col("members").alias("members_a"), F.filter("members", lambda m: m["comp"] != F.col("main")).alias("apart_a"))
+        y = held.select(F.col("group").alias("b"), F.col("main").alias("main_b"), F.col("members").alias("members_b"))
+        known = rest.join(y.select("b", "main_b"), "b").join(x, "a")
+        known = known.select("b", F.when(F.col("main_a") == F.col("main_b"), F.col("apart_a")).otherwise(F.col("members_a")).alias("members_a"))
+        return links.union(self._opened(known.join(y.drop("main_b"), "b")))
 
     def result(self) -> DataFrame:
         links = self.links()
@@ -348,19 +430,20 @@ class Join:
         zipped = F.explode(F.arrays_zip("nodes", "prints")).alias("m")
         nodes = self.groups.select(zipped).select(F.col("m.nodes").alias("node"), F.col("m.prints").alias("print"))
         degrees = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-        known = connected_components(edges).join(degrees, "node").join(nodes, "node").join(self.prints, "print")
+        known = connected_components(edges).join(degrees, "node", "left").join(nodes, "node").join(self.prints, "print")
         known = C.checkpointed(known.select("print", "comp", "links", "first"))
         least = known.groupBy("comp").agg(F.min("first").alias("least"))
         of_print = self.prints.where("copies > 1").join(known.drop("first"), "print", "full").join(least, "comp", "left")
         of_print = of_print.select("print", (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("least", "first").alias("c"))
         rows = self.own.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("print")).alias("print"))
-        return rows.join(of_print, "print", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"), F.coalesce("n", F.lit(0)).alias("n_links"))
+        joined = rows.join(of_print, "print", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"), F.coalesce("n", F.lit(0)).alias("n_links"))
+        return joined if self.counted else joined.drop("n_links")
 
 
-def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, members: int = 256, tokens: int = 1 << 17) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links (documents linked with it). Documents
-    are linked if their sets of k-word shingles have a Jaccard similarity of percent / 100 or more."""
-    return Join(docs, k, percent, members, tokens).result()
+def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, members: int = 256, tokens: int = 1 << 17, counted: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links) and, if counted, n_links (documents linked with
+    it). Documents are linked if their sets of k-word shingles have a Jaccard similarity of percent / 100 or more."""
+    return Join(docs, k, percent, members, tokens, counted).result()
 
 
 def op12_ngram_join(spark, sf_dir: str) -> DataFrame:
@@ -377,7 +460,6 @@ p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
-c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a),
-g AS (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY a)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id) LEFT JOIN g USING (doc_id)
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
 """
