@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from feedspark.operators.series import SLICES, before, same, sliced
+
 DROP, LEAST, ALERT_FAILURES, ALERT_EMPTIES, VERSIONS = 0.5, 0.6, 2, 3, 20
 #: Words that tell kinds of failures apart.
 NETWORK = "timeout|timed out|超时|network|连接|connection|dns|ssl|证书|proxy|403|404|429|500|502|503|504|请求网页|浏览器验证"
@@ -31,40 +33,108 @@ def detect_field_drift(current: DataFrame, baseline: DataFrame, rule: str = "rul
     return both.withColumn("reason", reason).where("reason is not null")
 
 
+def _is_drifted(base: float | None, rate: float) -> bool:
+    return base is not None and base >= LEAST and (rate <= 0 or round(base - rate, 4) >= DROP)
+
+
 def drift_steps(rates: list[float], base: float | None) -> tuple[list[bool], float | None]:
     """Which of the checks in order lost hits against the last clean one, and the baseline behind them."""
     out = []
     for rate in rates:
-        drifted = base is not None and base >= LEAST and (rate <= 0 or round(base - rate, 4) >= DROP)
+        drifted = _is_drifted(base, rate)
         out.append(drifted)
         if not drifted:
             base = rate
     return out, base
 
 
-def _drifted(rule: str):
+def _carried(table: list[tuple[float, float]], rate: float) -> list[tuple[float, float]]:
+    table = [(r, base if _is_drifted(base, rate) else rate) for r, base in table]
+    return table if table and rate <= table[-1][0] else [*table, (rate, rate)]
+
+
+def drift_map(rates: list[float], table: list[tuple[float, float]] | None = None) -> list[tuple[float, float]]:
+    """What a stretch of checks makes of any baseline in front of it, as (rate, outgoing baseline) with rising rates: the first rate
+    against which the incoming baseline isn't drifted tells the outgoing one; if there is none, the baseline stays. The outgoing baselines of all
+    cases are carried along together; each check that is clean for several of them makes them one. table: that of the checks before."""
+    table = table or []
+    for rate in rates:
+        table = _carried(table, rate)
+    return table
+
+
+def outgoing(table: list[tuple[float, float]], base: float | None) -> float | None:
+    return next((out for rate, out in table if not _is_drifted(base, rate)), base)
+
+
+def _stretches(frames: Iterator[pd.DataFrame], rule: str) -> Iterator[tuple[object, int, pd.DataFrame, bool]]:
+    """(rule, slice, rows, whether they begin the stretch) of sorted batches."""
+    last = None
+    for frame in frames:
+        for (name, at), own in frame.groupby([rule, "_slice"], sort=False, dropna=False):
+            key = (None if pd.isna(name) else name, int(at))
+            yield *key, own, key != last
+            last = key
+
+
+def _mapped(rule: str):
+    """The map of each stretch, as a row behind its last check."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, base = None, None
-        for frame in frames:
-            out = []
-            for name, own in frame.groupby(rule, sort=False, dropna=False):
-                flags, base = drift_steps(own["hit_rate"].tolist(), base if name == last else None)
-                last = name
-                out.append(own.assign(drifted=flags))
-            if out:
-                yield pd.concat(out)[[rule, "checked_at", "check_id", "drifted"]]
+        key, table = None, []
+        row = lambda: pd.DataFrame({rule: [key[0]], "_slice": [key[1]], "rates": [[r for r, _ in table]], "bases": [[b for _, b in table]]})
+        for name, at, own, begins in _stretches(frames, rule):
+            if begins and key is not None:
+                yield row()
+            key, table = (name, at), drift_map(own["hit_rate"].tolist(), None if begins else table)
+        if key is not None:
+            yield row()
 
     return run
 
 
-def drift_history(checks: DataFrame, rule: str = "rule_id") -> DataFrame:
-    """rule, checked_at, check_id, drifted by a fold over each rule's healthy checks (hit_rate): the baseline moves on only at
-    clean checks, so a rule's checks are taken one after the other. They stream through a task in sorted batches, of which
-    only the baseline is carried on; a rule of any length needs no more memory than a batch."""
+def _composed(rule: str):
+    """The baseline in front of each stretch of a rule, from the maps before it."""
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own, base, bases = own.sort_values("_slice"), None, []
+        for rates, outs in zip(own["rates"], own["bases"], strict=True):
+            bases.append(base)
+            base = outgoing(list(zip(rates, outs, strict=True)), base)
+        return pd.DataFrame({f"{rule}_": own[rule], "_slice_": own["_slice"], "base": pd.Series(bases, own.index, dtype="float64")})
+
+    return run
+
+
+def _flagged(rule: str):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        base = None
+        for _, _, own, begins in _stretches(frames, rule):
+            if begins:
+                base = None if pd.isna(own["base"].iloc[0]) else float(own["base"].iloc[0])
+            flags, base = drift_steps(own["hit_rate"].tolist(), base)
+            yield own[[rule, "checked_at", "check_id"]].assign(drifted=flags)
+
+    return run
+
+
+def drift_history(checks: DataFrame, rule: str = "rule_id", slices: int = SLICES) -> DataFrame:
+    """rule, checked_at, check_id, drifted of each rule's healthy checks (hit_rate): the baseline moves on only at clean checks.
+
+    A rule's checks are cut in stretches of time. A first pass makes each stretch a map from the baseline before it to the one behind it (a few
+    thresholds), the maps of a rule are put together in order, and a second pass takes all stretches at once, each from its own
+    baseline. So a rule with a third of all checks uses as many tasks as it has stretches; a task streams sorted batches."""
     own = checks.where("status = 'healthy'").select(rule, "checked_at", "check_id", F.col("hit_rate").cast("double").alias("hit_rate"))
-    ordered = own.repartition(rule).sortWithinPartitions(rule, "checked_at", "check_id")
-    schema = T.StructType([*(own.schema[c] for c in (rule, "checked_at", "check_id")), T.StructField("drifted", T.BooleanType())])
-    return ordered.mapInPandas(_drifted(rule), schema)
+    rows = sliced(own, "checked_at", slices)
+    keys, order = [rule, "_slice"], [rule, "_slice", "checked_at", "check_id"]
+    types = rows.schema
+    maps = T.StructType([types[rule], types["_slice"], *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("rates", "bases"))])
+    tables = rows.repartition(*keys).sortWithinPartitions(*order).mapInPandas(_mapped(rule), maps)
+    schema = T.StructType([T.StructField(f"{rule}_", types[rule].dataType), T.StructField("_slice_", types["_slice"].dataType), T.StructField("base", T.DoubleType())])
+    bases = tables.groupBy(rule).applyInPandas(_composed(rule), schema)
+    based = rows.join(bases, same(keys), "left").drop(f"{rule}_", "_slice_")
+    ordered = based.repartition(*keys).sortWithinPartitions(*order)
+    return ordered.mapInPandas(_flagged(rule), T.StructType([*(types[c] for c in (rule, "checked_at", "check_id")), T.StructField("drifted", T.BooleanType())]))
 
 
 def failure_kind(status: str = "status", message: str = "message"):
@@ -86,17 +156,33 @@ def classify_failures(checks: DataFrame) -> DataFrame:
     return checks.groupBy(failure_kind().alias("kind")).agg(F.count("*").alias("n"))
 
 
-def health_streaks(checks: DataFrame, rule: str = "rule_id") -> DataFrame:
-    """checks with consecutive_failures, consecutive_empties, last_success, last_failure and is_alerting after each check."""
-    w = Window.partitionBy(rule).orderBy("checked_at", "check_id")
+def health_streaks(checks: DataFrame, rule: str = "rule_id", slices: int = SLICES) -> DataFrame:
+    """checks with consecutive_failures, consecutive_empties, last_success, last_failure and is_alerting after each check.
+
+    A rule's checks are cut in slices of time, each a window of its own. A slice hands on its number of checks, the run it ends with, whether
+    another status broke that run, and its last times; a run that reaches back to a slice's start goes on with what the slices before it hand on."""
+    rows = sliced(checks, "checked_at", slices)
+    keys = [rule, "_slice"]
+    w = Window.partitionBy(*keys).orderBy("checked_at", "check_id")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = checks
-    for name, status in (("consecutive_failures", "error"), ("consecutive_empties", "empty")):
-        other = F.sum((F.col("status") != status).cast("int")).over(so_far)
-        rows = rows.withColumn("_g", other).withColumn(name, F.sum((F.col("status") == status).cast("int")).over(Window.partitionBy(rule, "_g").orderBy("checked_at", "check_id").rowsBetween(Window.unboundedPreceding, 0))).drop("_g")
-    last = lambda *s: F.last(F.when(F.col("status").isin(*s), F.col("checked_at")), ignorenulls=True).over(so_far)
-    rows = rows.withColumns({"last_success": last("healthy", "empty"), "last_failure": last("error")})
-    return rows.withColumn("is_alerting", (F.col("consecutive_failures") >= ALERT_FAILURES) | (F.col("consecutive_empties") >= ALERT_EMPTIES))
+    status = {"failures": "error", "empties": "empty"}
+    last = lambda *s: F.last(F.when(F.col("status").isin(*s), F.col("checked_at")), ignorenulls=True)
+    own = {"_n": F.row_number().over(w), "_success": last("healthy", "empty").over(so_far), "_failure": last("error").over(so_far)}
+    rows = rows.withColumns(own)
+    other = lambda s: F.max(F.when(~F.col("status").eqNullSafe(s), F.col("_n"))).over(so_far)
+    rows = rows.withColumns({f"_{name}": other(s) for name, s in status.items()})  # the last check of another status
+    ends = rows.groupBy(*keys).agg(F.max("_n").alias("n"), *(F.max(f"_{c}").alias(c) for c in (*status, "success", "failure")))
+    past = before(keys[:1])
+    total = F.sum("n").over(past)
+    hand = ends.withColumn("_all", F.coalesce(total, F.lit(0)))
+    run = lambda c: F.max(F.when(F.col(c).isNotNull(), F.col("_all") + F.col(c))).over(past)
+    carried = {f"_c_{c}": F.col("_all") - F.coalesce(run(c), F.lit(0)) for c in status} | {f"_c_{c}": F.max(c).over(past) for c in ("success", "failure")}
+    hand = hand.withColumns(carried).select(F.col(rule).alias(f"{rule}_"), F.col("_slice").alias("_slice_"), *carried)
+    rows = rows.join(hand, same(keys), "left")
+    count = lambda c: F.when(F.col(f"_{c}").isNull(), F.col("_n") + F.col(f"_c_{c}")).otherwise(F.col("_n") - F.col(f"_{c}"))
+    rows = rows.withColumns({f"consecutive_{c}": count(c) for c in status} | {f"last_{c}": F.coalesce(f"_{c}", f"_c_{c}") for c in ("success", "failure")})
+    rows = rows.withColumn("is_alerting", (F.col("consecutive_failures") >= ALERT_FAILURES) | (F.col("consecutive_empties") >= ALERT_EMPTIES))
+    return rows.select(*checks.columns, "consecutive_failures", "consecutive_empties", "last_success", "last_failure", "is_alerting")
 
 
 def current_health(checks: DataFrame, rule: str = "rule_id") -> DataFrame:

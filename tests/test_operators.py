@@ -219,3 +219,48 @@ def test_drift_goes_on_over_batches():
         first, base = drift_steps(rates[:k], None)
         rest, end = drift_steps(rates[k:], base)
         assert (first + rest, end) == whole
+
+
+def test_drift_maps_put_together():
+    """Maps of stretches, put together at any cuts, give the fold's baseline on random series."""
+    import random
+
+    from feedspark.operators.rules import drift_map, drift_steps, outgoing
+
+    rnd = random.Random(7)
+    for _ in range(1000):
+        rates = [round(rnd.choice([0.0, rnd.random(), 0.59, 0.6, 1.0, 0.1, 0.10001]), rnd.randint(1, 5)) for _ in range(rnd.randint(0, 40))]
+        base = want = rnd.choice([None, 0.0, 0.3, 0.6, 0.95, 1.0])
+        cuts = sorted(rnd.randint(0, len(rates)) for _ in range(3))
+        for a, b in zip([0, *cuts], [*cuts, len(rates)], strict=True):
+            base = outgoing(drift_map(rates[a:b]), base)
+        assert base == drift_steps(rates, want)[1]
+
+
+def test_hot_rule_in_slices(spark):
+    """Streaks and drift of one long series, a short one and one without a name, in slices and as a fold."""
+    from feedspark.operators import rules
+
+    raw = spark.range(3000).selectExpr(
+        "id as check_id", "case when id % 10 < 7 then 'hot' when id % 10 = 7 then null else concat('r', id % 40) end as rule_id", "timestamp_seconds(cast(hash(id) % 5000 as long)) as checked_at",
+        "case when pmod(hash(id, 1), 10) < 4 then 'error' when pmod(hash(id, 1), 10) < 7 then 'empty' else 'healthy' end as status", "pmod(hash(id, 2), 11) / 10D as hit_rate",
+    )
+    rows = sorted(raw.collect(), key=lambda r: (r["checked_at"], r["check_id"]))
+    streak, drift, state = {}, {}, {}
+    for r in rows:
+        e, m, s, f, base = state.get(r["rule_id"], (0, 0, None, None, None))
+        e, m = (e + 1 if r["status"] == "error" else 0), (m + 1 if r["status"] == "empty" else 0)
+        s, f = (s, r["checked_at"]) if r["status"] == "error" else (r["checked_at"], f)
+        if r["status"] == "healthy":
+            flags, base = rules.drift_steps([r["hit_rate"]], base)
+            drift[r["check_id"]] = flags[0]
+        state[r["rule_id"]] = (e, m, s, f, base)
+        streak[r["check_id"]] = (e, m, s, f, e >= 2 or m >= 3)
+    for slices in (1, 7, 64):
+        got = rules.health_streaks(raw, slices=slices).collect()
+        assert {r["check_id"]: (r["consecutive_failures"], r["consecutive_empties"], r["last_success"], r["last_failure"], r["is_alerting"]) for r in got} == streak and len(got) == 3000
+        got = rules.drift_history(raw, slices=slices).collect()
+        assert {r["check_id"]: r["drifted"] for r in got} == drift and len(got) == len(drift)
+    cut = rules.sliced(raw, "checked_at").where("rule_id = 'hot'").groupBy("_slice").count()
+    assert cut.count() > 50 and cut.agg(F.max("count")).first()[0] < 100
+    assert rules.health_streaks(raw.limit(0)).count() == 0 and rules.drift_history(raw.limit(0)).count() == 0
