@@ -13,9 +13,10 @@ over all documents first, and the most frequent tokens, as many as a broadcast m
 
 Scale: a group has at most `members` sets and `tokens` tokens (one larger text is a group alone); groups, not documents, are
 paired, so n near copies are n / members rows a token. Equal sets leave a task once. The shuffles carry prefixes and bitmaps, about
-a third of the texts; full sets are read again only for groups that qualify. A token that many groups hold pairs them with its largest group
-only; when those links are known, the groups that aren't wholly in the component of most of the token's groups are paired with all of
-them, and where two groups are mostly of one component, only the members outside it are compared. So near copies by the thousand
+a third of the texts; full sets are read again only for groups that qualify. First each group is opened for itself
+and with its hub, the largest group of several that most of its tokens name. When those links are known, groups that lie wholly in one component need
+no look at each other; of a token that many groups hold only the groups that aren't wholly in the component of most of them are paired with
+the others; and where two groups are mostly of one component, only the members outside it are compared. So near copies by the thousand
 cost about one comparison each, and no link between components is lost. Counting all links (counted) needs all pairs: that work grows with
 the number of links.
 
@@ -34,12 +35,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from feedspark.llm import common as C
 from feedspark.llm.components import connected_components
 
 #: A token in more prefixes than this may go to the end of the order.
-FREQUENT = 16
+FREQUENT = 3
 #: Groups that share a token are paired with each other up to this number.
 CROWD = 16
 #: Smallest hashes by which nodes are ordered.
@@ -334,41 +336,43 @@ class Join:
         top = counts.orderBy(F.desc("count"), "token").limit(most).select("token").toArrow()
         return np.sort(top["token"].to_numpy().astype(np.int64).view(np.uint64))
 
-    def _matrix(self) -> tuple[DataFrame, DataFrame]:
-        """(token, group, least, most, n) of the tokens that several groups hold: those of at most CROWD groups, and the others."""
+    def _matrix(self) -> DataFrame:
+        """(token, group, least, most, n, groups) of the tokens that several groups hold; groups: how many."""
         rows = self.groups.select("group", "least", "most", F.size("nodes").alias("n"), F.explode("tokens").alias("token"))
-        cross = rows.groupBy("token").agg(F.min("group").alias("g"), F.max("group").alias("h"), F.count("*").alias("groups")).where("g < h").select("token", "groups")
-        held = C.checkpointed(rows.join(C.few(C.checkpointed(cross)), "token"))
-        plain = F.lit(True) if self.counted else F.col("groups") <= CROWD
-        return held.where(plain).drop("groups"), held.where(~plain).drop("groups")
+        return C.checkpointed(rows.withColumn("groups", F.count("*").over(Window.partitionBy("token"))).where("groups > 1"))
 
     def _fit(self):
         """Whether the sizes of two groups allow a link."""
         return (100 * F.col("a_most") >= self.percent * F.col("b_least")) & (100 * F.col("b_most") >= self.percent * F.col("a_least"))
 
-    def _plain_pairs(self, held: DataFrame) -> DataFrame:
-        """(a, b), a < b, that share tokens; of groups of one size as many as a link needs: the others can all lie in the larger
-        set's part behind its prefix, and no more."""
-        p = self.percent
-        x, y = (held.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("group", "least", "most"))) for s in "ab")
-        near = x.join(y, (x["token"] == y["token"]) & (F.col("a_group") < F.col("b_group")) & self._fit())
-        shared = near.groupBy(F.col("a_group").alias("a"), F.col("b_group").alias("b")).agg(F.count("*").alias("c"), *(F.first(f"{s}_{c}").alias(f"{s}_{c}") for s in "ab" for c in ("least", "most")))
-        behind = F.expr(f"({p} * greatest(a_most, b_most) + 99) div 100 - 1")
-        enough = (F.col("c") + behind) * (100 + p) >= p * (F.col("a_most") + F.col("b_most"))
-        return shared.where((F.col("a_least") < F.col("a_most")) | (F.col("b_least") < F.col("b_most")) | enough).select("a", "b")
-
-    def _star_pairs(self, crowded: DataFrame) -> DataFrame:
-        """Of each crowded token the largest group with the others."""
-        hubs = crowded.groupBy("token").agg(F.max(F.struct("n", F.xxhash64("group").alias("x"), "group", "least", "most")).alias("h"))
+    def _star_pairs(self, held: DataFrame) -> DataFrame:
+        """(a, b), a < b: each group with the group that is the largest one of most of its tokens, if that has several members."""
+        hubs = held.where("n > 1").groupBy("token").agg(F.max(F.struct("n", F.xxhash64("group").alias("x"), "group", "least", "most")).alias("h"))
         y = hubs.select("token", F.col("h.group").alias("b_group"), F.col("h.least").alias("b_least"), F.col("h.most").alias("b_most"))
-        x = crowded.select("token", *(F.col(c).alias(f"a_{c}") for c in ("group", "least", "most")))
+        x = held.select("token", *(F.col(c).alias(f"a_{c}") for c in ("group", "least", "most")))
         near = x.join(y, "token").where((F.col("a_group") != F.col("b_group")) & self._fit())
-        return near.select(F.least("a_group", "b_group").alias("a"), F.greatest("a_group", "b_group").alias("b"))
-
-    def _rest_pairs(self, crowded: DataFrame, mains: DataFrame) -> DataFrame:
-        """(a, b): of each crowded token the groups that aren't wholly in the component of most of its groups, with all of its
-        groups. mains: group, main (the component of most of its members), apart (whether it has others)."""
-        held = C.checkpointed(crowded.join(mains, "group"))
+        best = near.groupBy("a_group", "b_group").count().groupBy("a_group").agg(F.max(F.struct("count", "b_group"))["b_group"].alias("b_group"))
+        return best.select(F.least("a_group", "b_group").alias("a"), F.greatest("a_group", "b_group").alias("b")).distinct()
+
+    def _open_pairs(self, held: DataFrame) -> DataFrame:
+        """(a, b) that share tokens of few groups, but for groups that lie wholly in one component. Groups of one size must share as many tokens as
+        a link needs: the others can all lie in the larger set's part behind its prefix, and no more."""
+        p, columns = self.percent, ("group", "least", "most", "main", "apart")
+        x, y = (held.where(F.col("groups") <= CROWD).select("token", *(F.col(c).alias(f"{s}_{c}") for c in columns)) for s in "ab")
+        open_ = (F.col("a_main") != F.col("b_main")) | F.col("a_apart") | F.col("b_apart")
+        near = x.join(y, (x["token"] == y["token"]) & (F.col("a_group") < F.col("b_group")) & open_ & self._fit())
+        own = [F.first(f"{s}_{c}").alias(f"{s}_{c}") for s in "ab" for c in columns[1:]]
+        shared = near.groupBy("a_group", "b_group").agg(F.count("*").alias("c"), *own)
+        behind = F.expr(f"({p} * greatest(a_most, b_most) + 99) div 100 - 1")
+        enough = (F.col("c") + behind) * (100 + p) >= p * (F.col("a_most") + F.col("b_most"))
+        shared = shared.where((F.col("a_least") < F.col("a_most")) | (F.col("b_least") < F.col("b_most")) | enough)
+        ways = F.filter(F.array(*(F.when(F.col(f"{s}_apart"), F.struct(F.col(f"{s}_group").alias("a"), F.col(f"{t}_group").alias("b"))) for s, t in ("ab", "ba"))), lambda w: w.isNotNull())
+        both = F.array(F.struct(F.col("a_group").alias("a"), F.col("b_group").alias("b")))
+        return shared.select(F.explode(F.when(F.col("a_main") == F.col("b_main"), ways).otherwise(both)).alias("w")).select("w.a", "w.b")
+
+    def _crowded_pairs(self, held: DataFrame) -> DataFrame:
+        """(a, b): of each token of many groups those that aren't wholly in the component of most of its groups, with all of its groups."""
+        held = C.checkpointed(held.where(F.col("groups") > CROWD))
         usual = held.groupBy("token", "main").count().groupBy("token").agg(F.max(F.struct("count", "main")).alias("m"))
         columns = ("group", "least", "most", "main", "apart")
         x = held.join(usual.select("token", F.col("m.main").alias("usual")), "token").where("main <> usual or apart").select("token", *(F.col(c).alias(f"a_{c}") for c in columns))
@@ -395,34 +399,45 @@ class Join:
         rows = C.checkpointed(rows.withColumn("comp", F.coalesce("comp", "node") if labels is not None else F.col("node")))
         texts = self.docs.join(C.few(C.checkpointed(rows.select("doc_id").distinct())), "doc_id", "left_semi")
         sets = C.mapped(texts, _sets(self.k), "doc_id long, print binary, set binary").join(rows, ["doc_id", "print"])
-        return C.checkpointed(sets.groupBy("group").agg(F.mode("comp", True).alias("main"), F.collect_set(F.struct("node", "copies", "comp", "set")).alias("members")))
+        own = sets.groupBy("group").agg(F.collect_set(F.struct("node", "copies", "comp", "set")).alias("members"))
+        size = lambda c: F.size(F.filter("members", lambda m: m["comp"] == c))
+        usual = F.array_max(F.transform(F.array_distinct("members.comp"), lambda c: F.struct(size(c).alias("n"), c.alias("comp"))))["comp"]
+        return C.checkpointed(own.withColumn("main", usual))
 
     def _opened(self, rows: DataFrame) -> DataFrame:
         return C.checkpointed(C.mapped(rows.select("members_a", "members_b"), _joined(self.percent, self.counted), "a long, b long, links long"))
 
+    def _mains(self, held: DataFrame, labels: DataFrame) -> DataFrame:
+        """group, main (the component of most of its members), apart (whether it has others) of the groups of held."""
+        nodes = self.groups.join(held.select("group").distinct(), "group", "left_semi").select("group", F.explode("nodes").alias("node"))
+        comps = nodes.join(labels, "node", "left").groupBy("group", F.coalesce("comp", "node").alias("comp")).count()
+        return comps.groupBy("group").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"), (F.count("*") > 1).alias("apart"))
+
     def links(self) -> DataFrame:
         """Links that join all components (a, b, null), and if counted (node, null, number of documents linked)."""
-        plain, crowded = self._matrix()
-        pairs = self._qualified(self._plain_pairs(plain).union(self._star_pairs(crowded)).distinct())
+        held = self._matrix()
+        stars = C.checkpointed(self._star_pairs(held).where(F.lit(not self.counted)))
+        pairs = self._qualified(stars)
         several = self.groups.where(F.size("nodes") > 1).select("group")
-        held = self._members(pairs.select(F.explode(F.array("a", "b")).alias("group")).union(several), None)
-        side = lambda s: held.select(F.col("group").alias(s), F.col("members").alias(f"members_{s}"))
-        own = side("a").join(several.withColumnRenamed("group", "a"), "a", "left_semi").withColumn("members_b", F.lit(None).cast(held.schema["members"].dataType))
-        links = self._opened(own).union(self._opened(pairs.join(side("a"), "a").join(side("b"), "b")))
-        if self.counted or crowded.isEmpty():
-            return links
-        labels = connected_components(links.select("a", "b"))
-        zipped = self.groups.join(crowded.select("group").distinct(), "group", "left_semi").select("group", F.explode("nodes").alias("node"))
-        comps = zipped.join(labels, "node", "left").groupBy("group", F.coalesce("comp", "node").alias("comp")).count()
-        mains = comps.groupBy("group").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"), (F.count("*") > 1).alias("apart"))
-        rest = self._rest_pairs(crowded, mains).distinct().join(pairs, ["a", "b"], "left_anti")
-        rest = self._qualified(rest)
-        held = self._members(rest.select(F.explode(F.array("a", "b")).alias("group")), labels)
-        x = held.select(F.col("group").alias("a"), F.col("main").alias("main_a"), F.col("members").alias("members_a"), F.filter("members", lambda m: m["comp"] != F.col("main")).alias("apart_a"))
-        y = held.select(F.col("group").alias("b"), F.col("main").alias("main_b"), F.col("members").alias("members_b"))
-        known = rest.join(y.select("b", "main_b"), "b").join(x, "a")
-        known = known.select("b", F.when(F.col("main_a") == F.col("main_b"), F.col("apart_a")).otherwise(F.col("members_a")).alias("members_a"))
-        return links.union(self._opened(known.join(y.drop("main_b"), "b")))
+        own = self._members(pairs.select(F.explode(F.array("a", "b")).alias("group")).union(several), None)
+        side = lambda s: own.select(F.col("group").alias(s), F.col("members").alias(f"members_{s}"))
+        inner = side("a").join(several.withColumnRenamed("group", "a"), "a", "left_semi").withColumn("members_b", F.lit(None).cast(own.schema["members"].dataType))
+        links = self._opened(inner).union(self._opened(pairs.join(side("a"), "a").join(side("b"), "b")))
+        labels = connected_components(links.where("b is not null").select("a", "b"))
+        if self.counted:  # every pair, each group as if it were apart from all others
+            held = held.withColumns({"main": F.col("group"), "apart": F.lit(False), "groups": F.lit(0)})
+        else:
+            held = C.checkpointed(held.join(self._mains(held, labels), "group"))
+        rest = self._open_pairs(held).union(self._crowded_pairs(held)).distinct()
+        tested = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        rest = self._qualified(rest.join(tested, ["a", "b"], "left_anti"))
+        own = self._members(rest.select(F.explode(F.array("a", "b")).alias("group")), labels)
+        apart = F.filter("members", lambda m: m["comp"] != F.col("main"))
+        x = own.select(F.col("group").alias("a"), F.col("main").alias("main_a"), F.col("members").alias("members_a"), apart.alias("apart_a"))
+        known = rest.join(own.select(F.col("group").alias("b"), F.col("main").alias("main_b")), "b").join(x, "a")
+        whole = F.lit(self.counted) | (F.col("main_a") != F.col("main_b"))
+        known = known.select("b", F.when(whole, F.col("members_a")).otherwise(F.col("apart_a")).alias("members_a"))
+        return links.union(self._opened(known.join(own.select(F.col("group").alias("b"), F.col("members").alias("members_b")), "b")))
 
     def result(self) -> DataFrame:
         links = self.links()
