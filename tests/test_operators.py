@@ -264,3 +264,49 @@ def test_hot_rule_in_slices(spark):
     cut = rules.sliced(raw, "checked_at").where("rule_id = 'hot'").groupBy("_slice").count()
     assert cut.count() > 50 and cut.agg(F.max("count")).first()[0] < 100
     assert rules.health_streaks(raw.limit(0)).count() == 0 and rules.drift_history(raw.limit(0)).count() == 0
+
+
+def test_long_section_in_slices(spark):
+    """A section of two thirds of all rows, scanned in slices, admits what a scan row by row does."""
+    import random
+
+    rnd = random.Random(11)
+    schema = "source_name string, section int, position int, url string, title string, dt string"
+    for case in range(3):
+        rows, n = [], 1200
+        for i in range(n):
+            section = 0 if i % 3 else 1 + i % 20
+            dt = rnd.choice([None] * (case + 1) + ["2024-01-12", "2024-01-11 08:00:00"] * 6 + ["2024-01-09"] * (case == 2))
+            rows.append(("s", section, i + 1, f"u{rnd.randint(0, 2 * n)}" if rnd.random() < 0.95 else rnd.choice([None, ""]), "t", dt))
+        stored = {f"u{i}" for i in range(0, 2 * n, 50 if case else 5000)}
+        frontier = {0: "u7"} if case == 1 else {}
+        details = {f"u{i}": "2024-01-09 10:00:00" if i % 2 else "2024-01-12 10:00:00" for i in range(0, 2 * n, 3)}
+        cutoff, window, grace = "2024-01-10 06:00:00", 2, 3
+        once, want = {}, []
+        for r in sorted((r for r in rows if r[3]), key=lambda r: (r[1], r[2])):
+            once.setdefault(r[3], r)
+        for section in {r[1] for r in once.values()}:
+            undated = 0
+            for index, (_, _, _, url, _, dt) in enumerate(sorted((r for r in once.values() if r[1] == section), key=lambda r: r[2]), 1):
+                inside = section in frontier or index <= window
+                at = frontier.get(section) == url
+                effective = (dt + " 00:00:00" if dt and len(dt) == 10 else dt) or details.get(url)
+                if url in stored:
+                    if at or not inside:
+                        break
+                    continue
+                undated += effective is None
+                spent, old = effective is None and undated > grace, effective is not None and effective <= cutoff and not inside
+                if (old and dt is not None) or (at and not spent):
+                    break
+                if not spent and not old:
+                    want.append((section, url, index, effective))
+        df = lambda data, kinds: spark.createDataFrame(data, kinds)
+        tables = [df([(u,) for u in stored], "url string"), df([("s", k, v) for k, v in frontier.items()], "source_name string, section int, url string"), df(list(details.items()), "url string, detail_dt string"), df([("s", cutoff, window)], "source_name string, cutoff string, repair_window int")]
+        for slices in (1, 9, 64):
+            got = admission.admit_incremental(df(rows, schema), *tables, grace=grace, slices=slices).collect()
+            assert sorted((r["section"], r["url"], r["unique_index"], r["effective_dt"]) for r in got) == sorted(want)
+    quotas = df([("s", None)], "source_name string, quota int")
+    order = sorted(once.values(), key=lambda r: (r[5] is None, [-ord(c) for c in r[5] or ""] + [1], r[1], r[2]))
+    got = admission.cold_start_top_n(df([r for r in rows if r[3]], schema), quotas, slices=16).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, len(got) + 1)) and [r["url"] for r in got] == [r[3] for r in order]
