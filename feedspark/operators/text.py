@@ -168,22 +168,42 @@ def compose_tagged(docs: DataFrame, tags: str, body: str) -> DataFrame:
     return docs.withColumn("tagged", F.when(line == "", rest).when(rest == "", line).otherwise(F.concat(line, F.lit("\n"), rest)))
 
 
-def chunk_documents(docs: DataFrame, key: str, text: str, trigger: int = 7000, target: int = 3600, hard: int = 4600) -> DataFrame:
-    """key, chunk_index, chunk: texts above `trigger` characters in chunks. Blocks (parted by blank lines; those above `hard` by
-    lines) are packed in order up to `target`; a heading begins a new chunk once half the target is full."""
-    body = F.regexp_replace(_text(text), "\r\n?", "\n")
-    blocks = F.flatten(F.transform(F.filter(F.split(body, r"\n\s*\n"), lambda b: F.trim(b) != ""), lambda b: F.when(F.length(b) > hard, F.split(b, "\n")).otherwise(F.array(b))))
+#: White space and line ends as Python's str methods know them.
+SPACES = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+LINE_END = r"\r\n|[\n-\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+
+
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, f"^{SPACES}+|{SPACES}+$", "")
+
+
+def _packed(parts: Column, sep: str, full) -> Column:
+    """parts (an array of non-empty texts) in order, joined by sep until full(open text, next part)."""
     start = F.struct(_none().alias("done"), F.lit("").alias("open"))
 
-    def step(acc: Column, b: Column) -> Column:
-        size = F.length(acc["open"])
-        full = (size + F.length(b) + 2 > target) | (b.rlike(r"^#{1,6}\s") & (size * 2 >= target))
-        joined = F.when(acc["open"] == "", b).otherwise(F.concat(acc["open"], F.lit("\n\n"), b))
-        cut = (acc["open"] != "") & full
-        return F.struct(F.when(cut, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"), F.when(cut, b).otherwise(joined).alias("open"))
+    def step(acc: Column, part: Column) -> Column:
+        cut = (acc["open"] != "") & full(acc["open"], part)
+        joined = F.when(cut | (acc["open"] == ""), part).otherwise(F.concat(acc["open"], F.lit(sep), part))
+        return F.struct(F.when(cut, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"), joined.alias("open"))
+
+    return F.aggregate(parts, start, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
 
-    packed = F.aggregate(blocks, start, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
-    chunks = F.when(F.length(body) <= trigger, F.array(body)).otherwise(packed)
+
+def chunk_documents(docs: DataFrame, key: str, text: str, trigger: int = 7000, target: int = 3600, hard: int = 4600) -> DataFrame:
+    """key, chunk_index, chunk: texts of `trigger` characters or more in chunks of at most `hard`, shorter ones whole; none for an empty text.
+    Blocks are parted by blank lines. A block above `hard` becomes pieces of whole lines joined by one line feed (a longer line stays
+    whole). Blocks are packed in order up to `hard`; in front of a heading a chunk ends once it has `target` characters."""
+    body = _strip(_text(text))
+    stripped = lambda parts: F.filter(F.transform(parts, _strip), lambda x: x != "")
+
+    def pieces(block: Column) -> Column:
+        lines = F.transform(F.filter(F.split(block, LINE_END), lambda x: _strip(x) != ""), lambda x: F.regexp_replace(x, f"{SPACES}+$", ""))
+        return stripped(_packed(lines, "\n", lambda now, line: F.length(now) + 1 + F.length(line) + 1 > hard))
+
+    blocks = stripped(F.split(body, f"\n{SPACES}*\n"))
+    blocks = F.flatten(F.transform(blocks, lambda b: F.when(F.length(b) > hard, pieces(b)).otherwise(F.array(b))))
+    full = lambda now, b: (F.length(now) + 2 + F.length(b) > hard) | ((F.length(now) >= target) & b.startswith("#"))
+    chunks = F.when(body == "", _none()).when(F.length(body) < trigger, F.array(body)).otherwise(_packed(blocks, "\n\n", full))
     return docs.select(key, F.posexplode(chunks).alias("chunk_index", "chunk"))
 
 

@@ -70,10 +70,32 @@ def f10(spark, d):
 
 
 def f11(spark, d):
-    c = X.chunk_documents(table(spark, d, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))), "doc_id", "text")
+    """Texts as they are (blocks of many lines), with a blank line after each line, and with headings."""
+    i, line, both = F.col("doc_id") % 4, F.lit("\n"), F.lit("\n\n")
+    body = F.when(i == 0, F.col("text")).when(i == 1, F.replace("text", F.lit(". "), F.lit(".\n\n# "))).when(i == 2, F.replace("text", F.lit(". "), F.lit(".\n"))).otherwise(F.replace("text", line, both))
+    c = X.chunk_documents(table(spark, d, "documents").select("doc_id", body.alias("text")), "doc_id", "text")
     return c.select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
 
 
+#: The folds as recursive queries that number pieces and chunks.
+F11_SQL = f"""WITH RECURSIVE t AS (SELECT doc_id, regexp_replace(CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN replace(text, '. ', '.' || chr(10) || chr(10) || '# ')
+  WHEN 2 THEN replace(text, '. ', '.' || chr(10)) ELSE replace(text, chr(10), chr(10) || chr(10)) END, '^{X.SPACES}+|{X.SPACES}+$', '', 'g') AS t FROM documents),
+parts AS (SELECT doc_id, unnest(l) AS b, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_split_to_array(t, '\n{X.SPACES}*\n') AS l FROM t WHERE length(t) >= 7000)),
+raw AS (SELECT doc_id, i, regexp_replace(b, '^{X.SPACES}+|{X.SPACES}+$', '', 'g') AS b FROM parts WHERE regexp_replace(b, '{X.SPACES}', '', 'g') <> ''),
+split AS (SELECT doc_id, i, unnest(l) AS line, generate_subscripts(l, 1) AS j FROM (SELECT doc_id, i, regexp_split_to_array(b, '{X.LINE_END}') AS l FROM raw WHERE length(b) > 4600)),
+lines AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, i ORDER BY j) AS j, regexp_replace(line, '{X.SPACES}+$', '') AS line FROM split WHERE regexp_replace(line, '{X.SPACES}', '', 'g') <> ''),
+lf AS (SELECT doc_id, i, j, 1 AS piece, length(line) + 1 AS cur FROM lines WHERE j = 1 UNION ALL
+  SELECT l.doc_id, l.i, l.j, piece + CAST(cur + length(line) + 1 > 4600 AS INT), CASE WHEN cur + length(line) + 1 > 4600 THEN 0 ELSE cur END + length(line) + 1 FROM lf JOIN lines l ON l.doc_id = lf.doc_id AND l.i = lf.i AND l.j = lf.j + 1),
+pieces AS (SELECT doc_id, i, piece, regexp_replace(string_agg(line, chr(10) ORDER BY j), '^{X.SPACES}+|{X.SPACES}+$', '', 'g') AS b FROM lf JOIN lines USING (doc_id, i, j) GROUP BY 1, 2, 3
+  UNION ALL SELECT doc_id, i, 1, b FROM raw WHERE length(b) <= 4600),
+b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, piece) AS k, b FROM pieces),
+bf AS (SELECT doc_id, k, 0 AS chunk_index, length(b) AS cur FROM b WHERE k = 1 UNION ALL
+  SELECT b.doc_id, b.k, chunk_index + CAST(f AS INT), CASE WHEN f THEN length(b) ELSE cur + 2 + length(b) END
+  FROM (SELECT b.doc_id, b.k, b.b, bf.chunk_index, bf.cur, bf.cur + 2 + length(b.b) > 4600 OR (bf.cur >= 3600 AND starts_with(b.b, '#')) AS f FROM bf JOIN b ON b.doc_id = bf.doc_id AND b.k = bf.k + 1) b),
+c AS (SELECT doc_id, chunk_index, string_agg(b, chr(10) || chr(10) ORDER BY k) AS chunk FROM bf JOIN b USING (doc_id, k) GROUP BY 1, 2 UNION ALL SELECT doc_id, 0, t FROM t WHERE length(t) BETWEEN 1 AND 6999)
+SELECT doc_id, chunk_index, length(chunk) AS n_chars, md5(chunk) AS chunk_md5 FROM c"""
+
+
 def f12(spark, d):
     return X.recombine_chunks(table(spark, d, "conversations"), "conv_id", "turn", "text", "## Part").select("conv_id", "n_chunks", F.md5("text").alias("text_md5"))
 
@@ -210,7 +232,7 @@ CASE WHEN type = 'list' THEN ordered END AS ordered, CASE WHEN type = 'list' THE
             then="SELECT id, CASE WHEN line = '' THEN body WHEN body = '' THEN line ELSE line || chr(10) || body END AS tagged FROM t",
         ),
     ),
-    "f11_chunk_documents": (f11, None),
+    "f11_chunk_documents": (f11, F11_SQL),
     "f12_recombine_chunks": (f12, "SELECT conv_id, count(*) AS n_chunks, md5(string_agg('## Part ' || CAST(turn + 1 AS VARCHAR) || chr(10) || trim(text), chr(10) || chr(10) ORDER BY turn)) AS text_md5 FROM conversations GROUP BY conv_id"),
     "f13_redact_terms": (
         f13,

@@ -61,13 +61,51 @@ def test_tags(spark):
     assert got == [(["a", "b", "c"], "body"), ([], "no 【a】"), ([], "")]
 
 
-def test_chunks_keep_the_text(spark):
-    body = "\n\n".join(f"# part {i}\n\n" + "word " * 150 for i in range(30))
-    rows = spark.createDataFrame([(1, body), (2, "short"), (3, None)], "id int, t string")
-    chunks = text.chunk_documents(rows, "id", "t", trigger=2000, target=1500, hard=1800)
-    assert chunks.where("id = 1").count() > 5 and chunks.agg(F.max(F.length("chunk"))).first()[0] <= 1800
-    whole = {r["id"]: r["text"] for r in text.recombine_chunks(chunks, "id", "chunk_index", "chunk").collect()}
-    assert "".join(whole[1].split()) == "".join(body.split()) and whole[2] == "short"
+def chunked(raw, trigger=7000, target=3600, hard=4600):
+    """The packing rules, block by block."""
+    import re
+
+    whole = (raw or "").strip()
+    if len(whole) < trigger:
+        return [whole] if whole else []
+    blocks = []
+    for block in (b.strip() for b in re.split(r"\n\s*\n", whole)):
+        if len(block) <= hard:
+            blocks += [block] if block else []
+            continue
+        piece, size = [], 0
+        for line in (x.rstrip() for x in block.splitlines() if x.strip()):
+            if piece and size + len(line) + 1 > hard:
+                blocks.append("\n".join(piece).strip())
+                piece, size = [], 0
+            piece.append(line)
+            size += len(line) + 1
+        blocks.append("\n".join(piece).strip())
+    out = []
+    for block in blocks:
+        if out and not (len(out[-1]) + 2 + len(block) > hard or (len(out[-1]) >= target and block.startswith("#"))):
+            out[-1] += "\n\n" + block
+        else:
+            out.append(block)
+    return out
+
+
+def test_chunks(spark):
+    """Limits, headings, long lines, odd white space; chunks put together give the blocks back."""
+    import random
+
+    rnd = random.Random(3)
+    ends = ["\n", "\n\n", "\n \t\n", "\r\n\r\n", "\n\u3000\n", "\x0b", "\u2028", " \n"]
+    texts = [None, "", " \n ", "short", "x" * 6999, "x" * 7000, "\n\n".join(["y" * 2000] * 4), "\n".join(["z" * 99] * 80), ("z" * 99 + "\n") * 80 + "\n" + "# h\n\n" * 3, "w" * 5000 + "\n" + "v" * 5000]
+    texts += ["".join(rnd.choice(["", "# ", "  "]) + "é" * rnd.randint(0, 900) + rnd.choice(ends) for _ in range(rnd.randint(1, 60))) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {}
+    for r in text.chunk_documents(rows, "id", "t").orderBy("id", "chunk_index").collect():
+        got.setdefault(r["id"], []).append(r["chunk"])
+    assert [got.get(i, []) for i in range(len(texts))] == [chunked(t) for t in texts]
+    assert [len(c) for c in got[6]] == [4002, 4002] and "".join("".join(got[8]).split()) == "".join(texts[8].split())
+    whole = {r["id"]: r["text"] for r in text.recombine_chunks(text.chunk_documents(rows, "id", "t"), "id", "chunk_index", "chunk").collect()}
+    assert all("".join(whole[i].split()) == "".join(t.split()) for i, t in enumerate(texts) if i in whole)
 
 
 def test_autolink(spark):
