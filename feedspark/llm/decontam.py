@@ -78,10 +78,11 @@ def bitmap(values: DataFrame, longest: int = LONGEST):
     words = [0] * (bits // 64)
     for r in cells.collect():
         words[r["i"]] = r["b"]
+    whole = F.from_json(F.lit("[" + ",".join(map(str, words)) + "]"), "array<bigint>")  # one text, which the optimizer folds to one constant
 
     def test(column: Column) -> Column:
         place = at(column)
-        return F.get(F.lit(words), F.floor(place / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))) != 0
+        return F.get(whole, F.floor(place / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))) != 0
 
     return test
 

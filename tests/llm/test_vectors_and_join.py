@@ -197,3 +197,17 @@ def test_prefixes_share_a_token():
         if both and 100 * both >= percent * (len(x) + len(y) - both):
             common = np.sort(rng.choice(x, len(x) // 2, replace=False)) if len(x) > 1 else np.zeros(0, np.uint64)
             assert len(np.intersect1d(ngram_join._prefix(x, percent, common), ngram_join._prefix(y, percent, common)))
+
+
+def test_largest_bitmap(spark):
+    """The largest bitmap of decontamination lets all of its values pass, and is one constant of the plan."""
+    from pyspark.sql import functions as F
+
+    from feedspark.llm import decontam
+
+    values = spark.range(220_000).select((F.col("id") * 3).alias("v"))
+    test = decontam.bitmap(values)
+    rows = spark.range(660_000).where(test(F.col("id")))
+    plan = rows._jdf.queryExecution().optimizedPlan()
+    assert "from_json" not in plan.toString() and "jsontostructs" not in plan.toString().lower()
+    assert rows.where("id % 3 = 0").count() == 220_000 and rows.count() < 280_000
