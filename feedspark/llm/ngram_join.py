@@ -127,7 +127,7 @@ def _scanned(k: int, percent: int, common):
     return run
 
 
-_GROUPS = "group long, nodes array<long>, docs array<long>, prints array<binary>, sizes array<int>, marks binary, tokens array<long>, least int, most int"
+_GROUPS = "group long, nodes array<long>, docs array<long>, prints array<binary>, sizes array<int>, marks binary, prefixes array<array<long>>, least int, most int"
 
 
 def _grouped(members: int, tokens: int):
@@ -142,15 +142,14 @@ def _grouped(members: int, tokens: int):
         def close():
             nonlocal count, done_bytes
             own = list(zip(*held, strict=True))
-            prefix = np.unique(np.concatenate(own[5]))
-            done.append((base + count, own[0], own[1], own[2], own[3], b"".join(own[4]), prefix, min(own[3]), max(own[3])))
+            done.append((base + count, own[0], own[1], own[2], own[3], b"".join(own[4]), list(own[5]), min(own[3]), max(own[3])))
             count += 1
-            done_bytes += 8 * len(prefix) + len(done[-1][5]) + 64 * len(held)
+            done_bytes += 8 * sum(map(len, own[5])) + len(done[-1][5]) + 64 * len(held)
             held.clear()
 
         def flush() -> pa.RecordBatch:
             nonlocal done_bytes
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.int32()]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.list_(pa.int64())), pa.int32(), pa.int32()]
             columns = [pa.array(c, kind) for c, kind in zip(zip(*done, strict=True), kinds, strict=True)]
             done.clear()
             done_bytes = 0
@@ -300,16 +299,28 @@ def _links_of(x: Opened, y: Opened | None, percent: int, counted: bool) -> list[
     return rows
 
 
+def _settled(percent: int, counted: bool):
+    """Links within groups: rows (members)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for own in batch.column("members"):
+                rows += _links_of(Opened(own.values), None, percent, counted)
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(3)], ["a", "b", "links"])
+
+    return run
+
+
 def _joined(percent: int, counted: bool):
     """_links_of all rows (members_a, members_b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for i in range(batch.num_rows):
-                x, y = batch.column("members_a")[i], batch.column("members_b")[i]
+            for x, y in zip(batch.column("members_a"), batch.column("members_b"), strict=True):
                 if len(x.values):
-                    rows += _links_of(Opened(x.values), Opened(y.values) if y.is_valid else None, percent, counted)
+                    rows += _links_of(Opened(x.values), Opened(y.values), percent, counted)
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(3)], ["a", "b", "links"])
 
     return run
@@ -337,59 +348,71 @@ class Join:
         return np.sort(top["token"].to_numpy().astype(np.int64).view(np.uint64))
 
     def _matrix(self) -> DataFrame:
-        """(token, group, least, most, n, groups) of the tokens that several groups hold; groups: how many."""
-        rows = self.groups.select("group", "least", "most", F.size("nodes").alias("n"), F.explode("tokens").alias("token"))
-        return C.checkpointed(rows.withColumn("groups", F.count("*").over(Window.partitionBy("token"))).where("groups > 1"))
+        """(token, group, least, most, n, node, groups) of the tokens that several groups hold; groups: how many."""
+        nodes = self.groups.select("group", "least", "most", F.size("nodes").alias("n"), F.explode(F.arrays_zip("nodes", "prefixes")).alias("m"))
+        rows = nodes.select("group", "least", "most", "n", F.col("m.nodes").alias("node"), F.explode("m.prefixes").alias("token"))
+        over = Window.partitionBy("token")
+        rows = rows.withColumns({"_low": F.min("group").over(over), "_high": F.max("group").over(over)}).where("_low < _high").drop("_low", "_high")
+        counts = rows.groupBy("token").agg(F.count_distinct("group").alias("groups"))
+        return C.checkpointed(rows.join(counts, "token"))
 
     def _fit(self):
         """Whether the sizes of two groups allow a link."""
         return (100 * F.col("a_most") >= self.percent * F.col("b_least")) & (100 * F.col("b_most") >= self.percent * F.col("a_least"))
 
     def _star_pairs(self, held: DataFrame) -> DataFrame:
-        """(a, b), a < b: each group with the group that is the largest one of most of its tokens, if that has several members."""
+        """(a, b): each group a with the group b that is the largest one of most of its tokens, if that has several members."""
+        held = held.select("token", "group", "least", "most", "n").distinct()
         hubs = held.where("n > 1").groupBy("token").agg(F.max(F.struct("n", F.xxhash64("group").alias("x"), "group", "least", "most")).alias("h"))
         y = hubs.select("token", F.col("h.group").alias("b_group"), F.col("h.least").alias("b_least"), F.col("h.most").alias("b_most"))
         x = held.select("token", *(F.col(c).alias(f"a_{c}") for c in ("group", "least", "most")))
         near = x.join(y, "token").where((F.col("a_group") != F.col("b_group")) & self._fit())
-        best = near.groupBy("a_group", "b_group").count().groupBy("a_group").agg(F.max(F.struct("count", "b_group"))["b_group"].alias("b_group"))
-        return best.select(F.least("a_group", "b_group").alias("a"), F.greatest("a_group", "b_group").alias("b")).distinct()
+        best = near.groupBy("a_group", "b_group").count().groupBy(F.col("a_group").alias("a"))
+        return best.agg(F.max(F.struct("count", "b_group"))["b_group"].alias("b"))
+
+    def _sides(self, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+        columns = ("group", "least", "most", "n", "main", "comp")
+        held = held.select("token", *columns).distinct()
+        return tuple(held.select("token", *(F.col(c).alias(f"{s}_{c}") for c in columns)) for s in "ab")
+
+    def _ways(self, near: DataFrame) -> DataFrame:
+        """(a, b, whole) of rows of two groups and components of theirs: where the groups' main components differ, the smaller group a goes whole
+        to b; else those members of a that are outside the main one go to b."""
+        smaller = F.struct("a_n", "a_group") < F.struct("b_n", "b_group")
+        pair = lambda x, y, whole: F.struct(F.col(f"{x}_group").alias("a"), F.col(f"{y}_group").alias("b"), F.lit(whole).alias("whole"))
+        apart = F.array(*(F.when(F.col(f"{x}_comp") != F.col(f"{x}_main"), pair(x, y, False)) for x, y in ("ab", "ba")))
+        ways = F.when(F.col("a_main") != F.col("b_main"), F.array(F.when(smaller, pair("a", "b", True)).otherwise(pair("b", "a", True)))).otherwise(apart)
+        return near.select(F.explode(F.filter(ways, lambda w: w.isNotNull())).alias("w")).select("w.*").distinct()
 
     def _open_pairs(self, held: DataFrame) -> DataFrame:
-        """(a, b) that share tokens of few groups, but for groups that lie wholly in one component. Groups of one size must share as many tokens as
-        a link needs: the others can all lie in the larger set's part behind its prefix, and no more."""
-        p, columns = self.percent, ("group", "least", "most", "main", "apart")
-        x, y = (held.where(F.col("groups") <= CROWD).select("token", *(F.col(c).alias(f"{s}_{c}") for c in columns)) for s in "ab")
-        open_ = (F.col("a_main") != F.col("b_main")) | F.col("a_apart") | F.col("b_apart")
-        near = x.join(y, (x["token"] == y["token"]) & (F.col("a_group") < F.col("b_group")) & open_ & self._fit())
-        own = [F.first(f"{s}_{c}").alias(f"{s}_{c}") for s in "ab" for c in columns[1:]]
-        shared = near.groupBy("a_group", "b_group").agg(F.count("*").alias("c"), *own)
+        """Pairs that share tokens of few groups. Groups of one size and one component each must share as many tokens as a link needs: the
+        others can all lie in the larger set's part behind its prefix, and no more."""
+        p = self.percent
+        x, y = self._sides(held.where(F.col("groups") <= CROWD))
+        near = x.join(y, (x["token"] == y["token"]) & (F.col("a_group") < F.col("b_group")) & (F.col("a_comp") != F.col("b_comp")) & self._fit())
+        names = [f"{s}_{c}" for s in "ab" for c in ("group", "least", "most", "n", "main", "comp")]
+        shared = near.groupBy(*names).agg(F.count("*").alias("c"))
         behind = F.expr(f"({p} * greatest(a_most, b_most) + 99) div 100 - 1")
         enough = (F.col("c") + behind) * (100 + p) >= p * (F.col("a_most") + F.col("b_most"))
-        shared = shared.where((F.col("a_least") < F.col("a_most")) | (F.col("b_least") < F.col("b_most")) | enough)
-        ways = F.filter(F.array(*(F.when(F.col(f"{s}_apart"), F.struct(F.col(f"{s}_group").alias("a"), F.col(f"{t}_group").alias("b"))) for s, t in ("ab", "ba"))), lambda w: w.isNotNull())
-        both = F.array(F.struct(F.col("a_group").alias("a"), F.col("b_group").alias("b")))
-        return shared.select(F.explode(F.when(F.col("a_main") == F.col("b_main"), ways).otherwise(both)).alias("w")).select("w.a", "w.b")
+        return self._ways(shared.where((F.col("a_least") < F.col("a_most")) | (F.col("b_least") < F.col("b_most")) | enough))
 
     def _crowded_pairs(self, held: DataFrame) -> DataFrame:
-        """(a, b): of each token of many groups those that aren't wholly in the component of most of its groups, with all of its groups."""
-        held = C.checkpointed(held.where(F.col("groups") > CROWD))
-        usual = held.groupBy("token", "main").count().groupBy("token").agg(F.max(F.struct("count", "main")).alias("m"))
-        columns = ("group", "least", "most", "main", "apart")
-        x = held.join(usual.select("token", F.col("m.main").alias("usual")), "token").where("main <> usual or apart").select("token", *(F.col(c).alias(f"a_{c}") for c in columns))
-        y = held.select("token", *(F.col(c).alias(f"b_{c}") for c in columns))
-        same = F.col("a_main") == F.col("b_main")
-        near = x.join(y, (x["token"] == y["token"]) & (F.col("a_group") != F.col("b_group")) & (~same | F.col("a_apart")) & self._fit())
-        first = lambda f, g: F.when(same, F.col(f"{f}_group")).otherwise(g("a_group", "b_group"))
-        return near.select(first("a", F.least).alias("a"), first("b", F.greatest).alias("b"))
+        """Pairs that share tokens of many groups: of each such token the components but that of most of its groups, with all others."""
+        x, y = self._sides(held.where(F.col("groups") > CROWD))
+        usual = x.groupBy("token", "a_comp").count().groupBy("token").agg(F.max(F.struct("count", "a_comp"))["a_comp"].alias("usual"))
+        minor = x.join(usual, "token").where("a_comp <> usual")
+        once = (F.col("b_comp") == F.col("usual")) | (F.col("a_group") < F.col("b_group"))
+        near = minor.join(y, (minor["token"] == y["token"]) & (F.col("a_group") != F.col("b_group")) & (F.col("a_comp") != F.col("b_comp")) & once & self._fit())
+        return self._ways(near)
 
     def _qualified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that bitmaps don't rule out, stored."""
+        """The pairs (a, b) that bitmaps don't rule out."""
         for s in "ab":
             pairs = pairs.join(self.groups.select(F.col("group").alias(s), F.col("sizes").alias(f"sizes_{s}"), F.col("marks").alias(f"marks_{s}")), s)
-        return C.checkpointed(C.mapped(pairs, _qualified(self.percent), "a long, b long"))
+        return C.mapped(pairs, _qualified(self.percent), "a long, b long")
 
     def _members(self, used: DataFrame, labels: DataFrame | None) -> DataFrame:
-        """group, main, members (node, copies, comp, set) of the used groups, stored; their texts are read again."""
+        """group, members (node, copies, comp, set) of the used groups, stored; their texts are read again."""
         zipped = F.explode(F.arrays_zip("nodes", "docs", "prints")).alias("m")
         rows = self.groups.join(C.few(C.checkpointed(used.distinct())), "group", "left_semi").select("group", zipped)
         rows = rows.select("group", F.col("m.nodes").alias("node"), F.col("m.docs").alias("doc_id"), F.col("m.prints").alias("print"))
@@ -399,45 +422,47 @@ class Join:
         rows = C.checkpointed(rows.withColumn("comp", F.coalesce("comp", "node") if labels is not None else F.col("node")))
         texts = self.docs.join(C.few(C.checkpointed(rows.select("doc_id").distinct())), "doc_id", "left_semi")
         sets = C.mapped(texts, _sets(self.k), "doc_id long, print binary, set binary").join(rows, ["doc_id", "print"])
-        own = sets.groupBy("group").agg(F.collect_set(F.struct("node", "copies", "comp", "set")).alias("members"))
-        size = lambda c: F.size(F.filter("members", lambda m: m["comp"] == c))
-        usual = F.array_max(F.transform(F.array_distinct("members.comp"), lambda c: F.struct(size(c).alias("n"), c.alias("comp"))))["comp"]
-        return C.checkpointed(own.withColumn("main", usual))
-
-    def _opened(self, rows: DataFrame) -> DataFrame:
-        return C.checkpointed(C.mapped(rows.select("members_a", "members_b"), _joined(self.percent, self.counted), "a long, b long, links long"))
-
-    def _mains(self, held: DataFrame, labels: DataFrame) -> DataFrame:
-        """group, main (the component of most of its members), apart (whether it has others) of the groups of held."""
-        nodes = self.groups.join(held.select("group").distinct(), "group", "left_semi").select("group", F.explode("nodes").alias("node"))
-        comps = nodes.join(labels, "node", "left").groupBy("group", F.coalesce("comp", "node").alias("comp")).count()
-        return comps.groupBy("group").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"), (F.count("*") > 1).alias("apart"))
+        return C.checkpointed(sets.groupBy("group").agg(F.collect_set(F.struct("node", "copies", "comp", "set")).alias("members")))
+
+    def _opened(self, rows: DataFrame, run) -> DataFrame:
+        return C.checkpointed(C.mapped(rows, run(self.percent, self.counted), "a long, b long, links long"))
+
+    def _compared(self, pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """Links of pairs (a, b, and, if not whole, main: the component whose members of a are left out)."""
+        own = self._members(pairs.select(F.explode(F.array("a", "b")).alias("group")), labels)
+        x = pairs.join(own.select(F.col("group").alias("a"), "members"), "a")
+        left = F.when(F.col("whole"), F.col("members")).otherwise(F.filter("members", lambda m: m["comp"] != F.col("main")))
+        y = own.select(F.col("group").alias("b"), F.col("members").alias("members_b"))
+        return self._opened(x.select("b", left.alias("members_a")).join(y, "b").select("members_a", "members_b"), _joined)
+
+    def _labelled(self, held: DataFrame, labels: DataFrame) -> DataFrame:
+        """held with the component of each node (comp) and that of most nodes of its group (main)."""
+        own = self.groups.join(held.select("group").distinct(), "group", "left_semi").select("group", F.explode("nodes").alias("node"))
+        own = C.checkpointed(own.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+        mains = own.groupBy("group", "comp").count().groupBy("group").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"))
+        return C.checkpointed(held.join(own.select("node", "comp"), "node").join(mains, "group"))
 
     def links(self) -> DataFrame:
         """Links that join all components (a, b, null), and if counted (node, null, number of documents linked)."""
         held = self._matrix()
-        stars = C.checkpointed(self._star_pairs(held).where(F.lit(not self.counted)))
-        pairs = self._qualified(stars)
-        several = self.groups.where(F.size("nodes") > 1).select("group")
-        own = self._members(pairs.select(F.explode(F.array("a", "b")).alias("group")).union(several), None)
-        side = lambda s: own.select(F.col("group").alias(s), F.col("members").alias(f"members_{s}"))
-        inner = side("a").join(several.withColumnRenamed("group", "a"), "a", "left_semi").withColumn("members_b", F.lit(None).cast(own.schema["members"].dataType))
-        links = self._opened(inner).union(self._opened(pairs.join(side("a"), "a").join(side("b"), "b")))
-        labels = connected_components(links.where("b is not null").select("a", "b"))
-        if self.counted:  # every pair, each group as if it were apart from all others
-            held = held.withColumns({"main": F.col("group"), "apart": F.lit(False), "groups": F.lit(0)})
-        else:
-            held = C.checkpointed(held.join(self._mains(held, labels), "group"))
-        rest = self._open_pairs(held).union(self._crowded_pairs(held)).distinct()
+        links = self._opened(self._members(self.groups.where(F.size("nodes") > 1).select("group"), None).select("members"), _settled)
+        if self.counted:  # every pair, as if no group were settled
+            held = held.withColumns({"comp": F.col("group"), "main": F.col("group"), "groups": F.lit(0)})
+            pairs = C.checkpointed(self._qualified(self._open_pairs(held).select("a", "b")))
+            return links.union(self._compared(pairs.withColumns({"whole": F.lit(True), "main": F.lit(None).cast("long")}), None))
+        labels = connected_components(links.select("a", "b"))
+        stars = C.checkpointed(self._star_pairs(held))
+        pairs = C.checkpointed(self._qualified(stars).withColumns({"whole": F.lit(True), "main": F.lit(None).cast("long")}))
+        links = links.union(self._compared(pairs, labels))
+        labels = connected_components(links.select("a", "b"))
+        held = self._labelled(held, labels)
+        rest = C.checkpointed(self._open_pairs(held).union(self._crowded_pairs(held)).distinct())
         tested = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rest = self._qualified(rest.join(tested, ["a", "b"], "left_anti"))
-        own = self._members(rest.select(F.explode(F.array("a", "b")).alias("group")), labels)
-        apart = F.filter("members", lambda m: m["comp"] != F.col("main"))
-        x = own.select(F.col("group").alias("a"), F.col("main").alias("main_a"), F.col("members").alias("members_a"), apart.alias("apart_a"))
-        known = rest.join(own.select(F.col("group").alias("b"), F.col("main").alias("main_b")), "b").join(x, "a")
-        whole = F.lit(self.counted) | (F.col("main_a") != F.col("main_b"))
-        known = known.select("b", F.when(whole, F.col("members_a")).otherwise(F.col("apart_a")).alias("members_a"))
-        return links.union(self._opened(known.join(own.select(F.col("group").alias("b"), F.col("members").alias("members_b")), "b")))
+        rest = rest.join(tested, ["a", "b"], "left_anti")
+        mains = held.select(F.col("group").alias("a"), "main").distinct()
+        within = rest.where("not whole").join(mains, "a").select("a", "b", "whole", "main")
+        across = self._qualified(rest.where("whole").select("a", "b")).withColumns({"whole": F.lit(True), "main": F.lit(None).cast("long")})
+        return links.union(self._compared(C.checkpointed(within.union(across)), labels))
 
     def result(self) -> DataFrame:
         links = self.links()
