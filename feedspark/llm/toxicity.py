@@ -1,20 +1,22 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and their beginnings of 4 and 5 letters. Every whole text is a vector over the terms that at least LEAST
-labelled examples hold and no more than `most_common` of all documents; a term weighs (1 + ln tf) * ln(1 + N / (1 + df)), with
-df and N counted over the whole corpus, times a factor of FLOOR to 1 that tells how clearly the examples tie the term to the
-label, either way (its z score; see README for figures with and without it). No term is chosen or left out by its label.
-Examples lie in an inverted index cut into blocks; a block's largest weights bound the cosine of every example in
-it, so that blocks which can't reach the k-th best so far are skipped and the k nearest are still exact. Their labels,
-weighted with the squared cosine, give a vote, which isotonic regression on leave-one-out votes of the examples
-calibrates. The nearest examples, toxic or clean, are the evidence.
+Terms are words and their beginnings of 4 and 5 letters. Every whole text is a vector over the terms that a labelled example holds; a term weighs
+(1 + ln tf) * ln(1 + N / (1 + df)), with df and N counted over the whole corpus, times a factor of FLOOR to 1 that tells how clearly
+half of the examples tie the term to the label, either way (its z score; `weighted` turns it off). No term is left out, whether rare, common
+or by its label. Examples lie in an inverted index cut into blocks; a block's largest weights bound the cosine of every example in
+it, so that blocks which can't reach the k-th best so far are skipped and the k nearest are still exact. The `dense` terms with the longest postings
+are a matrix instead, whose products with a batch of texts are exact parts of all cosines and of the bounds. The labels of the nearest,
+weighted with the squared cosine, give a vote, which isotonic regression calibrates on leave-one-out votes of the other half of the
+examples, whose labels gave no weight. The nearest examples, toxic or clean, are the evidence.
 
 Bounds (all parameters): `examples` labelled rows (those with the smallest hash of their id), `vocabulary` terms (those that most
 examples hold). The index therefore has a fixed largest size and is broadcast. Everything else covers all rows: one pass
-counts document frequencies, with one row a term and task to sum; another scores, without shuffle.
+counts document frequencies, with one row a term and task to sum; another scores, without shuffle. The votes for the calibration are
+taken in tasks as well.
 
 Defined results: a null or empty text, and one that shares no term with an example, has no neighbour and gets the score of a vote
-that equals the share of toxic examples; very long texts are scored whole; repeated rows get equal scores; ties between
+that equals the share of toxic examples; a table of few examples is treated as a large one (with one example, each text that shares a term with it
+has it as its neighbour); very long texts are scored whole; repeated rows get equal scores; ties between
 examples go to the smaller id; of clashing labels of one id toxic counts, of different texts under one id the first in order is
 the example; an empty table gives an empty result; without labels the score is 0; extra columns are ignored.
 """
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,14 +38,13 @@ from feedspark.llm import common as C
 
 EXAMPLES = 3_000
 VOCABULARY = 200_000
-#: Examples that a term of the vocabulary is found in, at least.
-LEAST = 3
+#: Terms that are a matrix, and texts that are multiplied with it at once.
+DENSE, BATCH = 384, 128
 #: Words whose terms a worker remembers.
 WORDS = 100_000
-MOST_COMMON = 0.1
 PREFIXES = (4, 5)
 #: Weight of a term that the labels say nothing about; and the z scores from which and up to which the weight grows to 1.
-FLOOR = 0.1
+FLOOR = 0.03
 Z_FROM, Z_TO = 3.0, 8.0
 #: Weight of the share of toxic examples in a vote.
 PRIOR = 0.05
@@ -142,9 +143,10 @@ def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples in blocks; for each term its postings, cut at blocks, and its largest weight in each block."""
+    """Unit vectors of examples in blocks; for each term its postings, cut at blocks, and its largest weight in each block. The `dense`
+    terms with most postings are a matrix."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, labels: np.ndarray, n_terms: int):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, labels: np.ndarray, n_terms: int, dense: int = DENSE):
         """vectors: terms and weights of each example, stored in single precision; the order by heaviest term lets blocks hold like
         vectors."""
         heavy = [int(t[w.argmax()]) if len(t) else -1 for t, w in vectors]
@@ -154,9 +156,16 @@ class BlockMaxIndex:
         vectors = [vectors[i] for i in order]
         row = np.repeat(np.arange(len(order)), [len(t) for t, _ in vectors]).astype(np.int64)
         term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)])
-        weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
+        weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)]).astype(np.float32)
+        most = np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[:dense]
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[most] = np.arange(len(most))
+        self.matrix = np.zeros((len(most), len(order)), np.float32)
+        thick = self.column[term] >= 0
+        self.matrix[self.column[term[thick]], row[thick]] = weight[thick]
+        row, term, weight = row[~thick], term[~thick], weight[~thick]
         by = np.lexsort((row, term))
-        self.rows, self.weights, term = row[by].astype(np.int32), weight[by].astype(np.float32), term[by]
+        self.rows, self.weights, term = row[by].astype(np.int32), weight[by], term[by]
         block = self.rows // BLOCK
         new = np.ones(len(term), bool)
         new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
@@ -165,17 +174,28 @@ class BlockMaxIndex:
         self.largest = np.maximum.reduceat(self.weights, at) if len(at) else np.zeros(0, np.float32)
         self.entry = np.searchsorted(term[at], np.arange(n_terms + 1))
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest examples that share a term, in order; but: a row that doesn't count. The blocks of the
-        largest bounds set the k-th cosine; then every block that may reach it is opened, and no other."""
+    def dense_part(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the dense terms add to the cosines of all examples with each vector."""
+        own = np.zeros((len(vectors), len(self.matrix)), np.float32)
+        for i, (terms, weights) in enumerate(vectors):
+            column = self.column[terms]
+            own[i, column[column >= 0]] = weights[column >= 0]
+        return own @ self.matrix
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and cosines of the k nearest examples that share a term, in order; but: a row that doesn't count; base: the vector's
+        dense_part. The blocks of the largest bounds set the k-th cosine; then every block that may reach it is opened, and no other."""
+        if not len(self.ids):
+            return np.zeros(0, np.int64), np.zeros(0)
+        score = (self.dense_part([(terms, weights)])[0] if base is None else base).astype(np.float64)
+        bound = np.maximum.reduceat(score, np.arange(0, len(score), BLOCK))
+        thin = self.column[terms] < 0
+        terms, weights = terms[thin], weights[thin]
         size = self.entry[terms + 1] - self.entry[terms]
         entries = _spans(self.entry[terms], size)
-        if not len(entries):
-            return np.zeros(0, np.int64), np.zeros(0)
         own = np.repeat(weights.astype(np.float32), size)
         block = self.block[entries]
-        bound = np.bincount(block, self.largest[entries] * own, self.blocks)
-        score = np.zeros(len(self.ids))
+        bound += np.bincount(block, self.largest[entries] * own, self.blocks)
         open_ = np.zeros(self.blocks, bool)
         now = np.argpartition(-bound, FIRST_BLOCKS)[:FIRST_BLOCKS] if self.blocks > FIRST_BLOCKS else np.arange(self.blocks)
         while len(now):
@@ -192,7 +212,7 @@ class BlockMaxIndex:
             floor = -np.partition(-score, k - 1)[k - 1] if len(score) > k else 0.0
             now = np.flatnonzero(~open_ & (bound > 0) & (bound >= floor - 1e-6))
         found = np.flatnonzero((score > 0) & (score >= floor - 1e-7))
-        found = found[np.lexsort((self.ids[found], -np.round(score[found], 7)))][:k]
+        found = found[np.lexsort((self.ids[found], -np.round(score[found], 6)))][:k]
         return found, np.minimum(score[found], 1.0)
 
 
@@ -225,11 +245,13 @@ class Model:
         self.vocabulary, self.weight, self.k = vocabulary, weight, k
         self.base = float(labels.mean()) if len(labels) else 0.0
         self.index = BlockMaxIndex([self.unit(*v) for v in vectors], ids, labels, len(weight))
+        self.row = {int(i): n for n, i in enumerate(self.index.ids)}
         self.x, self.y = np.array([0.0, 1.0]), np.array([0.0, 1.0])
-        row = {int(i): n for n, i in enumerate(self.index.ids)}
-        own = [self.vote(*v, row[int(i)])[0] for i, v in zip(ids, vectors, strict=True)]
-        if own:
-            self.x, self.y = isotonic(np.array(own), labels.astype(float))
+
+    def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
+        """votes: leave-one-out votes of examples."""
+        if len(votes):
+            self.x, self.y = isotonic(votes, labels.astype(float))
 
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Terms with a weight, and the unit vector."""
@@ -237,15 +259,20 @@ class Model:
         keep = w > 0
         return terms[keep], w[keep] / max(math.sqrt(float(w @ w)), 1e-300)
 
-    def vote(self, terms: np.ndarray, counts: np.ndarray, but: int = -1) -> tuple[float, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        rows, cosines = self.index.nearest(*self.unit(terms, counts), self.k, but)
-        labels, weights = self.index.labels[rows], cosines**2
-        raw = (PRIOR * self.base + float(weights @ labels)) / (PRIOR + float(weights.sum()))
-        return raw, (self.index.ids[rows], cosines, labels)
+    def votes(self, texts: list[str | None], but: list[int] | None = None) -> Iterator[tuple[float, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """The vote on each text, and the ids, cosines and labels of its neighbours; but: for each text an example that doesn't count."""
+        for at in range(0, len(texts), BATCH):
+            vectors = [self.unit(*self.vocabulary.vector(t)) for t in texts[at : at + BATCH]]
+            parts = self.index.dense_part(vectors)
+            for i, (vector, base) in enumerate(zip(vectors, parts, strict=True), at):
+                rows, cosines = self.index.nearest(*vector, self.k, -1 if but is None else self.row.get(but[i], -1), base)
+                labels, weights = self.index.labels[rows], cosines**2
+                raw = (PRIOR * self.base + float(weights @ labels)) / (PRIOR + float(weights.sum()))
+                yield raw, (self.index.ids[rows], cosines, labels)
 
-    def score(self, text: str | None) -> tuple[float, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        raw, near = self.vote(*self.vocabulary.vector(text))
-        return float(np.clip(np.interp(raw, self.x, self.y), 0, 1)), near
+    def scores(self, texts: list[str | None]) -> Iterator[tuple[float, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        for raw, near in self.votes(texts):
+            yield float(np.clip(np.interp(raw, self.x, self.y), 0, 1)), near
 
 
 EVIDENCE = "array<struct<doc_id:long,similarity:double,toxic:int>>"
@@ -258,7 +285,7 @@ def _scored(shared, carry: list[str]):
         for b in batches:
             if not b.num_rows:
                 continue
-            scores, near = zip(*(shared.value.score(x.as_py()) for x in b.column("text")), strict=True)
+            scores, near = zip(*shared.value.scores(b.column("text").to_pylist()), strict=True)
             ends = np.cumsum([0, *(len(x[0]) for x in near)], dtype=np.int32)
             flat = [np.concatenate([x[i] for x in near]) for i in range(3)]
             flat = pa.StructArray.from_arrays([pa.array(flat[0], pa.int64()), pa.array(flat[1], pa.float64()), pa.array(flat[2].astype(np.int32))], names)
@@ -268,6 +295,22 @@ def _scored(shared, carry: list[str]):
     return run
 
 
+def _own_votes(shared):
+    """Leave-one-out votes of examples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            votes = [v for v, _ in shared.value.votes(b.column("text").to_pylist(), b.column("doc_id").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(votes, pa.float64())], ["doc_id", "toxic", "vote"])
+
+    return run
+
+
+def _weighs(doc_id: str = "doc_id") -> Column:
+    """The half of the examples whose labels weigh terms."""
+    return F.xxhash64(F.col(doc_id), F.lit("weigh")) % 2 == 0
+
+
 def _examples(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
     """doc_id, toxic, text of at most `bound` labelled documents outside the held-out part, stored."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
@@ -275,12 +318,14 @@ def _examples(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
     return C.checkpointed(docs.join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary: int = VOCABULARY, k: int = 16, most_common: float = MOST_COMMON) -> Model:
-    """docs: doc_id, text."""
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary: int = VOCABULARY, k: int = 16, weighted: bool = True) -> Model:
+    """docs: doc_id, text. weighted: whether the examples' labels weigh terms."""
     context = docs.sparkSession.sparkContext
     sample = _examples(docs, labels, examples)
-    counted = C.mapped(sample.select("text", "toxic"), _example_terms, "term string, toxic int").groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
-    chosen = counted.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "term").limit(vocabulary).toArrow()
+    side = F.when(_weighs(), F.col("toxic"))  # null: an example that only counts the term
+    counted = C.mapped(sample.select("text", side.alias("toxic")), _example_terms, "term string, toxic int").groupBy("term")
+    counted = counted.agg(F.count("*").alias("all"), F.count("toxic").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"))
+    chosen = counted.orderBy(F.desc("all"), "term").limit(vocabulary).toArrow()
     terms = Vocabulary(chosen.column("term").to_pylist())
     shared = context.broadcast(terms)
     counts = C.mapped(docs.select("text"), _frequencies(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
@@ -290,10 +335,18 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary
     rows = C.mapped(sample, _vectors(shared), "doc_id long, toxic int, terms array<long>, counts array<long>").orderBy("doc_id").toArrow()
     ids, own = rows.column("doc_id").to_numpy().astype(np.int64), rows.column("toxic").to_numpy().astype(np.int64)
     vectors = [(np.array(t, np.int64), np.array(c, np.int64)) for t, c in zip(rows.column("terms").to_pylist(), rows.column("counts").to_pylist(), strict=True)]
-    held, toxic = (chosen.column(c).to_numpy().astype(float) for c in ("n", "toxic"))
     shared.destroy()  # every job that read it has ended
-    weight = np.log(1 + n_docs / (1 + df)) * label_weights(held, toxic, len(ids), int(own.sum())) * (df <= most_common * n_docs)
-    return Model(terms, weight, vectors, ids, own, k)
+    weight = np.log(1 + n_docs / (1 + df))
+    if weighted:
+        half = sample.where(_weighs()).agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+        weight = weight * label_weights(*(chosen.column(c).to_numpy().astype(float) for c in ("n", "toxic")), *half)
+    model = Model(terms, weight, vectors, ids, own, k)
+    shared = context.broadcast(model)
+    unseen = sample.where(~_weighs()) if weighted else sample
+    votes = C.mapped(unseen, _own_votes(shared), "doc_id long, toxic int, vote double").orderBy("doc_id").toArrow()
+    model.calibrate(votes.column("vote").to_numpy(), votes.column("toxic").to_numpy())
+    shared.destroy()
+    return model
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None, **how) -> DataFrame:

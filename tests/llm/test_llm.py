@@ -120,24 +120,25 @@ def test_toxicity_against_brute_force(spark, docs, labels):
     n = len(raw)
     df = {t: sum(t in x for x in terms.values()) for t in set().union(*(terms[i] for i in mine))}
     share = sum(mine.values()) / len(mine)
+    half = {r["doc_id"] for r in spark.createDataFrame([(i,) for i in mine], "doc_id long").where(toxicity._weighs()).collect()}
+    part = sum(mine[i] for i in half) / len(half)
 
     def weight(t):
-        held = [y for i, y in mine.items() if t in terms[i]]
-        if len(held) < toxicity.LEAST or df[t] > toxicity.MOST_COMMON * n:
-            return 0.0
-        z = abs(sum(held) - len(held) * share) / math.sqrt(len(held) * share * (1 - share))
-        return math.log(1 + n / (1 + df[t])) * (0.1 + 0.9 * min(max((z - 3) / 5, 0), 1))
+        held = [mine[i] for i in half if t in terms[i]]
+        z = abs(sum(held) - len(held) * part) / math.sqrt(max(len(held) * part * (1 - part), 1e-9))
+        return math.log(1 + n / (1 + df[t])) * (0.03 + 0.97 * min(max((z - 3) / 5, 0), 1))
 
     w = {t: weight(t) for t in df}
     vec = {i: {t: (1 + math.log(c)) * w[t] for t, c in x.items() if w.get(t)} for i, x in terms.items()}
     norm = {i: math.sqrt(sum(v * v for v in x.values())) for i, x in vec.items()}
 
     def vote(i, but=None):
-        near = sorted(((-sum(v * vec[j].get(t, 0) for t, v in vec[i].items()) / (norm[i] * norm[j]), j) for j in mine if j != but and norm[i] and norm[j]), key=lambda x: (round(x[0], 7), x[1]))
+        near = sorted(((-sum(v * vec[j].get(t, 0) for t, v in vec[i].items()) / (norm[i] * norm[j]), j) for j in mine if j != but and norm[i] and norm[j]), key=lambda x: (round(x[0], 6), x[1]))
         near = [(-s, j) for s, j in near if s < 0][:5]
         return (0.05 * share + sum(s * s * mine[j] for s, j in near)) / (0.05 + sum(s * s for s, _ in near)), near
 
-    x, y = toxicity.isotonic(np.array([vote(i, i)[0] for i in mine]), np.array([float(v) for v in mine.values()]))
+    unseen = [i for i in mine if i not in half]
+    x, y = toxicity.isotonic(np.array([vote(i, i)[0] for i in unseen]), np.array([float(mine[i]) for i in unseen]))
     for i, r in got.items():
         value, near = vote(i)
         assert [(e["doc_id"], e["toxic"]) for e in r["evidence"]] == [(j, mine[j]) for _, j in near]
@@ -145,13 +146,26 @@ def test_toxicity_against_brute_force(spark, docs, labels):
         assert abs(r["score"] - np.interp(value, x, y)) < 1e-4
 
 
+def test_toxicity_of_few_examples(spark):
+    """A table of seven texts, three of them labelled: each text that shares a word has neighbours."""
+    rows = [(i, t) for i, t in enumerate(["you vile fool", "a calm day", "vile vile fool", "the day is calm", "zzz", None, "fool"], 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, 1 - i % 2) for i in range(1, 8)], "doc_id long, toxic int")
+    for weighted in (True, False):
+        got = {r["doc_id"]: r for r in toxicity.score_documents(d, lab, weighted=weighted).collect()}
+        learned = {r["doc_id"] for r in lab.where(~C.held_out()).collect()}
+        words_of = {i: set(toxicity.terms_of(t)) for i, t in rows}
+        for i, r in got.items():
+            assert {e["doc_id"] for e in r["evidence"]} == {j for j in learned if words_of[i] & words_of[j]}
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(3)
     vectors = []
     for _ in range(900):
         w = rng.random(rng.integers(1, 8))
         vectors.append((np.sort(rng.choice(60, len(w), replace=False)), w / np.linalg.norm(w)))
-    index = toxicity.BlockMaxIndex(vectors, np.arange(900), np.zeros(900, np.int64), 60)
+    indexes = [toxicity.BlockMaxIndex(vectors, np.arange(900), np.zeros(900, np.int64), 60, n) for n in (0, 7, 60)]
     dense = np.zeros((900, 60))
     for i, (t, w) in enumerate(vectors):
         dense[i, t] = w
@@ -160,10 +174,11 @@ def test_block_max_search_is_exact():
         q = rng.random(5)
         q /= np.linalg.norm(q)
         score = dense[:, terms] @ q
-        want = sorted((-round(float(s), 7), i) for i, s in enumerate(score) if s > 0)[:16]
-        rows, cosines = index.nearest(terms, q, 16)
-        assert index.ids[rows].tolist() == [i for _, i in want]
-        assert np.allclose(cosines, [-s for s, _ in want])
+        want = sorted((-round(float(s), 6), i) for i, s in enumerate(score) if s > 0)[:16]
+        for index in indexes:
+            rows, cosines = index.nearest(terms, q, 16)
+            assert index.ids[rows].tolist() == [i for _, i in want]
+            assert np.allclose(cosines, [-s for s, _ in want], atol=2e-6)
 
 
 def test_sharding(spark, docs, odd):
