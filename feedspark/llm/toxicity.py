@@ -11,8 +11,8 @@ examples, whose labels gave no weight. The nearest examples, toxic or clean, are
 
 Bounds (all parameters): `examples` labelled rows (those with the smallest hash of their id), `vocabulary` terms (those that most
 examples hold). The index therefore has a fixed largest size and is broadcast. Everything else covers all rows: one pass
-counts document frequencies, with one row a term and task to sum; another scores, without shuffle. The votes for the calibration are
-taken in tasks as well.
+cuts texts into term numbers, which are stored; a second counts document frequencies, with one row a term and task to sum; a third
+scores, without shuffle. The votes for the calibration are taken in tasks as well.
 
 Defined results: a null or empty text, and one that shares no term with an example, has no neighbour and gets the score of a vote
 that equals the share of toxic examples; a table of few examples is treated as a large one (with one example, each text that shares a term with it
@@ -39,9 +39,7 @@ from feedspark.llm import common as C
 EXAMPLES = 3_000
 VOCABULARY = 200_000
 #: Terms that are a matrix, and texts that are multiplied with it at once.
-DENSE, BATCH = 384, 128
-#: Words whose terms a worker remembers.
-WORDS = 100_000
+DENSE, BATCH = 2_048, 128
 PREFIXES = (4, 5)
 #: Weight of a term that the labels say nothing about; and the z scores from which and up to which the weight grows to 1.
 FLOOR = 0.03
@@ -73,12 +71,11 @@ def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 class Vocabulary:
-    """Numbers of terms."""
+    """Numbers of terms. The vocabulary's own words have a table of their terms' numbers (-1: none); other words only have beginnings."""
 
     def __init__(self, terms: list[str]):
         self.terms = terms
-        self.tables = None
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, int] | None = None
 
     def __getstate__(self):
         return self.terms
@@ -86,52 +83,63 @@ class Vocabulary:
     def __setstate__(self, terms):
         self.__init__(terms)
 
-    def _of(self, word: str) -> tuple[int, ...]:
-        """Numbers of a word's terms, looked up once and remembered."""
-        if self.tables is None:
-            place = {t: i for i, t in enumerate(self.terms)}
-            parts = [(k, {t[1:]: i for t, i in place.items() if t[0] == "^" and len(t) == k + 1}) for k in PREFIXES]
-            self.tables = {t: i for t, i in place.items() if t[0] != "^"}, parts
-        whole, parts = self.tables
-        found = (whole.get(word), *(table.get(word[:k]) if len(word) > k else None for k, table in parts))
-        if len(self.known) >= WORDS:
-            self.known.clear()
-        out = self.known[word] = tuple(i for i in found if i is not None)
-        return out
+    def _build(self) -> None:
+        self.parts = [(k, {t[1:]: i for i, t in enumerate(self.terms) if t[0] == "^" and len(t) == k + 1}) for k in PREFIXES]
+        words = [(t, i) for i, t in enumerate(self.terms) if t[0] != "^"]
+        self.known = {w: n for n, (w, _) in enumerate(words)}
+        self.table = np.array([[i, *self._beginnings(w)] for w, i in words], np.int64).reshape(len(words), 1 + len(PREFIXES))
+
+    def _beginnings(self, word: str) -> list[int]:
+        return [part.get(word[:k], -1) if len(word) > k else -1 for k, part in self.parts]
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and counts of a text's terms."""
-        own: dict[int, int] = {}
-        get = self.known.get
-        for word, n in Counter(_WORD.findall(text.lower())).items() if text else ():
-            ids = get(word)
-            for i in self._of(word) if ids is None else ids:
-                own[i] = own.get(i, 0) + n
-        return np.fromiter(own, np.int64, len(own)), np.fromiter(own.values(), np.int64, len(own))
+        """Numbers, in order, and counts of a text's terms."""
+        if self.known is None:
+            self._build()
+        words = _WORD.findall(text.lower()) if text else []
+        rows = list(map(self.known.get, words))
+        others = [i for w, r in zip(words, rows, strict=True) if r is None for i in self._beginnings(w)]
+        found = np.concatenate([self.table[[r for r in rows if r is not None]].ravel(), np.array(others, np.int64)]) if words else np.zeros(0, np.int64)
+        own = np.sort(found[found >= 0])
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+        return own[first], np.diff(np.append(first, len(own)))
 
 
-def _frequencies(shared):
-    """Documents that hold each term, and all documents (term -1), summed over a task."""
+_LISTS = "terms array<int>, counts array<int>"
+
+
+def _vectors(shared, keep: list[str]):
+    """Term numbers and counts of each text, with the columns to keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
-        total, docs = np.zeros(len(vocabulary.terms), np.int64), 0
         for b in batches:
-            docs += b.num_rows
-            for text in b.column("text"):
-                total[vocabulary.vector(text.as_py())[0]] += 1
-        held = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), pa.array(np.append(total[held], docs))], ["term", "n"])
+            found = [vocabulary.vector(x.as_py()) for x in b.column("text")]
+            ends = pa.array(np.cumsum([0, *(len(t) for t, _ in found)], dtype=np.int32))
+            flat = (np.concatenate([f[i] for f in found] or [np.zeros(0)]).astype(np.int32) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in flat)], [*keep, "terms", "counts"])
 
     return run
 
 
-def _vectors(shared):
+def _read(b: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The vectors of a batch."""
+    terms, counts = b.column("terms"), b.column("counts")
+    flat = [x.flatten().to_numpy().astype(np.int64) for x in (terms, counts)]
+    ends = np.append(0, np.cumsum(terms.value_lengths().to_numpy()))
+    return [(flat[0][i:j], flat[1][i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _frequencies(n_terms: int):
+    """Documents that hold each term, and all documents (term -1), summed over a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, docs = np.zeros(n_terms, np.int64), 0
         for b in batches:
-            terms, counts = zip(*(shared.value.vector(x.as_py()) for x in b.column("text")), strict=True) if b.num_rows else ((), ())
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(list(terms), kind), pa.array(list(counts), kind)], ["doc_id", "toxic", "terms", "counts"])
+            docs += b.num_rows
+            total += np.bincount(b.column("terms").flatten().to_numpy(), minlength=n_terms)
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), pa.array(np.append(total[held], docs))], ["term", "n"])
 
     return run
 
@@ -240,9 +248,9 @@ def label_weights(held: np.ndarray, toxic: np.ndarray, n: int, n_toxic: int) ->
 class Model:
     """Votes of the nearest examples and their calibration."""
 
-    def __init__(self, vocabulary: Vocabulary, weight: np.ndarray, vectors: list, ids: np.ndarray, labels: np.ndarray, k: int):
+    def __init__(self, weight: np.ndarray, vectors: list, ids: np.ndarray, labels: np.ndarray, k: int):
         """weight: of each term; vectors: terms and counts of each example."""
-        self.vocabulary, self.weight, self.k = vocabulary, weight, k
+        self.weight, self.k = weight, k
         self.base = float(labels.mean()) if len(labels) else 0.0
         self.index = BlockMaxIndex([self.unit(*v) for v in vectors], ids, labels, len(weight))
         self.row = {int(i): n for n, i in enumerate(self.index.ids)}
@@ -259,10 +267,11 @@ class Model:
         keep = w > 0
         return terms[keep], w[keep] / max(math.sqrt(float(w @ w)), 1e-300)
 
-    def votes(self, texts: list[str | None], but: list[int] | None = None) -> Iterator[tuple[float, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-        """The vote on each text, and the ids, cosines and labels of its neighbours; but: for each text an example that doesn't count."""
-        for at in range(0, len(texts), BATCH):
-            vectors = [self.unit(*self.vocabulary.vector(t)) for t in texts[at : at + BATCH]]
+    def votes(self, own: list[tuple[np.ndarray, np.ndarray]], but: list[int] | None = None) -> Iterator[tuple[float, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """The vote on each text (terms and counts), and the ids, cosines and labels of its neighbours; but: for each text an example
+        that doesn't count."""
+        for at in range(0, len(own), BATCH):
+            vectors = [self.unit(*v) for v in own[at : at + BATCH]]
             parts = self.index.dense_part(vectors)
             for i, (vector, base) in enumerate(zip(vectors, parts, strict=True), at):
                 rows, cosines = self.index.nearest(*vector, self.k, -1 if but is None else self.row.get(but[i], -1), base)
@@ -270,8 +279,8 @@ class Model:
                 raw = (PRIOR * self.base + float(weights @ labels)) / (PRIOR + float(weights.sum()))
                 yield raw, (self.index.ids[rows], cosines, labels)
 
-    def scores(self, texts: list[str | None]) -> Iterator[tuple[float, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-        for raw, near in self.votes(texts):
+    def scores(self, own: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        for raw, near in self.votes(own):
             yield float(np.clip(np.interp(raw, self.x, self.y), 0, 1)), near
 
 
@@ -285,7 +294,7 @@ def _scored(shared, carry: list[str]):
         for b in batches:
             if not b.num_rows:
                 continue
-            scores, near = zip(*shared.value.scores(b.column("text").to_pylist()), strict=True)
+            scores, near = zip(*shared.value.scores(_read(b)), strict=True)
             ends = np.cumsum([0, *(len(x[0]) for x in near)], dtype=np.int32)
             flat = [np.concatenate([x[i] for x in near]) for i in range(3)]
             flat = pa.StructArray.from_arrays([pa.array(flat[0], pa.int64()), pa.array(flat[1], pa.float64()), pa.array(flat[2].astype(np.int32))], names)
@@ -300,7 +309,7 @@ def _own_votes(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            votes = [v for v, _ in shared.value.votes(b.column("text").to_pylist(), b.column("doc_id").to_pylist())]
+            votes = [v for v, _ in shared.value.votes(_read(b), b.column("doc_id").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(votes, pa.float64())], ["doc_id", "toxic", "vote"])
 
     return run
@@ -318,47 +327,54 @@ def _examples(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
     return C.checkpointed(docs.join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary: int = VOCABULARY, k: int = 16, weighted: bool = True) -> Model:
-    """docs: doc_id, text. weighted: whether the examples' labels weigh terms."""
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary: int = VOCABULARY, k: int = 16, weighted: bool = True) -> tuple[Model, DataFrame]:
+    """The model, and the vectors of all documents: the columns of docs but text, terms, counts, stored, so that texts are cut into terms once.
+    docs: doc_id, text and others. weighted: whether the examples' labels weigh terms."""
     context = docs.sparkSession.sparkContext
-    sample = _examples(docs, labels, examples)
+    sample = _examples(docs.select("doc_id", "text"), labels, examples)
     side = F.when(_weighs(), F.col("toxic"))  # null: an example that only counts the term
     counted = C.mapped(sample.select("text", side.alias("toxic")), _example_terms, "term string, toxic int").groupBy("term")
     counted = counted.agg(F.count("*").alias("all"), F.count("toxic").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"))
     chosen = counted.orderBy(F.desc("all"), "term").limit(vocabulary).toArrow()
     terms = Vocabulary(chosen.column("term").to_pylist())
     shared = context.broadcast(terms)
-    counts = C.mapped(docs.select("text"), _frequencies(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    keep = [c for c in docs.columns if c != "text"]
+    schema = lambda own, names: T.StructType([*(own.schema[c] for c in names), *T.StructType.fromDDL(_LISTS).fields])
+    stored = C.checkpointed(C.mapped(docs, _vectors(shared, keep), schema(docs, keep)))
+    own_vectors = C.checkpointed(C.mapped(sample, _vectors(shared, ["doc_id", "toxic"]), schema(sample, ["doc_id", "toxic"])))
+    shared.destroy()  # every job that read it has ended
+    counts = C.mapped(stored.select("terms"), _frequencies(len(terms.terms)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df, at = np.zeros(len(terms.terms) + 1), counts.column("term").to_numpy()
     df[at] = counts.column("n").to_numpy()  # the number of documents, at -1, takes the last place
     n_docs, df = df[-1], df[:-1]
-    rows = C.mapped(sample, _vectors(shared), "doc_id long, toxic int, terms array<long>, counts array<long>").orderBy("doc_id").toArrow()
+    rows = own_vectors.orderBy("doc_id").toArrow()
     ids, own = rows.column("doc_id").to_numpy().astype(np.int64), rows.column("toxic").to_numpy().astype(np.int64)
-    vectors = [(np.array(t, np.int64), np.array(c, np.int64)) for t, c in zip(rows.column("terms").to_pylist(), rows.column("counts").to_pylist(), strict=True)]
-    shared.destroy()  # every job that read it has ended
+    vectors = [v for b in rows.to_batches() for v in _read(b)]
     weight = np.log(1 + n_docs / (1 + df))
     if weighted:
         half = sample.where(_weighs()).agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
         weight = weight * label_weights(*(chosen.column(c).to_numpy().astype(float) for c in ("n", "toxic")), *half)
-    model = Model(terms, weight, vectors, ids, own, k)
+    model = Model(weight, vectors, ids, own, k)
     shared = context.broadcast(model)
-    unseen = sample.where(~_weighs()) if weighted else sample
+    unseen = own_vectors.where(~_weighs()) if weighted else own_vectors
     votes = C.mapped(unseen, _own_votes(shared), "doc_id long, toxic int, vote double").orderBy("doc_id").toArrow()
     model.calibrate(votes.column("vote").to_numpy(), votes.column("toxic").to_numpy())
     shared.destroy()
-    return model
+    return model, stored
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None, **how) -> DataFrame:
     """doc_id, score (0 to 1), evidence (nearest examples with cosine and label) and the columns to carry, one row per document."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(carry or []))
-    model = fit(own.select("doc_id", "text"), labels, **how)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"own_{c}") for c in carry or []))
+    model, stored = fit(own, labels, **how)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     C.release()
     schema = T.StructType.fromDDL(f"doc_id long, score double, evidence {EVIDENCE}")
-    for c in carry or []:
+    names = [f"own_{c}" for c in carry or []]
+    for c in names:
         schema = schema.add(own.schema[c])
-    return C.mapped(own, _scored(shared, carry or []), schema)
+    scored = C.mapped(stored, _scored(shared, names), schema)
+    return scored.select("doc_id", "score", "evidence", *(F.col(n).alias(c) for n, c in zip(names, carry or [], strict=True)))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
