@@ -54,39 +54,60 @@ def best_text(docs: DataFrame, raw: str, markdown: str, html: str) -> DataFrame:
     return rows.withColumn("best_text", best).drop(*(f"_{k}" for k in three))
 
 
+IMAGE, LINK = r"^!\[(.*?)\]\((.*?)\)$", r"^\[(.*?)\]\((.*?)\)$"
+
+
 def line_type(line: Column) -> Column:
     t = F.trim(line)
     return (
         F.when(t == "", "blank")
         .when(t.rlike(r"^#{1,6}\s"), "title")
-        .when(t.rlike(r"^(-{3,}|\*{3,}|_{3,})$"), "divider")
-        .when(t.rlike(r"^!\[[^\]]*\]\([^)]+\)$"), "image")
-        .when(t.rlike(r"^\[[^\]]+\]\([^)]+\)$"), "link")
-        .when(t.rlike(r"^>"), "quote")
-        .when(t.rlike(r"^([-*+]|\d+\.)\s+"), "list")
+        .when(t.isin("---", "***", "___"), "divider")
+        .when(t.startswith(">"), "quote")
+        .when(t.rlike(r"^(-|\d+\.)\s+"), "list")
+        .when(t.rlike(IMAGE), "image")
+        .when(t.rlike(LINK), "link")
         .otherwise("paragraph")
     )
 
 
-def explode_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
+def explode_blocks(docs: DataFrame, key: str, text: str, unnamed: str = "图片") -> DataFrame:
     """key, block_index, type, level, n_lines, text, anchor (of a title: its letters and digits in lower case, or its place),
-    ordered and items (of a list): Markdown lines gathered in blocks. Neighbouring lines of a numbered or other list, a quote or
-    a paragraph are one block; blank lines part blocks."""
-    lines = docs.select(key, F.posexplode(F.split(F.regexp_replace(_text(text), "\r\n?", "\n"), "\n")).alias("n", "line")).withColumn("type", line_type(F.col("line")))
-    lines = lines.withColumn("ordered", (F.col("type") == "list") & F.trim("line").rlike(r"^\d"))
-    w = Window.partitionBy(key).orderBy("n")
-    new = (F.col("type") != F.coalesce(F.lag("type").over(w), F.lit(""))) | (F.col("ordered") != F.coalesce(F.lag("ordered").over(w), F.lit(False))) | ~F.col("type").isin("list", "quote", "paragraph")
-    islands = lines.withColumn("new", new.cast("int")).withColumn("b", F.sum("new").over(w)).where("type <> 'blank'")
-    inner = F.regexp_replace(F.trim("line"), r"^(#{1,6}\s+|>\s?|([-*+]|\d+\.)\s+)", "")
-    level = F.max(F.when(F.col("type") == "title", F.length(F.regexp_extract(F.trim("line"), "^(#+)", 1))).otherwise(0))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("n", inner.alias("t")))), lambda x: x["t"])
-    blocks = islands.groupBy(key, "b", "type").agg(level.alias("level"), F.count("*").alias("n_lines"), parts.alias("_parts"), F.first("ordered").alias("ordered"))
-    blocks = blocks.withColumn("block_index", F.row_number().over(Window.partitionBy(key).orderBy("b")) - 1).withColumn("text", F.array_join("_parts", "\n"))
+    ordered and items (of a list), url, alt and hostname (of an image or link): Markdown lines gathered in blocks. Neighbouring lines of a
+    numbered or other list, a quote or a paragraph are one block; blank lines part blocks.
+
+    A text stays one row: its lines are typed, the places where blocks begin are found, and each block is a slice; nothing is shuffled."""
+    from feedspark.functions.urls import part
+
+    lines = F.split(F.regexp_replace(_text(text), "\r\n?", "\n"), "\n")
+    typed = F.transform(lines, lambda x: F.struct(x.alias("line"), line_type(x).alias("type"), F.trim(x).rlike(r"^\d").alias("ordered")))
+
+    def begins(r: Column, i: Column) -> Column:
+        last = F.get("_rows", i - 1)
+        goes_on = r["type"].isin("quote", "paragraph") | ((r["type"] == "list") & (last["ordered"] == r["ordered"]))
+        return (i == 0) | (last["type"] != r["type"]) | ~goes_on
+
+    rows = docs.select(key, typed.alias("_rows"))
+    starts = F.transform("_rows", lambda r, i: F.when(begins(r, i), i))
+    rows = rows.withColumn("_starts", F.filter(starts, lambda i: i.isNotNull()))
+    own = F.transform("_starts", lambda s, k: F.slice("_rows", s + 1, F.coalesce(F.get("_starts", k + 1), F.size("_rows")) - s))
+    rows = rows.select(key, F.posexplode(F.filter(own, lambda x: x[0]["type"] != "blank")).alias("block_index", "_own"))
+    inner = lambda x: F.trim(F.regexp_replace(F.trim(x["line"]), r"^(#{1,6}\s+|>\s?|(-|\d+\.)\s+)", ""))
+    rows = rows.withColumns({"type": F.col("_own")[0]["type"], "n_lines": F.size("_own"), "_line": F.trim(F.col("_own")[0]["line"])})
+    rows = rows.withColumn("_parts", F.filter(F.transform("_own", inner), lambda x: x != ""))
+    kind = lambda *t: F.col("type").isin(*t)
+    bracket = lambda n: F.trim(F.when(kind("image"), F.regexp_extract("_line", IMAGE, n)).otherwise(F.regexp_extract("_line", LINK, n)))
+    named, url = F.nullif(bracket(1), F.lit("")), bracket(2)
+    paragraph = F.trim(F.array_join(F.transform("_own", lambda x: F.rtrim(x["line"])), "\n"))
+    words = F.when(kind("paragraph"), paragraph).when(kind("image"), F.coalesce(named, F.lit(unnamed))).when(kind("link"), F.coalesce(named, url)).when(kind("divider"), "").otherwise(F.array_join("_parts", "\n"))
+    rows = rows.withColumn("text", words)
     slug = F.regexp_replace(F.regexp_replace(F.lower(F.trim("text")), r"[^\p{L}\p{N}_-]+", "-"), "-{2,}", "-")
     anchor = F.coalesce(F.nullif(F.regexp_replace(slug, "^-|-$", ""), F.lit("")), F.concat(F.lit("section-"), (F.col("block_index") + 1).cast("string")))
-    is_list = F.col("type") == "list"
-    own = {"anchor": F.when(F.col("type") == "title", anchor), "items": F.when(is_list, F.filter(F.transform("_parts", lambda x: F.trim(x)), lambda x: x != "")), "ordered": F.when(is_list, F.col("ordered"))}
-    return blocks.withColumns(own).drop("b", "_parts")
+    level = F.when(kind("title"), F.length(F.regexp_extract("_line", "^(#+)", 1))).otherwise(0)
+    return rows.select(
+        key, "block_index", "type", level.alias("level"), "n_lines", "text", F.when(kind("title"), anchor).alias("anchor"), F.when(kind("list"), F.col("_own")[0]["ordered"]).alias("ordered"),
+        F.when(kind("list"), F.col("_parts")).alias("items"), F.when(kind("image", "link"), url).alias("url"), F.when(kind("image"), F.col("text")).alias("alt"), F.when(kind("image", "link"), F.lower(part(url, 2))).alias("hostname"),
+    )
 
 
 def block_metrics(blocks: DataFrame, key: str) -> DataFrame:

@@ -9,14 +9,14 @@ from feedspark.plans.feed import RICH, RULES, rich, rules
 from feedspark.plans.fixtures import ARTICLES, INCOMING, articles, incoming, sql, table
 
 MD = """md AS (SELECT doc_id AS id, '# ' || replace(substr(text, 1, 20), chr(10), ' ') || chr(10) || chr(10) || replace(replace(substr(text, 21), chr(10), ' '), '. ', '.' || chr(10) || '- ') || chr(10) || '1. one' || chr(10) || '2. two' || chr(10) || chr(10)
-  || '![pic](http://i/' || CAST(doc_id % 3 AS VARCHAR) || '.png)' || chr(10) || '![pic](http://i/x.png)' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '---' || chr(10) || '> [quoted](http://q) text' ELSE '' END AS t FROM documents)"""
+  || '![pic](http://i/' || CAST(doc_id % 3 AS VARCHAR) || '.png)' || chr(10) || '![pic](http://i/x.png)' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '---' || chr(10) || '> [quoted](http://q) text' || chr(10) || '>' || chr(10) || '> more' || chr(10) || '----' || chr(10) || '* star' || chr(10) || '[](HTTP://H.org:8/p)' || chr(10) || ' [a b](/local) ' || chr(10) || '![]()' ELSE '' END AS t FROM documents)"""
 
 
 def md(spark, d):
     i = F.col("doc_id")
     body = F.replace(F.replace(F.expr("substring(text, 21)"), F.lit("\n"), F.lit(" ")), F.lit(". "), F.lit(".\n- "))
     head = F.replace(F.substring("text", 1, 20), F.lit("\n"), F.lit(" "))
-    tail = F.when(i % 2 == 0, "\n---\n> [quoted](http://q) text").otherwise("")
+    tail = F.when(i % 2 == 0, "\n---\n> [quoted](http://q) text\n>\n> more\n----\n* star\n[](HTTP://H.org:8/p)\n [a b](/local) \n![]()").otherwise("")
     return table(spark, d, "documents").select(i.alias("id"), F.concat(F.lit("# "), head, F.lit("\n\n"), body, F.lit("\n1. one\n2. two\n\n![pic](http://i/"), (i % 3).cast("string"), F.lit(".png)\n![pic](http://i/x.png)"), tail).alias("t"))
 
 
@@ -30,7 +30,7 @@ def f02(spark, d):
 
 
 def f03(spark, d):
-    return X.explode_blocks(md(spark, d), "id", "t").select("id", "block_index", "type", "level", "n_lines", F.md5("text").alias("text_md5"), "anchor", "ordered", F.md5(F.array_join("items", "|")).alias("items_md5"))
+    return X.explode_blocks(md(spark, d), "id", "t").select("id", "block_index", "type", "level", "n_lines", F.md5("text").alias("text_md5"), "anchor", "ordered", F.md5(F.array_join("items", "|")).alias("items_md5"), "url", "alt", "hostname")
 
 
 def f04(spark, d):
@@ -172,16 +172,24 @@ def f22(spark, d):
 
 
 _AI = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '!\\[([^\\]]*)\\]\\(([^)]+)\\)', ' ', 'g'), '\\[([^\\]]+)\\]\\(([^)]+)\\)', '\\1', 'g'), '(?m)^#{1,6}\\s*', '', 'g'), '(?m)^\\s*>\\s?', '', 'g'), '(?m)^\\s*([-*+]|\\d+\\.)\\s+', '', 'g'), '[*_~|`]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_INNER = "trim(regexp_replace(trim(line), '^(#{1,6}\\s+|>\\s?|(-|\\d+\\.)\\s+)', ''))"
+_IMAGE, _LINK = "'^!\\[(.*?)\\]\\((.*?)\\)$'", "'^\\[(.*?)\\]\\((.*?)\\)$'"
 BLOCKS = (
     "lines AS (SELECT id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM md)",
-    """typed AS (SELECT *, CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(trim(line), '^#{1,6}\\s') THEN 'title' WHEN regexp_matches(trim(line), '^(-{3,}|\\*{3,}|_{3,})$') THEN 'divider'
-      WHEN regexp_matches(trim(line), '^!\\[[^\\]]*\\]\\([^)]+\\)$') THEN 'image' WHEN regexp_matches(trim(line), '^\\[[^\\]]+\\]\\([^)]+\\)$') THEN 'link' WHEN regexp_matches(trim(line), '^>') THEN 'quote'
-      WHEN regexp_matches(trim(line), '^([-*+]|\\d+\\.)\\s+') THEN 'list' ELSE 'paragraph' END AS type FROM lines)""",
-    "marked AS (SELECT *, type = 'list' AND regexp_matches(trim(line), '^\\d') AS ordered, CASE WHEN type = lag(type, 1, '') OVER (PARTITION BY id ORDER BY n) AND (type = 'list' AND regexp_matches(trim(line), '^\\d')) = lag(type = 'list' AND regexp_matches(trim(line), '^\\d'), 1, false) OVER (PARTITION BY id ORDER BY n) AND type IN ('list', 'quote', 'paragraph') THEN 0 ELSE 1 END AS new FROM typed)",
+    f"""typed AS (SELECT *, CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(trim(line), '^#{{1,6}}\\s') THEN 'title' WHEN trim(line) IN ('---', '***', '___') THEN 'divider'
+      WHEN starts_with(trim(line), '>') THEN 'quote' WHEN regexp_matches(trim(line), '^(-|\\d+\\.)\\s+') THEN 'list' WHEN regexp_matches(trim(line), {_IMAGE}) THEN 'image'
+      WHEN regexp_matches(trim(line), {_LINK}) THEN 'link' ELSE 'paragraph' END AS type FROM lines)""",
+    """marked AS (SELECT *, type = 'list' AND regexp_matches(trim(line), '^\\d') AS ordered, CASE WHEN type = lag(type, 1, '') OVER (PARTITION BY id ORDER BY n)
+      AND (type = 'list' AND regexp_matches(trim(line), '^\\d')) = lag(type = 'list' AND regexp_matches(trim(line), '^\\d'), 1, false) OVER (PARTITION BY id ORDER BY n)
+      AND type IN ('list', 'quote', 'paragraph') THEN 0 ELSE 1 END AS new FROM typed)""",
     "isl AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY n) AS b FROM marked)",
-    """blocks AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY b) - 1 AS block_index, type, max(CASE WHEN type = 'title' THEN length(regexp_extract(trim(line), '^(#+)', 1)) ELSE 0 END) AS level, count(*) AS n_lines,
-      string_agg(regexp_replace(trim(line), '^(#{1,6}\\s+|>\\s?|([-*+]|\\d+\\.)\\s+)', ''), chr(10) ORDER BY n) AS text, bool_or(ordered) AS ordered,
-      coalesce(string_agg(trim(regexp_replace(trim(line), '^(#{1,6}\\s+|>\\s?|([-*+]|\\d+\\.)\\s+)', '')), '|' ORDER BY n) FILTER (trim(regexp_replace(trim(line), '^(#{1,6}\\s+|>\\s?|([-*+]|\\d+\\.)\\s+)', '')) <> ''), '') AS items FROM isl WHERE type <> 'blank' GROUP BY id, b, type)""",
+    f"""grouped AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY b) - 1 AS block_index, type, max(CASE WHEN type = 'title' THEN length(regexp_extract(trim(line), '^(#+)', 1)) ELSE 0 END) AS level, count(*) AS n_lines,
+      coalesce(string_agg({_INNER}, chr(10) ORDER BY n) FILTER ({_INNER} <> ''), '') AS parts, trim(string_agg(rtrim(line), chr(10) ORDER BY n)) AS whole, min(trim(line)) AS line, bool_or(ordered) AS ordered
+      FROM isl WHERE type <> 'blank' GROUP BY id, b, type)""",
+    f"""named AS (SELECT *, trim(CASE type WHEN 'image' THEN regexp_extract(line, {_IMAGE}, 1) WHEN 'link' THEN regexp_extract(line, {_LINK}, 1) END) AS name,
+      trim(CASE type WHEN 'image' THEN regexp_extract(line, {_IMAGE}, 2) WHEN 'link' THEN regexp_extract(line, {_LINK}, 2) END) AS url FROM grouped)""",
+    """blocks AS (SELECT id, block_index, type, level, n_lines, CASE type WHEN 'paragraph' THEN whole WHEN 'divider' THEN '' WHEN 'image' THEN coalesce(nullif(name, ''), '图片')
+      WHEN 'link' THEN coalesce(nullif(name, ''), url) ELSE parts END AS text, ordered, replace(parts, chr(10), '|') AS items, url, lower(regexp_extract(url, '^(?:[^:/?#]+:)?//([^/?#]*)', 1)) AS hostname FROM named)""",
 )
 _KEY = "sha256('summary|m1|local|' || sha256(raw_text) || '|' || sha256('p'))"
 _SHORT = "short AS (SELECT *, CASE WHEN id % 6 = 1 THEN substr(raw_text, 1, 8) ELSE raw_text END AS body, id % 3 AS images FROM incoming)"
@@ -197,7 +205,7 @@ QUERIES = {
         ),
     ),
     "f03_explode_blocks": (f03, sql(MD, *BLOCKS, then="""SELECT id, block_index, type, level, n_lines, md5(text) AS text_md5, CASE WHEN type = 'title' THEN coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(lower(trim(text)), '[^\\p{L}\\p{N}_-]+', '-', 'g'), '-{2,}', '-', 'g'), '^-|-$', '', 'g'), ''), 'section-' || CAST(block_index + 1 AS VARCHAR)) END AS anchor,
-CASE WHEN type = 'list' THEN ordered END AS ordered, CASE WHEN type = 'list' THEN md5(items) END AS items_md5 FROM blocks""")),
+CASE WHEN type = 'list' THEN ordered END AS ordered, CASE WHEN type = 'list' THEN md5(items) END AS items_md5, url, CASE WHEN type = 'image' THEN text END AS alt, hostname FROM blocks""")),
     "f04_block_metrics": (f04, sql(MD, *BLOCKS, then="SELECT id, count(*) FILTER (type = 'title') AS headings, count(*) FILTER (type = 'list') AS lists, count(*) FILTER (type = 'paragraph') AS paragraphs, count(*) AS blocks FROM blocks GROUP BY id")),
     "f05_group_images": (
         f05,
