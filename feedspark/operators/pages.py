@@ -108,13 +108,36 @@ def page_blocks(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return rows.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("n")) - 1).alias("block_index"), "tag", "text")
 
 
+#: Tags of regions, opening and closing.
+REGION = r"(?is)</?(?:article|main|section|nav)(?:[\s/][^>]*)?>"
+
+
+def page_regions(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """key, n, tag, html: every region (article, main, section, nav), nested ones too, with what lies inside but for region tags.
+
+    A page's region tags are numbered and get the running depth of their name; an opening tag ends at the first later tag of its name that
+    is one level up, or at the page's end if it is never closed."""
+    h = pruned(_html())
+    rows = pages.select(key, F.split(h, REGION, -1).alias("_parts"), F.regexp_extract_all(h, F.lit(REGION), F.lit(0)).alias("_tags"))
+    named = F.transform("_tags", lambda x: F.struct(F.lower(F.regexp_extract(x, "^</?([A-Za-z]+)", 1)).alias("name"), F.when(x.startswith("</"), -1).otherwise(1).alias("step")))
+    rows = rows.withColumn("_tags", named)
+    depth = lambda m, i: F.aggregate(F.slice("_tags", 1, i + 1), F.lit(0), lambda d, k: d + F.when(k["name"] == m["name"], k["step"]).otherwise(0))
+    rows = rows.withColumn("_tags", F.transform("_tags", lambda m, i: F.struct(m["name"].alias("name"), m["step"].alias("step"), i.alias("i"), depth(m, i).alias("depth"))))
+
+    def region(m: Column) -> Column:
+        ends = F.filter("_tags", lambda k: (k["i"] > m["i"]) & (k["name"] == m["name"]) & (k["depth"] == m["depth"] - 1))
+        to = F.coalesce(F.get(ends, 0)["i"], F.size("_tags"))
+        return F.struct(m["i"].alias("n"), m["name"].alias("tag"), F.array_join(F.slice("_parts", m["i"] + 2, to - m["i"]), " ").alias("html"))
+
+    found = F.transform(F.filter("_tags", lambda m: m["step"] == 1), region)
+    return rows.select(key, F.explode(found).alias("r")).select(key, "r.*")
+
+
 def region_density(pages: DataFrame, key: str = "page_id", least: int = 3, most: int = 3) -> DataFrame:
-    """key, rank, tag, n_links, text_chars: regions (article, main, section, nav) with enough links, the densest first."""
-    regions = F.regexp_extract_all(pruned(_html()), F.lit(r"(?is)(<(?:article|main|section|nav)[\s>].*?</(?:article|main|section|nav)>)"), F.lit(1))
-    rows = pages.select(key, F.posexplode(regions).alias("n", "r"))
-    rows = rows.select(key, "n", F.lower(F.regexp_extract("r", r"^<([A-Za-z]+)", 1)).alias("tag"), F.regexp_count("r", F.lit(r"(?i)<a\s")).alias("n_links"), F.length(bare(F.col("r"))).alias("text_chars")).where(F.col("n_links") >= least)
+    """key, rank, tag, n_links, text_chars: regions (article, main, section, nav, nested ones too) with enough links, the densest first."""
+    rows = page_regions(pages, key).select(key, "n", "tag", F.regexp_count("html", F.lit(r"(?i)<a\s")).alias("n_links"), F.length(bare(F.col("html"))).alias("text_chars"))
     w = Window.partitionBy(key).orderBy(F.desc("n_links"), F.desc("text_chars"), "n")
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).drop("n")
+    return rows.where(F.col("n_links") >= least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).drop("n")
 
 
 def match_templates(pages: DataFrame, templates: DataFrame, key: str = "page_id", least: float = 32.0, most: int = 3) -> DataFrame:

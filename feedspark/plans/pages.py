@@ -53,8 +53,14 @@ def g06(spark, d):
     return G.page_blocks(_pages(spark, d)).groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.min("block_index").alias("first"))
 
 
+_LINKED = "<a href='x'>one</a> "
+#: Nested, unclosed and stray regions behind a page's own.
+_NESTED = f"</nav><section>{_LINKED * 2}<Article class='y'>{_LINKED}<article>{_LINKED * 3}</article> more {_LINKED}</article> tail {_LINKED}</section></main><main>{_LINKED * 9}<nav>{_LINKED * 4}"
+
+
 def g07(spark, d):
-    return G.region_density(_pages(spark, d))
+    rows = _pages(spark, d)
+    return G.region_density(rows.withColumn("html", F.concat("html", F.when(F.col("page_id") % 3 == 0, _NESTED).otherwise(""))))
 
 
 TEMPLATES = [("t1", "blog", ["blog."], "/en/", ["the"], ["<article>", "<nav>"], 1.0), ("t2", "shop", ["shop.", "cheap"], "page=", ["und"], ["<table"], 0.5), ("t3", "any", [], "", [], ["<footer>", "<article>", "<h1>", "<nav>"], 0.0)]
@@ -206,8 +212,14 @@ SELECT page_id, tag, count(*) AS n, sum(length(text)) AS chars, min(block_index)
     ),
     "g07_region_density": (
         g07,
-        f"""WITH b AS (SELECT page_id, unnest(regexp_extract_all({_PRUNED}, '(?is)(<(?:article|main|section|nav)[\\s>].*?</(?:article|main|section|nav)>)', 1)) AS r, generate_subscripts(regexp_extract_all({_PRUNED}, '(?is)(<(?:article|main|section|nav)[\\s>].*?</(?:article|main|section|nav)>)', 1), 1) AS n FROM pages),
-c AS (SELECT page_id, n, lower(regexp_extract(r, '^<([A-Za-z]+)', 1)) AS tag, len(regexp_extract_all(r, '(?i)<a\\s')) AS n_links, length({_BARE('r')}) AS text_chars FROM b)
+        f"""WITH h AS (SELECT page_id, {_PRUNED} || CASE WHEN page_id % 3 = 0 THEN '{_NESTED.replace("'", "''")}' ELSE '' END AS h FROM pages),
+tags AS (SELECT page_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(h, '{G.REGION}') AS l FROM h)),
+parts AS (SELECT page_id, unnest(l) AS p, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_split_to_array(h, '{G.REGION}') AS l FROM h)),
+m AS (SELECT *, lower(regexp_extract(x, '^</?([A-Za-z]+)', 1)) AS tag, CASE WHEN starts_with(x, '</') THEN -1 ELSE 1 END AS step FROM tags),
+d AS (SELECT *, sum(step) OVER (PARTITION BY page_id, tag ORDER BY i) AS depth FROM m),
+o AS (SELECT a.page_id, a.i, a.tag, coalesce(min(b.i), 1000000000) AS j FROM d a LEFT JOIN d b ON b.page_id = a.page_id AND b.tag = a.tag AND b.i > a.i AND b.depth = a.depth - 1 WHERE a.step = 1 GROUP BY 1, 2, 3),
+r AS (SELECT o.page_id, o.i AS n, tag, string_agg(p, ' ' ORDER BY parts.i) AS r FROM o JOIN parts ON parts.page_id = o.page_id AND parts.i > o.i AND parts.i <= o.j GROUP BY 1, 2, 3),
+c AS (SELECT page_id, n, tag, len(regexp_extract_all(r, '(?i)<a\\s')) AS n_links, length({_BARE('r')}) AS text_chars FROM r)
 SELECT page_id, tag, n_links, text_chars, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n_links DESC, text_chars DESC, n) AS INTEGER) AS rank FROM c WHERE n_links >= 3 QUALIFY rank <= 3""",
     ),
     "g08_match_templates": (g08, f"WITH {_RANKED} SELECT * FROM ranked WHERE rank <= 3"),

@@ -348,3 +348,29 @@ def test_long_section_in_slices(spark):
     order = sorted(once.values(), key=lambda r: (r[5] is None, [-ord(c) for c in r[5] or ""] + [1], r[1], r[2]))
     got = admission.cold_start_top_n(df([r for r in rows if r[3]], schema), quotas, slices=16).orderBy("rank").collect()
     assert [r["rank"] for r in got] == list(range(1, len(got) + 1)) and [r["url"] for r in got] == [r[3] for r in order]
+
+
+def test_nested_regions(spark):
+    """Random nested, unclosed and stray regions against a stack."""
+    import random
+    import re
+
+    rnd = random.Random(4)
+    htmls = [None, "", "<section></section>", "<article>a<section>b</section> more</article>"]
+    htmls += ["".join(rnd.choice(["<section>", "<ARTICLE a='b'>", "</section>", "</article >", "<nav>", "</nav>", "<p>", "<sections>", f"t{i} "]) for i in range(rnd.randint(1, 40))) for _ in range(80)]
+    rows = spark.createDataFrame(list(enumerate(htmls)), "page_id int, html string")
+    got = {}
+    for r in pages.page_regions(rows).collect():
+        got.setdefault(r["page_id"], []).append((r["n"], r["tag"], r["html"]))
+    for i, html in enumerate(htmls):
+        open_, want = {}, []
+        tags, parts = re.findall(pages.REGION, html or ""), re.split(pages.REGION, html or "")
+        for n, tag in enumerate(tags):
+            name = re.match("</?([a-z]+)", tag.lower())[1]
+            if not tag.startswith("</"):
+                open_.setdefault(name, []).append(n)
+            elif open_.get(name):
+                at = open_[name].pop()
+                want.append((at, name, " ".join(parts[at + 1 : n + 1])))
+        want += [(at, name, " ".join(parts[at + 1 :])) for name, left in open_.items() for at in left]
+        assert sorted(got.get(i, [])) == sorted(want)
