@@ -98,7 +98,7 @@ def g12(spark, d):
 
 def _thin(spark, d):
     i = F.col("doc_id")
-    return table(spark, d, "documents").select("doc_id", F.substring("text", F.lit(1), (i % 5 * 50).cast("int")).alias("t"), (i % 3).alias("images"), F.substring("text", F.lit(1), (i % 4 * 60).cast("int")).alias("detail"))
+    return table(spark, d, "documents").select("doc_id", F.when(i % 5 == 0, "").otherwise(F.regexp_replace("text", "[^A-Z.]", "")).alias("t"), (i % 3).alias("images"), F.when(i % 4 == 0, "").otherwise(F.regexp_replace("text", "[^aeiou ]", "")).alias("detail"))
 
 
 def g13(spark, d):
@@ -146,7 +146,7 @@ def h03(spark, d):
 
 
 def h04(spark, d):
-    rows = _thin(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").withColumns({"t": F.substring("t", 1, 120), "images": F.col("doc_id") % 4, "files": F.col("doc_id") % 2})
+    rows = _thin(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").withColumns({"images": F.col("doc_id") % 4, "files": F.col("doc_id") % 2})
     return H.preview_rollup(H.preview_diagnostics(rows, "t", "images", "files"), "source")
 
 
@@ -174,7 +174,7 @@ _SCORE = f"""SELECT page_id, template_id, profile, round(s, 1) AS score, m FROM
   UNION ALL SELECT page_id, 't3', 'any', least(36, 12 * k), k FROM (SELECT page_id, CAST(contains(html, '<footer>') AS INTEGER) + CAST(contains(html, '<article>') AS INTEGER) + CAST(contains(html, '<h1>') AS INTEGER) + CAST(contains(html, '<nav>') AS INTEGER) AS k FROM pages) p) x WHERE round(s, 1) >= 32"""
 _RANKED = f"ranked AS (SELECT page_id, template_id, profile, score, CAST(row_number() OVER (PARTITION BY page_id ORDER BY score DESC, m DESC, template_id) AS INTEGER) AS rank FROM ({_SCORE}) q)"
 _RULES = "rules AS (SELECT source_name, n, CASE n % 3 WHEN 0 THEN 'visual' WHEN 1 THEN 'longform' ELSE 'news' END AS kind FROM (SELECT DISTINCT source AS source_name, CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) AS n FROM documents) s)"
-_THIN = "thin AS (SELECT doc_id, source, substr(text, 1, CAST(doc_id % 5 * 50 AS INTEGER)) AS t, doc_id % 3 AS images, substr(text, 1, CAST(doc_id % 4 * 60 AS INTEGER)) AS detail FROM documents)"
+_THIN = "thin AS (SELECT doc_id, source, CASE WHEN doc_id % 5 = 0 THEN '' ELSE regexp_replace(text, '[^A-Z.]', '', 'g') END AS t, doc_id % 3 AS images, CASE WHEN doc_id % 4 = 0 THEN '' ELSE regexp_replace(text, '[^aeiou ]', '', 'g') END AS detail FROM documents)"
 _PLAIN = lambda t: f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, '(?m)^\\s*([-*+]|\\d+\\.)\\s+', '', 'g'), '[*_~|`]', ' ', 'g'), '(?m)^#{{1,6}}\\s*', '', 'g'), '\\s+', ' ', 'g'))"
 _PREVIEW = lambda t: f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, '!\\[([^\\]]*)\\]\\(([^)]+)\\)', '\\1 ', 'g'), '\\[([^\\]]+)\\]\\(([^)]+)\\)', '\\1', 'g'), '(?m)^#{{1,6}}\\s*', '', 'g'), '(?m)^\\s*>\\s?', '', 'g'), '(?m)^\\s*([-*+]|\\d+\\.)\\s+', '', 'g'), '[*_~]', '', 'g'), '\\s+', ' ', 'g'))"
 
@@ -266,7 +266,7 @@ SELECT source_name, p AS strategy_profile, CASE WHEN n % 4 = 0 THEN 'gallery' WH
     ),
     "h04_preview_diagnostics": (
         h04,
-        f"""WITH {_THIN}, p AS (SELECT source, doc_id % 4 AS i, doc_id % 2 AS f, length({_PREVIEW('substr(t, 1, 120)')}) AS n FROM thin),
+        f"""WITH {_THIN}, p AS (SELECT source, doc_id % 4 AS i, doc_id % 2 AS f, length({_PREVIEW('t')}) AS n FROM thin),
 s AS (SELECT source, CASE WHEN n = 0 THEN 'empty' WHEN n < 70 OR (i >= 3 AND n < 160) OR (i = 0 AND f = 0 AND n < 40) THEN 'warning' ELSE 'ready' END AS preview_status FROM p)
 SELECT source, preview_status, count(*) AS n FROM s GROUP BY ROLLUP (source, preview_status)""",
     ),

@@ -25,7 +25,7 @@ def f01(spark, d):
 
 
 def f02(spark, d):
-    rows = md(spark, d).join(articles(spark, d).select("id", "raw_text"), "id").withColumn("raw", F.when(F.col("id") % 3 == 0, F.substring("raw_text", 1, 300)).otherwise(F.col("raw_text"))).withColumn("html", F.concat(F.lit("<p>"), F.replace(F.replace("raw_text", F.lit("<"), F.lit(" ")), F.lit("&"), F.lit(" ")), F.lit(" tail</p><script>var x = 1;</script>")))
+    rows = md(spark, d).join(articles(spark, d).select("id", "raw_text"), "id").withColumn("raw", F.when(F.col("id") % 3 == 0, F.regexp_replace("raw_text", "[aeiou]", "")).otherwise(F.col("raw_text"))).withColumn("html", F.concat(F.lit("<p>"), F.replace(F.replace("raw_text", F.lit("<"), F.lit(" ")), F.lit("&"), F.lit(" ")), F.lit(" tail</p><script>var x = 1;</script>")))
     return X.best_text(rows, "raw", "t", "html").select("id", "best_from", F.length("best_text").alias("n"))
 
 
@@ -130,7 +130,7 @@ def f16(spark, d):
 
 
 def f17(spark, d):
-    fields = F.create_map(F.lit("Title"), F.col("title"), F.lit("Body"), F.substring("raw_text", 1, 250), F.lit("none"), F.lit(" "))
+    fields = F.create_map(F.lit("Title"), F.col("title"), F.lit("Body"), F.col("raw_text"), F.lit("none"), F.lit(" "))
     return X.field_summary(articles(spark, d).withColumn("fields", fields), "fields").select("id", "field_summary")
 
 
@@ -199,7 +199,7 @@ QUERIES = {
     "f02_best_text": (
         f02,
         sql(
-            MD, f"p AS (SELECT md.id, trim(CASE WHEN md.id % 3 = 0 THEN substr(d.text, 1, 300) ELSE d.text END) AS r, {_AI} AS m, trim(regexp_replace(replace(replace(d.text, '<', ' '), '&', ' ') || ' tail', '\\s+', ' ', 'g')) AS h FROM md JOIN documents d ON d.doc_id = md.id)",
+            MD, f"p AS (SELECT md.id, trim(CASE WHEN md.id % 3 = 0 THEN regexp_replace(d.text, '[aeiou]', '', 'g') ELSE d.text END) AS r, {_AI} AS m, trim(regexp_replace(replace(replace(d.text, '<', ' '), '&', ' ') || ' tail', '\\s+', ' ', 'g')) AS h FROM md JOIN documents d ON d.doc_id = md.id)",
             "q AS (SELECT *, length(regexp_replace(r, '\\s+', '', 'g')) AS lr, length(regexp_replace(m, '\\s+', '', 'g')) AS lm, length(regexp_replace(h, '\\s+', '', 'g')) AS lh FROM p)",
             then="SELECT id, CASE WHEN lr >= lm AND lr >= lh THEN 'raw' WHEN lm >= lh THEN 'markdown' ELSE 'html' END AS best_from, CASE WHEN lr >= lm AND lr >= lh THEN length(r) WHEN lm >= lh THEN length(m) ELSE length(h) END AS n FROM q",
         ),
@@ -274,7 +274,7 @@ FROM short s LEFT JOIN old ON s.url = old.url GROUP BY 1""",
     "f17_field_summary": (
         f17,
         sql(
-            ARTICLES, "p AS (SELECT id, trim(title) AS t, trim(substr(raw_text, 1, 250)) AS b FROM articles)",
+            ARTICLES, "p AS (SELECT id, trim(title) AS t, trim(raw_text) AS b FROM articles)",
             then="SELECT id, '- **Body**: ' || CASE WHEN length(b) > 200 THEN substr(b, 1, 200) || '...' ELSE b END || chr(10) || '- **Title**: ' || t AS field_summary FROM p",
         ),
     ),
