@@ -16,7 +16,7 @@ SECTION = ["source_name", "section"]
 
 def drop_title_noise(candidates: DataFrame, blacklist: DataFrame) -> DataFrame:
     """Candidates whose trimmed title isn't blacklisted (title)."""
-    black = F.broadcast(blacklist.select(F.trim("title").alias("_t")).distinct())
+    black = blacklist.select(F.trim("title").alias("_t")).distinct()
     return candidates.withColumn("_t", F.trim("title")).join(black, "_t", "left_anti").drop("_t")
 
 

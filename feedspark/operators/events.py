@@ -207,7 +207,7 @@ def top_events(events: DataFrame, n: int = 10) -> DataFrame:
 
 def action_counts(events: DataFrame, actions: DataFrame) -> DataFrame:
     """event, label, n of listed actions (event, label) that occur."""
-    return events.join(F.broadcast(actions), "event").groupBy("event", "label").agg(F.count("*").alias("n"))
+    return events.join(actions, "event").groupBy("event", "label").agg(F.count("*").alias("n"))
 
 
 def error_counts(events: DataFrame, error: str = ERROR) -> DataFrame:

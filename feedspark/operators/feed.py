@@ -52,7 +52,7 @@ def effective_sources(subscribed: DataFrame, rules: DataFrame) -> DataFrame:
 def list_sources(articles: DataFrame, order: DataFrame) -> DataFrame:
     """source_name, ord: sources in the configured order, the others behind by name."""
     found = articles.where("coalesce(source_name, '') <> ''").select("source_name").distinct()
-    placed = found.join(F.broadcast(order.select("source_name", F.col("ord").alias("_o"))), "source_name", "left")
+    placed = found.join(order.select("source_name", F.col("ord").alias("_o")), "source_name", "left")
     return placed.select("source_name", F.row_number().over(Window.orderBy(F.asc_nulls_last("_o"), "source_name")).alias("ord"))
 
 

@@ -51,7 +51,7 @@ def page_links(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
 def page_attachments(links: DataFrame, blacklist: DataFrame, key: str = "page_id") -> DataFrame:
     """Attachments once per page and link, the first by place, without blacklisted names (name)."""
-    rows = links.where("kind = 'attachment'").join(F.broadcast(blacklist.select(F.col("name").alias("text"))), "text", "left_anti")
+    rows = links.where("kind = 'attachment'").join(blacklist.select(F.col("name").alias("text")), "text", "left_anti")
     w = Window.partitionBy(key, "link").orderBy("n")
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(key, "n", "text", "link")
 
@@ -182,9 +182,21 @@ def site_profile(pages: DataFrame, matches: DataFrame, key: str = "page_id") ->
     return rows.select(key, F.when(better, F.col("_p")).otherwise(F.col("_n")).alias("profile"), F.when(better, F.col("_s")).otherwise(F.col("_c")).alias("confidence"))
 
 
+def pieces_of(text: Column, lengths: list[int]) -> Column:
+    """The different substrings of a text that have one of the lengths."""
+    long = F.length(text)
+    of = lambda n: F.when(long >= n, F.transform(F.sequence(F.lit(1), long - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array().cast("array<string>"), *(of(n) for n in lengths)))
+
+
 def classify_site_type(pages: DataFrame, keywords: DataFrame, key: str = "page_id") -> DataFrame:
-    """key, site_type: the type of the first keyword (ord, keyword, type) that occurs in the URL, else general."""
-    hits = pages.join(F.broadcast(keywords), F.contains(F.lower("url"), F.col("keyword"))).groupBy(key).agg(F.min_by("type", "ord").alias("site_type"))
+    """key, site_type: the type of the first keyword (ord, keyword, type) that occurs in the URL, else general.
+
+    A URL's pieces of the keywords' lengths are joined with the keywords, so that work grows with URLs and lengths, not with the number of
+    keywords."""
+    lengths = sorted(r[0] for r in keywords.select(F.length("keyword")).distinct().collect() if r[0] is not None)
+    pieces = pages.select(key, F.explode(pieces_of(F.lower("url"), lengths)).alias("keyword"))
+    hits = pieces.join(keywords, "keyword").groupBy(key).agg(F.min_by("type", "ord").alias("site_type"))
     return pages.select(key).join(hits, key, "left").withColumn("site_type", F.coalesce("site_type", F.lit("general")))
 
 

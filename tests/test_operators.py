@@ -374,3 +374,20 @@ def test_nested_regions(spark):
                 want.append((at, name, " ".join(parts[at + 1 : n + 1])))
         want += [(at, name, " ".join(parts[at + 1 :])) for name, left in open_.items() for at in left]
         assert sorted(got.get(i, [])) == sorted(want)
+
+
+def test_many_keywords(spark):
+    """A thousand keywords, found as by looking for each; no nested loop."""
+    import random
+
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choice("ab/.") for _ in range(n))
+    keywords = [(i, word(rnd.randint(1, 12)), f"t{i}") for i in range(1000)]
+    urls = [(i, None if i == 3 else word(rnd.randint(0, 60)).upper()) for i in range(200)]
+    words = spark.createDataFrame(keywords[500:], "ord int, keyword string, type string")
+    out = pages.classify_site_type(spark.createDataFrame(urls, "page_id int, url string"), words)
+    want = {i: next((t for _, k, t in keywords[500:] if u is not None and k in u.lower()), "general") for i, u in urls}
+    assert {r["page_id"]: r["site_type"] for r in out.collect()} == want
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+    none = pages.classify_site_type(spark.createDataFrame(urls, "page_id int, url string"), words.limit(0))
+    assert {r["site_type"] for r in none.collect()} == {"general"}
