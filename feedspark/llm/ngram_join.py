@@ -371,39 +371,43 @@ class Join:
         return best.agg(F.max(F.struct("count", "b_group"))["b_group"].alias("b"))
 
     def _sides(self, held: DataFrame) -> tuple[DataFrame, DataFrame]:
-        columns = ("group", "least", "most", "n", "main", "comp")
-        held = held.select("token", *columns).distinct()
-        return tuple(held.select("token", *(F.col(c).alias(f"{s}_{c}") for c in columns)) for s in "ab")
+        """(token, group, least, most, n, main, apart) twice; apart: whether a node with this token is outside its group's main component."""
+        keys = ("group", "least", "most", "n", "main")
+        own = held.groupBy("token", *keys).agg(F.max(F.col("comp") != F.col("main")).alias("apart"))
+        return tuple(own.select("token", *(F.col(c).alias(f"{s}_{c}") for c in (*keys, "apart"))) for s in "ab")
 
     def _ways(self, near: DataFrame) -> DataFrame:
-        """(a, b, whole) of rows of two groups and components of theirs: where the groups' main components differ, the smaller group a goes whole
-        to b; else those members of a that are outside the main one go to b."""
+        """(a, b, whole) of rows of two groups: where their main components differ, the smaller group a goes whole to b; else the members
+        outside it go to the other group."""
         smaller = F.struct("a_n", "a_group") < F.struct("b_n", "b_group")
         pair = lambda x, y, whole: F.struct(F.col(f"{x}_group").alias("a"), F.col(f"{y}_group").alias("b"), F.lit(whole).alias("whole"))
-        apart = F.array(*(F.when(F.col(f"{x}_comp") != F.col(f"{x}_main"), pair(x, y, False)) for x, y in ("ab", "ba")))
+        apart = F.array(*(F.when(F.col(f"{x}_apart"), pair(x, y, False)) for x, y in ("ab", "ba")))
         ways = F.when(F.col("a_main") != F.col("b_main"), F.array(F.when(smaller, pair("a", "b", True)).otherwise(pair("b", "a", True)))).otherwise(apart)
         return near.select(F.explode(F.filter(ways, lambda w: w.isNotNull())).alias("w")).select("w.*").distinct()
 
     def _open_pairs(self, held: DataFrame) -> DataFrame:
-        """Pairs that share tokens of few groups. Groups of one size and one component each must share as many tokens as a link needs: the
-        others can all lie in the larger set's part behind its prefix, and no more."""
+        """Pairs that share tokens of few groups. Groups of one size must share as many tokens as a link needs: the others can all lie in the
+        larger set's part behind its prefix, and no more."""
         p = self.percent
         x, y = self._sides(held.where(F.col("groups") <= CROWD))
-        near = x.join(y, (x["token"] == y["token"]) & (F.col("a_group") < F.col("b_group")) & (F.col("a_comp") != F.col("b_comp")) & self._fit())
-        names = [f"{s}_{c}" for s in "ab" for c in ("group", "least", "most", "n", "main", "comp")]
-        shared = near.groupBy(*names).agg(F.count("*").alias("c"))
+        open_ = (F.col("a_main") != F.col("b_main")) | F.col("a_apart") | F.col("b_apart")
+        near = x.join(y, (x["token"] == y["token"]) & (F.col("a_group") < F.col("b_group")) & open_ & self._fit())
+        names = [f"{s}_{c}" for s in "ab" for c in ("group", "least", "most", "n", "main")]
+        shared = near.groupBy(*names).agg(F.count("*").alias("c"), *(F.max(f"{s}_apart").alias(f"{s}_apart") for s in "ab"))
         behind = F.expr(f"({p} * greatest(a_most, b_most) + 99) div 100 - 1")
         enough = (F.col("c") + behind) * (100 + p) >= p * (F.col("a_most") + F.col("b_most"))
         return self._ways(shared.where((F.col("a_least") < F.col("a_most")) | (F.col("b_least") < F.col("b_most")) | enough))
 
     def _crowded_pairs(self, held: DataFrame) -> DataFrame:
-        """Pairs that share tokens of many groups: of each such token the components but that of most of its groups, with all others."""
+        """Pairs that share tokens of many groups: of each such token the groups that aren't mainly of the component of most of its groups, or
+        have a node apart, with all others. What is apart in the second group is a row of its own."""
         x, y = self._sides(held.where(F.col("groups") > CROWD))
-        usual = x.groupBy("token", "a_comp").count().groupBy("token").agg(F.max(F.struct("count", "a_comp"))["a_comp"].alias("usual"))
-        minor = x.join(usual, "token").where("a_comp <> usual")
-        once = (F.col("b_comp") == F.col("usual")) | (F.col("a_group") < F.col("b_group"))
-        near = minor.join(y, (minor["token"] == y["token"]) & (F.col("a_group") != F.col("b_group")) & (F.col("a_comp") != F.col("b_comp")) & once & self._fit())
-        return self._ways(near)
+        usual = x.groupBy("token", "a_main").count().groupBy("token").agg(F.max(F.struct("count", "a_main"))["a_main"].alias("usual"))
+        minor = x.join(usual, "token").where("a_main <> usual or a_apart")
+        settled = (F.col("b_main") == F.col("usual")) & ~F.col("b_apart")
+        once = F.when(F.col("a_main") == F.col("b_main"), F.col("a_apart")).otherwise(settled | (F.col("a_group") < F.col("b_group")))
+        near = minor.join(y, (minor["token"] == y["token"]) & (F.col("a_group") != F.col("b_group")) & once & self._fit())
+        return self._ways(near.withColumn("b_apart", F.lit(False)))
 
     def _qualified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that bitmaps don't rule out."""
