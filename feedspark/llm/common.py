@@ -88,12 +88,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Cut the lineage by a Parquet table in the shared folder. Unlike an RDD checkpoint it keeps sizes for the
     planner and is read by column."""
     spark = df.sparkSession
     path = shared_folder(spark, "table")
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -109,25 +109,33 @@ _LISTS = "terms array<int>, counts array<int>"
 
 
 def _vectors(shared, keep: list[str]):
-    """Term numbers and counts of each text, with the columns to keep."""
+    """Term numbers (each less the one before) and counts of each text, with the columns to keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
         for b in batches:
             found = [vocabulary.vector(x.as_py()) for x in b.column("text")]
             ends = pa.array(np.cumsum([0, *(len(t) for t, _ in found)], dtype=np.int32))
-            flat = (np.concatenate([f[i] for f in found] or [np.zeros(0)]).astype(np.int32) for i in (0, 1))
+            steps = [(np.diff(t, prepend=0), n) for t, n in found]
+            flat = (np.concatenate([f[i] for f in steps] or [np.zeros(0)]).astype(np.int32) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in flat)], [*keep, "terms", "counts"])
 
     return run
 
 
+def _terms(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The term numbers of all texts of a batch, and where each text's begin and end."""
+    size = b.column("terms").value_lengths().to_numpy().astype(np.int64)
+    ends = np.append(0, np.cumsum(size))
+    total = np.append(0, np.cumsum(b.column("terms").flatten().to_numpy().astype(np.int64)))
+    return total[1:] - np.repeat(total[ends[:-1]], size), ends
+
+
 def _read(b: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
     """The vectors of a batch."""
-    terms, counts = b.column("terms"), b.column("counts")
-    flat = [x.flatten().to_numpy().astype(np.int64) for x in (terms, counts)]
-    ends = np.append(0, np.cumsum(terms.value_lengths().to_numpy()))
-    return [(flat[0][i:j], flat[1][i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+    terms, ends = _terms(b)
+    counts = b.column("counts").flatten().to_numpy().astype(np.int64)
+    return [(terms[i:j], counts[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def _frequencies(n_terms: int):
@@ -137,7 +145,7 @@ def _frequencies(n_terms: int):
         total, docs = np.zeros(n_terms, np.int64), 0
         for b in batches:
             docs += b.num_rows
-            total += np.bincount(b.column("terms").flatten().to_numpy(), minlength=n_terms)
+            total += np.bincount(_terms(b)[0], minlength=n_terms)
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), pa.array(np.append(total[held], docs))], ["term", "n"])
 
@@ -340,7 +348,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary
     shared = context.broadcast(terms)
     keep = [c for c in docs.columns if c != "text"]
     schema = lambda own, names: T.StructType([*(own.schema[c] for c in names), *T.StructType.fromDDL(_LISTS).fields])
-    stored = C.checkpointed(C.mapped(docs, _vectors(shared, keep), schema(docs, keep)))
+    stored = C.checkpointed(C.mapped(docs, _vectors(shared, keep), schema(docs, keep)), "zstd")
     own_vectors = C.checkpointed(C.mapped(sample, _vectors(shared, ["doc_id", "toxic"]), schema(sample, ["doc_id", "toxic"])))
     shared.destroy()  # every job that read it has ended
     counts = C.mapped(stored.select("terms"), _frequencies(len(terms.terms)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
