@@ -326,7 +326,7 @@ concat_ws(',', CASE WHEN doc_id % 5 = 0 OR trim(substr(text, 1, 40)) = '' THEN '
     "k02_merge_annotations": (
         k02,
         f"""WITH {_ANN}, e AS (SELECT CASE WHEN id % 8 = 0 THEN id ELSE id + 1000000 END AS id, article_id, view_mode, greatest(0, start_offset - 10) AS start_offset, greatest(greatest(0, start_offset - 10), end_offset - 20) AS end_offset, CASE WHEN id % 16 = 0 THEN 'red' ELSE 'yellow' END AS color FROM ann WHERE id % 4 = 0)
-SELECT * FROM ann WHERE id % 8 <> 0 UNION ALL SELECT * FROM e""",
+SELECT * FROM ann WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.id = ann.id AND e.article_id = ann.article_id) UNION ALL SELECT * FROM e""",
     ),
     "k03_delete_annotations": (k03, f"WITH {_ANN} SELECT id FROM ann WHERE id % 5 <> 0 AND NOT (view_mode = 'raw' AND article_id < 50)"),
     "k04_invalidate_annotations": (

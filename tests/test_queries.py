@@ -45,3 +45,18 @@ def test_query(spark, duck, name):
     want = duck.sql(sql).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_merge_annotations_with_ids_that_meet(spark, tmp_path):
+    """An edit's new id (its own plus 1,000,000) may be that of a stored row, of the same article or of another one."""
+    ids = [*range(48), *range(1_000_000, 1_000_048)]
+    events = pd.DataFrame({"event_id": ids, "user_id": [i % 1_000_000 + (i > 1_000_000 and i % 3 == 0) for i in ids]})
+    events.to_parquet(f"{tmp_path}/events.parquet")
+    run, sql = QUERIES["k02_merge_annotations"]
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = rows(run(spark, str(tmp_path)).toPandas())
+    new = {(i + 1_000_000, u % 300) for i, u in zip(events["event_id"], events["user_id"], strict=True) if i % 8 == 4}
+    met = [i for i, u in zip(events["event_id"], events["user_id"], strict=True) if (i, u % 300) in new]
+    assert met and len(got) == len(ids) + len(new) - len(met)
+    assert got == rows(c.sql(sql).df())
