@@ -8,8 +8,9 @@ those of its pieces one after the other. A piece begins where every such tokeniz
 * at a full stop or comma behind an ASCII letter or digit.
 
 All pieces of a chunk are found, hashed and looked up at once in numpy; only pieces that the worker doesn't remember
-are encoded, each once a chunk, by the `tokenizers` library. A text that holds `<|`, with which special tokens begin, is one
-piece, so that it gets the very ids of a plain library call.
+are encoded, each once a chunk, by the `tokenizers` library: JOINED of them in one call, parted by a special token, because the library
+cuts a text at special tokens before anything else and takes what lies between as texts of their own. A text that holds `<|`, with
+which special tokens begin, is one piece and one call, so that it gets the very ids of a plain library call.
 
 The memory has a fixed number of slots; a piece takes the slot that its hash names and replaces what was there, so a
 worker's memory never grows. Pieces of more than LONG bytes or WIDTH ids aren't remembered. Pieces are told apart by 64-bit
@@ -28,6 +29,8 @@ from feedspark.llm import common as C
 SLOTS = 1 << 20
 WIDTH = 8
 LONG = 64
+#: Pieces that go to the library in one call.
+JOINED = 64
 #: Single bytes that are visible for sure: ASCII marks, and first bytes of characters none of which is white space.
 _SEEN = np.zeros(256, bool)
 _SEEN[0x21:0x7F] = True
@@ -71,13 +74,35 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        special = ((i, x) for i, x in sorted(self.tokenizer.get_added_tokens_decoder().items()) if x.special and x.content.startswith("<|"))
+        self.mark_id, self.mark = next(((i, x.content) for i, x in special if not (x.lstrip or x.rstrip or x.single_word or x.normalized)), (None, None))
         self.shift = np.uint64(64 - (slots.bit_length() - 1))
         self.keys = np.zeros(slots, np.uint64)
         self.sizes = np.zeros(slots, np.uint8)
         self.ids = np.zeros((slots, WIDTH), np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
 
-    def _library(self, strings: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+    def _library(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the strings, each as a text of its own, one after the other, and the number of each one's ids."""
+        groups: list[list[str]] = []
+        room = 0
+        for s in strings:
+            if self.mark is None or "<|" in s:
+                groups.append([s])
+                room = 0
+            elif room:
+                groups[-1].append(s)
+                room -= 1
+            else:
+                groups.append([s])
+                room = JOINED - 1
+        found = self.tokenizer.encode_batch_fast([g[0] if len(g) == 1 else self.mark.join(g) for g in groups], add_special_tokens=False)
+        pool, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for g, x in zip(groups, found, strict=True):
+            ids = np.array(x.ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.mark_id) if len(g) > 1 else np.zeros(0, np.int64)
+            pool.append(np.delete(ids, cuts))
+            sizes.append(np.diff(cuts, prepend=-1, append=len(ids)) - 1)
+        return np.concatenate(pool), np.concatenate(sizes)
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes and offsets of texts -> ids (unsigned 32-bit) and the offset of each text's ids."""
@@ -94,10 +119,8 @@ class PieceEncoder:
         _, first, inverse = np.unique(hashes[short], return_index=True, return_inverse=True)
         new = np.concatenate([short[first], long])
         raw = data.tobytes() if len(new) else b""
-        found = self._library([raw[starts[i] : ends[i]].decode() for i in new.tolist()])
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        pool, sizes = self._library([raw[starts[i] : ends[i]].decode() for i in new.tolist()])
         begins = np.cumsum(sizes) - sizes
-        pool = np.fromiter((x for ids in found for x in ids), np.uint32, int(sizes.sum()))
         which = np.empty(len(starts), np.int64)  # of a missed piece: its place among the new ones
         which[short], which[long] = inverse, np.arange(len(first), len(new))
         count[missed] = sizes[which[missed]]

@@ -590,3 +590,33 @@ def test_blocks_keep_all_text():
     assert [b.depth for b in html_text.leaf_blocks(f'<article class="k">{deep}y</section>z</article>w')] == [302, 302, 302, 2, 1, 0]
     many = 50_000
     assert len(html_text.leaf_blocks("<p>" + "".join(f"<x-y>{i}" for i in range(many)))) == many
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_in_joined_calls(name):
+    """New pieces go to the library many in a call, and each text gets the ids that it has alone; texts with marks of special tokens, too."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from feedspark.llm import tokens
+
+    rng = np.random.default_rng(5)
+    parts = [" a", " b́e", "  ", "\n", ".", ",x", "<", "|", "<|", "<|endoftext|>", "|>", "endoftext", " été's", "　", " ", " 12", "!!", "\U0001f600", "\t"]
+    texts = ["", " ", "<|endoftext|>", "<|endof", "text|>", *("".join(rng.choice(parts, n)) for n in rng.integers(1, 12, 300)), *(f"plain{i} words{i}, and{i}." for i in range(500))]
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    coder = tokens.PieceEncoder(public_tokenizers.path(name))
+    calls = []
+
+    class Counting:
+        def encode_batch_fast(self, strings, **kw):
+            calls.extend(strings)
+            return plain.encode_batch_fast(strings, **kw)
+
+    coder.tokenizer = Counting()
+    raw = [t.encode() for t in texts]
+    data, offs = np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw]))
+    for _ in range(2):
+        ids, at = coder.encode(data, offs)
+        for k, text in enumerate(texts):
+            assert ids[at[k] : at[k + 1]].tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    assert sum("<|" not in c for c in calls) < 300  # of more than 1,500 new pieces
