@@ -265,7 +265,7 @@ class _Roots:
 
     def __call__(self, v: int) -> int:
         while self.parent.setdefault(v, v) != v:
-            v = self.parent[v] = self.parent[self.parent[v]]
+            self.parent[v] = v = self.parent[self.parent[v]]  # from left to right
         return v
 
     def join(self, a: int, b: int) -> bool:
@@ -276,7 +276,8 @@ class _Roots:
 
 
 def _links_of(x: Opened, y: Opened | None, percent: int, counted: bool) -> list[tuple]:
-    """Links (a, b, null) that join components, and if counted (node, null, documents linked). y: None for the links within x."""
+    """Links (a, b, null) between components that join them, and if counted (node, null, documents linked). y: None for x itself, whose
+    nodes come each with the smallest one of their component instead."""
     same, roots, rows = y is None, _Roots(), []
     y = y or x
     linked = np.zeros(len(y.nodes), np.int64)
@@ -293,14 +294,23 @@ def _links_of(x: Opened, y: Opened | None, percent: int, counted: bool) -> list[
         if counted and len(hits):
             rows.append((int(x.nodes[q]), None, int(y.copies[hits].sum())))
             linked[hits] += x.copies[q]
-        rows += [(int(x.nodes[q]), int(y.nodes[h]), None) for h in hits if roots.join(mine, targets[h])]
+        joined = [(mine, targets[h], None) for h in hits if roots.join(mine, targets[h])]
+        rows += [] if same else joined
     if counted and not same:
         rows += [(int(y.nodes[h]), None, int(linked[h])) for h in np.flatnonzero(linked)]
-    return rows
+    return rows + _stars(roots, targets) if same else rows
+
+
+def _stars(roots: _Roots, nodes: list[int]) -> list[tuple]:
+    """(node, smallest node, null) of components of several nodes."""
+    parts: dict[int, list[int]] = {}
+    for v in nodes:
+        parts.setdefault(roots(v), []).append(v)
+    return [(v, min(own), None) for own in parts.values() if len(own) > 1 for v in own]
 
 
 def _settled(percent: int, counted: bool):
-    """Links within groups: rows (members)."""
+    """Components within groups: rows (members), whose comp is the node itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -446,19 +456,28 @@ class Join:
         mains = own.groupBy("group", "comp").count().groupBy("group").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"))
         return C.checkpointed(held.join(own.select("node", "comp"), "node").join(mains, "group"))
 
-    def links(self) -> DataFrame:
-        """Links that join all components (a, b, null), and if counted (node, null, number of documents linked)."""
+    def _merged(self, labels: DataFrame, links: DataFrame) -> DataFrame:
+        """Labels (node, comp) after links between components, of which those without a label are single nodes. Only components that links
+        name go through rounds, not all that is labelled."""
+        low = connected_components(links).toDF("part", "low")
+        both = labels.join(low, F.col("comp") == F.col("part"), "full")
+        return C.checkpointed(both.select(F.coalesce("node", "part").alias("node"), F.coalesce("low", "comp").alias("comp")))
+
+    def links(self) -> tuple[DataFrame, DataFrame]:
+        """Components (node, comp) of all nodes with links, and, if counted, numbers of documents linked (node, links; several rows a node)."""
         held = self._matrix()
-        links = self._opened(self._members(self.groups.where(F.size("nodes") > 1).select("group"), None).select("members"), _settled)
+        settled = self._opened(self._members(self.groups.where(F.size("nodes") > 1).select("group"), None).select("members"), _settled)
+        labels = settled.where("b is not null").select(F.col("a").alias("node"), F.col("b").alias("comp"))
+        degrees = settled.where("b is null").select(F.col("a").alias("node"), "links")
         if self.counted:  # every pair, as if no group were settled
             held = held.withColumns({"comp": F.col("group"), "main": F.col("group"), "groups": F.lit(0)})
             pairs = C.checkpointed(self._qualified(self._open_pairs(held).select("a", "b")))
-            return links.union(self._compared(pairs.withColumns({"whole": F.lit(True), "main": F.lit(None).cast("long")}), None))
-        labels = connected_components(links.select("a", "b"))
+            links = self._compared(pairs.withColumns({"whole": F.lit(True), "main": F.lit(None).cast("long")}), labels)
+            degrees = degrees.union(links.where("b is null").select("a", "links"))
+            return self._merged(labels, links.where("b is not null")), degrees
         stars = C.checkpointed(self._star_pairs(held))
         pairs = C.checkpointed(self._qualified(stars).withColumns({"whole": F.lit(True), "main": F.lit(None).cast("long")}))
-        links = links.union(self._compared(pairs, labels))
-        labels = connected_components(links.select("a", "b"))
+        labels = self._merged(labels, self._compared(pairs, labels))
         held = self._labelled(held, labels)
         rest = C.checkpointed(self._open_pairs(held).union(self._crowded_pairs(held)).distinct())
         tested = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -466,15 +485,14 @@ class Join:
         mains = held.select(F.col("group").alias("a"), "main").distinct()
         within = rest.where("not whole").join(mains, "a").select("a", "b", "whole", "main")
         across = self._qualified(rest.where("whole").select("a", "b")).withColumns({"whole": F.lit(True), "main": F.lit(None).cast("long")})
-        return links.union(self._compared(C.checkpointed(within.union(across)), labels))
+        return self._merged(labels, self._compared(C.checkpointed(within.union(across)), labels)), degrees
 
     def result(self) -> DataFrame:
-        links = self.links()
-        edges = links.where("b is not null").select("a", "b")
+        labels, links = self.links()
         zipped = F.explode(F.arrays_zip("nodes", "prints")).alias("m")
         nodes = self.groups.select(zipped).select(F.col("m.nodes").alias("node"), F.col("m.prints").alias("print"))
-        degrees = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-        known = connected_components(edges).join(degrees, "node", "left").join(nodes, "node").join(self.prints, "print")
+        degrees = links.groupBy("node").agg(F.sum("links").alias("links"))
+        known = labels.join(degrees, "node", "left").join(nodes, "node").join(self.prints, "print")
         known = C.checkpointed(known.select("print", "comp", "links", "first"))
         least = known.groupBy("comp").agg(F.min("first").alias("least"))
         of_print = self.prints.where("copies > 1").join(known.drop("first"), "print", "full").join(least, "comp", "left")

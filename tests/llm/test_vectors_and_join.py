@@ -211,3 +211,35 @@ def test_largest_bitmap(spark):
     plan = rows._jdf.queryExecution().optimizedPlan()
     assert "from_json" not in plan.toString() and "jsontostructs" not in plan.toString().lower()
     assert rows.where("id % 3 = 0").count() == 220_000 and rows.count() < 280_000
+
+
+def test_roots_keep_what_is_joined():
+    """Joined nodes stay together in whatever order, and a join within a component is none."""
+    from feedspark.llm.ngram_join import _Roots, _stars
+
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        roots, plain = _Roots(), {v: {v} for v in range(30)}
+        for a, b in rng.integers(0, 30, (25, 2)).tolist():
+            assert roots.join(a, b) == (plain[a] is not plain[b])
+            whole = plain[a] | plain[b]
+            plain.update(dict.fromkeys(whole, whole))
+        assert sorted(_stars(roots, list(range(30)))) == [(v, min(plain[v]), None) for v in range(30) if len(plain[v]) > 1]
+
+
+def test_join_rounds_take_only_new_links(spark, monkeypatch):
+    """Near copies that one group settles take no part in the rounds of connected components."""
+    from feedspark.llm import ngram_join
+
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base, f"x{i}"])) for i in range(120)]
+    taken, plain = [], ngram_join.connected_components
+
+    def counting(links):
+        taken.append(links.where("a <> b").distinct().count())
+        return plain(links)
+
+    monkeypatch.setattr(ngram_join, "connected_components", counting)
+    got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), k=4, percent=85, members=40).collect()
+    assert {r["component_id"] for r in got} == {0} and len(got) == 120
+    assert taken and sum(taken) < 12  # 119 links join the 120 sets
