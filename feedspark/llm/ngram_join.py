@@ -4,16 +4,18 @@ A document is the set of its k-word shingles; equal sets are one node. Similar n
 shingle hashes and cut where the smallest changes or a group is full. The matrix tells for each token which groups hold it. It is stored in two
 forms: exact for the tokens of prefixes, and hashed to slots (a bitmap of each member, whose union is the group's row) for
 all tokens. Two sets of similarity t or more share a token among the first n - ceil(t n) + 1 of either set of n in any one order
-of all tokens, so groups without a common prefix token are never paired. Of a pair of groups, each member counts its slots
-that the other group's union lacks: those tokens can't be shared, and where nobody can still reach the threshold the groups stay shut. A pair that
-qualifies is opened: tokens of one group's full sets are looked up in the other's, which gives all intersections exactly.
+of all tokens, so groups without a common prefix token are never paired. At a token, two groups meet by those members alone whose prefixes hold it: by
+their sizes and by sketches of 128 slots, what all of one side have and none of the other has. Of a pair of groups that is left, each member counts its
+slots that a member of the other group lacks: those tokens can't be shared, and only members that may still reach the threshold with some member are
+opened: tokens of one group's full sets are looked up in the other's, which gives all intersections exactly.
 
 The order of tokens puts those last which many prefixes hold (passages and lines that documents share): prefixes in hash order are counted
 over all documents first, and the most frequent tokens, as many as a broadcast may hold, go to the end. Any order is exact.
 
 Scale: a group has at most `members` sets and `tokens` tokens (one larger text is a group alone); groups, not documents, are
 paired, so n near copies are n / members rows a token. Equal sets leave a task once. The shuffles carry prefixes and bitmaps, about
-a third of the texts; full sets are read again only for groups that qualify. First each group is opened for itself
+a third of the texts; full sets are read again only for groups of several members and for members that may have a link, told apart by a bitmap of
+their ids, so that texts are never shuffled. First each group is opened for itself
 and with its hub, the largest group of several that most of its tokens name. When those links are known, groups that lie wholly in one component need
 no look at each other; of a token that many groups hold only the groups that aren't wholly in the component of most of them are paired with
 the others; and where two groups are mostly of one component, only the members outside it are compared. So near copies by the thousand
@@ -46,6 +48,8 @@ FREQUENT = 3
 CROWD = 16
 #: Smallest hashes by which nodes are ordered.
 LOWS = 4
+#: Words of 64 slots of a sketch.
+WORDS = 2
 
 
 def _prefix(own: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
@@ -71,6 +75,13 @@ def _bitmap(own: np.ndarray) -> bytes:
     return np.packbits(slots).tobytes()
 
 
+def _sketch(own: np.ndarray) -> list[int]:
+    """Slots that a set fills, by the first bits of its tokens."""
+    slots = np.zeros(64 * WORDS, bool)
+    slots[(own >> np.uint64(65 - slots.size.bit_length())).astype(np.int64)] = True
+    return np.packbits(slots).view(np.int64).tolist()
+
+
 def _print(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
@@ -102,7 +113,7 @@ def _new(own: np.ndarray, seen: set[bytes]) -> bool:
     return True
 
 
-_OWN = "doc_id long, n_shingles long, print binary, l0 long, l1 long, l2 long, l3 long, marks binary, prefix array<long>"
+_OWN = "doc_id long, n_shingles long, print binary, l0 long, l1 long, l2 long, l3 long, marks binary, sketch array<long>, prefix array<long>"
 
 
 def _scanned(k: int, percent: int, common):
@@ -112,59 +123,66 @@ def _scanned(k: int, percent: int, common):
         seen: set[bytes] = set()
         last = common.value
         for part, data, offs in C.chunks(batches, "text"):
-            sizes, prints, lows, marks, prefixes = [], [], [], [], []
+            sizes, prints, lows, marks, sketches, prefixes = [], [], [], [], [], []
             for i, own in enumerate(C.shingle_sets(data, offs, k)):
                 sizes.append(len(own))
                 prints.append(_print(own) if len(own) else None)
                 first = len(own) and part.column("doc_id")[i].is_valid and _new(own, seen)
                 lows.append([*own[:LOWS].view(np.int64).tolist(), *[0] * (LOWS - len(own))] if first else [None] * LOWS)
                 marks.append(_bitmap(own) if first else None)
+                sketches.append(_sketch(own) if first else None)
                 prefixes.append(_prefix(own, percent, last).view(np.int64) if first else None)
             columns = [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary())]
-            columns += [*(pa.array(x, pa.int64()) for x in zip(*lows, strict=True)), pa.array(marks, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+            columns += [*(pa.array(x, pa.int64()) for x in zip(*lows, strict=True)), pa.array(marks, pa.binary())]
+            columns += [pa.array(x, pa.list_(pa.int64())) for x in (sketches, prefixes)]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _OWN.split(", ")])
 
     return run
 
 
-_GROUPS = "group long, nodes array<long>, docs array<long>, prints array<binary>, sizes array<int>, marks binary, prefixes array<array<long>>, least int, most int"
+_GROUPS = "group long, nodes array<long>, docs array<long>, prints array<binary>, sizes array<int>, marks binary, sketches array<array<long>>, prefixes array<array<long>>"
+
+
+#: The array columns of groups, by node, and what one node has of them.
+_ONE = {"nodes": "node", "docs": "doc_id", "prints": "print", "sizes": "size", "sketches": "sketch", "prefixes": "prefix"}
 
 
 def _grouped(members: int, tokens: int):
-    """Rows in the order of their smallest hashes -> groups. Equal sets are neighbours and become one node."""
+    """Rows in the order of their smallest hashes -> groups. Equal sets are neighbours and become one node; node div members is its group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 40
+        base = TaskContext.get().partitionId() << 32
         held: list[tuple] = []
         done: list[tuple] = []
-        count, nodes, before, low, held_tokens, done_bytes = 0, 0, None, None, 0, 0
+        count, before, low, held_tokens, done_bytes = 0, None, None, 0, 0
 
         def close():
             nonlocal count, done_bytes
             own = list(zip(*held, strict=True))
-            done.append((base + count, own[0], own[1], own[2], own[3], b"".join(own[4]), list(own[5]), min(own[3]), max(own[3])))
+            first = (base + count) * members
+            done.append((base + count, list(range(first, first + len(held))), own[0], own[1], own[2], b"".join(own[3]), own[4], list(own[5])))
             count += 1
-            done_bytes += 8 * sum(map(len, own[5])) + len(done[-1][5]) + 64 * len(held)
+            done_bytes += 8 * sum(map(len, own[5])) + len(done[-1][5]) + (64 + 8 * WORDS) * len(held)
             held.clear()
 
         def flush() -> pa.RecordBatch:
             nonlocal done_bytes
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.list_(pa.int64())), pa.int32(), pa.int32()]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), *[pa.list_(pa.list_(pa.int64()))] * 2]
             columns = [pa.array(c, kind) for c, kind in zip(zip(*done, strict=True), kinds, strict=True)]
             done.clear()
             done_bytes = 0
             return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _GROUPS.split(", ")])
 
         for batch in batches:
-            docs, sizes, prints, lows, marks = (batch.column(c).to_pylist() for c in ("doc_id", "n_shingles", "print", "l0", "marks"))
-            for i, (doc, size, mark, first, bits) in enumerate(zip(docs, sizes, prints, lows, marks, strict=True)):
+            rows = (batch.column(c).to_pylist() for c in ("doc_id", "n_shingles", "print", "l0", "marks", "sketch"))
+            for i, (doc, size, mark, first, bits, sketch) in enumerate(zip(*rows, strict=True)):
                 if mark == before:
                     continue
                 if held and (first != low or len(held) == members or held_tokens + size > tokens):
                     close()
                     held_tokens = 0
-                held.append((base + nodes, doc, mark, size, bits, batch.column("prefix")[i].values.to_numpy()))
-                before, low, nodes, held_tokens = mark, first, nodes + 1, held_tokens + size
+                held.append((doc, mark, size, bits, sketch, batch.column("prefix")[i].values.to_numpy()))
+                before, low, held_tokens = mark, first, held_tokens + size
                 if done_bytes > 1 << 20:
                     yield flush()
         if held:
@@ -181,50 +199,64 @@ def _widths(sizes: np.ndarray, marks: np.ndarray) -> list[np.ndarray]:
     return [np.unpackbits(marks[e - _width(int(n)) // 8 : e]).astype(bool) for n, e in zip(sizes, ends, strict=True)]
 
 
-def _union(maps: list[np.ndarray], width: int) -> np.ndarray:
-    """Slots that some member may fill, in `width` slots."""
-    out = np.zeros(width, bool)
-    for m in maps:
-        out |= m.reshape(width, -1).any(axis=1) if len(m) >= width else np.repeat(m, width // len(m))
+def _at_width(m: np.ndarray, width: int) -> np.ndarray:
+    """Slots that a bitmap may fill, in `width` slots."""
+    return m.reshape(width, -1).any(axis=1) if len(m) >= width else np.repeat(m, width // len(m))
+
+
+def _reaching(sizes: np.ndarray, maps: list[np.ndarray], others: np.ndarray, other_maps: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which members (rows) may be linked with which others (columns), by the slots that the other lacks."""
+    out = np.zeros((len(sizes), len(others)), bool)
+    widths = np.array([len(m) for m in maps])
+    for width in np.unique(widths):
+        fit = (widths == width)[:, None] & (100 * others >= percent * sizes[:, None]) & (100 * sizes[:, None] >= percent * others)
+        rows, columns = np.flatnonzero(fit.any(axis=1)), np.flatnonzero(fit.any(axis=0))
+        if len(rows):
+            own, theirs = [maps[i] for i in rows], [_at_width(other_maps[j], width) for j in columns]
+            if width <= 1 << 20:  # counts are exact in single precision
+                met = np.stack(own).astype(np.float32) @ np.stack(theirs).astype(np.float32).T
+            else:
+                met = np.array([[np.count_nonzero(x & y) for y in theirs] for x in own])
+            both = sizes[rows][:, None] - (np.array([np.count_nonzero(x) for x in own])[:, None] - met)
+            out[np.ix_(rows, columns)] = (100 + percent) * both >= percent * (sizes[rows][:, None] + others[columns])
     return out
 
 
-def _reaches(sizes: np.ndarray, maps: list[np.ndarray], others: np.ndarray, other_maps: list[np.ndarray], percent: int) -> bool:
-    """Whether a member may share enough tokens with the union of those of the other group whose sizes allow a link."""
-    unions: dict[tuple, np.ndarray] = {}
-    for n, own in zip(sizes, maps, strict=True):
-        fit = (100 * others >= percent * n) & (100 * n >= percent * others)
-        if fit.any():
-            key = (len(own), fit.tobytes())
-            if key not in unions:
-                unions[key] = _union([m for m, f in zip(other_maps, fit, strict=True) if f], len(own))
-            if 100 * (n - np.count_nonzero(own & ~unions[key])) >= percent * n:
-                return True
-    return False
+_PAIRS = "a long, b long, whole boolean, xs array<long>, ys array<long>"
 
 
-def _qualified(percent: int):
-    """The pairs of groups that have to be opened."""
+def _qualified(percent: int, members: int):
+    """The pairs of groups that have to be opened, with those nodes of each that may be linked with some of the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
+            rows = []
+            for i, (a, b, whole) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "b", "whole")), strict=True)):
                 sizes = [batch.column(f"sizes_{s}")[i].values.to_numpy().astype(np.int64) for s in "ab"]
                 maps = [_widths(n, np.frombuffer(batch.column(f"marks_{s}")[i].as_buffer(), np.uint8)) for n, s in zip(sizes, "ab", strict=True)]
-                keep.append(_reaches(sizes[0], maps[0], sizes[1], maps[1], percent) and _reaches(sizes[1], maps[1], sizes[0], maps[0], percent))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
+                near = _reaching(sizes[0], maps[0], sizes[1], maps[1], percent)
+                if near.any():
+                    near &= _reaching(sizes[1], maps[1], sizes[0], maps[0], percent).T
+                if near.any():
+                    rows.append((a, b, whole, a * members + np.flatnonzero(near.any(axis=1)), b * members + np.flatnonzero(near.any(axis=0))))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], ["a", "b", "whole", "xs", "ys"])
 
     return run
 
 
-def _sets(k: int):
-    """Full sets; a repeated row is needed once."""
+def _sets(k: int, wanted):
+    """Full sets of the rows whose slot is in a bitmap; a repeated row is needed once."""
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = wanted.value
+        for batch in batches:
+            slots = batch.column("slot").to_numpy()
+            yield batch.filter(pa.array(cells[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1) == 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple] = set()
-        for part, data, offs in C.chunks(batches, "text"):
+        for part, data, offs in C.chunks(some(batches), "text"):
             rows = []
             for doc, own in zip(part.column("doc_id").to_pylist(), C.shingle_sets(data, offs, k), strict=True):
                 mark = _print(own)
@@ -341,7 +373,7 @@ class Join:
 
     def __init__(self, docs: DataFrame, k: int, percent: int, members: int, tokens: int, counted: bool):
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.k, self.percent, self.counted = k, percent, counted
+        self.k, self.percent, self.members, self.counted = k, percent, members, counted
         context = docs.sparkSession.sparkContext
         common = context.broadcast(self._common(C.BROADCAST_BYTES // 8))
         self.own = C.checkpointed(C.mapped(self.docs, _scanned(k, percent, common), _OWN))
@@ -357,34 +389,51 @@ class Join:
         top = counts.orderBy(F.desc("count"), "token").limit(most).select("token").toArrow()
         return np.sort(top["token"].to_numpy().astype(np.int64).view(np.uint64))
 
+    def _nodes(self, *columns: str) -> DataFrame:
+        """group, its number of nodes (n) and the given array columns of groups, one row a node."""
+        rows = self.groups.select("group", F.size("nodes").alias("n"), F.explode(F.arrays_zip(*columns)).alias("m"))
+        return rows.select("group", "n", *(F.col(f"m.{c}").alias(_ONE[c]) for c in columns))
+
     def _matrix(self) -> DataFrame:
-        """(token, group, least, most, n, node, groups) of the tokens that several groups hold; groups: how many."""
-        nodes = self.groups.select("group", "least", "most", F.size("nodes").alias("n"), F.explode(F.arrays_zip("nodes", "prefixes")).alias("m"))
-        rows = nodes.select("group", "least", "most", "n", F.col("m.nodes").alias("node"), F.explode("m.prefixes").alias("token"))
-        over = Window.partitionBy("token")
-        rows = rows.withColumns({"_low": F.min("group").over(over), "_high": F.max("group").over(over)}).where("_low < _high").drop("_low", "_high")
-        counts = rows.groupBy("token").agg(F.count_distinct("group").alias("groups"))
-        return C.checkpointed(rows.join(counts, "token"))
-
-    def _fit(self):
-        """Whether the sizes of two groups allow a link."""
-        return (100 * F.col("a_most") >= self.percent * F.col("b_least")) & (100 * F.col("b_most") >= self.percent * F.col("a_least"))
+        """(token, node, group, n, size, sketch, groups) of the tokens that several groups hold; groups: how many. Only tokens and nodes
+        are shuffled for all prefixes."""
+        rows = self._nodes("nodes", "prefixes").select("node", F.explode("prefix").alias("token"))
+        over, group = Window.partitionBy("token"), F.expr(f"node div {self.members}")
+        rows = rows.withColumns({"_low": F.min("node").over(over), "_high": F.max("node").over(over)})
+        rows = rows.where(f"_low div {self.members} < _high div {self.members}").drop("_low", "_high")
+        counts = rows.groupBy("token").agg(F.count_distinct(group).alias("groups"))
+        own = self._nodes("nodes", "sizes", "sketches").withColumn("size", F.col("size").cast("long"))
+        return C.checkpointed(rows.join(counts, "token").join(own, "node"))
+
+    def _holders(self, held: DataFrame, *keys: str, **more) -> DataFrame:
+        """A row for each token and group: sizes of the nodes that hold the token, and sketches of what all and any of them have."""
+        words = [F.col("sketch")[i] for i in range(WORDS)]
+        sketches = [f(w).alias(f"{name}{i}") for i, w in enumerate(words) for name, f in (("all", F.bit_and), ("any", F.bit_or))]
+        sizes = [F.min("size").alias("least"), F.max("size").alias("most")]
+        return held.groupBy("token", "group", "n", *keys).agg(*sizes, *sketches, *(c.alias(name) for name, c in more.items()))
+
+    def _reach(self):
+        """Whether nodes of two groups that hold a token may be linked, by their sizes and by what one side has and the other lacks."""
+        p = self.percent
+        lacks = lambda x, y: sum((F.bit_count(F.col(f"{x}_all{i}").bitwiseAND(F.bitwise_not(f"{y}_any{i}"))) for i in range(WORDS)), F.lit(0))
+        sides = [100 * F.col(f"{x}_most") - p * F.col(f"{y}_least") >= (100 + p) * lacks(x, y) for x, y in ("ab", "ba")]
+        return sides[0] & sides[1]
 
     def _star_pairs(self, held: DataFrame) -> DataFrame:
         """(a, b): each group a with the group b that is the largest one of most of its tokens, if that has several members."""
-        held = held.select("token", "group", "least", "most", "n").distinct()
-        hubs = held.where("n > 1").groupBy("token").agg(F.max(F.struct("n", F.xxhash64("group").alias("x"), "group", "least", "most")).alias("h"))
-        y = hubs.select("token", F.col("h.group").alias("b_group"), F.col("h.least").alias("b_least"), F.col("h.most").alias("b_most"))
-        x = held.select("token", *(F.col(c).alias(f"a_{c}") for c in ("group", "least", "most")))
-        near = x.join(y, "token").where((F.col("a_group") != F.col("b_group")) & self._fit())
+        own = self._holders(held)
+        columns = [c for c in own.columns if c not in ("token", "n")]
+        hubs = own.where("n > 1").groupBy("token").agg(F.max(F.struct("n", F.xxhash64("group").alias("x"), *columns)).alias("h"))
+        y = hubs.select("token", *(F.col(f"h.{c}").alias(f"b_{c}") for c in columns))
+        x = own.select("token", *(F.col(c).alias(f"a_{c}") for c in columns))
+        near = x.join(y, "token").where((F.col("a_group") != F.col("b_group")) & self._reach())
         best = near.groupBy("a_group", "b_group").count().groupBy(F.col("a_group").alias("a"))
         return best.agg(F.max(F.struct("count", "b_group"))["b_group"].alias("b"))
 
     def _sides(self, held: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(token, group, least, most, n, main, apart) twice; apart: whether a node with this token is outside its group's main component."""
-        keys = ("group", "least", "most", "n", "main")
-        own = held.groupBy("token", *keys).agg(F.max(F.col("comp") != F.col("main")).alias("apart"))
-        return tuple(own.select("token", *(F.col(c).alias(f"{s}_{c}") for c in (*keys, "apart"))) for s in "ab")
+        """_holders with main, and apart: whether a node with this token is outside its group's main component; twice."""
+        own = self._holders(held, "main", apart=F.max(F.col("comp") != F.col("main")))
+        return tuple(own.select("token", *(F.col(c).alias(f"{s}_{c}") for c in own.columns if c != "token")) for s in "ab")
 
     def _ways(self, near: DataFrame) -> DataFrame:
         """(a, b, whole) of rows of two groups: where their main components differ, the smaller group a goes whole to b; else the members
@@ -396,14 +445,15 @@ class Join:
         return near.select(F.explode(F.filter(ways, lambda w: w.isNotNull())).alias("w")).select("w.*").distinct()
 
     def _open_pairs(self, held: DataFrame) -> DataFrame:
-        """Pairs that share tokens of few groups. Groups of one size must share as many tokens as a link needs: the others can all lie in the
-        larger set's part behind its prefix, and no more."""
+        """Pairs that share tokens of few groups. Where the nodes that hold them are of one size, they must share as many tokens as a link
+        needs: the others can all lie in the larger set's part behind its prefix, and no more."""
         p = self.percent
         x, y = self._sides(held.where(F.col("groups") <= CROWD))
         open_ = (F.col("a_main") != F.col("b_main")) | F.col("a_apart") | F.col("b_apart")
-        near = x.join(y, (x["token"] == y["token"]) & (F.col("a_group") < F.col("b_group")) & open_ & self._fit())
-        names = [f"{s}_{c}" for s in "ab" for c in ("group", "least", "most", "n", "main")]
-        shared = near.groupBy(*names).agg(F.count("*").alias("c"), *(F.max(f"{s}_apart").alias(f"{s}_apart") for s in "ab"))
+        near = x.join(y, (x["token"] == y["token"]) & (F.col("a_group") < F.col("b_group")) & open_ & self._reach())
+        names = [f"{s}_{c}" for s in "ab" for c in ("group", "n", "main")]
+        kept = [f(f"{s}_{c}").alias(f"{s}_{c}") for s in "ab" for c, f in (("least", F.min), ("most", F.max), ("apart", F.max))]
+        shared = near.groupBy(*names).agg(F.count("*").alias("c"), *kept)
         behind = F.expr(f"({p} * greatest(a_most, b_most) + 99) div 100 - 1")
         enough = (F.col("c") + behind) * (100 + p) >= p * (F.col("a_most") + F.col("b_most"))
         return self._ways(shared.where((F.col("a_least") < F.col("a_most")) | (F.col("b_least") < F.col("b_most")) | enough))
@@ -416,38 +466,48 @@ class Join:
         minor = x.join(usual, "token").where("a_main <> usual or a_apart")
         settled = (F.col("b_main") == F.col("usual")) & ~F.col("b_apart")
         once = F.when(F.col("a_main") == F.col("b_main"), F.col("a_apart")).otherwise(settled | (F.col("a_group") < F.col("b_group")))
-        near = minor.join(y, (minor["token"] == y["token"]) & (F.col("a_group") != F.col("b_group")) & once & self._fit())
+        near = minor.join(y, (minor["token"] == y["token"]) & (F.col("a_group") != F.col("b_group")) & once & self._reach())
         return self._ways(near.withColumn("b_apart", F.lit(False)))
 
     def _qualified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that bitmaps don't rule out."""
+        """The pairs (a, b, whole) that bitmaps don't rule out, with the nodes that may have links (xs of a, ys of b), stored."""
         for s in "ab":
             pairs = pairs.join(self.groups.select(F.col("group").alias(s), F.col("sizes").alias(f"sizes_{s}"), F.col("marks").alias(f"marks_{s}")), s)
-        return C.mapped(pairs, _qualified(self.percent), "a long, b long")
+        return C.checkpointed(C.mapped(pairs, _qualified(self.percent, self.members), _PAIRS))
 
-    def _members(self, used: DataFrame, labels: DataFrame | None) -> DataFrame:
-        """group, members (node, copies, comp, set) of the used groups, stored; their texts are read again."""
-        zipped = F.explode(F.arrays_zip("nodes", "docs", "prints")).alias("m")
-        rows = self.groups.join(C.few(C.checkpointed(used.distinct())), "group", "left_semi").select("group", zipped)
-        rows = rows.select("group", F.col("m.nodes").alias("node"), F.col("m.docs").alias("doc_id"), F.col("m.prints").alias("print"))
+    def _members(self, rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """group, members (node, copies, comp, set) of nodes (group, node, doc_id, print), stored. A bitmap of hashed ids tells which texts
+        are read again: those of the nodes and few others."""
         rows = rows.join(self.prints.select("print", "copies"), "print")
         if labels is not None:
             rows = rows.join(labels, "node", "left")
         rows = C.checkpointed(rows.withColumn("comp", F.coalesce("comp", "node") if labels is not None else F.col("node")))
-        texts = self.docs.join(C.few(C.checkpointed(rows.select("doc_id").distinct())), "doc_id", "left_semi")
-        sets = C.mapped(texts, _sets(self.k), "doc_id long, print binary, set binary").join(rows, ["doc_id", "print"])
-        return C.checkpointed(sets.groupBy("group").agg(F.collect_set(F.struct("node", "copies", "comp", "set")).alias("members")))
+        ids = C.checkpointed(rows.select("doc_id").distinct())
+        slots = min(8 * C.BROADCAST_BYTES, 1 << max(10, (64 * ids.count()).bit_length()))
+        at = F.pmod(F.xxhash64("doc_id"), F.lit(slots))
+        cells = ids.select(at.alias("slot")).groupBy(F.expr("slot div 64").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toArrow()
+        wanted = np.zeros(slots // 64, np.uint64)
+        wanted[cells["i"].to_numpy()] = cells["bits"].to_numpy().view(np.uint64)
+        wanted = self.docs.sparkSession.sparkContext.broadcast(wanted)
+        docs = self.docs.where("doc_id is not null").withColumn("slot", at)
+        sets = C.mapped(docs, _sets(self.k, wanted), "doc_id long, print binary, set binary").join(rows, ["doc_id", "print"])
+        own = C.checkpointed(sets.groupBy("group").agg(F.collect_set(F.struct("node", "copies", "comp", "set")).alias("members")))
+        wanted.destroy()
+        return own
 
     def _opened(self, rows: DataFrame, run) -> DataFrame:
         return C.checkpointed(C.mapped(rows, run(self.percent, self.counted), "a long, b long, links long"))
 
     def _compared(self, pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
-        """Links of pairs (a, b, and, if not whole, main: the component whose members of a are left out)."""
-        own = self._members(pairs.select(F.explode(F.array("a", "b")).alias("group")), labels)
+        """Links of pairs (a, b, xs, ys and, if not whole, main: the component whose members of a are left out)."""
+        used = C.checkpointed(pairs.select(F.explode(F.concat("xs", "ys")).alias("node")).distinct())
+        rows = self._nodes("nodes", "docs", "prints").join(C.few(used), "node", "left_semi")
+        own = self._members(rows.select("group", "node", "doc_id", "print"), labels)
         x = pairs.join(own.select(F.col("group").alias("a"), "members"), "a")
-        left = F.when(F.col("whole"), F.col("members")).otherwise(F.filter("members", lambda m: m["comp"] != F.col("main")))
-        y = own.select(F.col("group").alias("b"), F.col("members").alias("members_b"))
-        return self._opened(x.select("b", left.alias("members_a")).join(y, "b").select("members_a", "members_b"), _joined)
+        left = F.filter("members", lambda m: F.array_contains("xs", m["node"]) & (F.col("whole") | (m["comp"] != F.col("main"))))
+        right = F.filter("members", lambda m: F.array_contains("ys", m["node"]))
+        x = x.select("b", "ys", left.alias("members_a")).where(F.size("members_a") > 0)
+        return self._opened(x.join(own.withColumnRenamed("group", "b"), "b").select("members_a", right.alias("members_b")), _joined)
 
     def _labelled(self, held: DataFrame, labels: DataFrame) -> DataFrame:
         """held with the component of each node (comp) and that of most nodes of its group (main)."""
@@ -466,26 +526,25 @@ class Join:
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Components (node, comp) of all nodes with links, and, if counted, numbers of documents linked (node, links; several rows a node)."""
         held = self._matrix()
-        settled = self._opened(self._members(self.groups.where(F.size("nodes") > 1).select("group"), None).select("members"), _settled)
+        several = self._nodes("nodes", "docs", "prints").where("n > 1").select("group", "node", "doc_id", "print")
+        settled = self._opened(self._members(several, None).select("members"), _settled)
         labels = settled.where("b is not null").select(F.col("a").alias("node"), F.col("b").alias("comp"))
         degrees = settled.where("b is null").select(F.col("a").alias("node"), "links")
         if self.counted:  # every pair, as if no group were settled
             held = held.withColumns({"comp": F.col("group"), "main": F.col("group"), "groups": F.lit(0)})
-            pairs = C.checkpointed(self._qualified(self._open_pairs(held).select("a", "b")))
-            links = self._compared(pairs.withColumns({"whole": F.lit(True), "main": F.lit(None).cast("long")}), labels)
+            pairs = self._qualified(self._open_pairs(held))
+            links = self._compared(pairs.withColumn("main", F.lit(None).cast("long")), labels)
             degrees = degrees.union(links.where("b is null").select("a", "links"))
             return self._merged(labels, links.where("b is not null")), degrees
         stars = C.checkpointed(self._star_pairs(held))
-        pairs = C.checkpointed(self._qualified(stars).withColumns({"whole": F.lit(True), "main": F.lit(None).cast("long")}))
-        labels = self._merged(labels, self._compared(pairs, labels))
+        pairs = self._qualified(stars.withColumn("whole", F.lit(True)))
+        labels = self._merged(labels, self._compared(pairs.withColumn("main", F.lit(None).cast("long")), labels))
         held = self._labelled(held, labels)
         rest = C.checkpointed(self._open_pairs(held).union(self._crowded_pairs(held)).distinct())
         tested = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rest = rest.join(tested, ["a", "b"], "left_anti")
+        pairs = self._qualified(rest.join(tested, ["a", "b"], "left_anti"))
         mains = held.select(F.col("group").alias("a"), "main").distinct()
-        within = rest.where("not whole").join(mains, "a").select("a", "b", "whole", "main")
-        across = self._qualified(rest.where("whole").select("a", "b")).withColumns({"whole": F.lit(True), "main": F.lit(None).cast("long")})
-        return self._merged(labels, self._compared(C.checkpointed(within.union(across)), labels)), degrees
+        return self._merged(labels, self._compared(pairs.join(mains, "a"), labels)), degrees
 
     def result(self) -> DataFrame:
         labels, links = self.links()

@@ -243,3 +243,44 @@ def test_join_rounds_take_only_new_links(spark, monkeypatch):
     got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), k=4, percent=85, members=40).collect()
     assert {r["component_id"] for r in got} == {0} and len(got) == 120
     assert taken and sum(taken) < 12  # 119 links join the 120 sets
+
+
+def test_join_opens_only_members_that_may_be_linked(spark, monkeypatch):
+    """Groups of short texts that share their smallest shingle: unions of their bitmaps are full, and yet only the linked sets are compared."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(7)
+    passages = [f"p{i} q{i} r{i} s{i}" for i in range(20_000)]
+    data, offs = np.frombuffer("".join(passages).encode(), np.uint8), np.cumsum([0, *map(len, passages)])
+    common = passages[int(np.argmin([own[0] for own in ngram_join.C.shingle_sets(data, offs, 4)]))]
+    rows = [(i, " ".join([common, *(f"w{v}" for v in rng.integers(0, 9_999, rng.integers(20, 40)))])) for i in range(119)]
+    rows.append((119, rows[5][1] + " x"))
+    monkeypatch.setattr(ngram_join, "FREQUENT", 1_000)
+    compared, plain = [], ngram_join.Join._opened
+
+    def counting(self, pairs, run):
+        if run is ngram_join._joined:
+            compared.append(pairs.agg(F.sum(F.size("members_a") + F.size("members_b"))).first()[0] or 0)
+        return plain(self, pairs, run)
+
+    monkeypatch.setattr(ngram_join.Join, "_opened", counting)
+    for members in (1, 10):
+        compared.clear()
+        got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, members=members).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == [w[:3] for w in sorted(joined(rows, 4, 85))]
+        assert compared and sum(compared) <= 4
+
+
+def test_bitmaps_and_sketches_lose_no_link():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n, percent = int(rng.integers(1, 400)), int(rng.integers(50, 100))
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.9], rng.integers(0, 1 << 62, rng.integers(0, 9)).astype(np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        linked = both and 100 * both >= percent * (len(x) + len(y) - both)
+        sizes, maps = [np.array([len(s)]) for s in (x, y)], [ngram_join._widths([len(s)], np.frombuffer(ngram_join._bitmap(s), np.uint8)) for s in (x, y)]
+        for a, b in ((0, 1), (1, 0)):
+            assert not linked or ngram_join._reaching(sizes[a], maps[a], sizes[b], maps[b], percent).all()
+        lacks = sum((p & ~q).bit_count() for p, q in zip(*([v % (1 << 64) for v in ngram_join._sketch(s)] for s in (x, y)), strict=True))
+        assert lacks <= len(np.setdiff1d(x, y))
